@@ -31,6 +31,9 @@ from pyspark.sql import types as T
 
 DEFAULT_K = 5
 DEFAULT_MAX_DISTANCE = 0.6
+# Distances are compared at this many decimals, so exact copies of a chunk tie
+# regardless of summation order (BLAS blocking) and fall back to the id order.
+DISTANCE_DECIMALS = 9
 
 
 # ---------------------------------------------------------------------------
@@ -48,7 +51,7 @@ def norm(a: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """greatest(1 - cos, 0); NULL when a vector is NULL or has zero norm."""
     den = norm(a) * norm(b)
-    return F.greatest(F.lit(1.0) - dot(a, b) / F.nullif(den, F.lit(0.0)), F.lit(0.0))
+    return F.round(F.greatest(F.lit(1.0) - dot(a, b) / F.nullif(den, F.lit(0.0)), F.lit(0.0)), DISTANCE_DECIMALS)
 
 
 # ---------------------------------------------------------------------------
@@ -63,7 +66,8 @@ def nearest(corpus: DataFrame, vector, k: int = DEFAULT_K, max_distance: float =
         raise ValueError("query vector has zero norm")
     lit_v = F.array(*[F.lit(float(x)) for x in v / vn])
     c = F.col(corpus_vec)
-    d = F.greatest(F.lit(1.0) - dot(c, lit_v) / F.nullif(norm(c), F.lit(0.0)), F.lit(0.0))
+    d = F.round(F.greatest(F.lit(1.0) - dot(c, lit_v) / F.nullif(norm(c), F.lit(0.0)), F.lit(0.0)),
+                DISTANCE_DECIMALS)
     out = corpus.withColumn("distance", d).where((F.col("distance") >= min_distance) & (F.col("distance") < max_distance))
     if drop_vector:
         out = out.drop(corpus_vec)
@@ -203,7 +207,7 @@ def _block_scan(bc, k, max_d, min_d, corpus_id, corpus_vec, out_schema):
             cn = np.sqrt(np.einsum("ij,ij->i", C, C))
             nz = cn > 0
             C[nz] /= cn[nz, None]
-            D = np.maximum(1.0 - C @ Q.T, 0.0)  # (m, n)
+            D = np.round(np.maximum(1.0 - C @ Q.T, 0.0), DISTANCE_DECIMALS)  # (m, n)
             valid = (D >= min_d) & (D < max_d) & nz[:, None]
             if k < D.shape[0]:
                 Dm = np.where(valid, D, np.inf)

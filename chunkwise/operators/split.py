@@ -175,7 +175,7 @@ def pack_sentences(col, n_words: int) -> Column:
     returned whole; an empty text gives no chunk.
     """
     text = _c(col)
-    sents = F.split(F.regexp_replace(text, r"[.;]$", ""), "[.;]", -1)
+    sents = F.split(F.regexp_replace(text, r"[.;]\z", ""), "[.;]", -1)
     zero = F.struct(F.array().cast("array<string>").alias("out"),
                     F.array().cast("array<string>").alias("cur"))
 
