@@ -21,12 +21,19 @@ from pyspark.sql import functions as F  # noqa: E402
 import chunkwise  # noqa: E402,F401
 from chunkwise.functions import text as TX  # noqa: E402
 from chunkwise.operators import split as SP  # noqa: E402
-from chunkwise.operators.embed import HashingEmbedder  # noqa: E402
+from chunkwise.operators.embed import HashingEmbedder, first_vector  # noqa: E402
 from chunkwise.operators.render import markdown, prompts  # noqa: E402
 from chunkwise.operators.retrieve import nearest, top_k  # noqa: E402
 from chunkwise.plans.ingest import chunk_documents  # noqa: E402
 from chunkwise.plans.rag import answer_markdown, retrieve  # noqa: E402
 from chunkwise.session import ensure_checkpoint_dir  # noqa: E402
+from chunkwise.operators import mutate as MU  # noqa: E402
+from chunkwise.operators import scan as SC  # noqa: E402
+from chunkwise.sources import pages as PG  # noqa: E402
+from chunkwise.sources.tables import VersionedTable  # noqa: E402
+from chunkwise.streaming import status as ST  # noqa: E402
+from chunkwise.schemas import files_schema  # noqa: E402
+from chunkwise.session import scratch_path  # noqa: E402
 
 SF_SMOKE = "/root/testdata/sf0.001"
 K = 5
@@ -34,6 +41,8 @@ MAX_D = 0.6
 CHUNK = 256
 PIECE = 500
 T6_WORDS = 50
+NOW = 1_700_000_000
+LATER = 1_700_000_500
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -284,6 +293,185 @@ def q_r5_no_context_prompt(spark, sf):
     return p.select("query_id", "n_hits", F.coalesce("system_prompt", F.lit("")).alias("system_prompt"), "user_prompt")
 
 
+# ---------------------------------------------------------------------------
+# Registry / settings tables derived from the driver tables
+
+def _ext():
+    return (F.when(F.col("lang") == "en", "txt").when(F.col("lang") == "de", "md")
+            .when(F.col("lang") == "fr", "docx").otherwise("pdf"))
+
+
+def _paths(spark, sf):
+    d = _t(spark, sf, "documents")
+    files = d.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), _ext()).alias("file_path"))
+    dirs = d.select(F.col("source").alias("file_path")).distinct()
+    return files.unionByName(dirs)
+
+
+def _registry(spark, sf, now=NOW):
+    return SC.registry_rows(_paths(spark, sf), now)
+
+
+def _doc_path(d):
+    return F.concat(d["source"], F.lit("/"), d["doc_id"].cast("string"), F.lit("."), _ext())
+
+
+def _settings(spark, sf):
+    lab = _t(spark, sf, "labels")
+    return lab.select(F.col("doc_id").alias("id"),
+                      F.concat(F.lit("https://api.example.org/v1/"), F.col("doc_id").cast("string")).alias("url"),
+                      F.md5(F.col("doc_id").cast("string")).alias("token"),
+                      (F.col("quality") == 1).alias("state"), F.lit(0).cast("long").alias("time"))
+
+
+def q_p1_scan_registry(spark, sf):
+    t = VersionedTable(spark, scratch_path(spark, "registry"), files_schema())
+    t.append(_registry(spark, sf))
+    return t.read()
+
+
+def q_p2_first_n(spark, sf):
+    return SC.first_n(_registry(spark, sf), 25, order_by=("file_path",))
+
+
+def q_p3_pending(spark, sf):
+    lab = _t(spark, sf, "labels").where("quality = 1")
+    d = _t(spark, sf, "documents")
+    done = d.join(lab, "doc_id").select(_doc_path(d).alias("file_path"), F.lit(100).alias("progress"))
+    files = MU.update_progress(_registry(spark, sf), done, LATER)
+    return SC.pending(files, 30)
+
+
+def q_p4_lookup(spark, sf):
+    st = _settings(spark, sf)
+    key = st.agg(F.min("id")).first()[0]  # one literal key taken from the data
+    return SC.lookup(st, "id", key)
+
+
+def q_p5_available(spark, sf):
+    return SC.available(_settings(spark, sf), 20)
+
+
+def q_p6_without_vector(spark, sf):
+    return SC.without_vector(_t(spark, sf, "embeddings"))
+
+
+def q_p7_registry_rows(spark, sf):
+    return _registry(spark, sf)
+
+
+def q_p8_chunk_rows(spark, sf):
+    e = HashingEmbedder()
+    b = _t(spark, sf, "benchmark").select("text", e.embed("text").alias("embedding"))
+    r = SC.chunk_rows(b, "benchmark.txt", NOW)
+    return r.select("file_path", "text", F.size("embedding").alias("dim"), "add_time")
+
+
+def q_p9_first_vector(spark, sf):
+    e = _t(spark, sf, "embeddings")
+    mv = e.select("vec_id", F.array(F.col("embedding"), F.transform("embedding", lambda x: x * 2)).alias("mv"))
+    r = mv.select("vec_id", first_vector("mv").alias("v"))
+    return r.select("vec_id", F.round(F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")), 6).alias("s"),
+                    F.size("v").alias("dim"))
+
+
+def q_m1_delete(spark, sf):
+    d = _t(spark, sf, "documents")
+    tox = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(_doc_path(d).alias("file_path"))
+    return MU.delete_keys(_registry(spark, sf), tox, "file_path")
+
+
+def q_m2_cascade_delete(spark, sf):
+    d = _t(spark, sf, "documents")
+    gone = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("file_path")).distinct()
+    files, chunks = MU.cascade_delete(_registry(spark, sf), _chunks(spark, sf), gone)
+    return (files.select(F.lit("files").alias("tbl"), F.col("file_path").alias("key"))
+            .unionByName(chunks.select(F.lit("chunks").alias("tbl"), F.col("chunk_id").cast("string").alias("key"))))
+
+
+def q_m3_update_progress(spark, sf):
+    lab = _t(spark, sf, "labels").where("quality = 1")
+    d = _t(spark, sf, "documents")
+    done = d.join(lab, "doc_id").select(_doc_path(d).alias("file_path"), F.lit(100).alias("progress"))
+    return MU.update_progress(_registry(spark, sf), done, LATER)
+
+
+def _token_changes(spark, sf, cond):
+    return _t(spark, sf, "documents").where(cond).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("https://api.example.org/v2/"), "source").alias("url"),
+        F.concat(F.lit("new_"), F.md5("text")).alias("token"))
+
+
+def q_m4_update_token(spark, sf):
+    return MU.update_token(_settings(spark, sf), _token_changes(spark, sf, "lang = 'fr'"), LATER)
+
+
+def q_m5_upsert_token(spark, sf):
+    return MU.upsert_token(_settings(spark, sf), _token_changes(spark, sf, "lang = 'de'"), LATER)
+
+
+def q_m5_upsert_rows(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    old = d.where("lang IN ('en', 'de')")
+    new = d.where("lang IN ('de', 'fr')").withColumn("source", F.concat(F.lit("moved/"), "source"))
+    return MU.upsert(old, new, "doc_id")
+
+
+def q_m6_set_state(spark, sf):
+    ids = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return MU.set_state(_settings(spark, sf), ids, False, LATER)
+
+
+def q_s6_assemble_pages(spark, sf):
+    c = _t(spark, sf, "conversations")
+    return PG.assemble_pages(c, doc_col="conv_id", page_col="turn", text_col="text")
+
+
+def _parts(spark, sf):
+    c = _t(spark, sf, "conversations")
+    gaps = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("conv_id"), F.lit(2).cast("long").alias("turn"))
+    return c.join(gaps, ["conv_id", "turn"], "left_anti")
+
+
+def q_s9_reassemble_parts(spark, sf):
+    return PG.reassemble_parts(_parts(spark, sf), id_col="conv_id", part_col="turn", body_col="text", first=0)
+
+
+def q_s8_check_digests(spark, sf):
+    d = _t(spark, sf, "documents")
+    exp = (d.where("lang IN ('en', 'de')")
+           .select("doc_id", F.when(F.col("lang") == "en", F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("x"))))
+                   .alias("expected_md5")))
+    return PG.check_digests(d, exp, id_col="doc_id", content_col="text")
+
+
+def q_x2_latest_status(spark, sf):
+    ev = _t(spark, sf, "events")
+    return ST.latest_status(ev, key="user_id", ts_col="ts", tie_col="event_id",
+                            cols=["event_id", "event_type", "value", "ts"])
+
+
+def _status_log(spark, sf):
+    ev = _t(spark, sf, "events")
+    d = _t(spark, sf, "documents")
+    docs = d.select(F.col("doc_id").alias("user_id"), _doc_path(d).alias("file_path"))
+    prog = (F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 50)
+            .when(F.col("event_type") == "purchase", 100).when(F.col("event_type") == "error", -1).otherwise(0))
+    return ev.join(docs, "user_id").select(
+        "file_path", prog.cast("int").alias("progress"), "ts",
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
+
+
+def q_x5_status_view(spark, sf):
+    return ST.status_view(_registry(spark, sf), _status_log(spark, sf))
+
+
+def q_x6_register(spark, sf):
+    d = _t(spark, sf, "documents").where("lang = 'fr'")
+    again = SC.registry_rows(d.select(_doc_path(d).alias("file_path")), LATER)
+    return ST.register(_registry(spark, sf), again, dedupe=True)
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL
 
@@ -350,6 +538,102 @@ c AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN []::VARCHAR[]
 SELECT doc_id, unnest(range(len(cs)))::INTEGER AS pos, unnest(cs) AS text FROM c"""
 
 
+EXT_SQL = "CASE lang WHEN 'en' THEN 'txt' WHEN 'de' THEN 'md' WHEN 'fr' THEN 'docx' ELSE 'pdf' END"
+DOC_PATH_SQL = f"source || '/' || doc_id::VARCHAR || '.' || {EXT_SQL}"
+REGISTRY_SQL = f"""registry AS (
+  SELECT regexp_extract(p, '[^/]+$') AS name, p AS file_path,
+         CASE WHEN regexp_matches(regexp_extract(p, '[^/]+$'), '^.+\\.[^.]*$')
+              THEN nullif(regexp_extract(regexp_extract(p, '[^/]+$'), '^.+\\.([^.]*)$', 1), '') END AS file_type,
+         {NOW}::BIGINT AS add_time, 0::BIGINT AS sync_time, 0::INTEGER AS progress
+  FROM (SELECT {DOC_PATH_SQL} AS p FROM documents UNION ALL SELECT DISTINCT source FROM documents))"""
+SETTINGS_SQL = """settings AS (
+  SELECT doc_id AS id, 'https://api.example.org/v1/' || doc_id::VARCHAR AS url, md5(doc_id::VARCHAR) AS token,
+         quality = 1 AS state, 0::BIGINT AS time FROM labels)"""
+UPDATED_SQL = f"""done AS (SELECT {DOC_PATH_SQL} AS file_path FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+updated AS (SELECT r.name, r.file_path, r.file_type, r.add_time,
+  CASE WHEN d.file_path IS NOT NULL THEN {LATER} ELSE r.sync_time END::BIGINT AS sync_time,
+  CASE WHEN d.file_path IS NOT NULL THEN 100 ELSE r.progress END::INTEGER AS progress
+  FROM registry r LEFT JOIN (SELECT DISTINCT file_path FROM done) d USING (file_path))"""
+
+
+def _sql_token_changes(cond):
+    return f"""ch AS (SELECT doc_id AS id, 'https://api.example.org/v2/' || source AS url, 'new_' || md5(text) AS token
+       FROM documents WHERE {cond})"""
+
+
+def _sql_p_m_x() -> dict[str, str]:
+    return {
+        "p1_scan_registry": f"WITH {REGISTRY_SQL} SELECT * FROM registry",
+        "p2_first_n": f"WITH {REGISTRY_SQL} SELECT * FROM registry ORDER BY file_path LIMIT 25",
+        "p3_pending": f"WITH {REGISTRY_SQL}, {UPDATED_SQL} SELECT * FROM updated WHERE progress = 0 ORDER BY add_time, file_path LIMIT 30",
+        "p4_lookup": f"WITH {SETTINGS_SQL} SELECT * FROM settings WHERE id = (SELECT min(id) FROM settings) LIMIT 1",
+        "p5_available": f"WITH {SETTINGS_SQL} SELECT * FROM settings WHERE state ORDER BY id LIMIT 20",
+        "p6_without_vector": "SELECT vec_id, label FROM embeddings",
+        "p7_registry_rows": f"WITH {REGISTRY_SQL} SELECT * FROM registry",
+        "p8_chunk_rows": f"""WITH {s_embed_cte('benchmark', 'item_id', 'text', 'q')}
+SELECT 'benchmark.txt' AS file_path, b.text, 384 AS dim, {NOW}::BIGINT AS add_time
+FROM benchmark b WHERE b.text IS NOT NULL AND b.item_id IN (SELECT id FROM qn)""",
+        "p9_first_vector": """SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS s, len(embedding) AS dim FROM embeddings""",
+        "m1_delete": f"""WITH {REGISTRY_SQL}
+SELECT * FROM registry WHERE file_path NOT IN (
+  SELECT {DOC_PATH_SQL} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""",
+        "m2_cascade_delete": f"""WITH {REGISTRY_SQL}, {s_chunks_cte(CHUNK)},{CHX_CTE},
+gone AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT 'files' AS tbl, file_path AS key FROM registry WHERE file_path NOT IN (SELECT source FROM gone)
+UNION ALL
+SELECT 'chunks' AS tbl, (doc_id * 1048576 + pos)::VARCHAR AS key FROM ch WHERE source NOT IN (SELECT source FROM gone)""",
+        "m3_update_progress": f"WITH {REGISTRY_SQL}, {UPDATED_SQL} SELECT * FROM updated",
+        "m4_update_token": f"""WITH {SETTINGS_SQL}, {_sql_token_changes("lang = 'fr'")}
+SELECT s.id, coalesce(c.url, s.url) AS url, coalesce(c.token, s.token) AS token,
+       CASE WHEN c.id IS NOT NULL THEN true ELSE s.state END AS state,
+       CASE WHEN c.id IS NOT NULL THEN {LATER} ELSE s.time END::BIGINT AS time
+FROM settings s LEFT JOIN ch c ON c.id = s.id""",
+        "m5_upsert_token": f"""WITH {SETTINGS_SQL}, {_sql_token_changes("lang = 'de'")}
+SELECT * FROM settings WHERE id NOT IN (SELECT id FROM ch)
+UNION ALL SELECT id, url, token, true AS state, {LATER}::BIGINT AS time FROM ch""",
+        "m5_upsert_rows": """WITH d AS (SELECT doc_id, lang, source, n_chars FROM documents)
+SELECT * FROM d WHERE lang IN ('en', 'de') AND doc_id NOT IN (SELECT doc_id FROM d WHERE lang IN ('de', 'fr'))
+UNION ALL SELECT doc_id, lang, 'moved/' || source AS source, n_chars FROM d WHERE lang IN ('de', 'fr')""",
+        "m6_set_state": f"""WITH {SETTINGS_SQL}
+SELECT id, url, token, CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN false ELSE state END AS state,
+       CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN {LATER} ELSE time END::BIGINT AS time
+FROM settings""",
+        "s6_assemble_pages": r"""WITH p AS (
+  SELECT conv_id, turn, array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '\s+$', '')), '') AS pt
+  FROM conversations)
+SELECT conv_id, string_agg(pt, '' ORDER BY turn) AS text, count(*)::INTEGER AS n_pages FROM p GROUP BY conv_id""",
+        "s9_reassemble_parts": """WITH parts AS (
+  SELECT * FROM conversations c WHERE NOT EXISTS (
+    SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.conv_id AND c.turn = 2)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM parts) WHERE turn + 1 = rn),
+w AS (SELECT conv_id, count(*)::INTEGER AS n_parts, string_agg(text, '' ORDER BY turn) AS whole FROM k GROUP BY conv_id)
+SELECT conv_id, n_parts, md5(whole) AS md5, length(whole)::BIGINT AS n_chars FROM w""",
+        "s8_check_digests": """WITH e AS (SELECT doc_id, CASE WHEN lang = 'en' THEN md5(text) ELSE md5(text || 'x') END AS expected_md5
+           FROM documents WHERE lang IN ('en', 'de'))
+SELECT d.doc_id, md5(d.text) AS md5,
+       CASE WHEN e.expected_md5 IS NULL THEN 'missing' WHEN e.expected_md5 = md5(d.text) THEN 'ok' ELSE 'changed' END AS status
+FROM documents d LEFT JOIN e USING (doc_id)""",
+        "x2_latest_status": """SELECT user_id, event_id, event_type, value, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+        "x5_status_view": f"""WITH {REGISTRY_SQL},
+log AS (SELECT {DOC_PATH_SQL} AS file_path,
+          CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 50 WHEN 'purchase' THEN 100 WHEN 'error' THEN -1 ELSE 0 END AS progress,
+          ts, CASE WHEN event_type = 'error' THEN props END AS error
+        FROM events e JOIN documents d ON d.doc_id = e.user_id),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY ts DESC, progress DESC) AS rn FROM log) WHERE rn = 1)
+SELECT r.name, r.file_path, r.file_type, to_timestamp(r.add_time)::TIMESTAMP AS added_at,
+       CASE WHEN l.ts IS NOT NULL THEN l.ts WHEN r.sync_time > 0 THEN to_timestamp(r.sync_time)::TIMESTAMP END AS synced_at,
+       coalesce(l.progress, r.progress)::INTEGER AS progress,
+       CASE WHEN coalesce(l.progress, r.progress) = 100 THEN l.ts END AS completed_at,
+       l.error AS error
+FROM registry r LEFT JOIN last l USING (file_path)""",
+        "x6_register": f"""WITH {REGISTRY_SQL},
+again AS (SELECT name, file_path, file_type, {LATER}::BIGINT AS add_time, sync_time, progress FROM registry
+          WHERE file_path IN (SELECT {DOC_PATH_SQL} FROM documents WHERE lang = 'fr'))
+SELECT * FROM again UNION ALL SELECT * FROM registry WHERE file_path NOT IN (SELECT file_path FROM again)""",
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
@@ -368,6 +652,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r3_markdown": q_r3_markdown,
         "r4_context_prompt": q_r4_context_prompt,
         "r5_no_context_prompt": q_r5_no_context_prompt,
+        "p1_scan_registry": q_p1_scan_registry,
+        "p2_first_n": q_p2_first_n,
+        "p3_pending": q_p3_pending,
+        "p4_lookup": q_p4_lookup,
+        "p5_available": q_p5_available,
+        "p6_without_vector": q_p6_without_vector,
+        "p7_registry_rows": q_p7_registry_rows,
+        "p8_chunk_rows": q_p8_chunk_rows,
+        "p9_first_vector": q_p9_first_vector,
+        "m1_delete": q_m1_delete,
+        "m2_cascade_delete": q_m2_cascade_delete,
+        "m3_update_progress": q_m3_update_progress,
+        "m4_update_token": q_m4_update_token,
+        "m5_upsert_token": q_m5_upsert_token,
+        "m5_upsert_rows": q_m5_upsert_rows,
+        "m6_set_state": q_m6_set_state,
+        "s6_assemble_pages": q_s6_assemble_pages,
+        "s8_check_digests": q_s8_check_digests,
+        "s9_reassemble_parts": q_s9_reassemble_parts,
+        "x2_latest_status": q_x2_latest_status,
+        "x5_status_view": q_x5_status_view,
+        "x6_register": q_x6_register,
     }
 
 
@@ -400,6 +706,7 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "r3_markdown": _sql_md(),
         "r4_context_prompt": _sql_prompts(MAX_D, False),
         "r5_no_context_prompt": _sql_prompts(0.2, True),
+        **_sql_p_m_x(),
     }
 
 

@@ -63,17 +63,19 @@ QUESTION_HEADING = "\n\n### 用户查询\n\n"
 
 def markdown(hits: DataFrame, query_id: str = "query_id", file_col: str = "file_path",
              text_col: str = "text", rank_col: str = "rank") -> DataFrame:
-    """One row per query that has hits: ``query_id``, ``markdown``."""
+    """One row per query that has hits: ``query_id``, ``n_hits``, ``markdown``."""
     per_file = hits.groupBy(query_id, file_col).agg(
         F.min(rank_col).alias("_best"),
+        F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t")))).alias("_items"))
     block = F.concat(
         F.lit(MD_FILE_HEADER), F.col(file_col), F.lit(MD_AFTER_HEADER),
         F.array_join(F.transform("_items", lambda x: F.concat(F.lit(MD_ITEM_PREFIX), x["t"], F.lit(MD_ITEM_SUFFIX))), ""),
         F.lit(MD_FILE_FOOTER))
-    per_file = per_file.select(query_id, F.struct(F.col("_best").alias("b"), F.col(file_col).alias("f"),
-                                                  block.alias("md")).alias("_blk"))
+    per_file = per_file.select(query_id, "_n", F.struct(F.col("_best").alias("b"), F.col(file_col).alias("f"),
+                                                        block.alias("md")).alias("_blk"))
     return per_file.groupBy(query_id).agg(
+        F.sum("_n").cast("int").alias("n_hits"),
         F.array_join(F.transform(F.array_sort(F.collect_list("_blk")), lambda x: x["md"]), "").alias("markdown"))
 
 

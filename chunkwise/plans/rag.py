@@ -34,8 +34,7 @@ def answer_markdown(questions: DataFrame, chunks: DataFrame, *, k: int = DEFAULT
     hits = retrieve(questions, chunks, k=k, max_distance=max_distance, embedder=embedder,
                     id_col=id_col, text_col=text_col, method=method)
     md = markdown(hits)
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_hits"))
     q = questions.select(F.col(id_col).alias("query_id"))
-    return (q.join(n, "query_id", "left").join(md, "query_id", "left")
+    return (q.join(md, "query_id", "left")
             .select("query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
                     F.coalesce("markdown", F.lit("")).alias("markdown")))
