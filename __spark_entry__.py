@@ -29,6 +29,7 @@ from chunkwise.plans.rag import answer_markdown, retrieve  # noqa: E402
 from chunkwise.session import ensure_checkpoint_dir  # noqa: E402
 from chunkwise.operators import mutate as MU  # noqa: E402
 from chunkwise.operators import scan as SC  # noqa: E402
+from chunkwise.operators import semantic as SE  # noqa: E402
 from chunkwise.sources import pages as PG  # noqa: E402
 from chunkwise.sources.tables import VersionedTable  # noqa: E402
 from chunkwise.streaming import status as ST  # noqa: E402
@@ -472,6 +473,69 @@ def q_x6_register(spark, sf):
     return ST.register(_registry(spark, sf), again, dedupe=True)
 
 
+# ---------------------------------------------------------------------------
+# Semantic chunker operators (row form) and the whole chunker
+
+def _pieces(spark, sf):
+    p = _token_split(spark, sf, PIECE)
+    return p.withColumn("embedding", HashingEmbedder().embed("text"))
+
+
+def _piece_scores(spark, sf):
+    return SE.context_similarity(_pieces(spark, sf), "doc_id", "pos", "embedding").drop("embedding", "text")
+
+
+def _marked(spark, sf):
+    sc = _piece_scores(spark, sf)
+    b = SE.score_bounds(sc, "doc_id").select("doc_id", "median")
+    return SE.split_points(sc.join(b, "doc_id", "left"), F.col("median"))
+
+
+def q_c1_context_similarity(spark, sf):
+    s = SE.context_similarity(_emb(spark, sf), "label", "vec_id", "embedding")
+    return s.select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+def q_c1_piece_similarity(spark, sf):
+    return _piece_scores(spark, sf).select("doc_id", "pos", F.round("score", 6).alias("score"))
+
+
+def q_c2_cumulative_tokens(spark, sf):
+    p = _token_split(spark, sf, PIECE)
+    return SE.cumulative_tokens(p, "doc_id", "pos", "n_tokens").select("doc_id", "pos", "n_tokens", "cum_tokens")
+
+
+def q_c3_score_bounds(spark, sf):
+    b = SE.score_bounds(_piece_scores(spark, sf), "doc_id")
+    return b.select("doc_id", *[F.round(c, 6).alias(c) for c in ("median", "sd", "low", "high")])
+
+
+def q_c6_split_points(spark, sf):
+    return _marked(spark, sf).select("doc_id", "pos", "split_before")
+
+
+def q_c4_segment_median(spark, sf):
+    return SE.segment_token_median(_marked(spark, sf), "doc_id", "pos", "n_tokens")
+
+
+def q_c7_assemble_keep(spark, sf):
+    return SE.assemble_at(_marked(spark, sf), "doc_id", "pos", "n_tokens", o=SE.SemanticOptions(short_buffer="keep"))
+
+
+def q_c7_assemble_drop(spark, sf):
+    return SE.assemble_at(_marked(spark, sf), "doc_id", "pos", "n_tokens", o=SE.SemanticOptions(short_buffer="drop"))
+
+
+def q_c8_semantic_chunks(spark, sf):
+    c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic")
+    return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
+
+
+def q_c9_sentence_strategy(spark, sf):
+    c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="sentence")
+    return c.select("chunk_id", "root_path", "file_path", "pos", "text", "add_time")
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL
 
@@ -634,6 +698,85 @@ SELECT * FROM again UNION ALL SELECT * FROM registry WHERE file_path NOT IN (SEL
     }
 
 
+def _sql_pieces() -> str:
+    """CTEs: pieces ``pp(doc_id, pos, id, n_tokens)``, their vectors ``pv/pn`` and
+    C1 scores ``sc(doc_id, pos, n_tokens, score)``."""
+    return f"""{s_chunks_cte(PIECE)},
+pp AS (SELECT doc_id, pos, doc_id * 1048576 + pos AS id, text, ({s_ntok('text')} + 2)::INTEGER AS n_tokens FROM ch),
+{s_embed_cte('pp', 'id', 'text', 'p')},
+cx AS (SELECT a.doc_id, a.pos, v.b, sum(v.w::DOUBLE) AS s
+       FROM pp a JOIN pp q ON q.doc_id = a.doc_id AND q.pos >= a.pos - 5 AND q.pos < a.pos
+       JOIN pv v ON v.id = q.id GROUP BY ALL),
+cnm AS (SELECT doc_id, pos, sqrt(sum(s * s)) AS n FROM cx GROUP BY ALL),
+dq AS (SELECT c.doc_id, c.pos, sum(c.s * v.w::DOUBLE) AS d FROM cx c
+       JOIN pv v ON v.id = c.doc_id * 1048576 + c.pos AND v.b = c.b GROUP BY ALL),
+sc AS (SELECT a.doc_id, a.pos, a.n_tokens,
+         CASE WHEN a.pos = 0 THEN NULL ELSE round(coalesce(coalesce(dq.d, 0) / nullif(pn.nv * m.n, 0), 0), 9) END AS score
+       FROM pp a LEFT JOIN dq USING (doc_id, pos) LEFT JOIN cnm m USING (doc_id, pos) LEFT JOIN pn ON pn.id = a.id)"""
+
+
+SQL_BOUNDS = """bd AS (SELECT doc_id, median(score) AS median,
+         CASE WHEN count(score) > 1 THEN stddev_samp(score) ELSE 0 END AS sd FROM sc WHERE score IS NOT NULL GROUP BY ALL),
+mk AS (SELECT s.doc_id, s.pos, s.n_tokens, coalesce(s.score < b.median, false) AS split_before
+       FROM sc s LEFT JOIN bd b USING (doc_id))"""
+
+
+def _sql_c7(keep: bool) -> str:
+    k = "true" if keep else "false"
+    return f"""WITH {_sql_pieces()}, {SQL_BOUNDS},
+m2 AS (SELECT *, coalesce(lead(split_before) OVER (PARTITION BY doc_id ORDER BY pos), false) AS split_after FROM mk),
+pl AS (SELECT doc_id, list({{'o': pos::BIGINT, 't': n_tokens, 's': split_after}} ORDER BY pos) AS ps FROM m2 GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(ps, lambda st, p:
+        CASE WHEN p.s AND st.c + p.t >= 100 AND st.c + p.t <= 512
+             THEN {{'out': list_append(st.out, list_append(st.cur, p.o)), 'cur': []::BIGINT[], 'c': 0}}
+             WHEN st.c + p.t > 512
+             THEN {{'out': CASE WHEN len(st.cur) > 0 AND (st.c >= 100 OR {k}) THEN list_append(st.out, st.cur) ELSE st.out END,
+                   'cur': [p.o], 'c': p.t}}
+             ELSE {{'out': st.out, 'cur': list_append(st.cur, p.o), 'c': st.c + p.t}} END,
+        {{'out': []::BIGINT[][], 'cur': []::BIGINT[], 'c': 0}}) AS st FROM pl),
+fin AS (SELECT doc_id, CASE WHEN len(st.cur) > 0 THEN list_append(st.out, st.cur) ELSE st.out END AS chunks FROM r)
+SELECT doc_id, unnest(range(len(chunks)))::INTEGER AS chunk_no, unnest(list_transform(chunks, lambda m: m[1])) AS first,
+       unnest(list_transform(chunks, lambda m: m[-1])) AS last, unnest(list_transform(chunks, lambda m: len(m)))::INTEGER AS n_pieces
+FROM fin"""
+
+
+def _sql_c() -> dict[str, str]:
+    return {
+        "c1_context_similarity": """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT a.label, a.vec_id, list_reduce(list(b.v), lambda p, q: list_transform(list_zip(p, q), lambda z: z[1] + z[2])) AS s
+      FROM e a JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM e) b ON b.label = a.label
+      JOIN (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM e) ar
+        ON ar.label = a.label AND ar.vec_id = a.vec_id AND b.r >= ar.r - 5 AND b.r < ar.r
+      GROUP BY a.label, a.vec_id)
+SELECT e.label, e.vec_id,
+  CASE WHEN x.s IS NULL THEN NULL ELSE
+  round(round(coalesce(list_dot_product(e.v, x.s) / nullif(sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(x.s, x.s)), 0), 0), 9), 6) END AS score
+FROM e LEFT JOIN x USING (label, vec_id)""",
+        "c1_piece_similarity": f"WITH {_sql_pieces()} SELECT doc_id, pos, round(score, 6) AS score FROM sc",
+        "c2_cumulative_tokens": f"""WITH {s_chunks_cte(PIECE)}
+SELECT doc_id, pos, ({s_ntok('text')} + 2)::INTEGER AS n_tokens,
+       sum(({s_ntok('text')} + 2)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
+FROM ch""",
+        "c3_score_bounds": f"""WITH {_sql_pieces()}, {SQL_BOUNDS}
+SELECT doc_id, round(median, 6) AS median, round(sd, 6) AS sd, round(greatest(0, median - sd), 6) AS low,
+       round(least(1, median + sd), 6) AS high FROM bd""",
+        "c6_split_points": f"WITH {_sql_pieces()}, {SQL_BOUNDS} SELECT doc_id, pos, split_before FROM mk",
+        "c4_segment_median": f"""WITH {_sql_pieces()}, {SQL_BOUNDS},
+sg AS (SELECT doc_id, sum(split_before::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g,
+       n_tokens FROM mk),
+sz AS (SELECT doc_id, g, sum(n_tokens) AS n FROM sg GROUP BY ALL),
+ls AS (SELECT doc_id, list_sort(list(n)) AS s FROM sz GROUP BY doc_id)
+SELECT doc_id, len(s)::INTEGER AS n_segments,
+  (CASE WHEN len(s) % 2 = 1 THEN s[len(s) // 2 + 1] ELSE (s[len(s) // 2] + s[len(s) // 2 + 1]) // 2 END)::BIGINT AS median_tokens
+FROM ls""",
+        "c7_assemble_keep": _sql_c7(True),
+        "c7_assemble_drop": _sql_c7(False),
+        "c9_sentence_strategy": f"""WITH {s_chunks_cte(CHUNK)}
+SELECT doc_id * 1048576 + pos AS chunk_id, source AS root_path, source || '/' || doc_id::VARCHAR || '.txt' AS file_path,
+       pos, text, 0::BIGINT AS add_time FROM ch""",
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
@@ -674,6 +817,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "x2_latest_status": q_x2_latest_status,
         "x5_status_view": q_x5_status_view,
         "x6_register": q_x6_register,
+        "c1_context_similarity": q_c1_context_similarity,
+        "c1_piece_similarity": q_c1_piece_similarity,
+        "c2_cumulative_tokens": q_c2_cumulative_tokens,
+        "c3_score_bounds": q_c3_score_bounds,
+        "c4_segment_median": q_c4_segment_median,
+        "c6_split_points": q_c6_split_points,
+        "c7_assemble_keep": q_c7_assemble_keep,
+        "c7_assemble_drop": q_c7_assemble_drop,
+        "c8_semantic_chunks": q_c8_semantic_chunks,
+        "c9_sentence_strategy": q_c9_sentence_strategy,
     }
 
 
@@ -707,6 +860,7 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "r4_context_prompt": _sql_prompts(MAX_D, False),
         "r5_no_context_prompt": _sql_prompts(0.2, True),
         **_sql_p_m_x(),
+        **_sql_c(),
     }
 
 

@@ -54,8 +54,10 @@ def _codes(flat_tokens: pa.Array, dim: int) -> np.ndarray:
     return ucodes[enc.indices.to_numpy(zero_copy_only=False)]
 
 
-def _dense_from_codes(values: np.ndarray, lengths: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scatter signed bucket codes of n rows into an (n, dim) unit-norm float32 matrix."""
+def _dense_from_codes(values: np.ndarray, lengths: np.ndarray, dim: int,
+                      normalize: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Scatter signed bucket codes of n rows into an (n, dim) float32 matrix
+    (unit norm unless ``normalize=False``, which keeps the signed counts)."""
     n = len(lengths)
     rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
     bucket = values >> 1
@@ -63,7 +65,8 @@ def _dense_from_codes(values: np.ndarray, lengths: np.ndarray, dim: int) -> tupl
     mat = np.bincount(rows * dim + bucket, weights=sign, minlength=n * dim).reshape(n, dim)
     norm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
     ok = norm > 0
-    mat[ok] /= norm[ok, None]
+    if normalize:
+        mat[ok] /= norm[ok, None]
     return mat.astype(np.float32), ok
 
 
@@ -87,12 +90,12 @@ def _scatter_udf(dim: int):
     return hashed_vectors
 
 
-def _scatter_nested_udf(dim: int):
+def _scatter_nested_udf(dim: int, normalize: bool = True):
     @F.arrow_udf("array<array<float>>")
     def hashed_vectors_nested(toks: pa.Array) -> pa.Array:
         outer_len = _lengths(toks)
         inner = toks.flatten()
-        mat, ok = _dense_from_codes(_codes(inner.flatten(), dim), _lengths(inner), dim)
+        mat, ok = _dense_from_codes(_codes(inner.flatten(), dim), _lengths(inner), dim, normalize)
         offsets = np.zeros(len(outer_len) + 1, dtype=np.int32)
         np.cumsum(outer_len, out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), _list_of_vectors(mat, ok), mask=toks.is_null())
@@ -114,6 +117,7 @@ class HashingEmbedder:
         self.dim = dim
         self._udf = _scatter_udf(dim)
         self._udf_nested = _scatter_nested_udf(dim)
+        self._udf_nested_raw = _scatter_nested_udf(dim, normalize=False)
 
     def embed(self, text) -> Column:
         """array<float> (unit norm, NULL when the text has no token)."""
@@ -123,6 +127,11 @@ class HashingEmbedder:
         """array<string> -> array<array<float>> (one vector per element)."""
         return self._udf_nested(F.transform(_c(texts), embed_tokens))
 
+    def embed_many_raw(self, texts) -> Column:
+        """Like :meth:`embed_many` but the signed counts, not normalised: the
+        vector of a concatenation is the sum of the parts' counts (linearity)."""
+        return self._udf_nested_raw(F.transform(_c(texts), embed_tokens))
+
 
 class ArrowEmbedder:
     """Pluggable model: ``fn(pa.StringArray) -> np.ndarray (n, dim)``.

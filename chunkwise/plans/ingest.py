@@ -46,9 +46,9 @@ def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embed
         chunks = explode_positions(with_token_chunks(base, "_t", "_chunks", size, overlap),
                                    ["_id", "root_path"], "_chunks", "pos", "text")
     elif strategy == "semantic":
-        from ..operators.semantic import SemanticOptions, semantic_chunks
+        from ..operators.semantic import SemanticOptions, with_semantic_chunks
         opts = semantic_options or SemanticOptions()
-        chunks = explode_positions(base.withColumn("_chunks", semantic_chunks(F.col("_t"), embedder, opts)),
+        chunks = explode_positions(with_semantic_chunks(base, "_t", "_chunks", embedder, opts),
                                    ["_id", "root_path"], "_chunks", "pos", "text")
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
