@@ -536,6 +536,19 @@ def q_c9_sentence_strategy(spark, sf):
     return c.select("chunk_id", "root_path", "file_path", "pos", "text", "add_time")
 
 
+def q_x1_stream_ingest(spark, sf):
+    """The documents file replayed as a file stream (availableNow) through
+    foreachBatch into a batch-partitioned chunk table; must equal the batch job."""
+    from chunkwise.streaming.ingest import stream_documents
+
+    chunks_path, status_path = scratch_path(spark, "x1-chunks"), scratch_path(spark, "x1-status")
+    q = stream_documents(spark, sf, chunks_path, status_path, glob="documents.parquet",
+                         trigger={"availableNow": True})
+    q.awaitTermination()
+    out = spark.read.parquet(chunks_path)
+    return out.select("chunk_id", "root_path", "file_path", "pos", "text", F.lit(0).cast("long").alias("add_time"))
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL
 
@@ -827,6 +840,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c7_assemble_drop": q_c7_assemble_drop,
         "c8_semantic_chunks": q_c8_semantic_chunks,
         "c9_sentence_strategy": q_c9_sentence_strategy,
+        "x1_stream_ingest": q_x1_stream_ingest,
     }
 
 
@@ -861,6 +875,7 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "r5_no_context_prompt": _sql_prompts(0.2, True),
         **_sql_p_m_x(),
         **_sql_c(),
+        "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
     }
 
 
