@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import chunkwise  # noqa: E402,F401
+from chunkwise.operators.answer import answer_questions  # noqa: E402
 from chunkwise.functions import text as TX  # noqa: E402
 from chunkwise.operators import split as SP  # noqa: E402
 from chunkwise.operators.embed import HashingEmbedder, first_vector  # noqa: E402
@@ -36,6 +37,13 @@ from chunkwise.streaming import status as ST  # noqa: E402
 from chunkwise.schemas import files_schema  # noqa: E402
 from chunkwise.session import scratch_path  # noqa: E402
 
+try:  # the stub generator below runs in Python workers, which need not import this file
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 SF_SMOKE = "/root/testdata/sf0.001"
 K = 5
 MAX_D = 0.6
@@ -549,6 +557,39 @@ def q_x1_stream_ingest(spark, sf):
     return out.select("chunk_id", "root_path", "file_path", "pos", "text", F.lit(0).cast("long").alias("add_time"))
 
 
+# ---------------------------------------------------------------------------
+# Answer routing with a stub generator (stands in for the user's model call)
+
+def stub_generator(system, prompt, url, token):
+    """Deterministic stand-in: fails when the prompt length is a multiple of 3."""
+    if len(prompt) % 3 == 0:
+        raise RuntimeError("stub generator failure")
+    return f"answer:{len(prompt)}:{'general' if system else 'context'}:{url[-2:]}"
+
+
+def _answer_questions_input(spark, sf):
+    """Benchmark questions; the toxic-labelled ids get an empty question (hint path)."""
+    b = _t(spark, sf, "benchmark")
+    tox = _t(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("_t"))
+    return (b.join(tox, "item_id", "left")
+            .select(F.col("item_id").alias("query_id"), F.when(F.col("_t"), F.lit("")).otherwise(F.col("text")).alias("text")))
+
+
+def _one_setting(spark, state):
+    return spark.createDataFrame([(1, "https://api.example.org/v1", "token1", state, NOW)],
+                                 "id long, url string, token string, state boolean, time long")
+
+
+def q_r6_answer_generator(spark, sf):
+    a = answer_questions(_answer_questions_input(spark, sf), _chunks(spark, sf), _one_setting(spark, True), stub_generator)
+    return a.select("query_id", "answer", "source", "n_hits", "generator_failed")
+
+
+def q_r7_answer_disabled(spark, sf):
+    a = answer_questions(_answer_questions_input(spark, sf), _chunks(spark, sf), _one_setting(spark, False), stub_generator)
+    return a.select("query_id", "answer", "source", "n_hits", "generator_failed")
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL
 
@@ -790,6 +831,40 @@ SELECT doc_id * 1048576 + pos AS chunk_id, source AS root_path, source || '/' ||
     }
 
 
+def _sql_answers(enabled: bool) -> str:
+    from chunkwise.operators.render import CONTEXT_PREAMBLE, EMPTY_QUERY_HINT, QUESTION_HEADING, REMOTE_PREAMBLE
+
+    def lit(x):
+        return "'" + x.replace("'", "''") + "'"
+    qsrc = """(SELECT b.item_id, CASE WHEN l.doc_id IS NOT NULL THEN '' ELSE b.text END AS text
+              FROM benchmark b LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = b.item_id)"""
+    gen = ("CASE WHEN length(a.user_prompt) % 3 = 0 THEN NULL ELSE 'answer:' || length(a.user_prompt)::VARCHAR || ':' "
+           "|| CASE WHEN a.system_prompt IS NULL THEN 'context' ELSE 'general' END || ':v1' END")
+    run = "a.has_vec" if enabled else "false"
+    return f"""WITH {s_chunks_cte(CHUNK)},{CHX_CTE},
+qs AS {qsrc},
+{s_embed_cte('chx', 'chunk_id', 'text', 'c')},
+{s_embed_cte('qs', 'item_id', 'text', 'q')},
+{s_hits_cte(K, MAX_D)},
+pf AS (SELECT query_id, file_path, min(rnk) AS best,
+       '### File: ' || file_path || chr(10) || chr(10) || string_agg('- ' || text || chr(10), '' ORDER BY rnk)
+       || chr(10) || '---' || chr(10) || chr(10) AS blk FROM hits GROUP BY query_id, file_path),
+md AS (SELECT query_id, string_agg(blk, '' ORDER BY best, file_path) AS markdown FROM pf GROUP BY ALL),
+cx AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rnk) AS context, count(*)::INTEGER AS n_hits FROM hits GROUP BY ALL),
+a AS (SELECT q.item_id AS query_id, q.item_id IN (SELECT id FROM qn) AS has_vec, coalesce(c.n_hits, 0)::INTEGER AS n_hits,
+        coalesce(m.markdown, '') AS markdown,
+        CASE WHEN coalesce(c.n_hits, 0) > 0 THEN NULL ELSE {lit(REMOTE_PREAMBLE)} END AS system_prompt,
+        CASE WHEN coalesce(c.n_hits, 0) > 0 THEN {lit(CONTEXT_PREAMBLE)} || c.context || {lit(QUESTION_HEADING)} || q.text
+             ELSE q.text END AS user_prompt
+      FROM qs q LEFT JOIN cx c ON c.query_id = q.item_id LEFT JOIN md m ON m.query_id = q.item_id),
+g AS (SELECT a.*, CASE WHEN {run} THEN {gen} END AS gen FROM a a)
+SELECT query_id,
+  CASE WHEN NOT has_vec THEN {lit(EMPTY_QUERY_HINT)} WHEN {run.replace('a.', '')} AND gen IS NOT NULL THEN gen ELSE markdown END AS answer,
+  CASE WHEN NOT has_vec THEN 'hint' WHEN {run.replace('a.', '')} AND gen IS NOT NULL THEN 'generator' ELSE 'markdown' END AS source,
+  n_hits, ({run.replace('a.', '')} AND gen IS NULL) AS generator_failed
+FROM g"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
@@ -841,6 +916,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c8_semantic_chunks": q_c8_semantic_chunks,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
+        "r6_answer_generator": q_r6_answer_generator,
+        "r7_answer_disabled": q_r7_answer_disabled,
     }
 
 
@@ -876,6 +953,8 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         **_sql_p_m_x(),
         **_sql_c(),
         "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
+        "r6_answer_generator": _sql_answers(True),
+        "r7_answer_disabled": _sql_answers(False),
     }
 
 

@@ -1,13 +1,14 @@
 """Answer assembly from hits (R3 Markdown, R4/R5 prompts).
 
-Hits are small (queries x k rows); grouping them is cheap.  Files inside one
-answer are ordered by their best rank, then path (the reference used hash-map
-order); texts inside a file by rank.
+Hits are small (queries x k rows): one aggregation per query gathers them
+into a rank-sorted array and every rendering is an expression over it.
+Files inside one answer are ordered by their best hit (the reference used
+hash-map order); texts inside a file by rank.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -61,36 +62,58 @@ QUESTION_HEADING = "\n\n### 用户查询\n\n"
 # ---------------------------------------------------------------------------
 
 
+def hit_items(hits: DataFrame, query_id: str = "query_id", file_col: str = "file_path",
+              text_col: str = "text", rank_col: str = "rank") -> DataFrame:
+    """One row per query with hits: ``n_hits`` and ``items`` = array of
+    struct(r, f, t) sorted by rank.  Hits are at most k per query, so this one
+    aggregation feeds every rendering below."""
+    return hits.groupBy(query_id).agg(
+        F.count(F.lit(1)).cast("int").alias("n_hits"),
+        F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(file_col).alias("f"),
+                                             F.col(text_col).alias("t")))).alias("items"))
+
+
+def markdown_of(items) -> Column:
+    """R3 for a rank-sorted item array: one block per file, files in order of
+    their best hit, texts of a file in rank order."""
+    it = F.col(items) if isinstance(items, str) else items
+    files = F.array_distinct(F.transform(it, lambda x: x["f"]))
+
+    def block(f):
+        texts = F.transform(F.filter(it, lambda x: x["f"] == f),
+                            lambda x: F.concat(F.lit(MD_ITEM_PREFIX), x["t"], F.lit(MD_ITEM_SUFFIX)))
+        return F.concat(F.lit(MD_FILE_HEADER), f, F.lit(MD_AFTER_HEADER), F.array_join(texts, ""),
+                        F.lit(MD_FILE_FOOTER))
+
+    return F.coalesce(F.array_join(F.transform(files, block), ""), F.lit(""))
+
+
+def context_of(items) -> Column:
+    """Hit texts joined by newline in rank order."""
+    it = F.col(items) if isinstance(items, str) else items
+    return F.array_join(F.transform(it, lambda x: x["t"]), "\n")
+
+
 def markdown(hits: DataFrame, query_id: str = "query_id", file_col: str = "file_path",
              text_col: str = "text", rank_col: str = "rank") -> DataFrame:
     """One row per query that has hits: ``query_id``, ``n_hits``, ``markdown``."""
-    per_file = hits.groupBy(query_id, file_col).agg(
-        F.min(rank_col).alias("_best"),
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"), F.col(text_col).alias("t")))).alias("_items"))
-    block = F.concat(
-        F.lit(MD_FILE_HEADER), F.col(file_col), F.lit(MD_AFTER_HEADER),
-        F.array_join(F.transform("_items", lambda x: F.concat(F.lit(MD_ITEM_PREFIX), x["t"], F.lit(MD_ITEM_SUFFIX))), ""),
-        F.lit(MD_FILE_FOOTER))
-    per_file = per_file.select(query_id, "_n", F.struct(F.col("_best").alias("b"), F.col(file_col).alias("f"),
-                                                        block.alias("md")).alias("_blk"))
-    return per_file.groupBy(query_id).agg(
-        F.sum("_n").cast("int").alias("n_hits"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("_blk")), lambda x: x["md"]), "").alias("markdown"))
-
-
-def context_text(hits: DataFrame, query_id: str = "query_id", text_col: str = "text",
-                 rank_col: str = "rank") -> DataFrame:
-    """Hit texts of each query joined by newline, in rank order."""
-    return hits.groupBy(query_id).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank_col).alias("r"),
-                                                                      F.col(text_col).alias("t")))),
-                                 lambda x: x["t"]), "\n").alias("context"),
-        F.count(F.lit(1)).cast("int").alias("n_hits"))
+    h = hit_items(hits, query_id, file_col, text_col, rank_col)
+    return h.select(query_id, "n_hits", markdown_of("items").alias("markdown"))
+
+
+def prompt_columns(question, context, n_hits, include_question: bool = True) -> tuple[Column, Column]:
+    """R4 + R5 as columns: (system_prompt, user_prompt)."""
+    with_ctx = F.concat(F.lit(CONTEXT_PREAMBLE), context)
+    if include_question:
+        with_ctx = F.concat(with_ctx, F.lit(QUESTION_HEADING), question)
+    has = F.coalesce(n_hits, F.lit(0)) > 0
+    return (F.when(has, F.lit(None).cast("string")).otherwise(F.lit(REMOTE_PREAMBLE)),
+            F.when(has, with_ctx).otherwise(question))
 
 
 def prompts(queries: DataFrame, hits: DataFrame, query_id: str = "query_id", question_col: str = "text",
-            include_question: bool = True, text_col: str = "text", rank_col: str = "rank") -> DataFrame:
+            include_question: bool = True, text_col: str = "text", rank_col: str = "rank",
+            file_col: str = "file_path") -> DataFrame:
     """R4 + R5: one row per query: ``system_prompt``, ``user_prompt``, ``n_hits``.
 
     With hits: no system prompt, user prompt = preamble + hit texts (+ the
@@ -98,15 +121,8 @@ def prompts(queries: DataFrame, hits: DataFrame, query_id: str = "query_id", que
     reference).  Without hits: system prompt = general preamble, user prompt =
     the question.
     """
-    ctx = context_text(hits, query_id, text_col, rank_col)
-    q = queries.select(query_id, F.col(question_col).alias("_question"))
-    j = q.join(ctx, query_id, "left")
-    with_ctx = F.concat(F.lit(CONTEXT_PREAMBLE), F.col("context"))
-    if include_question:
-        with_ctx = F.concat(with_ctx, F.lit(QUESTION_HEADING), F.col("_question"))
-    has = F.coalesce(F.col("n_hits"), F.lit(0)) > 0
-    return j.select(
-        query_id,
-        F.when(has, F.lit(None).cast("string")).otherwise(F.lit(REMOTE_PREAMBLE)).alias("system_prompt"),
-        F.when(has, with_ctx).otherwise(F.col("_question")).alias("user_prompt"),
-        F.coalesce(F.col("n_hits"), F.lit(0)).cast("int").alias("n_hits"))
+    h = hit_items(hits, query_id, file_col, text_col, rank_col)
+    j = queries.select(query_id, F.col(question_col).alias("_question")).join(h, query_id, "left")
+    sys_p, user_p = prompt_columns(F.col("_question"), context_of("items"), F.col("n_hits"), include_question)
+    return j.select(query_id, sys_p.alias("system_prompt"), user_p.alias("user_prompt"),
+                    F.coalesce(F.col("n_hits"), F.lit(0)).cast("int").alias("n_hits"))
