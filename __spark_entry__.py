@@ -534,6 +534,12 @@ def q_c7_assemble_drop(spark, sf):
     return SE.assemble_at(_marked(spark, sf), "doc_id", "pos", "n_tokens", o=SE.SemanticOptions(short_buffer="drop"))
 
 
+def q_c5_threshold(spark, sf):
+    sc = _piece_scores(spark, sf)
+    t = SE.thresholds(sc, "doc_id", "pos", "n_tokens")
+    return t.select("doc_id", F.round("threshold", 9).alias("threshold"), "rounds")
+
+
 def q_c8_semantic_chunks(spark, sf):
     c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic")
     return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
@@ -865,6 +871,57 @@ SELECT query_id,
 FROM g"""
 
 
+def _sql_bisect() -> str:
+    """CTE ``th(doc_id, n, thr, rounds)``: C3 bounds and the C5 bisection per document
+    (one batch), over ``sc`` from :func:`_sql_pieces`."""
+    mt = ("list_transform([list_sort(list_transform(range(1, len(list_concat([0], list_filter(range(1, n), lambda j: S[j] < thr), [n]))), "
+          "lambda k: C[list_concat([0], list_filter(range(1, n), lambda j: S[j] < thr), [n])[k + 1] + 1] "
+          "- C[list_concat([0], list_filter(range(1, n), lambda j: S[j] < thr), [n])[k] + 1]))], "
+          "lambda ss: CASE WHEN len(ss) % 2 = 1 THEN ss[len(ss) // 2 + 1] ELSE (ss[len(ss) // 2] + ss[len(ss) // 2 + 1]) // 2 END)[1]")
+    step = (f"CASE WHEN st.done OR st.lo > st.hi THEN st ELSE list_transform([round((st.lo + st.hi) / 2, 9)], lambda thr: "
+            f"list_transform([{mt}], lambda mt: "
+            f"CASE WHEN mt >= 90 AND mt <= 522 THEN {{'lo': st.lo, 'hi': st.hi, 'thr': thr, 'done': true, 'r': st.r + 1}} "
+            f"WHEN mt < 100 THEN {{'lo': st.lo, 'hi': thr - 0.01, 'thr': thr, 'done': false, 'r': st.r + 1}} "
+            f"ELSE {{'lo': thr + 0.01, 'hi': st.hi, 'thr': thr, 'done': false, 'r': st.r + 1}} END)[1])[1] END")
+    return f"""dl AS (SELECT doc_id, count(*)::INTEGER AS n,
+         list(score ORDER BY pos) FILTER (WHERE pos > 0) AS S,
+         list(n_tokens::BIGINT ORDER BY pos) AS T,
+         round(median(score), 9) AS med,
+         CASE WHEN count(score) > 1 THEN round(stddev_samp(score), 9) ELSE 0 END AS sd
+       FROM sc GROUP BY doc_id),
+dc AS (SELECT *, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(T[1:k]), 0)) AS C FROM dl),
+th AS (SELECT doc_id, n,
+         CASE WHEN n > 1 THEN list_reduce(range(0, 40), lambda st, i: {step},
+              {{'lo': greatest(0, med - sd), 'hi': least(1, med + sd), 'thr': 0.0::DOUBLE, 'done': false, 'r': 0}})
+         END AS bs
+       FROM dc)"""
+
+
+def _sql_semantic() -> str:
+    return f"""WITH {_sql_pieces()}, {_sql_bisect()},
+mk AS (SELECT s.doc_id, s.pos, s.n_tokens, p.text,
+         CASE WHEN t.n > 64 THEN error('more than one batch: carry-over is stated in the tests, not in SQL') ELSE
+         coalesce(s.pos > 0 AND s.score < t.bs.thr, false) END AS split_before
+       FROM sc s JOIN th t USING (doc_id) JOIN pp p USING (doc_id, pos)),
+m2 AS (SELECT *, coalesce(lead(split_before) OVER (PARTITION BY doc_id ORDER BY pos), false) AS split_after FROM mk),
+pl AS (SELECT doc_id, list({{'o': pos::BIGINT, 't': n_tokens, 's': split_after}} ORDER BY pos) AS ps,
+              list(text ORDER BY pos) AS ptexts FROM m2 GROUP BY doc_id),
+r AS (SELECT doc_id, ptexts, list_reduce(ps, lambda st, pc:
+        CASE WHEN pc.s AND st.c + pc.t >= 100 AND st.c + pc.t <= 512
+             THEN {{'out': list_append(st.out, list_append(st.cur, pc.o)), 'cur': []::BIGINT[], 'c': 0}}
+             WHEN st.c + pc.t > 512
+             THEN {{'out': CASE WHEN len(st.cur) > 0 THEN list_append(st.out, st.cur) ELSE st.out END,
+                   'cur': [pc.o], 'c': pc.t}}
+             ELSE {{'out': st.out, 'cur': list_append(st.cur, pc.o), 'c': st.c + pc.t}} END,
+        {{'out': []::BIGINT[][], 'cur': []::BIGINT[], 'c': 0}}) AS st FROM pl),
+fin AS (SELECT doc_id, list_transform(CASE WHEN len(st.cur) > 0 THEN list_append(st.out, st.cur) ELSE st.out END,
+          lambda m: array_to_string(list_transform(m, lambda q: ptexts[q + 1]), chr(10))) AS chunks FROM r),
+x AS (SELECT doc_id, unnest(range(len(chunks)))::INTEGER AS pos, unnest(chunks) AS text FROM fin)
+SELECT x.doc_id * 1048576 + x.pos AS chunk_id, d.source || '/' || x.doc_id::VARCHAR || '.txt' AS file_path, x.pos, x.text,
+       ({s_ntok('x.text')} + 2)::INTEGER AS n_tokens
+FROM x JOIN documents d USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
@@ -913,6 +970,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c6_split_points": q_c6_split_points,
         "c7_assemble_keep": q_c7_assemble_keep,
         "c7_assemble_drop": q_c7_assemble_drop,
+        "c5_threshold": q_c5_threshold,
         "c8_semantic_chunks": q_c8_semantic_chunks,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
@@ -953,6 +1011,10 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         **_sql_p_m_x(),
         **_sql_c(),
         "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
+        "c5_threshold": f"""WITH {_sql_pieces()}, {_sql_bisect()}
+SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,
+       CASE WHEN n > 1 THEN bs.r ELSE 0 END::INTEGER AS rounds FROM th""",
+        "c8_semantic_chunks": _sql_semantic(),
         "r6_answer_generator": _sql_answers(True),
         "r7_answer_disabled": _sql_answers(False),
     }

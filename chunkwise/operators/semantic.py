@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from ..functions.text import SPECIAL_TOKENS, TOKEN_PATTERN
 
 
-# Scores are compared at this many decimals so that every implementation
-# (NumPy helper, window operator, SQL) splits at the same places.
+# Scores, their median/sd and the bisection midpoints live on this decimal
+# grid, so every implementation (NumPy helper, window operator, SQL) splits at
+# the same places whatever its summation order.
 SCORE_DECIMALS = 9
 
 
@@ -92,13 +93,13 @@ def optimal_threshold(token_counts: np.ndarray, scores: np.ndarray, o: SemanticO
     cum = np.concatenate([[0], np.cumsum(token_counts)])
     if len(scores) == 0:
         return 0.0, 0
-    med = float(np.median(scores))
-    sd = float(np.std(scores, ddof=1)) if len(scores) > 1 else 0.0
+    med = float(np.round(np.median(scores), SCORE_DECIMALS))
+    sd = float(np.round(np.std(scores, ddof=1), SCORE_DECIMALS)) if len(scores) > 1 else 0.0
     low, high = max(0.0, med - sd), min(1.0, med + sd)
     thr, rounds = 0.0, 0
     while low <= high:
         rounds += 1
-        thr = (low + high) / 2.0
+        thr = float(np.round((low + high) / 2.0, SCORE_DECIMALS))
         idx = split_indices(scores, thr)
         bounds = np.concatenate([[0], idx, [len(token_counts)]])
         seg = cum[bounds[1:]] - cum[bounds[:-1]]
@@ -321,6 +322,31 @@ def segment_token_median(marked: DataFrame, group: str, order: str, tokens: str,
     return g.select(group, n.cast("int").alias("n_segments"), med.cast("long").alias("median_tokens"))
 
 
+def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: str = "score",
+               o: SemanticOptions | None = None) -> DataFrame:
+    """C5 per group: the bisection threshold and its round count, from the
+    group's ordered scores and token counts (one batch).  The group's small
+    arrays are gathered once; the bisection is the NumPy statement."""
+    o = o or SemanticOptions()
+    g = scored.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"), F.col(score).cast("double").alias("s")))).alias("_p"))
+
+    @F.arrow_udf("struct<threshold:double,rounds:int>")
+    def bisect(items: pa.Array) -> pa.Array:
+        thr, rnd = [], []
+        for row in items.to_pylist():
+            tc = np.array([x["t"] for x in row], dtype=np.int64)
+            sc = np.array([x["s"] for x in row[1:]], dtype=np.float64)
+            t, r = optimal_threshold(tc, sc, o)
+            thr.append(t)
+            rnd.append(r)
+        return pa.StructArray.from_arrays([pa.array(thr, pa.float64()), pa.array(rnd, pa.int32())],
+                                          names=["threshold", "rounds"])
+
+    b = g.select(group, bisect(F.col("_p")).alias("_b"))
+    return b.select(group, F.col("_b.threshold").alias("threshold"), F.col("_b.rounds").alias("rounds"))
+
+
 def assemble_at(marked: DataFrame, group: str, order: str, tokens: str, split_col: str = "split_before",
                 o: SemanticOptions | None = None) -> DataFrame:
     """C7 over rows with given boundaries: one row per chunk (``group``,
