@@ -489,18 +489,25 @@ def _pieces(spark, sf):
     return p.withColumn("embedding", HashingEmbedder().embed("text"))
 
 
+# Statistics are taken per (document, batch of 64 pieces), as in the reference;
+# driver documents have at most 64 pieces, so the SQL states them per document.
+DOC_BATCH = ["doc_id", "batch"]
+
+
 def _piece_scores(spark, sf):
-    return SE.context_similarity(_pieces(spark, sf), "doc_id", "pos", "embedding").drop("embedding", "text")
+    p = SE.with_batches(_pieces(spark, sf), "doc_id", "pos")
+    return SE.context_similarity(p, DOC_BATCH, "pos", "embedding").drop("embedding", "text")
 
 
 def _marked(spark, sf):
     sc = _piece_scores(spark, sf)
-    b = SE.score_bounds(sc, "doc_id").select("doc_id", "median")
-    return SE.split_points(sc.join(b, "doc_id", "left"), F.col("median"))
+    b = SE.score_bounds(sc, DOC_BATCH).select(*DOC_BATCH, "median")
+    return SE.split_points(sc.join(b, DOC_BATCH, "left"), F.col("median"))
 
 
 def q_c1_context_similarity(spark, sf):
-    s = SE.context_similarity(_emb(spark, sf), "label", "vec_id", "embedding")
+    e = SE.with_batches(_emb(spark, sf), "label", "vec_id")
+    s = SE.context_similarity(e, ["label", "batch"], "vec_id", "embedding")
     return s.select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -514,7 +521,7 @@ def q_c2_cumulative_tokens(spark, sf):
 
 
 def q_c3_score_bounds(spark, sf):
-    b = SE.score_bounds(_piece_scores(spark, sf), "doc_id")
+    b = SE.score_bounds(_piece_scores(spark, sf), DOC_BATCH)
     return b.select("doc_id", *[F.round(c, 6).alias(c) for c in ("median", "sd", "low", "high")])
 
 
@@ -523,20 +530,22 @@ def q_c6_split_points(spark, sf):
 
 
 def q_c4_segment_median(spark, sf):
-    return SE.segment_token_median(_marked(spark, sf), "doc_id", "pos", "n_tokens")
+    return SE.segment_token_median(_marked(spark, sf), DOC_BATCH, "pos", "n_tokens").drop("batch")
 
 
 def q_c7_assemble_keep(spark, sf):
-    return SE.assemble_at(_marked(spark, sf), "doc_id", "pos", "n_tokens", o=SE.SemanticOptions(short_buffer="keep"))
+    return SE.assemble_at(_marked(spark, sf), DOC_BATCH, "pos", "n_tokens",
+                          o=SE.SemanticOptions(short_buffer="keep")).drop("batch")
 
 
 def q_c7_assemble_drop(spark, sf):
-    return SE.assemble_at(_marked(spark, sf), "doc_id", "pos", "n_tokens", o=SE.SemanticOptions(short_buffer="drop"))
+    return SE.assemble_at(_marked(spark, sf), DOC_BATCH, "pos", "n_tokens",
+                          o=SE.SemanticOptions(short_buffer="drop")).drop("batch")
 
 
 def q_c5_threshold(spark, sf):
     sc = _piece_scores(spark, sf)
-    t = SE.thresholds(sc, "doc_id", "pos", "n_tokens")
+    t = SE.thresholds(sc, DOC_BATCH, "pos", "n_tokens")
     return t.select("doc_id", F.round("threshold", 9).alias("threshold"), "rounds")
 
 
@@ -807,6 +816,7 @@ x AS (SELECT a.label, a.vec_id, list_reduce(list(b.v), lambda p, q: list_transfo
       FROM e a JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM e) b ON b.label = a.label
       JOIN (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM e) ar
         ON ar.label = a.label AND ar.vec_id = a.vec_id AND b.r >= ar.r - 5 AND b.r < ar.r
+        AND (b.r - 1) // 64 = (ar.r - 1) // 64
       GROUP BY a.label, a.vec_id)
 SELECT e.label, e.vec_id,
   CASE WHEN x.s IS NULL THEN NULL ELSE

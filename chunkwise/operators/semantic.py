@@ -262,6 +262,21 @@ def with_semantic_chunks(df: DataFrame, text_col: str, out_col: str, embedder, o
 
 # ---------------------------------------------------------------------------
 # Row-form operators (one row per piece)
+#
+# ``group`` is a column name or a list of names.  The reference takes its
+# statistics per batch of ``batch_size`` pieces; :func:`with_batches` adds that
+# batch number so that (document, batch) groups hold at most ``batch_size``
+# rows — every gathered group below is bounded by it.
+
+def _keys(group) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def with_batches(df: DataFrame, group, order: str, batch_size: int = 64, out: str = "batch") -> DataFrame:
+    """Batch number of each row inside its group (0-based position div batch_size).
+    The row_number window streams over each group's sorted rows."""
+    w = Window.partitionBy(*_keys(group)).orderBy(order)
+    return df.withColumn(out, ((F.row_number().over(w) - 1) / batch_size).cast("int"))
 
 def context_similarity(df: DataFrame, group: str, order: str, vec: str, window: int = 5,
                        out: str = "score") -> DataFrame:
@@ -269,7 +284,7 @@ def context_similarity(df: DataFrame, group: str, order: str, vec: str, window:
     preceding vectors of its group (NULL on the first row).  The window frame
     holds at most ``window`` vectors per row; rows are sorted per group.  The
     cosine is scale-free, so the sum of the window stands in for its mean."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(-window, -1)
+    w = Window.partitionBy(*_keys(group)).orderBy(order).rowsBetween(-window, -1)
     ctx = F.collect_list(F.col(vec)).over(w)
     x = df.withColumn("_ctx", ctx)
     dim_sum = F.transform(F.col(vec), lambda _, i: F.aggregate(F.col("_ctx"), F.lit(0.0).cast("double"),
@@ -286,17 +301,17 @@ def context_similarity(df: DataFrame, group: str, order: str, vec: str, window:
 
 def cumulative_tokens(df: DataFrame, group: str, order: str, tokens: str, out: str = "cum_tokens") -> DataFrame:
     """Running token sum per group (including the current row)."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*_keys(group)).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(out, F.sum(tokens).over(w))
 
 
 def score_bounds(scores: DataFrame, group: str, score: str = "score") -> DataFrame:
     """Per group median, sample sd (0 for one score) and the search bounds."""
-    g = scores.where(F.col(score).isNotNull()).groupBy(group).agg(
+    g = scores.where(F.col(score).isNotNull()).groupBy(*_keys(group)).agg(
         F.median(score).alias("median"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("sd"),
         F.count(score).alias("n_scores"))
     g = g.withColumn("sd", F.when(F.col("n_scores") > 1, F.col("sd")).otherwise(F.lit(0.0)))
-    return g.select(group, "median", "sd", F.greatest(F.lit(0.0), F.col("median") - F.col("sd")).alias("low"),
+    return g.select(*_keys(group), "median", "sd", F.greatest(F.lit(0.0), F.col("median") - F.col("sd")).alias("low"),
                     F.least(F.lit(1.0), F.col("median") + F.col("sd")).alias("high"))
 
 
@@ -311,15 +326,16 @@ def segment_token_median(marked: DataFrame, group: str, order: str, tokens: str,
                          split_col: str = "split_before") -> DataFrame:
     """C4: token totals of the segments between boundaries, then their median
     (integer division of the middle pair for an even count)."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = _keys(group)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seg = marked.withColumn("_seg", F.sum(F.col(split_col).cast("int")).over(w))
-    sizes = seg.groupBy(group, "_seg").agg(F.sum(tokens).alias("_n"))
-    g = sizes.groupBy(group).agg(F.array_sort(F.collect_list("_n")).alias("_s"))
+    sizes = seg.groupBy(*keys, "_seg").agg(F.sum(tokens).alias("_n"))
+    g = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list("_n")).alias("_s"))
     n = F.size("_s")
     mid = F.get(F.col("_s"), F.floor(n / 2).cast("int"))
     lo = F.get(F.col("_s"), (F.floor(n / 2) - 1).cast("int"))
     med = F.when(n % 2 == 1, mid).otherwise(F.floor((lo + mid) / 2))
-    return g.select(group, n.cast("int").alias("n_segments"), med.cast("long").alias("median_tokens"))
+    return g.select(*keys, n.cast("int").alias("n_segments"), med.cast("long").alias("median_tokens"))
 
 
 def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: str = "score",
@@ -328,7 +344,8 @@ def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: st
     group's ordered scores and token counts (one batch).  The group's small
     arrays are gathered once; the bisection is the NumPy statement."""
     o = o or SemanticOptions()
-    g = scored.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
+    keys = _keys(group)
+    g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"), F.col(score).cast("double").alias("s")))).alias("_p"))
 
     @F.arrow_udf("struct<threshold:double,rounds:int>")
@@ -343,8 +360,8 @@ def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: st
         return pa.StructArray.from_arrays([pa.array(thr, pa.float64()), pa.array(rnd, pa.int32())],
                                           names=["threshold", "rounds"])
 
-    b = g.select(group, bisect(F.col("_p")).alias("_b"))
-    return b.select(group, F.col("_b.threshold").alias("threshold"), F.col("_b.rounds").alias("rounds"))
+    b = g.select(*keys, bisect(F.col("_p")).alias("_b"))
+    return b.select(*keys, F.col("_b.threshold").alias("threshold"), F.col("_b.rounds").alias("rounds"))
 
 
 def assemble_at(marked: DataFrame, group: str, order: str, tokens: str, split_col: str = "split_before",
@@ -352,9 +369,10 @@ def assemble_at(marked: DataFrame, group: str, order: str, tokens: str, split_co
     """C7 over rows with given boundaries: one row per chunk (``group``,
     ``chunk_no``, ``first``, ``last`` order values), by a fold per group."""
     o = o or SemanticOptions()
-    w = Window.partitionBy(group).orderBy(order)
+    keys = _keys(group)
+    w = Window.partitionBy(*keys).orderBy(order)
     x = marked.withColumn("_split_after", F.coalesce(F.lead(split_col).over(w), F.lit(False)))
-    g = x.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(
+    g = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col(tokens).cast("int").alias("t"), F.col("_split_after").alias("s")))).alias("_p"))
     zero = F.struct(F.array().cast("array<array<long>>").alias("out"), F.array().cast("array<long>").alias("cur"),
                     F.lit(0).alias("c"))
@@ -376,8 +394,8 @@ def assemble_at(marked: DataFrame, group: str, order: str, tokens: str, split_co
     def finish(st):
         return F.when(F.size(st["cur"]) > 0, F.concat(st["out"], F.array(st["cur"]))).otherwise(st["out"])
 
-    chunks = g.select(group, F.aggregate("_p", zero, step, finish).alias("_chunks"))
-    e = chunks.select(group, F.posexplode_outer("_chunks").alias("chunk_no", "_m")).where(F.col("_m").isNotNull())
-    return e.select(group, F.col("chunk_no").cast("int").alias("chunk_no"),
+    chunks = g.select(*keys, F.aggregate("_p", zero, step, finish).alias("_chunks"))
+    e = chunks.select(*keys, F.posexplode_outer("_chunks").alias("chunk_no", "_m")).where(F.col("_m").isNotNull())
+    return e.select(*keys, F.col("chunk_no").cast("int").alias("chunk_no"),
                     F.element_at("_m", 1).alias("first"), F.element_at("_m", -1).alias("last"),
                     F.size("_m").cast("int").alias("n_pieces"))

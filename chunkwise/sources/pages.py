@@ -42,13 +42,54 @@ def contiguous_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part
 
 def reassemble_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part_no", body_col: str = "body",
                      first: int = 1) -> DataFrame:
-    """The contiguous prefix of each id's parts joined in order, its size and md5."""
-    kept = contiguous_parts(parts, id_col, part_col, first)
-    g = kept.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(part_col).alias("p"), F.col(body_col).alias("b")))).alias("_ps"))
-    whole = F.array_join(F.transform("_ps", lambda x: x["b"]), "")
-    return g.select(id_col, F.size("_ps").cast("int").alias("n_parts"), F.md5(whole).alias("md5"),
-                    F.length(whole).cast("long").alias("n_chars"))
+    """Per id, the number of contiguous parts, the md5 of their
+    concatenation and its length in characters.
+
+    MD5 is sequential, so the parts of one id are hashed as a stream: rows are
+    hash-partitioned by id and sorted within the partition, then one pass keeps
+    a running digest per id.  Nothing is concatenated or collected, so an id
+    holding a large share of all parts costs one sorted (spillable) run, not
+    memory.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    kept = contiguous_parts(parts, id_col, part_col, first).select(id_col, part_col, body_col)
+    ordered = kept.repartition(id_col).sortWithinPartitions(id_col, part_col)
+    id_type = kept.schema[id_col].dataType
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_parts", T.IntegerType()),
+                               T.StructField("md5", T.StringType()), T.StructField("n_chars", T.LongType())])
+    arrow_id = to_arrow_type(id_type)
+
+    def digest(batches):
+        cur, h, n, chars = None, None, 0, 0
+        ids, counts, sums, lens = [], [], [], []
+        for b in batches:
+            for i, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if i != cur:
+                    if cur is not None:
+                        ids.append(cur), counts.append(n), sums.append(h.hexdigest()), lens.append(chars)
+                    cur, h, n, chars = i, hashlib.md5(), 0, 0
+                body = body or ""
+                h.update(body.encode("utf-8"))
+                n += 1
+                chars += len(body)
+            if len(ids) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(counts, pa.int32()),
+                                                  pa.array(sums, pa.string()), pa.array(lens, pa.int64())],
+                                                 names=[id_col, "n_parts", "md5", "n_chars"])
+                ids, counts, sums, lens = [], [], [], []
+        if cur is not None:
+            ids.append(cur), counts.append(n), sums.append(h.hexdigest()), lens.append(chars)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(counts, pa.int32()),
+                                              pa.array(sums, pa.string()), pa.array(lens, pa.int64())],
+                                             names=[id_col, "n_parts", "md5", "n_chars"])
+
+    return ordered.mapInArrow(digest, out_schema)
 
 
 def check_digests(content: DataFrame, expected: DataFrame, id_col: str = "id", content_col: str = "content",
