@@ -139,15 +139,13 @@ def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, di
     if n is not None:
         blocks = [qv]
     else:
-        # more queries than one broadcast may hold: blocks of bounded size
+        # more queries than one broadcast may hold: blocks of proven bounded size
         from ..session import cut_lineage
         total = qv.count()
-        nb = -(-total // max_rows) * 2  # hash blocks, headroom for imbalance
-        tagged = cut_lineage(qv.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(nb))))
-        blocks = [tagged.where(F.col("_qb") == b).drop("_qb") for b in range(nb)]
+        blocks = _query_blocks(cut_lineage(qv), total, max_rows, salt=0)
     parts = []
     for block in blocks:
-        rows = block.collect()  # bounded by max_rows x dim (checked above)
+        rows = block.collect()  # at most max_rows rows (checked)
         if not rows:
             continue
         qids = [r["_qid"] for r in rows]
@@ -171,6 +169,21 @@ def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, di
     return _rank_global(cands, k, corpus_id)
 
 
+def _query_blocks(qv: DataFrame, total: int, max_rows: int, salt: int) -> list[DataFrame]:
+    """Hash-split queries into blocks of at most ``max_rows`` rows; a block that
+    still exceeds the bound is split again with another salt."""
+    nb = max(2, -(-total // max_rows) * 2)  # headroom for hash imbalance
+    tagged = qv.withColumn("_qb", F.pmod(F.xxhash64(F.col("_qid"), F.lit(salt)), F.lit(nb)))
+    out = []
+    for b in range(nb):
+        block = tagged.where(F.col("_qb") == b).drop("_qb")
+        if bounded_rows(block, max_rows) is None:
+            out.extend(_query_blocks(block, block.count(), max_rows, salt + 1))
+        else:
+            out.append(block)
+    return out
+
+
 def _select_topk(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best (distance, id) per query value in q."""
     order = np.lexsort((ids, d, q))
