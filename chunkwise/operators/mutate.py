@@ -76,7 +76,11 @@ def update_where(df: DataFrame, updates: DataFrame, on, assignments: dict[str, C
 def upsert(df: DataFrame, changes: DataFrame, on, order_by: str | None = None,
            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """M5: whole-row upsert — rows of ``changes`` replace rows with the same key,
-    keys absent from ``df`` are inserted (anti join + union; latest change wins)."""
+    keys absent from ``df`` are inserted (anti join + union; latest change wins).
+
+    ``changes`` is read twice (key side and union side); persist it first
+    when it is expensive to compute (e.g. freshly chunked and embedded rows).
+    """
     k = _keys(on)
     c = latest_per_key(changes, k, order_by).select(*df.columns)
     kept = df.join(_maybe_broadcast(c.select(*k), max_broadcast_rows), k, "left_anti")
