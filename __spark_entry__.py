@@ -932,7 +932,20 @@ SELECT x.doc_id * 1048576 + x.pos AS chunk_id, d.source || '/' || x.doc_id::VARC
 FROM x JOIN documents d USING (doc_id)"""
 
 
+def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps are compared in UTC on both sides."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        _prep(spark)
+        return fn(spark, sf)
+    run.__name__ = fn.__name__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _utc(v) for k, v in _queries().items()}
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
         "t2_fold_newlines": q_t2_fold_newlines,

@@ -136,6 +136,9 @@ class HashingEmbedder:
 class ArrowEmbedder:
     """Pluggable model: ``fn(pa.StringArray) -> np.ndarray (n, dim)``.
 
+    ``fn`` is called on at most ``batch_size`` texts at a time (32 for chunk
+    texts, 16 for the chunker's pieces, the reference's sizes).
+
     ``fn`` runs once per Arrow batch inside the Python worker; load the model
     lazily (e.g. a module-level cache) so each worker loads it once.  Rows whose
     vector has zero norm or whose text is NULL get a NULL vector.
@@ -143,13 +146,26 @@ class ArrowEmbedder:
 
     linear = False
 
-    def __init__(self, fn: Callable[[pa.Array], np.ndarray], dim: int):
+    def __init__(self, fn: Callable[[pa.Array], np.ndarray], dim: int, batch_size: int = 32,
+                 piece_batch_size: int = 16):
         self.dim = dim
-        self.fn = fn
+        self.batch_size, self.piece_batch_size = batch_size, piece_batch_size
+
+        def batched(size):
+            def call(texts: pa.Array) -> np.ndarray:
+                # The model sees at most ``size`` texts per call
+                if len(texts) == 0:
+                    return np.zeros((0, dim), dtype=np.float32)
+                return np.vstack([np.asarray(fn(texts.slice(i, size)), dtype=np.float32).reshape(-1, dim)
+                                  for i in range(0, len(texts), size)])
+            return call
+
+        texts_fn, pieces_fn = batched(batch_size), batched(piece_batch_size)
+        self.fn = pieces_fn
 
         @F.arrow_udf("array<float>")
         def run(texts: pa.Array) -> pa.Array:
-            mat = np.asarray(fn(texts), dtype=np.float32).reshape(len(texts), dim)
+            mat = texts_fn(texts).reshape(len(texts), dim)
             ok = np.isfinite(mat).all(axis=1) & (np.abs(mat).sum(axis=1) > 0)
             if texts.null_count:
                 ok &= ~texts.is_null().to_numpy(zero_copy_only=False)
@@ -159,7 +175,7 @@ class ArrowEmbedder:
         def run_many(lists: pa.Array) -> pa.Array:
             outer_len = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             texts = lists.flatten()
-            mat = np.asarray(fn(texts), dtype=np.float32).reshape(len(texts), dim)
+            mat = pieces_fn(texts).reshape(len(texts), dim)
             ok = np.isfinite(mat).all(axis=1) & (np.abs(mat).sum(axis=1) > 0)
             vecs = _list_of_vectors(np.where(ok[:, None], mat, 0).astype(np.float32), ok)
             offsets = np.zeros(len(outer_len) + 1, dtype=np.int32)
