@@ -554,6 +554,16 @@ def q_c8_semantic_chunks(spark, sf):
     return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
 
 
+def q_c8_semantic_vectors(spark, sf):
+    """Chunk vectors of the semantic chunker (summed piece counts) = embedding the chunk text."""
+    c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic")
+    x = c.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+    return x.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("nnz"),
+        F.round(F.sum(F.col("value").cast("double") * (F.col("dim") + 1)), 5).alias("weighted"),
+        F.round(F.sum(F.abs(F.col("value").cast("double"))), 5).alias("l1"))
+
+
 def q_c9_sentence_strategy(spark, sf):
     c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="sentence")
     return c.select("chunk_id", "root_path", "file_path", "pos", "text", "add_time")
@@ -995,6 +1005,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c7_assemble_drop": q_c7_assemble_drop,
         "c5_threshold": q_c5_threshold,
         "c8_semantic_chunks": q_c8_semantic_chunks,
+        "c8_semantic_vectors": q_c8_semantic_vectors,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
         "r6_answer_generator": q_r6_answer_generator,
@@ -1038,6 +1049,10 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
 SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,
        CASE WHEN n > 1 THEN bs.r ELSE 0 END::INTEGER AS rounds FROM th""",
         "c8_semantic_chunks": _sql_semantic(),
+        "c8_semantic_vectors": f"""WITH sem AS ({_sql_semantic()}),
+{s_embed_cte('sem', 'chunk_id', 'text', 'c')}
+SELECT id AS chunk_id, count(*) AS nnz, round(sum(w::DOUBLE * (b + 1)), 5) AS weighted,
+       round(sum(abs(w::DOUBLE)), 5) AS l1 FROM cv WHERE w <> 0 GROUP BY ALL""",
         "r6_answer_generator": _sql_answers(True),
         "r7_answer_disabled": _sql_answers(False),
     }

@@ -234,10 +234,50 @@ def _segment_udf(o: SemanticOptions, dim: int, embed_fn=None):
     return semantic_groups
 
 
+def _hashing_segment_udf(o: SemanticOptions, dim: int):
+    """One Arrow function for the hashing embedder: per-piece tokens -> raw count
+    vectors -> chunk groups, plus each chunk's vector.  By linearity a chunk's
+    vector is its pieces' summed counts, normalised — the same vector the
+    embedder gives the joined chunk text — so no second pass is needed."""
+    from .embed import _codes, _dense_from_codes, _lengths
+
+    @F.arrow_udf("struct<groups:array<array<int>>,vectors:array<array<float>>>")
+    def semantic_hashing(tcs: pa.Array, toks: pa.Array) -> pa.Array:
+        n_docs = len(tcs)
+        tl = _lengths(tcs)
+        tflat = tcs.flatten().to_numpy(zero_copy_only=False)
+        inner = toks.flatten()
+        raw, _ = _dense_from_codes(_codes(inner.flatten(), dim), _lengths(inner), dim, normalize=False)
+        raw = raw.astype(np.float64)
+        tstart = np.concatenate([[0], np.cumsum(tl)])
+        groups_all, sums, per_doc = [], [], []
+        for d in range(n_docs):
+            a, b = tstart[d], tstart[d + 1]
+            groups = segment_document(tflat[a:b], raw[a:b], o, raw=True)
+            groups_all.append(groups)
+            per_doc.append(len(groups))
+            sums.extend(raw[a:b][g].sum(axis=0) for g in groups)
+        mat = np.vstack(sums) if sums else np.zeros((0, dim))
+        norm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+        ok = norm > 0
+        mat[ok] /= norm[ok, None]
+        vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(mat) + 1) * dim, dim, dtype=np.int32)),
+                                        pa.array(mat.astype(np.float32).reshape(-1)), mask=pa.array(~ok))
+        offsets = np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)
+        groups_arr = pa.array(groups_all, type=pa.list_(pa.list_(pa.int32())))
+        vec_lists = pa.ListArray.from_arrays(pa.array(offsets), vecs)
+        return pa.StructArray.from_arrays([groups_arr, vec_lists], names=["groups", "vectors"])
+
+    return semantic_hashing
+
+
 def with_semantic_chunks(df: DataFrame, text_col: str, out_col: str, embedder, o: SemanticOptions | None = None,
-                         groups_col: str | None = None) -> DataFrame:
+                         groups_col: str | None = None, vectors_col: str | None = None) -> DataFrame:
     """Adds ``out_col``: array<string> of semantic chunks of ``text_col``
-    (already cleaned/normalised).  ``groups_col`` also keeps the piece groups."""
+    (already cleaned/normalised).  ``groups_col`` also keeps the piece groups;
+    ``vectors_col`` the chunk vectors (computed in the same pass for the
+    hashing embedder, by the embedder otherwise)."""
+    from .embed import embed_tokens
     from .split import with_token_chunks
 
     o = o or SemanticOptions()
@@ -246,18 +286,20 @@ def with_semantic_chunks(df: DataFrame, text_col: str, out_col: str, embedder, o
         F.regexp_count(p, F.lit(TOKEN_PATTERN)) + F.lit(SPECIAL_TOKENS)).cast("int")))
     linear = getattr(embedder, "linear", False)
     if linear:
-        staged = staged.withColumn("_pv", embedder.embed_many_raw(F.col("_pieces")))
-        udf = _segment_udf(o, embedder.dim)
-        staged = staged.withColumn("_groups", udf(F.col("_tc"), F.col("_pv")))
+        udf = _hashing_segment_udf(o, embedder.dim)
+        staged = staged.withColumn("_seg", udf(F.col("_tc"), F.transform("_pieces", embed_tokens)))
+        staged = staged.withColumn("_groups", F.col("_seg.groups")).withColumn("_cv", F.col("_seg.vectors"))
     else:
         staged = staged.withColumn("_pv", embedder.embed_many(F.col("_pieces")))
         udf = _segment_udf(o, embedder.dim, embedder.fn)
         staged = staged.withColumn("_groups", udf(F.col("_tc"), F.col("_pv"), F.col("_pieces")))
     texts = F.transform("_groups", lambda g: F.array_join(F.transform(g, lambda i: F.get(F.col("_pieces"), i)), "\n"))
     out = staged.withColumn(out_col, texts)
+    if vectors_col:
+        out = out.withColumn(vectors_col, F.col("_cv") if linear else embedder.embed_many(F.col(out_col)))
     if groups_col:
         out = out.withColumnRenamed("_groups", groups_col)
-    return out.drop("_pieces", "_tc", "_pv", "_groups")
+    return out.drop("_pieces", "_tc", "_pv", "_groups", "_seg", "_cv")
 
 
 # ---------------------------------------------------------------------------

@@ -48,16 +48,19 @@ def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embed
     elif strategy == "semantic":
         from ..operators.semantic import SemanticOptions, with_semantic_chunks
         opts = semantic_options or SemanticOptions()
-        chunks = explode_positions(with_semantic_chunks(base, "_t", "_chunks", embedder, opts),
-                                   ["_id", "root_path"], "_chunks", "pos", "text")
+        staged = with_semantic_chunks(base, "_t", "_chunks", embedder, opts, vectors_col="_vecs")
+        z = staged.select("_id", "root_path", F.arrays_zip(F.col("_chunks").alias("t"), F.col("_vecs").alias("v")).alias("_z"))
+        chunks = explode_positions(z, ["_id", "root_path"], "_z", "pos", "_cz") \
+            .select("_id", "root_path", "pos", F.col("_cz.t").alias("text"), F.col("_cz.v").alias("_vec"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
+    vec = F.col("_vec") if "_vec" in chunks.columns else embedder.embed(F.col("text"))
     return chunks.select(
         doc_chunk_id(F.col("_id"), F.col("pos")),
         F.col("root_path"),
         document_path(F.col("root_path"), F.col("_id")).alias("file_path"),
         F.col("pos").cast("int").alias("pos"),
         F.col("text"),
-        embedder.embed(F.col("text")).alias("embedding"),
+        vec.alias("embedding"),
         stamp.cast("long").alias("add_time"),
     )  # every chunk has a token, so no NULL vector here
