@@ -117,3 +117,23 @@ def test_top_k_query_blocks(spark):
     many = top_k(qs, corpus, k=4, max_distance=2.0, payload=[], dim=8, max_broadcast_bytes=8 * 8 * 7).collect()
     key = lambda r: (r["query_id"], r["rank"], r["chunk_id"])
     assert sorted(map(key, one)) == sorted(map(key, many))
+
+
+def test_top_k_properties_on_documents(spark):
+    """Per question: at most k hits, ranks 1..n, sorted by distance, unique chunks, within [0, bound)."""
+    from chunkwise.plans.ingest import chunk_documents
+    from chunkwise.plans.rag import retrieve
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    qs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").withColumnRenamed("item_id", "query_id")
+    hits = retrieve(qs, chunk_documents(docs, add_time=0), k=4, max_distance=0.7).collect()
+    by_q = {}
+    for r in hits:
+        by_q.setdefault(r["query_id"], []).append(r)
+    assert by_q
+    for rows in by_q.values():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 4
+        d = [r["distance"] for r in rows]
+        assert d == sorted(d) and all(0 <= x < 0.7 for x in d)
+        assert len({r["chunk_id"] for r in rows}) == len(rows)
