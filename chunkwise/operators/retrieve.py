@@ -34,6 +34,8 @@ DEFAULT_MAX_DISTANCE = 0.6
 # Distances are compared at this many decimals, so exact copies of a chunk tie
 # regardless of summation order (BLAS blocking) and fall back to the id order.
 DISTANCE_DECIMALS = 9
+# Largest (corpus rows x queries) distance block held at once (128 MB of doubles).
+MAX_BLOCK = 1 << 24
 
 
 # ---------------------------------------------------------------------------
@@ -220,17 +222,22 @@ def _block_scan(bc, k, max_d, min_d, corpus_id, corpus_vec, out_schema):
             cn = np.sqrt(np.einsum("ij,ij->i", C, C))
             nz = cn > 0
             C[nz] /= cn[nz, None]
-            D = np.round(np.maximum(1.0 - C @ Q.T, 0.0), DISTANCE_DECIMALS)  # (m, n)
-            valid = (D >= min_d) & (D < max_d) & nz[:, None]
-            if k < D.shape[0]:
-                Dm = np.where(valid, D, np.inf)
-                kth = np.partition(Dm, k - 1, axis=0)[k - 1]
-                valid &= D <= kth[None, :]
-            r, c = np.nonzero(valid)
+            # query tiles keep the (rows x queries) distance block under MAX_BLOCK entries
+            step = max(1, MAX_BLOCK // C.shape[0])
+            rs, cs, ds = [], [], []
+            for q0 in range(0, Q.shape[0], step):
+                D = np.round(np.maximum(1.0 - C @ Q[q0:q0 + step].T, 0.0), DISTANCE_DECIMALS)
+                valid = (D >= min_d) & (D < max_d) & nz[:, None]
+                if k < D.shape[0]:
+                    kth = np.partition(np.where(valid, D, np.inf), k - 1, axis=0)[k - 1]
+                    valid &= D <= kth[None, :]
+                r, c = np.nonzero(valid)
+                rs.append(r), cs.append(c + q0), ds.append(D[r, c])
+            r, c = np.concatenate(rs), np.concatenate(cs)
             if len(r) == 0:
                 continue
             ids = b.column(corpus_id).to_numpy(zero_copy_only=False)
-            cand_d, cand_id = D[r, c], ids[r]
+            cand_d, cand_id = np.concatenate(ds), ids[r]
             rows = pa.Table.from_batches([b.select(payload_names)]).take(pa.array(r))
             if kept_rows is not None:
                 rows = pa.concat_tables([kept_rows, rows])

@@ -137,3 +137,20 @@ def test_top_k_properties_on_documents(spark):
         d = [r["distance"] for r in rows]
         assert d == sorted(d) and all(0 <= x < 0.7 for x in d)
         assert len({r["chunk_id"] for r in rows}) == len(rows)
+
+
+def test_top_k_query_tiles(spark, monkeypatch):
+    """Tiny distance tiles (many query tiles per batch) give the same answer."""
+    import numpy as np
+
+    from chunkwise.operators import retrieve as R
+    rng = np.random.default_rng(5)
+    corpus = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)],
+                                   "chunk_id long, embedding array<float>")
+    qs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(30)],
+                               "query_id long, embedding array<float>")
+    ref = R.top_k(qs, corpus, k=3, max_distance=1.5, payload=[], method="sql").collect()
+    monkeypatch.setattr(R, "MAX_BLOCK", 7)
+    got = R.top_k(qs, corpus, k=3, max_distance=1.5, payload=[]).collect()
+    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"])
+    assert sorted(map(key, got)) == sorted(map(key, ref))
