@@ -17,13 +17,23 @@ from ..session import spread
 from ..sources.files import extract_text, list_files
 
 
-def files_under(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """S1 for several registered roots; each file row carries its ``root_path``."""
-    out = None
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+def files_under(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """S1 for several registered roots: (file rows carrying their ``root_path``,
+    roots that do not exist).  A missing root is reported, not a job failure."""
+    out, missing = None, []
     for r in roots:
+        if not path_exists(spark, r):
+            missing.append(r)
+            continue
         f = list_files(spark, r).withColumn("root_path", F.lit(r))
         out = f if out is None else out.unionByName(f)
-    return out
+    return out, missing
 
 
 def chunk_files(files: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,
@@ -31,9 +41,8 @@ def chunk_files(files: DataFrame, *, size: int = 256, overlap: int = 0, embedder
     """Returns (chunks, failures).  ``files``: binaryFile rows plus ``root_path``."""
     embedder = embedder or HashingEmbedder()
     stamp = F.unix_timestamp() if now is None else F.lit(now)
-    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")))
-    roots = files.select(F.col("path").alias("file_path"), "root_path")
-    texts = texts.join(roots, "file_path")
+    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")),
+                         keep=("root_path",))
     failures = texts.where(F.col("error").isNotNull()).select("root_path", "file_path", "file_type", "error")
     ok = texts.where(F.col("error").isNull()).select("root_path", "file_path", normalize_text(F.col("text")).alias("_t"))
     if strategy == "semantic":

@@ -32,12 +32,16 @@ def document_path(df_source: Column, doc_id: Column) -> Column:
 def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None,
                     id_col: str = "doc_id", text_col: str = "text", root_col: str = "source",
                     add_time: int | Column | None = None, strategy: str = "sentence",
-                    semantic_options=None) -> DataFrame:
+                    semantic_options=None, options=None) -> DataFrame:
     """Chunk table rows (``schemas.chunks_schema`` columns) from a keyed document table.
 
     ``strategy="sentence"``: T1 -> T2 -> token splitter (T5).
     ``strategy="semantic"``: T1 -> T2 -> pieces of 500 tokens -> semantic chunker (C1-C9).
+    ``options`` (:class:`chunkwise.operators.embed.EmbedOptions`, E5) overrides
+    size, overlap and strategy.
     """
+    if options is not None:
+        size, overlap, strategy = options.chunk_size, options.overlap, options.strategy
     embedder = embedder or HashingEmbedder()
     stamp = F.unix_timestamp() if add_time is None else (add_time if isinstance(add_time, Column) else F.lit(add_time))
     base = spread(docs).select(F.col(id_col).alias("_id"), F.col(root_col).alias("root_path"),

@@ -47,17 +47,18 @@ def markdown_to_text(col) -> Column:
     return t
 
 
-def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFrame | None = None) -> DataFrame:
-    """File rows -> (file_path, file_type, text, error, modified_at, size).
+def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFrame | None = None,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """File rows -> (file_path, file_type, text, error, modified_at, size, *keep).
 
     ``pdf_pages`` (file_path, page_no, text) supplies PDF page texts; PDFs
-    without pages get an error row.
+    without pages get an error row.  ``keep`` columns of ``files`` pass through.
     """
     from .docx import docx_text
 
     ext = F.lower(file_extension(F.col("path")))
     x = files.select(F.col("path").alias("file_path"), ext.alias("file_type"),
-                     F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
+                     F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content", *keep)
     # only DOCX bytes cross into Python (other rows pass a NULL); staged once
     x = x.withColumn("_docx", docx_text(F.when(F.col("file_type") == "docx", F.col("content")), docx_separator))
     utf8 = F.decode(F.col("content"), "UTF-8")
@@ -69,7 +70,7 @@ def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFram
            .when(~F.col("file_type").isin(*SUPPORTED), F.concat(F.lit("unsupported: "), F.col("file_type")))
            .when(F.col("file_type") == "docx", docx["error"])
            .when(F.col("file_type") == "pdf", F.lit("pdf: no page text supplied")))
-    out = x.select("file_path", "file_type", text.alias("text"), err.alias("error"), "modified_at", "size")
+    out = x.select("file_path", "file_type", text.alias("text"), err.alias("error"), "modified_at", "size", *keep)
     if pdf_pages is not None:
         from .pages import assemble_pages
         pdf = assemble_pages(pdf_pages, doc_col="file_path", page_col="page_no", text_col="text") \
@@ -79,5 +80,5 @@ def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFram
             F.when(F.col("file_type") == "pdf", F.col("_pdf")).otherwise(F.col("text")).alias("text"),
             F.when((F.col("file_type") == "pdf") & F.col("_pdf").isNotNull(), F.lit(None).cast("string"))
             .otherwise(F.col("error")).alias("error"),
-            "modified_at", "size")
+            "modified_at", "size", *keep)
     return out

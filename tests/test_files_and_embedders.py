@@ -30,7 +30,9 @@ def test_chunk_files_keeps_root_and_failures(spark, tmp_dir):
     from chunkwise.plans.files import chunk_files, files_under
 
     root = _tree(tmp_dir)
-    chunks, failures = chunk_files(files_under(spark, [root]), size=64, now=123)
+    files, missing = files_under(spark, [root, os.path.join(tmp_dir, "nope")])
+    assert missing == [os.path.join(tmp_dir, "nope")]
+    chunks, failures = chunk_files(files, size=64, now=123)
     rows = chunks.collect()
     assert {os.path.basename(r["file_path"]) for r in rows} == {"a.txt", "b.md"}
     assert all(r["root_path"] == root and r["add_time"] == 123 and len(r["embedding"]) == 384 for r in rows)

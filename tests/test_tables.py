@@ -154,3 +154,40 @@ def test_top_k_query_tiles(spark, monkeypatch):
     got = R.top_k(qs, corpus, k=3, max_distance=1.5, payload=[]).collect()
     key = lambda r: (r["query_id"], r["rank"], r["chunk_id"])
     assert sorted(map(key, got)) == sorted(map(key, ref))
+
+
+def test_sync_lifecycle(spark, tmp_dir):
+    """Register paths -> sync pending (10 at a time) -> progress 100 / -1 -> remove a path."""
+    import os
+
+    from chunkwise.plans.sync import remove_paths, sync_pending
+    from chunkwise.schemas import status_log_schema
+
+    os.makedirs(os.path.join(tmp_dir, "folder"))
+    for i in range(3):
+        with open(os.path.join(tmp_dir, "folder", f"f{i}.txt"), "w") as f:
+            f.write(" ".join(f"Line {j} of file {i}." for j in range(80)))
+    single = os.path.join(tmp_dir, "single.md")
+    with open(single, "w") as f:
+        f.write("# Head\n\nBody text here.")
+    bad = os.path.join(tmp_dir, "table.csv")
+    with open(bad, "w") as f:
+        f.write("a,b")
+    folder, missing = os.path.join(tmp_dir, "folder"), os.path.join(tmp_dir, "gone")
+    reg = VersionedTable(spark, f"{tmp_dir}/t_files", files_schema())
+    ch = VersionedTable(spark, f"{tmp_dir}/t_chunks", chunks_schema(), dim=384)
+    log = VersionedTable(spark, f"{tmp_dir}/t_log", status_log_schema())
+    reg.append(SC.registry_rows(spark.createDataFrame([(folder,), (single,), (bad,), (missing,)], "file_path string"),
+                                100, is_file=F.col("file_path").rlike(r"\.[a-z]+$")))
+    st = {r["file_path"]: r["progress"] for r in sync_pending(spark, reg, ch, 200, limit=10, status_log=log).collect()}
+    assert st == {folder: 100, single: 100, bad: -1, missing: -1}
+    prog = {r["file_path"]: (r["progress"], r["sync_time"]) for r in reg.read().collect()}
+    assert prog[folder] == (100, 200) and prog[bad] == (-1, 200)
+    assert SC.pending(reg.read(), 10).count() == 0
+    assert sync_pending(spark, reg, ch, 300).count() == 0  # nothing left to do
+    roots = {r["root_path"] for r in ch.read().collect()}
+    assert roots == {folder, single}
+    assert log.read().count() == 4
+    remove_paths(reg, ch, spark.createDataFrame([(folder,)], "file_path string"))
+    assert {r["root_path"] for r in ch.read().collect()} == {single}
+    assert folder not in {r["file_path"] for r in reg.read().collect()}
