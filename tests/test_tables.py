@@ -191,3 +191,17 @@ def test_sync_lifecycle(spark, tmp_dir):
     remove_paths(reg, ch, spark.createDataFrame([(folder,)], "file_path string"))
     assert {r["root_path"] for r in ch.read().collect()} == {single}
     assert folder not in {r["file_path"] for r in reg.read().collect()}
+
+
+def test_versions_commit_and_vacuum(spark, tmp_dir):
+    import pytest
+
+    t = VersionedTable(spark, f"{tmp_dir}/vt", files_schema())
+    for i in range(3):
+        t.replace(SC.registry_rows(spark.createDataFrame([(f"p{i}.txt",)], "file_path string"), 1))
+    assert t.versions() == [0, 1, 2, 3] and t.read().count() == 1
+    with pytest.raises(Exception):
+        t._commit(3)  # a version is committed once
+    again = VersionedTable(spark, f"{tmp_dir}/vt", files_schema())  # reopening never resets
+    assert again.current_version() == 3
+    assert t.vacuum(keep=2) == [0, 1] and t.versions() == [2, 3] and t.read().count() == 1
