@@ -220,7 +220,8 @@ def q_t6_sentence_pack(spark, sf):
 def q_e2_hash_embed(spark, sf):
     e = HashingEmbedder()
     b = _t(spark, sf, "benchmark").select("item_id", e.embed("text").alias("v"))
-    x = b.select("item_id", F.posexplode("v").alias("dim", "value")).where(F.col("value") != 0)
+    # outer form: a plain generator would make Catalyst re-run the embedder in an inferred filter
+    x = b.select("item_id", F.posexplode_outer("v").alias("dim", "value")).where(F.col("value") != 0)
     return x.select("item_id", F.col("dim").cast("int").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
@@ -230,7 +231,7 @@ def _chunks(spark, sf, size=CHUNK):
 
 def q_e3_embed_chunks(spark, sf):
     c = _chunks(spark, sf)
-    ex = F.posexplode("embedding")
+    ex = F.posexplode_outer("embedding")
     x = c.select("chunk_id", ex.alias("dim", "value")).where(F.col("value") != 0)
     return x.groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("nnz"),
@@ -557,7 +558,7 @@ def q_c8_semantic_chunks(spark, sf):
 def q_c8_semantic_vectors(spark, sf):
     """Chunk vectors of the semantic chunker (summed piece counts) = embedding the chunk text."""
     c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic")
-    x = c.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).where(F.col("value") != 0)
+    x = c.select("chunk_id", F.posexplode_outer("embedding").alias("dim", "value")).where(F.col("value") != 0)
     return x.groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("nnz"),
         F.round(F.sum(F.col("value").cast("double") * (F.col("dim") + 1)), 5).alias("weighted"),
