@@ -29,8 +29,7 @@ def _c(col) -> Column:
 
 def clean_text(col) -> Column:
     """Strip leading and trailing blanks of every line and drop empty lines."""
-    t = F.regexp_replace(_c(col), r"(?m)^[ \t]+", "")
-    t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
+    t = F.regexp_replace(_c(col), r"(?m)^[ \t]+|[ \t]+$", "")  # both line edges in one pass
     t = F.regexp_replace(t, r"\n{2,}", "\n")
     return F.regexp_replace(t, r"\A\n+|\n+\z", "")
 
