@@ -27,12 +27,15 @@ def _ntok(x: Column) -> Column:
 
 
 def sentences(col) -> Column:
-    """array<string>: sentences of a text, blanks trimmed, empties dropped."""
-    marked = F.regexp_replace(_c(col), r"([.!?;])\s+", "$1" + SENTINEL)
+    """array<string>: sentences of a text, blanks trimmed, empties dropped.
+
+    The markers swallow the blanks on both sides of every cut, so only the
+    text's own ends can carry blanks: one trim of the whole text trims every
+    sentence."""
+    trimmed = F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    marked = F.regexp_replace(trimmed, r"([.!?;])\s+", "$1" + SENTINEL)
     marked = F.regexp_replace(marked, r"\s*\n\s*", SENTINEL)
-    parts = F.split(marked, SENTINEL)
-    parts = F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(parts, lambda s: s != F.lit(""))
+    return F.filter(F.split(marked, SENTINEL), lambda s: s != F.lit(""))
 
 
 def split_units(col, cap: int) -> Column:
