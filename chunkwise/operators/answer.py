@@ -59,14 +59,13 @@ def route_answers(questions: DataFrame, hits: DataFrame, settings: DataFrame | N
     j = q.join(h, query_id, "left")
     sys_p, user_p = prompt_columns(F.col("_question"), context_of("items"), F.col("n_hits"), include_question)
     j = j.select("*", sys_p.alias("system_prompt"), user_p.alias("user_prompt"), markdown_of("items").alias("markdown"))
+    # The one settings row (id = settings_id), read once as literals
+    cfg = None
     if settings is not None and generator is not None:
-        cfg = (settings.where(F.col("id") == F.lit(settings_id)).orderBy("id").limit(1)
-               .select(F.col("url").alias("_url"), F.col("token").alias("_token"), F.col("state").alias("_state")))
-        j = j.join(F.broadcast(cfg), F.lit(True), "left")  # at most one settings row
-        enabled = F.coalesce(F.col("_state"), F.lit(False))
-    else:
-        j = j.withColumn("_url", F.lit(None).cast("string")).withColumn("_token", F.lit(None).cast("string"))
-        enabled = F.lit(False)
+        cfg = settings.where(F.col("id") == F.lit(settings_id)).select("url", "token", "state").limit(1).first()
+    enabled = F.lit(bool(cfg is not None and cfg["state"]))
+    j = (j.withColumn("_url", F.lit(cfg["url"] if cfg is not None else None).cast("string"))
+          .withColumn("_token", F.lit(cfg["token"] if cfg is not None else None).cast("string")))
     has_vec = F.col(has_vector_col) if has_vector_col else F.lit(True)
     run = enabled & has_vec
     gen = _generate_udf(generator) if generator is not None else None

@@ -6,7 +6,7 @@ scan, as in the reference.
 
 Plans:
 
-* ``method="block"`` (default for tables of queries): the query matrix is
+* tables of queries (:func:`top_k`): the query matrix is
   broadcast after a size check (rows x dim x 8 bytes <= ``max_broadcast_bytes``).
   Each corpus partition streams its Arrow batches through a NumPy block
   product and keeps only its own top-k per query, so at most
@@ -14,8 +14,8 @@ Plans:
   ``row_number() <= k`` (planned as a WindowGroupLimit) picks the global top-k.
   More queries than the bound: the queries are cut into blocks that each fit
   the bound, and each block is one such pass (a union of passes).
-* ``method="sql"``: broadcast nested loop with higher-order-function maths —
-  only for small inputs and for checking.
+* no pair table is ever built: candidates are scored inside each corpus
+  partition and only the per-partition top-k leave it.
 * :func:`nearest` (R1) for one literal vector: ``orderBy(distance, id).limit(k)``
   which plans as TakeOrderedAndProject.
 """
@@ -89,7 +89,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
           max_distance: float = DEFAULT_MAX_DISTANCE, min_distance: float = 0.0, *,
           query_id: str = "query_id", query_vec: str = "embedding",
           corpus_id: str = "chunk_id", corpus_vec: str = "embedding",
-          payload: list[str] | None = None, method: str = "block", dim: int | None = None,
+          payload: list[str] | None = None, dim: int | None = None,
           max_broadcast_bytes: int = 128 << 20) -> DataFrame:
     """Top-k corpus rows per query.
 
@@ -102,13 +102,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     payload = [c for c in payload if c != corpus_id]
     qv = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qvec")) \
         .where(F.col("_qvec").isNotNull())
-    if method == "sql":
-        out = _top_k_sql(qv, corpus, k, max_distance, min_distance, corpus_id, corpus_vec, payload)
-    elif method == "block":
-        out = _top_k_block(qv, corpus, k, max_distance, min_distance, corpus_id, corpus_vec,
-                           payload, dim, max_broadcast_bytes)
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    out = _top_k_block(qv, corpus, k, max_distance, min_distance, corpus_id, corpus_vec,
+                       payload, dim, max_broadcast_bytes)
     return out.withColumnRenamed("_qid", query_id)
 
 
@@ -117,16 +112,6 @@ def _rank_global(cands: DataFrame, k: int, corpus_id: str) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _top_k_sql(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload):
-    max_rows = 200_000
-    if bounded_rows(qv, max_rows) is None:
-        raise ValueError("method='sql' is for small query tables; use method='block'")
-    pairs = corpus.select(corpus_id, corpus_vec, *payload).crossJoin(F.broadcast(qv))
-    pairs = pairs.withColumn("distance", cosine_distance(F.col("_qvec"), F.col(corpus_vec)))
-    pairs = pairs.where((F.col("distance") >= min_d) & (F.col("distance") < max_d))
-    return _rank_global(pairs.select("_qid", corpus_id, *payload, "distance"), k, corpus_id)
-
-
 def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, dim, max_bytes):
     spark = corpus.sparkSession
     dim_hint = dim or 384

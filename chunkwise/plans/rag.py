@@ -19,20 +19,20 @@ def embed_questions(questions: DataFrame, embedder=None, id_col: str = "query_id
 
 def retrieve(questions: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
              max_distance: float = DEFAULT_MAX_DISTANCE, embedder=None, id_col: str = "query_id",
-             text_col: str = "text", method: str = "block") -> DataFrame:
+             text_col: str = "text") -> DataFrame:
     """Hits: query_id, chunk_id, file_path, text, distance, rank."""
     embedder = embedder or HashingEmbedder()
     q = embed_questions(questions, embedder, id_col, text_col)
     return top_k(q, chunks, k=k, max_distance=max_distance, payload=["file_path", "text"],
-                 method=method, dim=embedder.dim)
+                 dim=embedder.dim)
 
 
 def answer_markdown(questions: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
                     max_distance: float = DEFAULT_MAX_DISTANCE, embedder=None, id_col: str = "query_id",
-                    text_col: str = "text", method: str = "block") -> DataFrame:
+                    text_col: str = "text") -> DataFrame:
     """R2 + R3: one row per question: query_id, n_hits, markdown ('' without hits)."""
     hits = retrieve(questions, chunks, k=k, max_distance=max_distance, embedder=embedder,
-                    id_col=id_col, text_col=text_col, method=method)
+                    id_col=id_col, text_col=text_col)
     md = markdown(hits)
     q = questions.select(F.col(id_col).alias("query_id"))
     return (q.join(md, "query_id", "left")

@@ -88,7 +88,20 @@ def test_compaction_keeps_rows(spark, tmp_dir):
     assert v == 1 and t.read().count() == 3
 
 
-def test_top_k_block_equals_sql_and_no_hit(spark):
+def brute_force(qs, corpus, k, max_d):
+    """Plain statement of exact cosine top-k on the driver (small fixtures only)."""
+    import numpy as np
+    c = [(r["chunk_id"], np.array(r["embedding"], dtype=np.float64)) for r in corpus.collect()]
+    out = []
+    for q in qs.collect():
+        v = np.array(q["embedding"], dtype=np.float64)
+        d = [(round(max(1 - float(v @ x) / (np.linalg.norm(v) * np.linalg.norm(x)), 0.0), 9), cid) for cid, x in c]
+        d = sorted(t for t in d if t[0] < max_d)[:k]
+        out.extend((q["query_id"], i + 1, cid) for i, (_, cid) in enumerate(d))
+    return sorted(out)
+
+
+def test_top_k_equals_brute_force_and_no_hit(spark):
     import numpy as np
     rng = np.random.default_rng(1)
     corpus = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(300)]
@@ -96,10 +109,9 @@ def test_top_k_block_equals_sql_and_no_hit(spark):
                                    "chunk_id long, embedding array<float>")
     qs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(20)]
                                + [(99, [1.0] * 16), (100, [-1.0] * 16)], "query_id long, embedding array<float>")
-    a = top_k(qs, corpus, k=3, max_distance=0.9, method="block", payload=[]).collect()
-    b = top_k(qs, corpus, k=3, max_distance=0.9, method="sql", payload=[]).collect()
-    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"], round(r["distance"], 9))
-    assert sorted(map(key, a)) == sorted(map(key, b))
+    a = top_k(qs, corpus, k=3, max_distance=0.9, payload=[]).collect()
+    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"])
+    assert sorted(map(key, a)) == brute_force(qs, corpus, 3, 0.9)
     assert [r["chunk_id"] for r in sorted(a, key=key) if r["query_id"] == 99] == [300, 301, 302]
     tight = top_k(qs, corpus, k=3, max_distance=0.01, payload=[]).collect()
     assert {r["query_id"] for r in tight} == {99}  # only the exact copies are that close
@@ -149,11 +161,10 @@ def test_top_k_query_tiles(spark, monkeypatch):
                                    "chunk_id long, embedding array<float>")
     qs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(30)],
                                "query_id long, embedding array<float>")
-    ref = R.top_k(qs, corpus, k=3, max_distance=1.5, payload=[], method="sql").collect()
     monkeypatch.setattr(R, "MAX_BLOCK", 7)
     got = R.top_k(qs, corpus, k=3, max_distance=1.5, payload=[]).collect()
     key = lambda r: (r["query_id"], r["rank"], r["chunk_id"])
-    assert sorted(map(key, got)) == sorted(map(key, ref))
+    assert sorted(map(key, got)) == brute_force(qs, corpus, 3, 1.5)
 
 
 def test_sync_lifecycle(spark, tmp_dir):
