@@ -4,9 +4,9 @@ Parquet has no MERGE, so each change is a pure ``DataFrame -> DataFrame``
 function; :class:`chunkwise.sources.tables.VersionedTable` writes the result
 as a new version (never over the files being read).
 
-Plans: the change set is broadcast only after a row-count check
-(``max_broadcast_rows``); then neither delete nor update shuffles the big
-table.  Past the bound the join is a shuffle join, where AQE splits a hot key
+Plans: the change set is broadcast only after a row-count check against
+``max_broadcast_rows`` and a byte budget derived from its schema; then
+neither delete nor update shuffles the big table.  Past the bound the join is a shuffle join, where AQE splits a hot key
 (a path holding a large share of the chunks) into several tasks.  Keys are
 matched by joins and literals, never by formatted predicate strings.
 """
@@ -19,10 +19,30 @@ from pyspark.sql import functions as F
 from .retrieve import bounded_rows
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
+
+
+def _row_bytes(dt) -> int:
+    """Conservative per-row size: strings 128 B, binaries 1 KiB, arrays and maps
+    4 KiB (about a 1,000-element vector), fixed-width types their width."""
+    from pyspark.sql import types as T
+
+    if isinstance(dt, T.StructType):
+        return sum(_row_bytes(f.dataType) for f in dt.fields) or 1
+    if isinstance(dt, T.StringType):
+        return 128
+    if isinstance(dt, T.BinaryType):
+        return 1024
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return 4096
+    return 8
 
 
 def _maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+    """Broadcast only when the row count, checked, stays under both the row
+    bound and the byte budget for this schema; otherwise a shuffle join."""
+    rows = min(max_rows, max(1, MAX_BROADCAST_BYTES // _row_bytes(df.schema)))
+    return F.broadcast(df) if bounded_rows(df, rows) is not None else df
 
 
 def _keys(on) -> list[str]:
