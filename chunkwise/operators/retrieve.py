@@ -114,7 +114,11 @@ def _rank_global(cands: DataFrame, k: int, corpus_id: str) -> DataFrame:
 
 def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, dim, max_bytes):
     spark = corpus.sparkSession
-    dim_hint = dim or 384
+    if dim is None:  # size the bound from the actual vectors (one row)
+        first = qv.select(F.size("_qvec").alias("n")).limit(1).collect()
+        dim_hint = max(1, first[0]["n"]) if first else 1
+    else:
+        dim_hint = dim
     max_rows = max(1, max_bytes // (8 * dim_hint))
     n = bounded_rows(qv, max_rows)
     qid_type = qv.schema["_qid"].dataType
@@ -136,9 +140,9 @@ def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, di
         if not rows:
             continue
         qids = [r["_qid"] for r in rows]
+        if any(len(r["_qvec"]) != dim_hint for r in rows):
+            raise ValueError(f"query vectors must all have {dim_hint} dimensions")
         mat = np.array([np.asarray(r["_qvec"], dtype=np.float64) for r in rows])
-        if dim is not None and mat.shape[1] != dim:
-            raise ValueError(f"query vectors have {mat.shape[1]} dims, expected {dim}")
         qn = np.sqrt(np.einsum("ij,ij->i", mat, mat))
         good = qn > 0
         mat = mat[good] / qn[good, None]
