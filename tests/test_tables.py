@@ -85,7 +85,7 @@ def test_compaction_keeps_rows(spark, tmp_dir):
     for i in range(3):
         t.append(SC.registry_rows(spark.createDataFrame([(f"p{i}.txt",)], "file_path string"), 1))
     v = t.compact(1)
-    assert v == 1 and t.read().count() == 3
+    assert v == 4 and t.read().count() == 3 and len(t.manifest()) == 1
 
 
 def brute_force(qs, corpus, k, max_d):
@@ -212,7 +212,31 @@ def test_versions_commit_and_vacuum(spark, tmp_dir):
         t.replace(SC.registry_rows(spark.createDataFrame([(f"p{i}.txt",)], "file_path string"), 1))
     assert t.versions() == [0, 1, 2, 3] and t.read().count() == 1
     with pytest.raises(Exception):
-        t._commit(3)  # a version is committed once
+        t._commit(3, [])  # a version is committed once
     again = VersionedTable(spark, f"{tmp_dir}/vt", files_schema())  # reopening never resets
     assert again.current_version() == 3
     assert t.vacuum(keep=2) == [0, 1] and t.versions() == [2, 3] and t.read().count() == 1
+
+
+def test_bucketed_keyed_rewrite_touches_one_bucket(spark, tmp_dir):
+    t = VersionedTable(spark, f"{tmp_dir}/bt", chunks_schema(), dim=4, bucket_col="file_path", n_buckets=8)
+    rows = [(i, f"r{i % 3}", f"f{i % 20}.txt", i, f"text {i}", [float(i), 1.0, 0.0, 0.0], 1) for i in range(200)]
+    t.append(spark.createDataFrame(rows, chunks_schema()))
+    before = set(t.manifest())
+    used = t.read().select(t.bucket_of("file_path")).distinct().count()
+    assert len(before) == used > 1 and t.read().count() == 200
+    gone = spark.createDataFrame([("f7.txt",)], "file_path string")
+    t.rewrite_keys(gone, lambda old: MU.delete_keys(old, gone, "file_path"))
+    after = set(t.manifest())
+    # one bucket rewritten (or emptied), every other folder reused as is
+    assert len(before - after) == 1 and len(after - before) <= 1 and len(before & after) == len(before) - 1
+    got = t.read()
+    assert got.count() == 190 and got.where("file_path = 'f7.txt'").count() == 0
+    # upsert of one file's chunks, again touching one bucket
+    new = spark.createDataFrame([(1000, "r0", "f3.txt", 0, "new", [1.0, 0.0, 0.0, 0.0], 2)], chunks_schema())
+    keys = new.select("file_path")
+    t.rewrite_keys(keys, lambda old: MU.delete_keys(old, keys, "file_path").unionByName(new))
+    got = t.read()
+    assert got.count() == 181 and [r["text"] for r in got.where("file_path = 'f3.txt'").collect()] == ["new"]
+    t.vacuum(keep=1)
+    assert t.read().count() == 181
