@@ -394,6 +394,22 @@ def q_m1_delete(spark, sf):
     return MU.delete_keys(_registry(spark, sf), tox, "file_path")
 
 
+def q_m1_bucketed_table_delete(spark, sf):
+    """S10 + S11 + M1 through storage: chunks appended to a table bucketed by
+    file_path, the toxic documents' files deleted by a keyed rewrite (only their
+    buckets are rewritten), the table read back."""
+    from chunkwise.schemas import chunks_schema
+
+    t = VersionedTable(spark, scratch_path(spark, "m1-bucketed"), chunks_schema(), dim=384,
+                       bucket_col="file_path", n_buckets=16)
+    t.append(_chunks(spark, sf))
+    d = _t(spark, sf, "documents")
+    gone = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"))
+    t.rewrite_keys(gone, lambda old: MU.delete_keys(old, gone, "file_path"))
+    return t.read().select("chunk_id", "file_path", "pos", "text")
+
+
 def q_m2_cascade_delete(spark, sf):
     d = _t(spark, sf, "documents")
     gone = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("file_path")).distinct()
@@ -987,6 +1003,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_chunk_rows": q_p8_chunk_rows,
         "p9_first_vector": q_p9_first_vector,
         "m1_delete": q_m1_delete,
+        "m1_bucketed_table_delete": q_m1_bucketed_table_delete,
         "m2_cascade_delete": q_m2_cascade_delete,
         "m3_update_progress": q_m3_update_progress,
         "m4_update_token": q_m4_update_token,
@@ -1049,6 +1066,9 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         **_sql_p_m_x(),
         **_sql_c(),
         "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
+        "m1_bucketed_table_delete": f"""WITH {s_chunks_cte(CHUNK)}
+SELECT doc_id * 1048576 + pos AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
+FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
         "c5_threshold": f"""WITH {_sql_pieces()}, {_sql_bisect()}
 SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,
        CASE WHEN n > 1 THEN bs.r ELSE 0 END::INTEGER AS rounds FROM th""",
