@@ -62,12 +62,12 @@ def test_vector_size_checked(spark, tmp_dir):
 def test_settings_insert_scan_predicate_update_flag(spark, tmp_dir):
     t = VersionedTable(spark, f"{tmp_dir}/settings", settings_schema())
     now = int(time.time())
-    t.append(spark.createDataFrame([(1, "https://api.deepseek.com/v1", "token1", True, now)], settings_schema()))
+    t.append(spark.createDataFrame([(1, "https://api.example.org/v1", "token1", True, now)], settings_schema()))
     assert t.read().count() == 1
     assert SC.available(t.read(), 10).count() == 1
     r = SC.lookup(t.read(), "id", 1).collect()[0]
     assert r["url"].endswith("/v1") and r["token"] == "token1"
-    ch = spark.createDataFrame([(1, "https://api.deepseek.com/v2", "new_token2")], "id long, url string, token string")
+    ch = spark.createDataFrame([(1, "https://api.example.org/v2", "new_token2")], "id long, url string, token string")
     t.replace(MU.upsert_token(t.read(), ch, now + 1))
     r = SC.lookup(t.read(), "id", 1).collect()[0]
     assert r["url"].endswith("/v2") and r["token"] == "new_token2" and r["state"]
