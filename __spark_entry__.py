@@ -736,7 +736,7 @@ def _sql_p_m_x() -> dict[str, str]:
         "p8_chunk_rows": f"""WITH {s_embed_cte('benchmark', 'item_id', 'text', 'q')}
 SELECT 'benchmark.txt' AS file_path, b.text, 384 AS dim, {NOW}::BIGINT AS add_time
 FROM benchmark b WHERE b.text IS NOT NULL AND b.item_id IN (SELECT id FROM qn)""",
-        "p9_first_vector": """SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS s, len(embedding) AS dim FROM embeddings""",
+        "p9_first_vector": """SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS s, len(embedding)::INTEGER AS dim FROM embeddings""",
         "m1_delete": f"""WITH {REGISTRY_SQL}
 SELECT * FROM registry WHERE file_path NOT IN (
   SELECT {DOC_PATH_SQL} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)""",
@@ -855,7 +855,7 @@ FROM e LEFT JOIN x USING (label, vec_id)""",
         "c1_piece_similarity": f"WITH {_sql_pieces()} SELECT doc_id, pos, round(score, 6) AS score FROM sc",
         "c2_cumulative_tokens": f"""WITH {s_chunks_cte(PIECE)}
 SELECT doc_id, pos, ({s_ntok('text')} + 2)::INTEGER AS n_tokens,
-       sum(({s_ntok('text')} + 2)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
+       (sum(({s_ntok('text')} + 2)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS cum_tokens
 FROM ch""",
         "c3_score_bounds": f"""WITH {_sql_pieces()}, {SQL_BOUNDS}
 SELECT doc_id, round(median, 6) AS median, round(sd, 6) AS sd, round(greatest(0, median - sd), 6) AS low,
