@@ -253,7 +253,8 @@ def _hashing_segment_udf(o: SemanticOptions, dim: int):
         groups_all, sums, per_doc = [], [], []
         for d in range(n_docs):
             a, b = tstart[d], tstart[d + 1]
-            groups = segment_document(tflat[a:b], raw[a:b], o, raw=True)
+            # zero or one piece: nothing to segment
+            groups = [] if b == a else ([[0]] if b - a == 1 else segment_document(tflat[a:b], raw[a:b], o, raw=True))
             groups_all.append(groups)
             per_doc.append(len(groups))
             sums.extend(raw[a:b][g].sum(axis=0) for g in groups)

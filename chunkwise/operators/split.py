@@ -114,9 +114,11 @@ def _prefix_sums(ns: Column) -> Column:
 
 
 def span_text(units: Column, span: Column) -> Column:
-    parts = F.slice(units, span["a"], span["b"] - span["a"] + 1)
-    joined = F.array_join(F.transform(parts, lambda u: F.concat(u["s"], u["t"])), "")
-    return F.regexp_replace(joined, r"^ ", "")
+    """Chunk text of a unit span: the first unit's own text, then every later
+    unit with its separator."""
+    first = F.element_at(units, span["a"])["t"]
+    rest = F.slice(units, span["a"] + 1, span["b"] - span["a"])
+    return F.concat(first, F.array_join(F.transform(rest, lambda u: F.concat(u["s"], u["t"])), ""))
 
 
 def _cap(size: int, overlap: int) -> int:
