@@ -240,3 +240,14 @@ def test_bucketed_keyed_rewrite_touches_one_bucket(spark, tmp_dir):
     assert got.count() == 181 and [r["text"] for r in got.where("file_path = 'f3.txt'").collect()] == ["new"]
     t.vacuum(keep=1)
     assert t.read().count() == 181
+
+
+def test_maintain_compacts_and_vacuums(spark, tmp_dir):
+    from chunkwise.sources.tables import maintain
+
+    t = VersionedTable(spark, f"{tmp_dir}/mt", files_schema())
+    for i in range(4):
+        t.append(SC.registry_rows(spark.createDataFrame([(f"q{i}.txt",)], "file_path string"), 1))
+    assert len(t.manifest()) == 4
+    out = maintain([t], target_files=1, keep=1)
+    assert out == {t.path: 5} and t.versions() == [5] and len(t.manifest()) == 1 and t.read().count() == 4
