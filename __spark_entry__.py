@@ -23,7 +23,7 @@ from chunkwise.operators.answer import answer_questions  # noqa: E402
 from chunkwise.functions import text as TX  # noqa: E402
 from chunkwise.operators import split as SP  # noqa: E402
 from chunkwise.operators.embed import HashingEmbedder, first_vector  # noqa: E402
-from chunkwise.operators.render import markdown, prompts  # noqa: E402
+from chunkwise.operators.render import prompts  # noqa: E402
 from chunkwise.operators.retrieve import nearest, top_k  # noqa: E402
 from chunkwise.plans.ingest import chunk_documents  # noqa: E402
 from chunkwise.plans.rag import answer_markdown, retrieve  # noqa: E402

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SENTINEL, SPECIAL_TOKENS, TOKEN_PATTERN, _c
 
-_UNIT_T = "array<struct<t:string,s:string,n:int>>"
-
 
 def _ntok(x: Column) -> Column:
     return F.regexp_count(x, F.lit(TOKEN_PATTERN))

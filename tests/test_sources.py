@@ -4,7 +4,6 @@ import io
 import os
 import zipfile
 
-from pyspark.sql import functions as F
 
 from chunkwise.sources import pages as PG
 from chunkwise.sources.docx import docx_bytes_to_text
