@@ -911,6 +911,11 @@ SELECT query_id,
 FROM g"""
 
 
+def s_grid(x: str) -> str:
+    """The chunker's 1e-9 grid with halves rounded up (see semantic.on_grid)."""
+    return f"(floor(({x}) * 1e9::DOUBLE + 0.5::DOUBLE) / 1e9::DOUBLE)"
+
+
 def _sql_bisect() -> str:
     """CTE ``th(doc_id, n, thr, rounds)``: C3 bounds and the C5 bisection per document
     (one batch), over ``sc`` from :func:`_sql_pieces`."""
@@ -918,7 +923,7 @@ def _sql_bisect() -> str:
           "lambda k: C[list_concat([0], list_filter(range(1, n), lambda j: S[j] < thr), [n])[k + 1] + 1] "
           "- C[list_concat([0], list_filter(range(1, n), lambda j: S[j] < thr), [n])[k] + 1]))], "
           "lambda ss: CASE WHEN len(ss) % 2 = 1 THEN ss[len(ss) // 2 + 1] ELSE (ss[len(ss) // 2] + ss[len(ss) // 2 + 1]) // 2 END)[1]")
-    step = (f"CASE WHEN st.done OR st.lo > st.hi THEN st ELSE list_transform([round((st.lo + st.hi) / 2, 9)], lambda thr: "
+    step = (f"CASE WHEN st.done OR st.lo > st.hi THEN st ELSE list_transform([{s_grid('(st.lo + st.hi) / 2')}], lambda thr: "
             f"list_transform([{mt}], lambda mt: "
             f"CASE WHEN mt >= 90 AND mt <= 522 THEN {{'lo': st.lo, 'hi': st.hi, 'thr': thr, 'done': true, 'r': st.r + 1}} "
             f"WHEN mt < 100 THEN {{'lo': st.lo, 'hi': thr - 0.01, 'thr': thr, 'done': false, 'r': st.r + 1}} "
@@ -926,10 +931,13 @@ def _sql_bisect() -> str:
     return f"""dl AS (SELECT doc_id, count(*)::INTEGER AS n,
          list(score ORDER BY pos) FILTER (WHERE pos > 0) AS S,
          list(n_tokens::BIGINT ORDER BY pos) AS T,
-         round(median(score), 9) AS med,
-         CASE WHEN count(score) > 1 THEN round(stddev_samp(score), 9) ELSE 0 END AS sd
+         list_sort(list(score) FILTER (WHERE score IS NOT NULL)) AS SS,
+         CASE WHEN count(score) > 1 THEN {s_grid('stddev_samp(score)')} ELSE 0 END AS sd
        FROM sc GROUP BY doc_id),
-dc AS (SELECT *, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(T[1:k]), 0)) AS C FROM dl),
+dm AS (SELECT *, CASE WHEN len(SS) = 0 THEN NULL
+                      ELSE {s_grid("CASE WHEN len(SS) % 2 = 1 THEN SS[len(SS) // 2 + 1] ELSE (SS[len(SS) // 2] + SS[len(SS) // 2 + 1]) / 2 END")}
+                 END AS med FROM dl),
+dc AS (SELECT *, list_transform(range(0, n + 1), lambda k: coalesce(list_sum(T[1:k]), 0)) AS C FROM dm),
 th AS (SELECT doc_id, n,
          CASE WHEN n > 1 THEN list_reduce(range(0, 40), lambda st, i: {step},
               {{'lo': greatest(0, med - sd), 'hi': least(1, med + sd), 'thr': 0.0::DOUBLE, 'done': false, 'r': 0}})

@@ -25,6 +25,7 @@ functions and folds) for tables that already hold one row per piece:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,16 @@ from ..functions.text import SPECIAL_TOKENS, TOKEN_PATTERN
 SCORE_DECIMALS = 9
 
 
+GRID = 10.0 ** SCORE_DECIMALS
+
+
+def on_grid(x: float) -> float:
+    """Nearest grid value, halves rounded up: floor(x * 1e9 + 0.5) / 1e9.  The
+    midpoint of two grid values is often exactly halfway, so the tie rule is
+    spelled out (plain IEEE steps, the same in every engine)."""
+    return math.floor(x * GRID + 0.5) / GRID
+
+
 @dataclass(frozen=True)
 class SemanticOptions:
     # Fixed values of the reference's configuration.
@@ -93,13 +104,13 @@ def optimal_threshold(token_counts: np.ndarray, scores: np.ndarray, o: SemanticO
     cum = np.concatenate([[0], np.cumsum(token_counts)])
     if len(scores) == 0:
         return 0.0, 0
-    med = float(np.round(np.median(scores), SCORE_DECIMALS))
-    sd = float(np.round(np.std(scores, ddof=1), SCORE_DECIMALS)) if len(scores) > 1 else 0.0
+    med = on_grid(float(np.median(scores)))
+    sd = on_grid(float(np.std(scores, ddof=1))) if len(scores) > 1 else 0.0
     low, high = max(0.0, med - sd), min(1.0, med + sd)
     thr, rounds = 0.0, 0
     while low <= high:
         rounds += 1
-        thr = float(np.round((low + high) / 2.0, SCORE_DECIMALS))
+        thr = on_grid((low + high) / 2.0)
         idx = split_indices(scores, thr)
         bounds = np.concatenate([[0], idx, [len(token_counts)]])
         seg = cum[bounds[1:]] - cum[bounds[:-1]]
