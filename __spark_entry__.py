@@ -181,6 +181,21 @@ RUNS_SQL = "replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)), '
 # ---------------------------------------------------------------------------
 # Queries
 
+def q_s1_file_tree_ingest(spark, sf):
+    """S1-S3 + E4 on files Spark derives from the documents table: each
+    document written as its own .txt file (one folder per doc_id), then the
+    tree is listed recursively, dispatched on extension, decoded, cleaned and
+    chunked like any registered folder."""
+    from chunkwise.plans.files import chunk_files, files_under
+
+    root = scratch_path(spark, "s1-tree")
+    _t(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    files, _ = files_under(spark, [root])
+    chunks, failures = chunk_files(files, size=CHUNK, now=0)
+    doc = F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long")
+    return chunks.select(doc.alias("doc_id"), "pos", "text", TX.token_count("text").alias("n_tokens"))
+
+
 def q_t1_clean(spark, sf):
     d = _t(spark, sf, "documents")
     return d.select("doc_id", TX.clean_text(dirty_spark()).alias("text"))
@@ -986,6 +1001,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "t1_clean": q_t1_clean,
+        "s1_file_tree_ingest": q_s1_file_tree_ingest,
         "t2_fold_newlines": q_t2_fold_newlines,
         "t3_token_count": q_t3_token_count,
         "t4_token_pieces": q_t4_token_pieces,
@@ -1049,6 +1065,7 @@ def oracle_sql() -> dict[str, str]:
         "t3_token_count": f"SELECT doc_id, ({s_ntok('text')} + 2)::INTEGER AS n_tokens FROM documents",
         "t4_token_pieces": _sql_tokens(PIECE),
         "t5_token_chunks": _sql_tokens(CHUNK),
+        "s1_file_tree_ingest": _sql_tokens(CHUNK),
         "t6_sentence_pack": SQL_T6,
         "e2_hash_embed": f"""WITH {s_embed_cte('benchmark', 'item_id', 'text', 'q')}
 SELECT id AS item_id, b AS dim, round(w::DOUBLE, 6) AS value FROM qv WHERE w <> 0""",
