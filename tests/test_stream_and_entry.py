@@ -43,4 +43,4 @@ def test_entry_and_contract(spark):
     assert df.columns == ["query_id", "n_hits", "markdown"] and len(rows) > 0
     assert any(r["markdown"].startswith("### File: ") for r in rows)
     q, s = E.queries(), E.oracle_sql()
-    assert set(s) <= set(q)
+    assert set(s) == set(q)  # every registered query has a SQL statement
