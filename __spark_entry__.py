@@ -189,7 +189,9 @@ def q_s1_file_tree_ingest(spark, sf):
     from chunkwise.plans.files import chunk_files, files_under
 
     root = scratch_path(spark, "s1-tree")
-    _t(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    n = 2 * spark.sparkContext.defaultParallelism  # the per-document files are written in parallel
+    docs.repartition(n, "doc_id").write.partitionBy("doc_id").text(root)
     files, _ = files_under(spark, [root])
     chunks, failures = chunk_files(files, size=CHUNK, now=0)
     doc = F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long")
