@@ -251,3 +251,28 @@ def test_maintain_compacts_and_vacuums(spark, tmp_dir):
     assert len(t.manifest()) == 4
     out = maintain([t], target_files=1, keep=1)
     assert out == {t.path: 5} and t.versions() == [5] and len(t.manifest()) == 1 and t.read().count() == 4
+
+
+def always_fails(system, prompt, url, token):
+    raise RuntimeError("provider down")
+
+
+def test_generator_failure_falls_back_and_can_switch_off(spark):
+    """A failing call gives that question its Markdown; the reference's
+    circuit break (state -> false) is available as a settings update."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    from chunkwise.operators.answer import answer_questions, settings_after_failures
+    from chunkwise.plans.ingest import chunk_documents
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    qs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").withColumnRenamed("item_id", "query_id").limit(5)
+    settings = spark.createDataFrame([(1, "u", "t", True, 0)], settings_schema())
+    a = answer_questions(qs, chunk_documents(docs, add_time=0), settings, always_fails).collect()
+    assert a and all(r["generator_failed"] and r["source"] == "markdown" for r in a)
+    assert all(r["answer"].startswith("### File: ") for r in a if r["n_hits"] > 0)
+    after = settings_after_failures(settings, spark.createDataFrame(a), now=9).collect()
+    assert after[0]["state"] is False and after[0]["time"] == 9
