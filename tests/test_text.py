@@ -93,3 +93,13 @@ def test_overlap_repeats_tail(spark):
     assert len(over) > len(plain)
     for a, b in zip(over, over[1:]):
         assert a.split()[-1] in b.split()
+
+
+def test_epoch_seconds(spark):
+    """Epoch seconds of timestamps (session time zone UTC)."""
+    import datetime
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", TX.epoch_seconds("ts").alias("e"))
+    for r in ev.limit(50).collect():
+        assert r["e"] == int(r["ts"].replace(tzinfo=datetime.timezone.utc).timestamp() // 1)
+    assert spark.range(1).select(TX.epoch_seconds().alias("now")).first()["now"] > 1_600_000_000
