@@ -37,6 +37,14 @@ from chunkwise.streaming import status as ST  # noqa: E402
 from chunkwise.schemas import files_schema  # noqa: E402
 from chunkwise.session import scratch_path  # noqa: E402
 
+try:  # the training-data operators and their pipeline, if they are there
+    import corpus_pipeline as CP
+    from chunkwise.llm import queries as LQ
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "chunkwise.llm"):
+        raise
+    CP = LQ = None
+
 try:  # the stub generator below runs in Python workers, which need not import this file
     from pyspark import cloudpickle as _cp
 
@@ -1057,6 +1065,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "x1_stream_ingest": q_x1_stream_ingest,
         "r6_answer_generator": q_r6_answer_generator,
         "r7_answer_disabled": q_r7_answer_disabled,
+        **(LQ.queries() if LQ else {}),
+        **({"pipeline": CP.run} if CP else {}),
     }
 
 
@@ -1106,6 +1116,8 @@ SELECT id AS chunk_id, count(*) AS nnz, round(sum(w::DOUBLE * (b + 1)), 5) AS we
        round(sum(abs(w::DOUBLE)), 5) AS l1 FROM cv WHERE w <> 0 GROUP BY ALL""",
         "r6_answer_generator": _sql_answers(True),
         "r7_answer_disabled": _sql_answers(False),
+        **(LQ.oracle_sql() if LQ else {}),
+        **({"pipeline": CP.ORACLE_SQL} if CP and CP.ORACLE_SQL else {}),
     }
 
 
