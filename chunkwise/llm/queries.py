@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import language, near_dup, packing, quality, token_counts
+from . import language, near_dup, packing, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -32,6 +32,11 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf, "documents"), with_text=False)
+    return done.select("_rest.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
 
@@ -55,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op5_suffix_dedup, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
