@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkwise.llm import language, packing, quality
+from chunkwise.llm import language, near_dup, packing, quality, suffix_dedup
 from chunkwise.llm.common import table
 from chunkwise.llm.queries import BPE_FILE, tokenizer_path
 from chunkwise.session import ensure_checkpoint_dir
@@ -27,12 +27,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs, language.sample(docs))
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest id."""
+    return near_dup.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a smaller document holds are cut out; documents of which nothing is left go."""
+    return suffix_dedup.dedup_texts(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences."""
     return packing.pack_documents(docs, tokenizer_path(BPE_FILE))
 
 
-STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("minhash_near_dedup", minhash_near_dedup),
+          ("suffix_array_dedup", suffix_array_dedup), ("best_fit_packing", best_fit_packing)]
 
 #: No SQL for compression, alignment and tokenising; tests hold each stage against brute force.
 ORACLE_SQL = None
