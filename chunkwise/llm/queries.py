@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import language, near_dup, packing, quality, suffix_dedup, token_counts
+from . import chat, language, near_dup, packing, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -32,6 +32,21 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(told).alias("text"))
+        for k, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    done = chat.format_rows(rows.union(extra))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return (done.withColumn("turns", chat.read_back(F.col("formatted")))
+            .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+            .select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                    F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                    F.char_length("formatted").cast("long").alias("formatted_chars")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = suffix_dedup.dedup(table(spark, sf, "documents"), with_text=False)
     return done.select("_rest.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -60,8 +75,22 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_suffix_dedup, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op5_suffix_dedup, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+
+
+SQL_OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) AS tl,
+             length(role) + length(regexp_replace(role, '[^<\[\]\\]', '', 'g')) AS rl FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + rl + 2 + tl + 5)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": SQL_OP3}
