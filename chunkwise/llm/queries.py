@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, language, near_dup, packing, quality, suffix_dedup, token_counts
+from . import chat, html_text, language, near_dup, packing, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("_rest.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
 
@@ -75,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op5_suffix_dedup, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
 
 
 SQL_OP3 = r"""
