@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, html_text, language, near_dup, packing, quality, suffix_dedup, token_counts
+from . import chat, html_text, language, lz_fingerprint, near_dup, packing, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
                     F.char_length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op4_lz_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return lz_fingerprint.neighbours(table(spark, sf, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = suffix_dedup.dedup(table(spark, sf, "documents"), with_text=False)
     return done.select("_rest.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -79,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
 
 
 SQL_OP3 = r"""
