@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, html_text, language, lz_fingerprint, near_dup, packing, quality, suffix_dedup, token_counts
+from . import chat, html_text, language, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    done = pieces.round_trip(table(spark, sf, "documents"), tokenizer_path(PIECE_FILE))
+    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_equal")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf, "documents"), tokenizer_path(BPE_FILE))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -83,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
 
 
 SQL_OP3 = r"""
