@@ -38,6 +38,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one salt bucket; buckets grow in number with the input, not in size.
 BUCKET_ROWS = 200_000
+MIN_BUCKETS = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -146,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", ke
     written or otherwise stable table."""
     keys = [id_col, *key]
     n = pieces.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = max(MIN_BUCKETS, -(-n // BUCKET_ROWS))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     per = salted.groupBy("length", "_salt").count()
     # counts per length: at most ``capacity`` rows, whatever the input
