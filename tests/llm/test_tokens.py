@@ -42,7 +42,7 @@ def test_packing_query(spark):
     rows = queries.op2_best_fit_packing(spark, SF).collect()
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str) == expected_pieces(texts)
-    assert check_places(rows) <= 1.002 * -(-sum(r.length for r in rows) // 1024)
+    assert check_places(rows) <= 1.006 * -(-sum(r.length for r in rows) // 1024)
 
 
 def test_packing_awkward(spark):
