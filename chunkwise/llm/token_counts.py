@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, written
 from .encoders import SentencePieceCounts, once
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -70,5 +70,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
             .select("content_digest", "text"))
     (encode_counts(todo, path).withColumn("tokenizer_digest", F.lit(version))
      .select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache))
+    # the counts that are asked for, written, so that the last join's sides are plain
+    # exchanges and a digest of many copies can be split
+    answers = written(first.select("content_digest").join(stored(spark, cache, version), "content_digest"), "token-counts")
     return (rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest")
-            .join(stored(spark, cache, version), "content_digest"))
+            .join(answers, "content_digest"))
