@@ -64,11 +64,12 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     # one id per digest, then the missing ones: digests and ids only
     first = rows.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"))
     misses = first.join(stored(spark, cache, version), "content_digest", "left_anti")
-    # texts move by row id; rows with one id and text (repeated rows) are encoded once
+    # texts move by row id; of rows with one id and text (repeated rows) one count is stored
     todo = (rows.withColumnRenamed("content_digest", "d")
             .join(misses, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("d") == F.col("content_digest")))
             .select("content_digest", "text"))
-    (encode_counts(todo, path).withColumn("tokenizer_digest", F.lit(version))
+    (encode_counts(todo, path).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+     .withColumn("tokenizer_digest", F.lit(version))
      .select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache))
     # the counts that are asked for, written, so that the last join's sides are plain
     # exchanges and a digest of many copies can be split
