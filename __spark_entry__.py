@@ -85,7 +85,8 @@ def s_clean(x: str) -> str:
 
 
 def s_fold(x: str) -> str:
-    return f"replace(replace(replace({x}, chr(10) || chr(10), chr(1)), chr(10), ' '), chr(1), chr(10) || chr(10))"
+    return (f"array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), "
+            f"lambda part: replace(part, chr(10), ' ')), chr(10) || chr(10))")
 
 
 def s_ntok(x: str) -> str:
@@ -93,22 +94,26 @@ def s_ntok(x: str) -> str:
 
 
 def s_sentences(x: str) -> str:
+    # chr(1) marks the cuts of texts that hold none themselves
     m = f"regexp_replace({x}, '([.!?;])\\s+', '\\1' || chr(1), 'g')"
+    m = f"regexp_replace({m}, '([。！？；]+)\\s*', '\\1' || chr(1), 'g')"
     m = f"regexp_replace({m}, '\\s*\\n\\s*', chr(1), 'g')"
     return (f"list_filter(list_transform(string_split({m}, chr(1)), "
             f"lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')")
 
 
 def s_units(x: str, cap: int) -> str:
+    """Units of the token splitter; ``sep`` is '' after a sentence with a full-width end."""
     windows = (f"list_transform(range(0, ceil({s_ntok('w')} / {cap})::BIGINT), lambda j: "
                f"{{'t': array_to_string(regexp_extract_all(w, '{TOK}')[j * {cap} + 1 : (j + 1) * {cap}], ''), "
-               f"'s': CASE WHEN j = 0 THEN ' ' ELSE '' END, "
+               f"'s': CASE WHEN j = 0 AND (k > 1 OR i = 1 OR NOT regexp_matches(q[i - 1], '[。！？；]$')) THEN ' ' ELSE '' END, "
                f"'n': least({s_ntok('w')} - j * {cap}, {cap})::INTEGER}})")
+    sep = "CASE WHEN i = 1 OR NOT regexp_matches(q[i - 1], '[。！？；]$') THEN ' ' ELSE '' END"
     words = (f"flatten(list_transform(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> ''), "
-             f"lambda w: CASE WHEN {s_ntok('w')} <= {cap} "
-             f"THEN [{{'t': w, 's': ' ', 'n': {s_ntok('w')}::INTEGER}}] ELSE {windows} END))")
-    return (f"flatten(list_transform({s_sentences(x)}, lambda s: CASE WHEN {s_ntok('s')} <= {cap} "
-            f"THEN [{{'t': s, 's': ' ', 'n': {s_ntok('s')}::INTEGER}}] ELSE {words} END))")
+             f"lambda w, k: CASE WHEN {s_ntok('w')} <= {cap} "
+             f"THEN [{{'t': w, 's': CASE WHEN k > 1 THEN ' ' ELSE {sep} END, 'n': {s_ntok('w')}::INTEGER}}] ELSE {windows} END))")
+    return (f"list_transform([{s_sentences(x)}], lambda q: flatten(list_transform(q, lambda s, i: CASE WHEN {s_ntok('s')} <= {cap} "
+            f"THEN [{{'t': s, 's': {sep}, 'n': {s_ntok('s')}::INTEGER}}] ELSE {words} END)))[1]")
 
 
 def s_pack(u: str, cap: int) -> str:
@@ -120,6 +125,20 @@ def s_pack(u: str, cap: int) -> str:
             f"{{'out': []::STRUCT(a INTEGER, b INTEGER)[], 'a': 1, 'c': 0, 'i': 0}})")
 
 
+def s_pack_overlap(u: str, cap: int, overlap: int) -> str:
+    """The fold with overlap: ``w`` holds the counts of the open chunk's units; a new chunk
+    starts with its last ``k`` units, as many as fit the overlap and, with ``x``, the cap."""
+    k = (f"len(list_filter(range(1, len(st.w)), lambda m: list_sum(st.w[len(st.w) - m + 1 :]) <= {overlap} "
+         f"AND list_sum(st.w[len(st.w) - m + 1 :]) + x <= {cap}))")
+    return (f"list_reduce(list_transform({u}, lambda v: v.n), lambda st, x: "
+            f"CASE WHEN st.c > 0 AND st.c + x > {cap} "
+            f"THEN {{'out': list_append(st.out, {{'a': st.a, 'b': st.i}}), 'a': (st.i + 1 - {k})::INTEGER, "
+            f"'c': (coalesce(list_sum(st.w[len(st.w) - {k} + 1 :]), 0) + x)::INTEGER, 'i': st.i + 1, "
+            f"'w': list_append(st.w[len(st.w) - {k} + 1 :], x)}} "
+            f"ELSE {{'out': st.out, 'a': st.a, 'c': st.c + x, 'i': st.i + 1, 'w': list_append(st.w, x)}} END, "
+            f"{{'out': []::STRUCT(a INTEGER, b INTEGER)[], 'a': 1, 'c': 0, 'i': 0, 'w': []::INTEGER[]}})")
+
+
 def s_pack_finish(r: str) -> str:
     return f"CASE WHEN {r}.i >= {r}.a THEN list_append({r}.out, {{'a': {r}.a, 'b': {r}.i}}) ELSE {r}.out END"
 
@@ -129,13 +148,14 @@ def s_span_texts(u: str, spans: str) -> str:
             f"list_transform({u}[sp.a : sp.b], lambda v: v.s || v.t), ''), '^ ', ''))")
 
 
-def s_chunks_cte(size: int, src: str = "documents") -> str:
+def s_chunks_cte(size: int, src: str = "documents", overlap: int = 0) -> str:
     """CTE chain ending in ``ch(doc_id, source, pos, text)`` (T1 -> T2 -> T5)."""
     cap = size - 2
+    pack = s_pack_overlap("u", cap, overlap) if overlap else s_pack("u", cap)
     return f"""
 d0 AS (SELECT doc_id, source, {s_fold(s_clean('text'))} AS t FROM {src}),
 d1 AS (SELECT doc_id, source, {s_units('t', cap)} AS u FROM d0),
-d2 AS (SELECT doc_id, source, u, {s_pack('u', cap)} AS r FROM d1),
+d2 AS (SELECT doc_id, source, u, {pack} AS r FROM d1),
 d3 AS (SELECT doc_id, source, {s_span_texts('u', s_pack_finish('r'))} AS cs FROM d2),
 ch AS (SELECT doc_id, source, unnest(range(len(cs)))::INTEGER AS pos, unnest(cs) AS text FROM d3)"""
 
@@ -169,7 +189,7 @@ hits AS (SELECT t.query_id, t.chunk_id, x.file_path, x.text, t.distance,
 
 
 CHX_CTE = """
-chx AS (SELECT doc_id * 1048576 + pos AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path,
+chx AS (SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path,
         pos, text FROM ch)"""
 
 def dirty_spark():
@@ -216,6 +236,15 @@ def q_t2_fold_newlines(spark, sf):
     return d.select("doc_id", TX.fold_newlines(runs_spark()).alias("text"))
 
 
+CONTROL_SQL = "replace(replace(text, '. ', chr(1) || '.' || chr(10) || chr(1)), ', ', chr(10) || chr(10) || chr(1))"
+
+
+def q_t2_control_chars(spark, sf):
+    """T2 on texts that hold control characters of their own: they are kept."""
+    t = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("\u0001.\n\u0001")), F.lit(", "), F.lit("\n\n\u0001"))
+    return _t(spark, sf, "documents").select("doc_id", TX.fold_newlines(t).alias("text"))
+
+
 def q_t3_token_count(spark, sf):
     d = _t(spark, sf, "documents")
     return d.select("doc_id", TX.token_count("text").alias("n_tokens"))
@@ -232,6 +261,22 @@ def q_t5_token_chunks(spark, sf):
     return _token_split(spark, sf, CHUNK)
 
 
+CJK_SQL = "replace(replace(replace(text, '. ', '。'), ', ', '，'), ' ', '')"
+OVERLAP = 32
+
+
+def q_t5_cjk(spark, sf):
+    """T5 on documents in the manner of Chinese: full-width ends, no blanks."""
+    t = F.replace(F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("。")), F.lit(", "), F.lit("，")), F.lit(" "), F.lit(""))
+    d = _t(spark, sf, "documents").select("doc_id", TX.normalize_text(t).alias("text"))
+    return SP.split_tokens(d, "text", size=CHUNK, keep=["doc_id"]).select("doc_id", F.col("pos").cast("int").alias("pos"), "text")
+
+
+def q_t5_overlap(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", TX.normalize_text(F.col("text")).alias("text"))
+    return SP.split_tokens(d, "text", size=CHUNK, overlap=OVERLAP, keep=["doc_id"]).select("doc_id", F.col("pos").cast("int").alias("pos"), "text")
+
+
 def q_t4_token_pieces(spark, sf):
     return _token_split(spark, sf, PIECE)
 
@@ -254,6 +299,12 @@ def _chunks(spark, sf, size=CHUNK):
     return chunk_documents(_t(spark, sf, "documents"), size=size, add_time=0)
 
 
+def q_e3_large_doc_ids(spark, sf):
+    """E3 with ids beyond 2**50: a chunk's id is its path and position, with no range of its own."""
+    d = _t(spark, sf, "documents").withColumn("doc_id", F.col("doc_id") + F.lit(1 << 50))
+    return chunk_documents(d, size=CHUNK, add_time=0).select("chunk_id", "file_path", "pos", "text")
+
+
 def q_e3_embed_chunks(spark, sf):
     c = _chunks(spark, sf)
     ex = F.posexplode_outer("embedding")
@@ -769,7 +820,7 @@ SELECT * FROM registry WHERE file_path NOT IN (
 gone AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 SELECT 'files' AS tbl, file_path AS key FROM registry WHERE file_path NOT IN (SELECT source FROM gone)
 UNION ALL
-SELECT 'chunks' AS tbl, (doc_id * 1048576 + pos)::VARCHAR AS key FROM ch WHERE source NOT IN (SELECT source FROM gone)""",
+SELECT 'chunks' AS tbl, source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS key FROM ch WHERE source NOT IN (SELECT source FROM gone)""",
         "m3_update_progress": f"WITH {REGISTRY_SQL}, {UPDATED_SQL} SELECT * FROM updated",
         "m4_update_token": f"""WITH {SETTINGS_SQL}, {_sql_token_changes("lang = 'fr'")}
 SELECT s.id, coalesce(c.url, s.url) AS url, coalesce(c.token, s.token) AS token,
@@ -897,7 +948,7 @@ FROM ls""",
         "c7_assemble_keep": _sql_c7(True),
         "c7_assemble_drop": _sql_c7(False),
         "c9_sentence_strategy": f"""WITH {s_chunks_cte(CHUNK)}
-SELECT doc_id * 1048576 + pos AS chunk_id, source AS root_path, source || '/' || doc_id::VARCHAR || '.txt' AS file_path,
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source AS root_path, source || '/' || doc_id::VARCHAR || '.txt' AS file_path,
        pos, text, 0::BIGINT AS add_time FROM ch""",
     }
 
@@ -990,7 +1041,7 @@ r AS (SELECT doc_id, ptexts, list_reduce(ps, lambda st, pc:
 fin AS (SELECT doc_id, list_transform(CASE WHEN len(st.cur) > 0 THEN list_append(st.out, st.cur) ELSE st.out END,
           lambda m: array_to_string(list_transform(m, lambda q: ptexts[q + 1]), chr(10))) AS chunks FROM r),
 x AS (SELECT doc_id, unnest(range(len(chunks)))::INTEGER AS pos, unnest(chunks) AS text FROM fin)
-SELECT x.doc_id * 1048576 + x.pos AS chunk_id, d.source || '/' || x.doc_id::VARCHAR || '.txt' AS file_path, x.pos, x.text,
+SELECT d.source || '/' || x.doc_id::VARCHAR || '.txt#' || lpad(x.pos::VARCHAR, 10, '0') AS chunk_id, d.source || '/' || x.doc_id::VARCHAR || '.txt' AS file_path, x.pos, x.text,
        ({s_ntok('x.text')} + 2)::INTEGER AS n_tokens
 FROM x JOIN documents d USING (doc_id)"""
 
@@ -1016,6 +1067,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "t3_token_count": q_t3_token_count,
         "t4_token_pieces": q_t4_token_pieces,
         "t5_token_chunks": q_t5_token_chunks,
+        "t2_control_chars": q_t2_control_chars,
+        "t5_cjk": q_t5_cjk,
+        "t5_overlap": q_t5_overlap,
+        "e3_large_doc_ids": q_e3_large_doc_ids,
         "t6_sentence_pack": q_t6_sentence_pack,
         "e2_hash_embed": q_e2_hash_embed,
         "e3_embed_chunks": q_e3_embed_chunks,
@@ -1074,6 +1129,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "t1_clean": f"SELECT doc_id, {s_clean(DIRTY_SQL)} AS text FROM documents",
         "t2_fold_newlines": f"SELECT doc_id, {s_fold(RUNS_SQL)} AS text FROM documents",
+        "t2_control_chars": f"SELECT doc_id, {s_fold(CONTROL_SQL)} AS text FROM documents",
+        "t5_cjk": f"WITH cjk AS (SELECT doc_id, source, {CJK_SQL} AS text FROM documents), {s_chunks_cte(CHUNK, 'cjk')} SELECT doc_id, pos, text FROM ch",
+        "t5_overlap": f"WITH {s_chunks_cte(CHUNK, overlap=OVERLAP)} SELECT doc_id, pos, text FROM ch",
+        "e3_large_doc_ids": f"""WITH big AS (SELECT doc_id + 1125899906842624 AS doc_id, source, text FROM documents), {s_chunks_cte(CHUNK, 'big')}
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id,
+       source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text FROM ch""",
         "t3_token_count": f"SELECT doc_id, ({s_ntok('text')} + 2)::INTEGER AS n_tokens FROM documents",
         "t4_token_pieces": _sql_tokens(PIECE),
         "t5_token_chunks": _sql_tokens(CHUNK),
@@ -1104,7 +1165,7 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         **_sql_c(),
         "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
         "m1_bucketed_table_delete": f"""WITH {s_chunks_cte(CHUNK)}
-SELECT doc_id * 1048576 + pos AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
 FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
         "c5_threshold": f"""WITH {_sql_pieces()}, {_sql_bisect()}
 SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,

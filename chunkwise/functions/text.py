@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 # non-space character.  Two special tokens are added per text.
 TOKEN_PATTERN = r"[一-鿿]|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 SPECIAL_TOKENS = 2
-# Sentence terminators used by the token splitter.
+# Sentence terminators used by the token splitter: the first kind ends a
+# sentence when blanks follow, the second (full-width) always.
 SENTENCE_END = ".!?;"
-# Placeholder used while folding newlines (never present in input text).
-SENTINEL = "\u0001"
+WIDE_END = "。！？；"
 # ---------------------------------------------------------------------------
 
 
@@ -35,10 +35,9 @@ def clean_text(col) -> Column:
 
 
 def fold_newlines(col) -> Column:
-    """Single newlines become spaces, double newlines stay (pairs left to right)."""
-    t = F.replace(_c(col), F.lit("\n\n"), F.lit(SENTINEL))
-    t = F.replace(t, F.lit("\n"), F.lit(" "))
-    return F.replace(t, F.lit(SENTINEL), F.lit("\n\n"))
+    """Single newlines become spaces, double newlines stay (pairs left to right):
+    the last newline of every run of odd length is the single one."""
+    return F.regexp_replace(_c(col), r"(?<!\n)((?:\n\n)*+)\n(?!\n)", "$1 ")
 
 
 def normalize_text(col) -> Column:

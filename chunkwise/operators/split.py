@@ -5,11 +5,13 @@ shuffle, and the document's pieces come out with ``posexplode``.
 
 Boundary order of the token splitter (our own, documented): a chunk never
 exceeds ``size`` tokens (special tokens included) unless a single token does.
-Units are sentences (cut after ``. ! ? ;`` followed by blanks, and at every
-newline); a sentence over budget is cut into words (blank-separated); a word
-over budget is cut into windows of tokens.  Units are packed greedily, in order.
-Inside a chunk, sentences and words are joined by one space and token windows
-of one word are joined with nothing, so every non-blank character is kept.
+Units are sentences, cut at every newline, after ``. ! ? ;`` followed by
+blanks, and after a run of the full-width ``。 ！ ？ ；``; a sentence over budget
+is cut into words (blank-separated); a word over budget is cut into windows of
+tokens.  Units are packed greedily, in order.  Inside a chunk, sentences and
+words are joined by one space, but a sentence after a full-width end and the
+token windows of one word are joined with nothing, so every non-blank
+character is kept.  No character of a text has a special meaning to the cuts.
 """
 
 from __future__ import annotations
@@ -17,23 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTINEL, SPECIAL_TOKENS, TOKEN_PATTERN, _c
+from ..functions.text import SENTENCE_END, SPECIAL_TOKENS, TOKEN_PATTERN, WIDE_END, _c
 
 
 def _ntok(x: Column) -> Column:
     return F.regexp_count(x, F.lit(TOKEN_PATTERN))
 
 
+_CUT = rf"\s*\n\s*|(?<=[{SENTENCE_END}])\s+|(?<=[{WIDE_END}])(?![{WIDE_END}])\s*"
+
+
 def sentences(col) -> Column:
     """array<string>: sentences of a text, blanks trimmed, empties dropped.
 
-    The markers swallow the blanks on both sides of every cut, so only the
-    text's own ends can carry blanks: one trim of the whole text trims every
-    sentence."""
+    The cuts swallow the blanks on both sides, so only the text's own ends can
+    carry blanks: one trim of the whole text trims every sentence."""
     trimmed = F.regexp_replace(_c(col), r"^\s+|\s+$", "")
-    marked = F.regexp_replace(trimmed, r"([.!?;])\s+", "$1" + SENTINEL)
-    marked = F.regexp_replace(marked, r"\s*\n\s*", SENTINEL)
-    return F.filter(F.split(marked, SENTINEL), lambda s: s != F.lit(""))
+    return F.filter(F.split(trimmed, _CUT, -1), lambda s: s != F.lit(""))
+
+
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once however often ``fn`` uses it:
+    an expression that a nested lambda names is evaluated per element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def split_units(col, cap: int) -> Column:
@@ -42,26 +50,36 @@ def split_units(col, cap: int) -> Column:
     ``t`` is the text, ``s`` the separator placed before it inside a chunk and
     ``n`` its token count (without special tokens).
     """
-    def word_units(w):
-        toks = F.regexp_extract_all(w, F.lit(TOKEN_PATTERN), F.lit(0))
+    def unit(t, sep, n):
+        return F.struct(t.alias("t"), sep.alias("s"), n.cast("int").alias("n"))
+
+    def windows(toks, sep):
         nw = F.size(toks)
-        windows = F.transform(
+        return F.transform(
             F.sequence(F.lit(0), F.greatest(F.ceil(nw / F.lit(cap)).cast("int") - 1, F.lit(0))),
-            lambda j: F.struct(
-                F.array_join(F.slice(toks, j * cap + 1, F.lit(cap)), "").alias("t"),
-                F.when(j == 0, F.lit(" ")).otherwise(F.lit("")).alias("s"),
-                F.least(nw - j * cap, F.lit(cap)).cast("int").alias("n")))
-        return F.when(nw <= cap, F.array(F.struct(w.alias("t"), F.lit(" ").alias("s"),
-                                                  nw.cast("int").alias("n")))).otherwise(windows)
-
-    def sentence_units(s):
-        ns = _ntok(s)
+            lambda j: unit(F.array_join(F.slice(toks, j * cap + 1, F.lit(cap)), ""),
+                           F.when(j == 0, sep).otherwise(F.lit("")), F.least(nw - j * cap, F.lit(cap))))
+
+    def word_units(w, sep):
+        return F.when(_ntok(w) <= cap, F.array(unit(w, sep, _ntok(w)))).otherwise(
+            _once(F.regexp_extract_all(w, F.lit(TOKEN_PATTERN), F.lit(0)), lambda toks: windows(toks, sep)))
+
+    def sentence_units(s, sep):
         words = F.filter(F.split(s, r"\s+"), lambda w: w != F.lit(""))
-        return F.when(ns <= cap, F.array(F.struct(s.alias("t"), F.lit(" ").alias("s"),
-                                                  ns.cast("int").alias("n")))) \
-            .otherwise(F.flatten(F.transform(words, word_units)))
+        return F.when(_ntok(s) <= cap, F.array(unit(s, sep, _ntok(s)))).otherwise(
+            F.flatten(F.transform(words, lambda w, k: word_units(w, F.when(k == 0, sep).otherwise(F.lit(" "))))))
 
-    return F.flatten(F.transform(sentences(col), sentence_units))
+    def all_units(ss):
+        # a sentence after a full-width end has no blank before it
+        before = F.concat(F.array(F.lit("")), F.slice(ss, 1, F.greatest(F.size(ss) - 1, F.lit(0))))
+        return F.flatten(F.zip_with(ss, before, lambda s, p: sentence_units(
+            s, F.when(p.rlike(f"[{WIDE_END}]$"), F.lit("")).otherwise(F.lit(" ")))))
+
+    return F.coalesce(_once(sentences(col), all_units), F.array().cast("array<struct<t:string,s:string,n:int>>"))
+
+
+#: Spans of one inner list; a fold that appends copies at most this many.
+_RUN = 256
 
 
 def pack_spans(units: Column, cap: int, overlap: int = 0) -> Column:
@@ -69,48 +87,50 @@ def pack_spans(units: Column, cap: int, overlap: int = 0) -> Column:
 
     A new chunk starts when the running count would exceed ``cap``.  With
     ``overlap`` > 0 the new chunk re-uses the trailing units of the previous
-    one whose tokens sum to at most ``overlap``.
+    one whose tokens sum to at most ``overlap`` (and, with the new unit, fit).
+    The accumulator carries the counts of the open chunk only (``w``, at most
+    ``cap`` of them), and finished spans in lists of ``_RUN``.
     """
     ns = F.transform(units, lambda u: u["n"])
-    # prefix sums, 1-based: ps[i] = sum of n over units 1..i-1 (only needed for overlap)
-    ps = F.concat(F.array(F.lit(0)), _prefix_sums(ns)) if overlap > 0 else None
-    zero = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("out"),
-                    F.lit(1).alias("a"), F.lit(0).alias("c"), F.lit(0).alias("i"))
+    spans, ints = "array<struct<a:int,b:int>>", "array<int>"
+    zero = F.struct(F.array().cast(f"array<{spans}>").alias("out"), F.array().cast(spans).alias("run"),
+                    F.lit(1).alias("a"), F.lit(0).alias("c"), F.lit(0).alias("i"), F.array().cast(ints).alias("w"))
+
+    def tail(w, x):
+        """(k, s): the trailing units that fit the overlap, and their tokens."""
+        return F.aggregate(
+            F.reverse(F.slice(w, 2, F.size(w))), F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.lit(True).alias("on")),
+            lambda st, n: F.when(st["on"] & (st["s"] + n <= overlap) & (st["s"] + n + x <= cap), F.struct(
+                (st["k"] + 1).alias("k"), (st["s"] + n).alias("s"), F.lit(True).alias("on")))
+            .otherwise(F.struct(st["k"].alias("k"), st["s"].alias("s"), F.lit(False).alias("on"))))
 
     def step(st, x):
         i = st["i"] + 1
         full = (st["c"] > 0) & (st["c"] + x > cap)
+        span = F.array(F.struct(st["a"].alias("a"), (i - 1).alias("b")))
+        out = F.when(F.size(st["run"]) >= _RUN, F.concat(st["out"], F.array(st["run"]))).otherwise(st["out"])
+        run = F.when(F.size(st["run"]) >= _RUN, span).otherwise(F.concat(st["run"], span))
+
+        def opened(k, s, w):
+            return F.struct(out.alias("out"), run.alias("run"), (i - k).alias("a"), (s + x).alias("c"), i.alias("i"), w.alias("w"))
+
+        none = F.array().cast(ints)
         if overlap > 0:
-            cand = F.filter(F.sequence(st["a"] + 1, i),
-                            lambda j: (F.element_at(ps, i) - F.element_at(ps, j) <= overlap)
-                            & (F.element_at(ps, i + 1) - F.element_at(ps, j) <= cap))
-            new_a = F.array_min(cand)
-            new_c = F.element_at(ps, i + 1) - F.element_at(ps, new_a)
+            new = _once(tail(st["w"], x), lambda t: opened(t["k"], t["s"], F.concat(
+                F.slice(st["w"], F.size(st["w"]) - t["k"] + 1, t["k"]), F.array(x))))
+            w = F.concat(st["w"], F.array(x))
         else:
-            new_a = i
-            new_c = x
-        return F.when(full, F.struct(
-            F.concat(st["out"], F.array(F.struct(st["a"].alias("a"), (i - 1).alias("b")))).alias("out"),
-            new_a.alias("a"), new_c.alias("c"), i.alias("i"))) \
-            .otherwise(F.struct(st["out"].alias("out"), st["a"].alias("a"),
-                                (st["c"] + x).alias("c"), i.alias("i")))
+            new, w = opened(F.lit(0), F.lit(0), none), none
+        return F.when(full, new).otherwise(F.struct(
+            st["out"].alias("out"), st["run"].alias("run"), st["a"].alias("a"), (st["c"] + x).alias("c"), i.alias("i"), w.alias("w")))
 
     def finish(st):
-        return F.when(st["i"] >= st["a"], F.concat(
-            st["out"], F.array(F.struct(st["a"].alias("a"), st["i"].alias("b"))))).otherwise(st["out"])
+        last = F.when(st["i"] >= st["a"], F.array(F.struct(st["a"].alias("a"), st["i"].alias("b")))).otherwise(F.array().cast(spans))
+        return F.concat(F.flatten(st["out"]), st["run"], last)
 
     return F.aggregate(ns, zero, step, finish)
 
 
-def _prefix_sums(ns: Column) -> Column:
-    """Running sums of an int array (without leading zero), linear fold."""
-    return F.aggregate(
-        ns, F.struct(F.array().cast("array<int>").alias("v"), F.lit(0).alias("s")),
-        lambda acc, x: F.struct(F.concat(acc["v"], F.array(acc["s"] + x)).alias("v"),
-                                (acc["s"] + x).alias("s")),
-        lambda acc: acc["v"])
-
-
 def span_text(units: Column, span: Column) -> Column:
     """Chunk text of a unit span: the first unit's own text, then every later
     unit with its separator."""

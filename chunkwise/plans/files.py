@@ -2,7 +2,7 @@
 
 One distributed job: every file is a row, failed files stay as rows with
 ``error`` (nothing dropped silently).  Chunks keep both the registered root
-(the delete key) and the real file path; ``chunk_id = xxhash64(file_path, pos)``.
+(the delete key) and the real file path; a chunk's id is its file path and position.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from ..operators.embed import HashingEmbedder
+from .ingest import chunk_key
 from ..operators.split import explode_positions, with_token_chunks
 from ..session import spread
 from ..sources.files import extract_text, list_files
@@ -51,7 +52,7 @@ def chunk_files(files: DataFrame, *, size: int = 256, overlap: int = 0, embedder
     else:
         staged = with_token_chunks(ok, "_t", "_chunks", size, overlap)
     chunks = explode_positions(staged, ["root_path", "file_path"], "_chunks", "pos", "text")
-    chunks = chunks.select(F.xxhash64("file_path", "pos").alias("chunk_id"), "root_path", "file_path",
+    chunks = chunks.select(chunk_key(F.col("file_path"), F.col("pos")), "root_path", "file_path",
                            F.col("pos").cast("int").alias("pos"), "text",
                            embedder.embed(F.col("text")).alias("embedding"), stamp.cast("long").alias("add_time"))
     return chunks, failures

@@ -2,9 +2,8 @@
 
 Everything is row-local (no shuffle): each document's chunks are produced by
 higher-order functions inside its own row and exploded; the embedder is
-JVM-side hashing plus an Arrow scatter.  The chunk id is stable:
-``doc_id * 2**20 + pos`` for keyed tables, ``xxhash64(file_path, pos)`` for
-file trees.
+JVM-side hashing plus an Arrow scatter.  A chunk's id is its file path and
+position (:func:`chunk_key`): exact for any id and any number of chunks.
 """
 
 from __future__ import annotations
@@ -17,11 +16,9 @@ from ..operators.embed import HashingEmbedder
 from ..session import spread
 from ..operators.split import explode_positions, with_token_chunks
 
-POS_BITS = 20
-
-
-def doc_chunk_id(doc_id: Column, pos: Column) -> Column:
-    return (doc_id.cast("long") * F.lit(1 << POS_BITS) + pos.cast("long")).alias("chunk_id")
+def chunk_key(file_path: Column, pos: Column) -> Column:
+    """A chunk's identity: its file and its position, as one string that sorts by both."""
+    return F.concat(file_path, F.lit("#"), F.lpad(pos.cast("string"), 10, "0")).alias("chunk_id")
 
 
 def document_path(df_source: Column, doc_id: Column) -> Column:
@@ -60,7 +57,7 @@ def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embed
         raise ValueError(f"unknown strategy {strategy!r}")
     vec = F.col("_vec") if "_vec" in chunks.columns else embedder.embed(F.col("text"))
     return chunks.select(
-        doc_chunk_id(F.col("_id"), F.col("pos")),
+        chunk_key(document_path(F.col("root_path"), F.col("_id")), F.col("pos")),
         F.col("root_path"),
         document_path(F.col("root_path"), F.col("_id")).alias("file_path"),
         F.col("pos").cast("int").alias("pos"),

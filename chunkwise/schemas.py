@@ -20,9 +20,9 @@ def files_schema() -> T.StructType:
 
 def chunks_schema() -> T.StructType:
     """One row per chunk. ``root_path`` is the registered path (delete key),
-    ``file_path`` the real file, ``chunk_id`` a stable id used for tie-breaks."""
+    ``file_path`` the real file, ``chunk_id`` file path and position (identity and tie-breaks)."""
     return T.StructType([
-        T.StructField("chunk_id", T.LongType(), False),
+        T.StructField("chunk_id", T.StringType(), False),
         T.StructField("root_path", T.StringType(), False),
         T.StructField("file_path", T.StringType(), False),
         T.StructField("pos", T.IntegerType(), False),
