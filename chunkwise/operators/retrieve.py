@@ -6,14 +6,15 @@ scan, as in the reference.
 
 Plans:
 
-* tables of queries (:func:`top_k`): the query matrix is
-  broadcast after a size check (rows x dim x 8 bytes <= ``max_broadcast_bytes``).
-  Each corpus partition streams its Arrow batches through a NumPy block
-  product and keeps only its own top-k per query, so at most
-  ``partitions x queries x k`` candidate rows reach the single shuffle, where
-  ``row_number() <= k`` (planned as a WindowGroupLimit) picks the global top-k.
-  More queries than the bound: the queries are cut into blocks that each fit
-  the bound, and each block is one such pass (a union of passes).
+* tables of queries (:func:`top_k`): the corpus scan reads the id and the
+  vector only, once, however many queries there are.  Query vectors are
+  broadcast in blocks of proven size (rows x dim x 8 bytes <=
+  ``max_broadcast_bytes``); a task scores every Arrow batch against one block
+  after another in a NumPy block product and keeps its own top-k per query as
+  (query, id, distance).  Those rows are merged in two levels, first by (query,
+  partition modulo ``MERGE_WAYS``), then by query, so no task sorts the
+  candidates of all partitions.  The payload columns are joined to the
+  ``queries x k`` hits at the end.
 * no pair table is ever built: candidates are scored inside each corpus
   partition and only the per-partition top-k leave it.
 * :func:`nearest` (R1) for one literal vector: ``orderBy(distance, id).limit(k)``
@@ -79,10 +80,10 @@ def nearest(corpus: DataFrame, vector, k: int = DEFAULT_K, max_distance: float =
 # ---------------------------------------------------------------------------
 # R2: a table of queries
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows`` (reads at most max_rows+1 rows), else None."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
+#: First-level merge groups of one query.
+MERGE_WAYS = 64
+#: Hits up to this many are broadcast to the payload scan (about 100 bytes each).
+MAX_HIT_ROWS = 2_000_000
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
@@ -91,7 +92,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
           corpus_id: str = "chunk_id", corpus_vec: str = "embedding",
           payload: list[str] | None = None, dim: int | None = None,
           max_broadcast_bytes: int = 128 << 20) -> DataFrame:
-    """Top-k corpus rows per query.
+    """Top-k corpus rows per query; ``corpus_id`` is unique in the corpus.
 
     Returns ``query_id``, the corpus id, the ``payload`` columns (default: every
     corpus column except the vector), ``distance`` and ``rank`` (1-based).
@@ -102,81 +103,60 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     payload = [c for c in payload if c != corpus_id]
     qv = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qvec")) \
         .where(F.col("_qvec").isNotNull())
-    out = _top_k_block(qv, corpus, k, max_distance, min_distance, corpus_id, corpus_vec,
-                       payload, dim, max_broadcast_bytes)
-    return out.withColumnRenamed("_qid", query_id)
-
-
-def _rank_global(cands: DataFrame, k: int, corpus_id: str) -> DataFrame:
-    w = Window.partitionBy("_qid").orderBy(F.col("distance").asc(), F.col(corpus_id).asc())
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _top_k_block(qv, corpus, k, max_d, min_d, corpus_id, corpus_vec, payload, dim, max_bytes):
     spark = corpus.sparkSession
     if dim is None:  # size the bound from the actual vectors (one row)
         first = qv.select(F.size("_qvec").alias("n")).limit(1).collect()
-        dim_hint = max(1, first[0]["n"]) if first else 1
+        dim = max(1, first[0]["n"]) if first else 1
+    blocks, total = _broadcast_blocks(spark, qv, dim, max(1, max_broadcast_bytes // (8 * dim)))
+    slim = corpus.select(corpus_id, corpus_vec)
+    schema = T.StructType([T.StructField("_qid", qv.schema["_qid"].dataType), T.StructField(corpus_id, slim.schema[corpus_id].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    if blocks:
+        cands = slim.mapInArrow(_scan(blocks, k, max_distance, min_distance, corpus_id, corpus_vec, dim, schema), schema)
     else:
-        dim_hint = dim
-    max_rows = max(1, max_bytes // (8 * dim_hint))
-    n = bounded_rows(qv, max_rows)
-    qid_type = qv.schema["_qid"].dataType
-    corpus_part = corpus.select(corpus_id, corpus_vec, *payload)
-    out_schema = T.StructType(
-        [T.StructField("_qid", qid_type, True)]
-        + [f for f in corpus_part.schema.fields if f.name != corpus_vec]
-        + [T.StructField("distance", T.DoubleType(), True)])
-    if n is not None:
-        blocks = [qv]
-    else:
-        # more queries than one broadcast may hold: blocks of proven bounded size
+        cands = spark.createDataFrame([], schema)
+    near = [F.col("distance").asc(), F.col(corpus_id).asc()]
+    part = cands.withColumn("_way", F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)))
+    part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_qid", "_way").orderBy(*near))).where(F.col("_r") <= k)
+    hits = (part.select("_qid", corpus_id, "distance")
+            .withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*near))).where(F.col("rank") <= k))
+    if payload:
+        small = F.broadcast(hits) if total * k <= MAX_HIT_ROWS else hits
+        hits = corpus.select(corpus_id, *payload).join(small, corpus_id)
+    return hits.select(F.col("_qid").alias(query_id), corpus_id, *payload, "distance", "rank")
+
+
+def _broadcast_blocks(spark, qv: DataFrame, dim: int, max_rows: int) -> tuple[list, int]:
+    """Broadcasts of (ids, unit vectors), each of at most ``max_rows`` queries, and the number
+    of queries.  Blocks are read one at a time; PySpark keeps a broadcast in a file, so the
+    driver holds one block in memory."""
+    total = qv.count()
+    n = -(-total // max_rows)
+    if n > 1:
         from ..session import cut_lineage
-        total = qv.count()
-        blocks = _query_blocks(cut_lineage(qv), total, max_rows, salt=0)
-    parts = []
-    for block in blocks:
-        rows = block.collect()  # at most max_rows rows (checked)
-        if not rows:
-            continue
-        qids = [r["_qid"] for r in rows]
-        if any(len(r["_qvec"]) != dim_hint for r in rows):
-            raise ValueError(f"query vectors must all have {dim_hint} dimensions")
-        mat = np.array([np.asarray(r["_qvec"], dtype=np.float64) for r in rows])
+        qv = cut_lineage(qv)
+        while True:  # a hash split into blocks of proven size
+            qv = qv.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n)))
+            if qv.groupBy("_qb").count().where(F.col("count") > max_rows).isEmpty():
+                break
+            n *= 2
+    out = []
+    for b in range(n):
+        rows = (qv if n == 1 else qv.where(F.col("_qb") == b)).select("_qid", "_qvec").collect()
+        if any(len(r["_qvec"]) != dim for r in rows):
+            raise ValueError(f"query vectors must all have {dim} dimensions")
+        mat = np.array([r["_qvec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
         qn = np.sqrt(np.einsum("ij,ij->i", mat, mat))
         good = qn > 0
-        mat = mat[good] / qn[good, None]
-        qids = [q for q, g in zip(qids, good) if g]
-        if not qids:
-            continue
-        bc = spark.sparkContext.broadcast((qids, mat))
-        fn = _block_scan(bc, k, max_d, min_d, corpus_id, corpus_vec, out_schema)
-        parts.append(corpus_part.mapInArrow(fn, out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return _rank_global(cands, k, corpus_id)
-
-
-def _query_blocks(qv: DataFrame, total: int, max_rows: int, salt: int) -> list[DataFrame]:
-    """Hash-split queries into blocks of at most ``max_rows`` rows; a block that
-    still exceeds the bound is split again with another salt."""
-    nb = max(2, -(-total // max_rows) * 2)  # headroom for hash imbalance
-    tagged = qv.withColumn("_qb", F.pmod(F.xxhash64(F.col("_qid"), F.lit(salt)), F.lit(nb)))
-    out = []
-    for b in range(nb):
-        block = tagged.where(F.col("_qb") == b).drop("_qb")
-        if bounded_rows(block, max_rows) is None:
-            out.extend(_query_blocks(block, block.count(), max_rows, salt + 1))
-        else:
-            out.append(block)
-    return out
+        if good.any():
+            out.append(spark.sparkContext.broadcast(([r["_qid"] for r, g in zip(rows, good) if g], mat[good] / qn[good, None])))
+    return out, total
 
 
 def _select_topk(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best (distance, id) per query value in q."""
+    if ids.dtype == object:
+        ids = np.unique(ids, return_inverse=True)[1]
     order = np.lexsort((ids, d, q))
     qs = q[order]
     start = np.r_[0, np.nonzero(qs[1:] != qs[:-1])[0] + 1]
@@ -184,64 +164,55 @@ def _select_topk(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def _block_scan(bc, k, max_d, min_d, corpus_id, corpus_vec, out_schema):
+def _scan(blocks, k, max_d, min_d, corpus_id, corpus_vec, dim, schema):
+    """One pass over a corpus partition: its own top-k per query of every block."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow_schema = to_arrow_schema(out_schema)
-    payload_names = [f.name for f in out_schema.fields[1:-1]]
+    arrow = to_arrow_schema(schema)
+
+    def matrix(bc):
+        # with several blocks none stays in memory between batches
+        return bc.value if len(blocks) == 1 else bc.load_from_path(bc._path)
 
     def fn(batches):
-        qids, Q = bc.value
-        dim = Q.shape[1]
-        qid_arr = pa.array(qids, type=arrow_schema.field("_qid").type)
-        kept_rows = None  # pa.Table of payload rows
-        kept_q = kept_d = kept_id = None
+        kept = [None] * len(blocks)  # (query, distance, id) arrays by block
         for b in batches:
-            if b.num_rows == 0:
-                continue
             vec = b.column(corpus_vec)
-            ln = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False)
-            okm = ln == dim
-            if not okm.all():
-                b = b.filter(pa.array(okm))
+            ok = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False) == dim
+            if not ok.all():
+                b = b.filter(pa.array(ok))
                 vec = b.column(corpus_vec)
-                if b.num_rows == 0:
-                    continue
+            if b.num_rows == 0:
+                continue
             C = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             cn = np.sqrt(np.einsum("ij,ij->i", C, C))
             nz = cn > 0
             C[nz] /= cn[nz, None]
+            ids = b.column(corpus_id).to_numpy(zero_copy_only=False)
             # query tiles keep the (rows x queries) distance block under MAX_BLOCK entries
             step = max(1, MAX_BLOCK // C.shape[0])
-            rs, cs, ds = [], [], []
-            for q0 in range(0, Q.shape[0], step):
-                D = np.round(np.maximum(1.0 - C @ Q[q0:q0 + step].T, 0.0), DISTANCE_DECIMALS)
-                valid = (D >= min_d) & (D < max_d) & nz[:, None]
-                if k < D.shape[0]:
-                    kth = np.partition(np.where(valid, D, np.inf), k - 1, axis=0)[k - 1]
-                    valid &= D <= kth[None, :]
-                r, c = np.nonzero(valid)
-                rs.append(r), cs.append(c + q0), ds.append(D[r, c])
-            r, c = np.concatenate(rs), np.concatenate(cs)
-            if len(r) == 0:
+            for at, bc in enumerate(blocks):
+                Q = matrix(bc)[1]
+                found = [kept[at]] if kept[at] is not None else []
+                for q0 in range(0, Q.shape[0], step):
+                    D = np.round(np.maximum(1.0 - C @ Q[q0:q0 + step].T, 0.0), DISTANCE_DECIMALS)
+                    valid = (D >= min_d) & (D < max_d) & nz[:, None]
+                    if k < D.shape[0]:
+                        kth = np.partition(np.where(valid, D, np.inf), k - 1, axis=0)[k - 1]
+                        valid &= D <= kth[None, :]
+                    r, c = np.nonzero(valid)
+                    found.append((c + q0, D[r, c], ids[r]))
+                q, d, i = (np.concatenate(x) for x in zip(*found))
+                sel = _select_topk(q, d, i, k)
+                kept[at] = q[sel], d[sel], i[sel]
+        for at, bc in enumerate(blocks):
+            if kept[at] is None or not len(kept[at][0]):
                 continue
-            ids = b.column(corpus_id).to_numpy(zero_copy_only=False)
-            cand_d, cand_id = np.concatenate(ds), ids[r]
-            rows = pa.Table.from_batches([b.select(payload_names)]).take(pa.array(r))
-            if kept_rows is not None:
-                rows = pa.concat_tables([kept_rows, rows])
-                cand_q = np.concatenate([kept_q, c])
-                cand_d = np.concatenate([kept_d, cand_d])
-                cand_id = np.concatenate([kept_id, cand_id])
-            else:
-                cand_q = c
-            sel = _select_topk(cand_q, cand_d, cand_id, k)
-            kept_rows = rows.take(pa.array(sel))
-            kept_q, kept_d, kept_id = cand_q[sel], cand_d[sel], cand_id[sel]
-        if kept_rows is None:
-            return
-        cols = [qid_arr.take(pa.array(kept_q))] + [kept_rows.column(nm).combine_chunks() for nm in payload_names] \
-            + [pa.array(kept_d, type=pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
+            q, d, i = kept[at]
+            qids = pa.array(matrix(bc)[0], type=arrow.field("_qid").type)
+            for s in range(0, len(q), 65536):
+                e = s + 65536
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[s:e])), pa.array(i[s:e], type=arrow.field(corpus_id).type),
+                                                  pa.array(d[s:e], type=pa.float64())], schema=arrow)
 
     return fn

@@ -34,11 +34,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a
-    scratch folder is created and registered.
+    The cluster's setting always wins.  Only in local mode, where all tasks
+    share one machine, an unset folder is created and registered; on a cluster
+    a missing setting is an error, since executors do not see one another's disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="chunkwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -71,10 +74,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     one large task per core (local[4], sf0.1 bench: 73 s -> 26 s).
     Large inputs already arrive in many splits and are left untouched."""
     target = min_partitions or TASKS_PER_SLOT * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if df.isStreaming:
+        return df
+    # files tell their splits; other inputs are small enough to count their partitions
+    files = df.inputFiles()
+    if len(files) >= target or (not files and df.rdd.getNumPartitions() >= target):
+        return df
+    return df.repartition(target) if not files or _splits(df) < target else df
+
+
+def _splits(df: DataFrame) -> int:
+    """Partitions of a plan that only reads files (no shuffle runs for the answer);
+    a plan with a shuffle has its shuffle's partitions."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    return max(1, size // int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))

@@ -33,7 +33,7 @@ def test_registry_insert_scan_pending_update(spark, tmp_dir):
 def _chunk_rows(spark, vecs):
     now = int(time.time())
     return spark.createDataFrame(
-        [(i, "test_path", "test_path", i, txt, [float(x) for x in v], now) for i, (txt, v) in enumerate(vecs)],
+        [(f"test_path#{i:010d}", "test_path", "test_path", i, txt, [float(x) for x in v], now) for i, (txt, v) in enumerate(vecs)],
         chunks_schema())
 
 
@@ -47,7 +47,7 @@ def test_chunk_table_scan_top1_delete(spark, tmp_dir):
     # 1.0 and 2.0 vectors are cosine-identical: the id breaks the tie
     assert [r["text"] for r in hit] == ["你好，世界"]
     hits = nearest(t.read(), ones, k=5, corpus_id="chunk_id").collect()
-    assert [r["chunk_id"] for r in hits] == [0, 1]  # the orthogonal vector is beyond 0.6
+    assert [r["chunk_id"] for r in hits] == ["test_path#0000000000", "test_path#0000000001"]  # the orthogonal vector is beyond 0.6
     t.replace(MU.delete_keys(t.read(), spark.createDataFrame([("test_path",)], "file_path string"), "file_path"))
     assert t.read().count() == 0
 
@@ -276,3 +276,22 @@ def test_generator_failure_falls_back_and_can_switch_off(spark):
     assert all(r["answer"].startswith("### File: ") for r in a if r["n_hits"] > 0)
     after = settings_after_failures(settings, spark.createDataFrame(a), now=9).collect()
     assert after[0]["state"] is False and after[0]["time"] == 9
+
+
+def test_top_k_reads_ids_and_vectors_only(spark, tmp_dir):
+    """The scored scan has no text in it, and any number of query blocks is one corpus pass."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(f"f#{i:010d}", "f", f"text {i}", [float(x) for x in rng.normal(size=8)]) for i in range(500)]
+    spark.createDataFrame(rows, "chunk_id string, file_path string, text string, embedding array<float>").write.parquet(f"{tmp_dir}/c")
+    corpus = spark.read.parquet(f"{tmp_dir}/c")
+    qs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)], "query_id long, embedding array<float>")
+    one = top_k(qs, corpus, k=3, max_distance=2.0, dim=8)
+    many = top_k(qs, corpus, k=3, max_distance=2.0, dim=8, max_broadcast_bytes=8 * 8 * 7)
+    for df in (one, many):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        scored = [line for line in plan.splitlines() if "FileScan" in line and "embedding" in line]
+        assert len(scored) == 1 and "text" not in scored[0].split("ReadSchema")[1]
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
