@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -678,6 +679,182 @@ def q_x1_stream_ingest(spark, sf):
     return out.select("chunk_id", "root_path", "file_path", "pos", "text", F.lit(0).cast("long").alias("add_time"))
 
 
+# ---------------------------------------------------------------------------
+# Sources, tables and streams through storage
+
+MD_PLAIN = r"[^\p{L}\p{N} .,\n]"
+
+
+def _md_plain(c):
+    return F.regexp_replace(c, MD_PLAIN, "")
+
+
+def _as_files(spark, sf):
+    """binaryFile rows that Spark derives from the documents: txt, decorated md, docx, csv by language."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    d = _t(spark, sf, "documents")
+    ext = F.when(F.col("lang") == "en", "txt").when(F.col("lang") == "de", "MD").when(F.col("lang") == "fr", "docx").otherwise("csv")
+    md = F.concat(F.lit("---\nkey: value\n---\n## "), F.replace(F.replace(F.replace(
+        _md_plain(F.col("text")), F.lit(" die "), F.lit(" **die** ")), F.lit(" und "), F.lit(" [und](http://x/y) ")), F.lit(" der "), F.lit(" `der` ")))
+
+    @F.arrow_udf("binary")
+    def docx(texts: pa.Array) -> pa.Array:
+        ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        out = []
+        for t in texts.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in t.split("\n"))
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+            out.append(buf.getvalue())
+        return pa.array(out, pa.binary())
+
+    content = (F.when(F.col("lang") == "de", md.cast("binary"))
+               .when(F.col("lang") == "fr", docx(F.when(F.col("lang") == "fr", F.col("text")))).otherwise(F.col("text").cast("binary")))
+    rows = d.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"),
+                    F.timestamp_seconds(F.lit(NOW) + F.col("doc_id")).alias("modificationTime"), content.alias("content"))
+    return rows.withColumn("length", F.octet_length("content").cast("long"))
+
+
+def q_s2_dispatch_files(spark, sf):
+    """Txt, Markdown and DOCX contents, an unsupported kind, and file metadata."""
+    from chunkwise.sources.files import extract_text
+
+    out = extract_text(_as_files(spark, sf), docx_separator="\n")
+    size = F.when(F.col("file_type") != "docx", F.col("size"))  # a zip's size is no part of the contract
+    return out.select("file_path", "file_type", "text", "error", TX.epoch_seconds("modified_at").alias("modified"), size.alias("size"))
+
+
+SQL_S2 = r"""WITH d AS (SELECT *, regexp_replace(text, '[^\p{L}\p{N} .,\n]', '', 'g') AS p FROM documents)
+SELECT doc_id::VARCHAR || CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.MD' WHEN 'fr' THEN '.docx' ELSE '.csv' END AS file_path,
+       CASE lang WHEN 'en' THEN 'txt' WHEN 'de' THEN 'md' WHEN 'fr' THEN 'docx' ELSE 'csv' END AS file_type,
+       CASE WHEN lang IN ('en', 'fr') THEN text WHEN lang = 'de' THEN p END AS text,
+       CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unsupported: csv' END AS error, (1700000000 + doc_id)::BIGINT AS modified,
+       CASE WHEN lang = 'de' THEN strlen('---' || chr(10) || 'key: value' || chr(10) || '---' || chr(10) || '## ' || replace(replace(replace(
+                 p, ' die ', ' **die** '), ' und ', ' [und](http://x/y) '), ' der ', ' `der` '))
+            WHEN lang <> 'fr' THEN strlen(text) END::BIGINT AS size FROM d"""
+
+
+def q_s9_merged_text(spark, sf):
+    return PG.merge_parts(_parts(spark, sf), id_col="conv_id", part_col="turn", body_col="text", first=0)
+
+
+def q_t8_epoch_seconds(spark, sf):
+    return _t(spark, sf, "events").select("event_id", TX.epoch_seconds("ts").alias("seconds"))
+
+
+def letter_counts(texts):
+    """A model stated in SQL: counts of five letters and the length."""
+    import numpy as np
+
+    rows = [[t.count(c) for c in "aeiou"] + [len(t)] for t in texts.to_pylist()]
+    return np.array(rows, np.float32).reshape(len(rows), 6)
+
+
+def q_e1_batched_embed(spark, sf):
+    """A pluggable embedder called with at most 32 texts at a time."""
+    from chunkwise.operators.embed import ArrowEmbedder
+
+    e = ArrowEmbedder(letter_counts, 6)
+    x = _t(spark, sf, "documents").select("doc_id", F.posexplode(e.embed(F.col("text"))).alias("dim", "value"))
+    return x.select("doc_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+def q_e5_options(spark, sf):
+    from chunkwise.operators.embed import EmbedOptions
+
+    c = chunk_documents(_t(spark, sf, "documents"), options=EmbedOptions(chunk_size=128, strategy="sentence"), add_time=0)
+    return c.select("chunk_id", "pos", "text")
+
+
+def _chunk_table(spark, name, **options):
+    from chunkwise.schemas import chunks_schema
+
+    return VersionedTable(spark, scratch_path(spark, name), chunks_schema(), dim=384, **options)
+
+
+def q_s12_compact(spark, sf):
+    """One append per language to a bucketed table, maintenance, read back."""
+    from chunkwise.sources.tables import maintain
+
+    t = _chunk_table(spark, "s12", bucket_col="file_path", n_buckets=8)
+    d = _t(spark, sf, "documents")
+    for lang in ("en", "de", "fr", "es"):
+        t.append(chunk_documents(d.where(F.col("lang") == lang), size=CHUNK, add_time=0))
+    maintain([t], target_files=2, keep=1)
+    return t.read().select("chunk_id", "file_path", "pos", "text")
+
+
+def q_m2_table_delete(spark, sf):
+    """M2 through storage: sources with a toxic document leave registry and chunk table by key lists."""
+    from chunkwise.plans.sync import remove_paths
+
+    d = _t(spark, sf, "documents")
+    reg = VersionedTable(spark, scratch_path(spark, "m2-files"), files_schema())
+    reg.append(_registry(spark, sf))
+    ch = _chunk_table(spark, "m2-chunks")
+    ch.append(_chunks(spark, sf))
+    gone = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("file_path")).distinct()
+    remove_paths(reg, ch, gone)
+    return (reg.read().select(F.lit("files").alias("tbl"), F.col("file_path").alias("key"))
+            .unionByName(ch.read().select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("key"))))
+
+
+def q_m3_duplicate_updates(spark, sf):
+    """M3 with several updates of a path: the last by its order column wins."""
+    d = _t(spark, sf, "documents")
+    one = d.select(_doc_path(d).alias("file_path"), F.lit(50).alias("progress"), F.lit(2).alias("step"))
+    two = d.where("lang = 'en'").select(_doc_path(d).alias("file_path"), F.lit(100).alias("progress"), F.lit(3).alias("step"))
+    old = d.select(_doc_path(d).alias("file_path"), F.lit(-1).alias("progress"), F.lit(1).alias("step"))
+    return MU.update_progress(_registry(spark, sf), old.union(two).union(one), LATER, order_by="step").select("file_path", "progress", "sync_time")
+
+
+def _stream(spark, src, **options):
+    from chunkwise.streaming.ingest import stream_documents
+
+    out = {"chunks": scratch_path(spark, "st-chunks"), "status": scratch_path(spark, "st-status")}
+    out |= options.pop("paths", {})
+    stream_documents(spark, src, out["chunks"], out["status"], max_files_per_trigger=1, trigger={"availableNow": True}, **options).awaitTermination()
+    return out
+
+
+CHUNK_COLUMNS = ["chunk_id", "root_path", "file_path", "pos", "text"]
+
+
+def q_x1_stream_restart(spark, sf):
+    """Documents in several files, two starts, several micro-batches, one without a chunk."""
+    src = scratch_path(spark, "st-src")
+    d = _t(spark, sf, "documents")
+    d.where("lang = 'en'").repartition(2).write.parquet(src)
+    paths = _stream(spark, src)
+    d.withColumn("text", F.lit(" \n")).coalesce(1).write.mode("append").parquet(src)
+    d.where("lang <> 'en'").repartition(2).write.mode("append").parquet(src)
+    _stream(spark, src, paths=paths)
+    return spark.read.parquet(paths["chunks"]).select(*CHUNK_COLUMNS, F.lit(0).cast("long").alias("add_time"))
+
+
+def q_s13_callback_rows(spark, sf):
+    """The rows a callback gets, written by it to a table of its own."""
+    t = _chunk_table(spark, "s13")
+    src = scratch_path(spark, "s13-src")
+    _t(spark, sf, "documents").repartition(3).write.parquet(src)
+    _stream(spark, src, on_batch=lambda rows, batch: t.append(rows))
+    return t.read().select(*CHUNK_COLUMNS, F.lit(0).cast("long").alias("add_time"))
+
+
+def q_x2_stage_log(spark, sf):
+    """Stages 1, 50, 100 of every file; files without text end at -1."""
+    src = scratch_path(spark, "x2-src")
+    _t(spark, sf, "documents").withColumn("text", F.when(F.col("lang") == "es", F.lit("")).otherwise(F.col("text"))).repartition(2).write.parquet(src)
+    return spark.read.parquet(_stream(spark, src)["status"]).select("file_path", "progress", "error")
+
+
 # ---------------------------------------------------------------------------
 # Answer routing with a stub generator (stands in for the user's model call)
 
@@ -1118,6 +1295,17 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c8_semantic_vectors": q_c8_semantic_vectors,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
+        "x1_stream_restart": q_x1_stream_restart,
+        "x2_stage_log": q_x2_stage_log,
+        "s2_dispatch_files": q_s2_dispatch_files,
+        "s9_merged_text": q_s9_merged_text,
+        "s12_compact": q_s12_compact,
+        "s13_callback_rows": q_s13_callback_rows,
+        "t8_epoch_seconds": q_t8_epoch_seconds,
+        "e1_batched_embed": q_e1_batched_embed,
+        "e5_options": q_e5_options,
+        "m2_table_delete": q_m2_table_delete,
+        "m3_duplicate_updates": q_m3_duplicate_updates,
         "r6_answer_generator": q_r6_answer_generator,
         "r7_answer_disabled": q_r7_answer_disabled,
         **(LQ.queries() if LQ else {}),
@@ -1164,6 +1352,31 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         **_sql_p_m_x(),
         **_sql_c(),
         "x1_stream_ingest": _sql_c()["c9_sentence_strategy"],
+        "x1_stream_restart": _sql_c()["c9_sentence_strategy"],
+        "s13_callback_rows": _sql_c()["c9_sentence_strategy"],
+        "x2_stage_log": """WITH f AS (SELECT source || '/' || doc_id::VARCHAR || '.txt' AS file_path, lang FROM documents)
+SELECT file_path, unnest(CASE WHEN lang = 'es' THEN [1, -1] ELSE [1, 50, 100] END)::INTEGER AS progress,
+       unnest(CASE WHEN lang = 'es' THEN [NULL, 'no text'] ELSE [NULL, NULL, NULL]::VARCHAR[] END) AS error FROM f""",
+        "s2_dispatch_files": SQL_S2,
+        "s9_merged_text": """WITH parts AS (
+  SELECT * FROM conversations c WHERE NOT EXISTS (
+    SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = c.conv_id AND c.turn = 2)),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM parts) WHERE turn + 1 = rn)
+SELECT conv_id, count(*)::INTEGER AS n_parts, string_agg(text, '' ORDER BY turn) AS text FROM k GROUP BY conv_id""",
+        "s12_compact": f"""WITH {s_chunks_cte(CHUNK)}
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
+FROM ch""",
+        "t8_epoch_seconds": "SELECT event_id, floor(epoch(ts))::BIGINT AS seconds FROM events",
+        "e1_batched_embed": """WITH v AS (SELECT doc_id, list_append(list_transform(['a', 'e', 'i', 'o', 'u'],
+  lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE), length(text)::DOUBLE) AS v FROM documents)
+SELECT doc_id, unnest(range(6))::INTEGER AS dim, round(unnest(v), 4) AS value FROM v""",
+        "e5_options": f"""WITH {s_chunks_cte(128)}
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, pos, text FROM ch""",
+        "m2_table_delete": _sql_p_m_x()["m2_cascade_delete"],
+        "m3_duplicate_updates": f"""WITH {REGISTRY_SQL}
+SELECT r.file_path, CASE WHEN r.file_path LIKE '%.txt' THEN 100 WHEN d.f IS NOT NULL THEN 50 ELSE r.progress END::INTEGER AS progress,
+       CASE WHEN d.f IS NOT NULL THEN {LATER} ELSE r.sync_time END::BIGINT AS sync_time
+FROM registry r LEFT JOIN (SELECT {DOC_PATH_SQL} AS f FROM documents) d ON d.f = r.file_path""",
         "m1_bucketed_table_delete": f"""WITH {s_chunks_cte(CHUNK)}
 SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
 FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",

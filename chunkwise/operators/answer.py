@@ -51,8 +51,11 @@ def _generate_udf(generator: Generator):
 
 def route_answers(questions: DataFrame, hits: DataFrame, settings: DataFrame | None, generator: Generator | None,
                   *, query_id: str = "query_id", question_col: str = "text", has_vector_col: str | None = None,
-                  include_question: bool = True, settings_id: int = 1) -> DataFrame:
-    """query_id, answer, source ('generator' | 'markdown' | 'hint'), n_hits, generator_failed, error."""
+                  include_question: bool = True, settings_id: int = 1, generator_tasks: int | None = None) -> DataFrame:
+    """``generator_tasks``: tasks that call the generator (default: all task slots); rows are few
+    and small but each is a slow call, so they are dealt by number, not by bytes.
+
+    R6: query_id, answer, source ('generator' | 'markdown' | 'hint'), n_hits, generator_failed, error."""
     h = hit_items(hits, query_id=query_id)
     q = questions.select(query_id, F.col(question_col).alias("_question"),
                          *([has_vector_col] if has_vector_col else []))
@@ -70,6 +73,7 @@ def route_answers(questions: DataFrame, hits: DataFrame, settings: DataFrame | N
     run = enabled & has_vec
     gen = _generate_udf(generator) if generator is not None else None
     if gen is not None:
+        j = j.repartition(generator_tasks or j.sparkSession.sparkContext.defaultParallelism)
         j = j.withColumn("_g", gen(F.col("system_prompt"), F.when(run, F.col("user_prompt")),
                                    F.col("_url"), F.col("_token")))
     else:

@@ -14,7 +14,7 @@ from ..functions.text import normalize_text
 from ..operators.embed import HashingEmbedder
 from .ingest import chunk_key
 from ..operators.split import explode_positions, with_token_chunks
-from ..session import spread
+from ..session import scratch_path, spread
 from ..sources.files import extract_text, list_files
 
 
@@ -37,22 +37,40 @@ def files_under(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | None
     return out, missing
 
 
-def chunk_files(files: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,
-                strategy: str = "sentence", semantic_options=None) -> tuple[DataFrame, DataFrame]:
-    """Returns (chunks, failures).  ``files``: binaryFile rows plus ``root_path``."""
+def staged_texts(files: DataFrame) -> DataFrame:
+    """S2-S5 once: every file's text or error, written to the shared folder, so that chunks
+    and statuses derive from the same extraction and no file is read twice.
+    ``files``: binaryFile rows plus ``root_path``."""
+    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")), keep=("root_path",))
+    at = scratch_path(files.sparkSession, "texts")
+    texts.write.parquet(at)
+    return files.sparkSession.read.schema(texts.schema).parquet(at)
+
+
+def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,
+                strategy: str = "sentence", semantic_options=None) -> DataFrame:
+    """Chunk table rows of extracted texts (``root_path``, ``file_path``, ``text``)."""
     embedder = embedder or HashingEmbedder()
     stamp = F.unix_timestamp() if now is None else F.lit(now)
-    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")),
-                         keep=("root_path",))
-    failures = texts.where(F.col("error").isNotNull()).select("root_path", "file_path", "file_type", "error")
-    ok = texts.where(F.col("error").isNull()).select("root_path", "file_path", normalize_text(F.col("text")).alias("_t"))
+    ok = texts.select("root_path", "file_path", normalize_text(F.col("text")).alias("_t"))
+    vec = embedder.embed(F.col("text"))
     if strategy == "semantic":
         from ..operators.semantic import SemanticOptions, with_semantic_chunks
-        staged = with_semantic_chunks(ok, "_t", "_chunks", embedder, semantic_options or SemanticOptions())
+        staged = with_semantic_chunks(ok, "_t", "_chunks", embedder, semantic_options or SemanticOptions(), vectors_col="_vecs")
+        z = staged.select("root_path", "file_path", F.arrays_zip(F.col("_chunks").alias("t"), F.col("_vecs").alias("v")).alias("_z"))
+        chunks = (explode_positions(z, ["root_path", "file_path"], "_z", "pos", "_cz")
+                  .select("root_path", "file_path", "pos", F.col("_cz.t").alias("text"), F.col("_cz.v").alias("_vec")))
+        vec = F.col("_vec")
     else:
         staged = with_token_chunks(ok, "_t", "_chunks", size, overlap)
-    chunks = explode_positions(staged, ["root_path", "file_path"], "_chunks", "pos", "text")
-    chunks = chunks.select(chunk_key(F.col("file_path"), F.col("pos")), "root_path", "file_path",
-                           F.col("pos").cast("int").alias("pos"), "text",
-                           embedder.embed(F.col("text")).alias("embedding"), stamp.cast("long").alias("add_time"))
-    return chunks, failures
+        chunks = explode_positions(staged, ["root_path", "file_path"], "_chunks", "pos", "text")
+    return chunks.select(chunk_key(F.col("file_path"), F.col("pos")), "root_path", "file_path", F.col("pos").cast("int").alias("pos"), "text",
+                         vec.alias("embedding"), stamp.cast("long").alias("add_time"))
+
+
+def chunk_files(files: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Returns (chunks, failures).  ``files``: binaryFile rows plus ``root_path``; ``options`` as
+    for :func:`chunk_texts`."""
+    texts = staged_texts(files)
+    failures = texts.where(F.col("error").isNotNull()).select("root_path", "file_path", "file_type", "error")
+    return chunk_texts(texts.where(F.col("error").isNull()), **options), failures

@@ -65,12 +65,13 @@ def reassemble_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part
     arrow_id = to_arrow_type(id_type)
 
     def digest(batches):
-        cur, h, n, chars = None, None, 0, 0
+        nothing = object()  # an id may be NULL
+        cur, h, n, chars = nothing, None, 0, 0
         ids, counts, sums, lens = [], [], [], []
         for b in batches:
             for i, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 if i != cur:
-                    if cur is not None:
+                    if cur is not nothing:
                         ids.append(cur), counts.append(n), sums.append(h.hexdigest()), lens.append(chars)
                     cur, h, n, chars = i, hashlib.md5(), 0, 0
                 body = body or ""
@@ -82,7 +83,7 @@ def reassemble_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part
                                                   pa.array(sums, pa.string()), pa.array(lens, pa.int64())],
                                                  names=[id_col, "n_parts", "md5", "n_chars"])
                 ids, counts, sums, lens = [], [], [], []
-        if cur is not None:
+        if cur is not nothing:
             ids.append(cur), counts.append(n), sums.append(h.hexdigest()), lens.append(chars)
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array(counts, pa.int32()),
@@ -92,6 +93,15 @@ def reassemble_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part
     return ordered.mapInArrow(digest, out_schema)
 
 
+def merge_parts(parts: DataFrame, id_col: str = "id", part_col: str = "part_no", body_col: str = "body", first: int = 1) -> DataFrame:
+    """Per id, the number of contiguous parts and their merged text (one row's value)."""
+    kept = contiguous_parts(parts, id_col, part_col, first)
+    body = F.coalesce(F.col(body_col), F.lit(""))
+    g = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(part_col).alias("p"), body.alias("b")))).alias("_parts"))
+    return g.select(id_col, F.size("_parts").cast("int").alias("n_parts"),
+                    F.array_join(F.transform("_parts", lambda x: x["b"]), "").alias("text"))
+
+
 def check_digests(content: DataFrame, expected: DataFrame, id_col: str = "id", content_col: str = "content",
                   expected_col: str = "expected_md5") -> DataFrame:
     """md5 of each content against an expected digest -> ok / changed / missing."""

@@ -44,14 +44,20 @@ def test_chunk_files_keeps_root_and_failures(spark, tmp_dir):
 
 
 def test_stream_files_status(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
     from chunkwise.streaming.ingest import stream_files
+    from chunkwise.streaming.status import latest_status
 
     root = _tree(tmp_dir)
     out, status, ck = (os.path.join(tmp_dir, n) for n in ("chunks", "status", "ck"))
     q = stream_files(spark, root, out, status, max_files_per_trigger=2, trigger={"availableNow": True},
                      checkpoint=ck, size=64)
     q.awaitTermination()
-    st = {os.path.basename(r["file_path"]): r["progress"] for r in spark.read.parquet(status).collect()}
+    log = spark.read.parquet(status)
+    stages = {os.path.basename(r["file_path"]): sorted(r["p"]) for r in log.groupBy("file_path").agg(F.collect_list("progress").alias("p")).collect()}
+    assert stages == {"a.txt": [1, 50, 100], "b.md": [1, 50, 100], "c.csv": [-1, 1], "noext": [-1, 1]}
+    st = {os.path.basename(r["file_path"]): r["progress"] for r in latest_status(log).collect()}
     assert st == {"a.txt": 100, "b.md": 100, "c.csv": -1, "noext": -1}
     assert spark.read.parquet(out).select("file_path").distinct().count() == 2
 

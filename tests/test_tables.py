@@ -198,7 +198,9 @@ def test_sync_lifecycle(spark, tmp_dir):
     assert sync_pending(spark, reg, ch, 300).count() == 0  # nothing left to do
     roots = {r["root_path"] for r in ch.read().collect()}
     assert roots == {folder, single}
-    assert log.read().count() == 4
+    # 5 files extracted, 4 embedded and stored, one failed file, 4 registered paths
+    stages = {r[0]: r[1] for r in log.read().groupBy("progress").count().collect()}
+    assert stages == {1: 5, 50: 4, 100: 6, -1: 2}
     remove_paths(reg, ch, spark.createDataFrame([(folder,)], "file_path string"))
     assert {r["root_path"] for r in ch.read().collect()} == {single}
     assert folder not in {r["file_path"] for r in reg.read().collect()}
