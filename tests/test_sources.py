@@ -26,14 +26,13 @@ def make_docx(path):
         f.write(buf.getvalue())
 
 
-TEST_MD = """---
-title: Lecture 2 - Testing
-date: 13-09-2023
+FRONT_MATTER_MD = """---
+subject: Bread baking
+rating: 4
 ---
-Hello, world!
-# How are you
-## I am good
-
+Weigh the flour first.
+# Dough
+## Second rise
 
 
 """
@@ -50,7 +49,7 @@ def test_docx_order_and_nesting(tmp_dir):
 
 def test_file_tree_dispatch(spark, tmp_dir):
     os.makedirs(os.path.join(tmp_dir, "sub"))
-    files = {"test.md": TEST_MD, "test.txt": "This is a test file to see how txt embedding works !",
+    files = {"bread.md": FRONT_MATTER_MD, "note.txt": "Plain words, one line; nothing else.",
              "UPPER.MD": "# Title\nBody *em* and [link](http://x)", "noext": "x", "data.csv": "a,b",
              "empty.txt": "", "sub/deep.txt": "deep"}
     for name, body in files.items():
@@ -62,8 +61,8 @@ def test_file_tree_dispatch(spark, tmp_dir):
     out = {os.path.basename(r["file_path"]): r for r in extract_text(list_files(spark, tmp_dir)).collect()}
     # a zero-length file gets no split, hence no row (it would yield no chunk anyway)
     assert len(out) == 8 and "empty.txt" not in out
-    assert out["test.md"]["text"].split("\n")[:3] == ["Hello, world!", "How are you", "I am good"]
-    assert out["test.txt"]["text"].startswith("This is a test")
+    assert out["bread.md"]["text"].split("\n")[:3] == ["Weigh the flour first.", "Dough", "Second rise"]
+    assert out["note.txt"]["text"].startswith("Plain words")
     assert out["UPPER.MD"]["text"] == "Title\nBody em and link"
     assert out["noext"]["error"].startswith("unsupported") and out["data.csv"]["error"] == "unsupported: csv"
     assert out["deep.txt"]["text"] == "deep"
