@@ -105,5 +105,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
+SQL_OP8 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+f AS (SELECT doc_id, line, length(array_to_string(lw, '')) AS chars,
+        100 * len(list_filter(lw, lambda x: x IN ('|', '»', '›', '•'))) >= {quality.NAV_PCT} * len(lw)
+        OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) >= {quality.SYMBOL_PCT} * len(lw)
+        OR len(lw) >= {quality.STUTTER_WORDS} AND 3 * len(list_distinct(lw)) < len(lw)
+        OR len(lw) >= {quality.PLAIN_WORDS} AND NOT regexp_matches(line, '[.,;:!?]')
+        OR len(lw) >= {quality.SHOUT_WORDS} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')
+        OR len(lw) <= {quality.BOILERPLATE_WORDS} AND ({_PHRASES}) AS fails
+      FROM l WHERE len(lw) > 0),
+x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost FROM f GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(array_to_string(w, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(x.dup, 0)::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(x.lost, 0) AS lost
+      FROM w LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PCT} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND lost <= {quality.MAX_LOSS} * word_chars AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": SQL_OP3}
+    return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8}
