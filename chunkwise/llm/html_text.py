@@ -63,7 +63,12 @@ DROP_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts "
     "advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
-    "commentlist disqus respond replies reply pagination pager toolbar widget skip".split())
+    "commentlist disqus respond replies reply discussion responses pagination pager toolbar widget skip alert alerts disclaimer legal "
+    "copyright paywall toast cookiebar teaser outbrain taboola topbar submenu mainmenu sitemap crumb crumbs rail colophon branding "
+    "logo".split())
+#: Whole class names that make even an <article> furniture (comments and teasers are often articles).
+DROP_ARTICLES = frozenset("comment comments reply ad ads advert advertisement sponsored promo teaser related".split())
+_AD = re.compile(r"ad(?:s|box|slot|unit|container|wrapper|block|space|zone|link|vert\w*)?s?")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
                        r"|<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -74,10 +79,10 @@ _SPACE = regex.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "path", "drop", "marked", "block")
+    __slots__ = ("name", "path", "drop", "marked", "block", "link")
 
-    def __init__(self, name: str, path: tuple, drop: bool, marked: bool, block: bool):
-        self.name, self.path, self.drop, self.marked, self.block = name, path, drop, marked, block
+    def __init__(self, name: str, path: tuple, drop: bool, marked: bool, block: bool, link: bool = False):
+        self.name, self.path, self.drop, self.marked, self.block, self.link = name, path, drop, marked, block, link
 
 
 def furniture(name: str, attrs: str, in_marked: bool) -> bool:
@@ -91,37 +96,46 @@ def furniture(name: str, attrs: str, in_marked: bool) -> bool:
         if key == "role" and value.lower() in DROP_ROLES:
             return True
         if key in ("class", "id") and name not in ("article", "main"):
-            words = {w.lower() for w in _WORDS.findall(value)} & DROP_WORDS
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if any(map(_AD.fullmatch, words)):
+                return True
+            words &= DROP_WORDS
             if words - {"header"} or words and not in_marked:
                 return True
+        if key == "class" and name == "article" and DROP_ARTICLES & set(value.lower().split()):
+            return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and regex.search(r"display\s*:\s*none", value, regex.I):
             return True
     return bool(regex.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
 
 
-def blocks(page: str) -> list[tuple[tuple, bool, str]]:
-    """(path, inside a marked article, text) of every block that is no furniture, in page order."""
-    out: list[tuple[tuple, bool, str]] = []
+def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
+    """(path, inside a marked article, text, share of link text) of every block that is no
+    furniture, in page order."""
+    out: list[tuple[tuple, bool, str, float]] = []
     root = Node("", (), False, False, True)
     stack = [root]
     text: list[str] = []
+    linked = 0
     owner = root  # the block element that the collected text belongs to
 
     def flush() -> None:
+        nonlocal linked
         if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+            raw = "".join(text)
+            joined = _SPACE.sub(" ", html.unescape(raw)).strip()
             text.clear()
             if joined:
-                out.append((owner.path, owner.marked, joined))
+                out.append((owner.path, owner.marked, joined, linked / len(raw)))
+        linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal owner
         if any(n.block for n in stack[k:]):
             flush()
         del stack[k:]
 
     def add(raw: str) -> None:
-        nonlocal owner
+        nonlocal owner, linked
         top = stack[-1]
         if raw and not top.drop:
             at = next(n for n in reversed(stack) if n.block)
@@ -129,6 +143,7 @@ def blocks(page: str) -> list[tuple[tuple, bool, str]]:
                 flush()
                 owner = at
             text.append(raw)
+            linked += len(raw) if top.link else 0
 
     pos, size = 0, len(page)
     while pos < size:
@@ -194,24 +209,27 @@ def blocks(page: str) -> list[tuple[tuple, bool, str]]:
             flush()
         if attrs.endswith("/") and name in ("path", "g", "use"):
             continue
-        stack.append(Node(name, top.path if inline else top.path + (name,), drop, marked, not inline))
+        stack.append(Node(name, top.path if inline else top.path + (name,), drop, marked, not inline, top.link or name == "a"))
         if not inline and not drop:
             owner = stack[-1]
     flush()
     return out
 
 
-def scores(found: list[tuple[tuple, bool, str]]) -> dict[tuple, float]:
+def scores(found: list[tuple[tuple, bool, str, float]]) -> dict[tuple, float]:
     """Fused and smoothed score by (tag path, marked), 1 for the best."""
     n: dict[tuple, int] = {}
     chars: dict[tuple, int] = {}
     punct: dict[tuple, int] = {}
-    for path, marked, t in found:
+    links: dict[tuple, float] = {}
+    for path, marked, t, link in found:
         key = path, marked
         n[key] = n.get(key, 0) + 1
         chars[key] = chars.get(key, 0) + len(t)
         punct[key] = punct.get(key, 0) + len(_PUNCT.findall(t))
-    raw = {p: math.log1p(chars[p] / n[p]) * math.log1p(1 + punct[p] / n[p]) for p in n}
+        links[key] = links.get(key, 0.0) + link * len(t)
+    # text and punctuation per block, less what is link text
+    raw = {p: math.log1p(chars[p] / n[p]) * math.log1p(1 + punct[p] / n[p]) * (1 - links[p] / chars[p]) ** 2 for p in n}
     # smooth: the best score in every ancestor's subtree, less with each level up
     best: dict[tuple, float] = {}
     for (p, _), s in raw.items():
@@ -222,7 +240,7 @@ def scores(found: list[tuple[tuple, bool, str]]) -> dict[tuple, float]:
     smooth = {(p, m): max(s, max((DECAY ** (len(p) - k) * best[p[:k]] for k in range(top + 1, len(p))), default=0.0))
               for (p, m), s in raw.items()}
     most = max(smooth.values())
-    out = {key: s / most for key, s in smooth.items()}
+    out = {key: s / most if most else 1.0 for key, s in smooth.items()}
     # fuse with the page's own mark, if the marked part holds enough text to be the article
     if sum(chars[k] for k in chars if k[1]) >= MARKED_SHARE * sum(chars.values()):
         out = {key: max(s, THRESHOLD) if key[1] else 0.0 for key, s in out.items()}
@@ -243,7 +261,7 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     s = scores(found)
-    return "\n".join(t for p, m, t in found if s[p, m] >= THRESHOLD)
+    return "\n".join(t for p, m, t, _ in found if s[p, m] >= THRESHOLD)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

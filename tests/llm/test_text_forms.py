@@ -109,6 +109,13 @@ def test_html_cases(page, text):
     assert html_text.extract(page) == text
 
 
+def test_html_comment_articles_and_links():
+    page = PAGE % ("<article>%s</article><section id='c'><article class='comment'><p>Nice, I say, very nice indeed, truly.</p></article></section>" % BODY)
+    assert html_text.extract(page) == MAIN
+    plain = PAGE % ("<div><a href='a'>One</a> <a href='b'>Two</a></div><div class='x'>%s</div><div class='adBox'>Buy, now.</div>" % BODY)
+    assert html_text.extract(plain) == MAIN
+
+
 def test_html_query(spark):
     import re
     from html import unescape
