@@ -651,6 +651,12 @@ def q_c8_semantic_chunks(spark, sf):
     return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
 
 
+def q_c8_drop(spark, sf):
+    """C8 that discards a short buffer on overflow, as the reference does."""
+    c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic", semantic_options=SE.SemanticOptions(short_buffer="drop"))
+    return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
+
+
 def q_c8_semantic_vectors(spark, sf):
     """Chunk vectors of the semantic chunker (summed piece counts) = embedding the chunk text."""
     c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic")
@@ -1198,7 +1204,8 @@ th AS (SELECT doc_id, n,
        FROM dc)"""
 
 
-def _sql_semantic() -> str:
+def _sql_semantic(keep: bool = True) -> str:
+    short = "len(st.cur) > 0" if keep else "len(st.cur) > 0 AND st.c >= 100"
     return f"""WITH {_sql_pieces()}, {_sql_bisect()},
 mk AS (SELECT s.doc_id, s.pos, s.n_tokens, p.text,
          CASE WHEN t.n > 64 THEN error('more than one batch: carry-over is stated in the tests, not in SQL') ELSE
@@ -1211,7 +1218,7 @@ r AS (SELECT doc_id, ptexts, list_reduce(ps, lambda st, pc:
         CASE WHEN pc.s AND st.c + pc.t >= 100 AND st.c + pc.t <= 512
              THEN {{'out': list_append(st.out, list_append(st.cur, pc.o)), 'cur': []::BIGINT[], 'c': 0}}
              WHEN st.c + pc.t > 512
-             THEN {{'out': CASE WHEN len(st.cur) > 0 THEN list_append(st.out, st.cur) ELSE st.out END,
+             THEN {{'out': CASE WHEN {short} THEN list_append(st.out, st.cur) ELSE st.out END,
                    'cur': [pc.o], 'c': pc.t}}
              ELSE {{'out': st.out, 'cur': list_append(st.cur, pc.o), 'c': st.c + pc.t}} END,
         {{'out': []::BIGINT[][], 'cur': []::BIGINT[], 'c': 0}}) AS st FROM pl),
@@ -1292,6 +1299,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c7_assemble_drop": q_c7_assemble_drop,
         "c5_threshold": q_c5_threshold,
         "c8_semantic_chunks": q_c8_semantic_chunks,
+        "c8_drop": q_c8_drop,
         "c8_semantic_vectors": q_c8_semantic_vectors,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
@@ -1384,6 +1392,7 @@ FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,
        CASE WHEN n > 1 THEN bs.r ELSE 0 END::INTEGER AS rounds FROM th""",
         "c8_semantic_chunks": _sql_semantic(),
+        "c8_drop": _sql_semantic(keep=False),
         "c8_semantic_vectors": f"""WITH sem AS ({_sql_semantic()}),
 {s_embed_cte('sem', 'chunk_id', 'text', 'c')}
 SELECT id AS chunk_id, count(*) AS nnz, round(sum(w::DOUBLE * (b + 1)), 5) AS weighted,

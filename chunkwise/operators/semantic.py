@@ -336,8 +336,13 @@ def context_similarity(df: DataFrame, group: str, order: str, vec: str, window:
                        out: str = "score") -> DataFrame:
     """C1 over rows: cosine of each vector with the mean of the up to ``window``
     preceding vectors of its group (NULL on the first row).  The window frame
-    holds at most ``window`` vectors per row; rows are sorted per group.  The
-    cosine is scale-free, so the sum of the window stands in for its mean."""
+    holds at most ``window`` vectors per row; rows are sorted per group.  Vectors
+    are brought to unit length first, as in the chunker; the cosine is then
+    scale-free, so the sum of the window stands in for its mean."""
+    length = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0).cast("double"), lambda a, b: a + b.cast("double") * b.cast("double")))
+    given, vec = vec, "_unit"
+    df = df.withColumn("_len", length).withColumn(vec, F.transform(given, lambda x: F.when(
+        F.col("_len") > 0, x.cast("double") / F.nullif(F.col("_len"), F.lit(0.0))).otherwise(F.lit(0.0))))
     w = Window.partitionBy(*_keys(group)).orderBy(order).rowsBetween(-window, -1)
     ctx = F.collect_list(F.col(vec)).over(w)
     x = df.withColumn("_ctx", ctx)
@@ -350,7 +355,7 @@ def context_similarity(df: DataFrame, group: str, order: str, vec: str, window:
     n2 = F.sqrt(F.aggregate(F.col("_m"), F.lit(0.0).cast("double"), lambda a, b: a + b * b))
     score = F.when(F.size("_ctx") > 0, F.round(F.coalesce(dotp / F.nullif(n1 * n2, F.lit(0.0)), F.lit(0.0)),
                                                  SCORE_DECIMALS))
-    return x.withColumn(out, score).drop("_ctx", "_m")
+    return x.withColumn(out, score).drop("_ctx", "_m", "_len", "_unit")
 
 
 def cumulative_tokens(df: DataFrame, group: str, order: str, tokens: str, out: str = "cum_tokens") -> DataFrame:
@@ -396,7 +401,8 @@ def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: st
                o: SemanticOptions | None = None) -> DataFrame:
     """C5 per group: the bisection threshold and its round count, from the
     group's ordered scores and token counts (one batch).  The group's small
-    arrays are gathered once; the bisection is the NumPy statement."""
+    arrays are gathered once; the bisection is :func:`optimal_threshold`, the
+    one that the chunker runs."""
     o = o or SemanticOptions()
     keys = _keys(group)
     g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
@@ -404,14 +410,12 @@ def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: st
 
     @F.arrow_udf("struct<threshold:double,rounds:int>")
     def bisect(items: pa.Array) -> pa.Array:
-        thr, rnd = [], []
-        for row in items.to_pylist():
-            tc = np.array([x["t"] for x in row], dtype=np.int64)
-            sc = np.array([x["s"] for x in row[1:]], dtype=np.float64)
-            t, r = optimal_threshold(tc, sc, o)
-            thr.append(t)
-            rnd.append(r)
-        return pa.StructArray.from_arrays([pa.array(thr, pa.float64()), pa.array(rnd, pa.int32())],
+        flat = items.flatten()
+        counts = flat.field("t").to_numpy(zero_copy_only=False)
+        scores = flat.field("s").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False))
+        found = [optimal_threshold(counts[a:b], scores[a + 1:b], o) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())],
                                           names=["threshold", "rounds"])
 
     b = g.select(*keys, bisect(F.col("_p")).alias("_b"))

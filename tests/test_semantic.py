@@ -128,3 +128,16 @@ def test_spark_semantic_matches_numpy(spark):
                                          np.zeros((0, 384)), o) for r in pieces.collect()}
     for r in got.collect():
         assert [list(g) for g in r["groups"]] == ref[r["doc_id"]]
+
+
+def test_row_form_and_chunker_agree_on_vectors_of_any_length(spark):
+    import numpy as np
+
+    from chunkwise.operators import semantic as SE
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(30, 6)) * rng.uniform(0.1, 50, size=(30, 1))
+    df = spark.createDataFrame([(1, i, [float(x) for x in row]) for i, row in enumerate(v)], "g int, pos int, vec array<double>")
+    got = [r["score"] for r in SE.context_similarity(df, "g", "pos", "vec").orderBy("pos").collect()][1:]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.allclose(got, SE.similarity_scores(unit, 5), atol=2e-9)
