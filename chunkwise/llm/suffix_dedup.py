@@ -46,7 +46,7 @@ from .suffix_sort import window_classes
 LENGTH = 50
 K = 20
 #: Bytes of text in a block (one document may be larger); blocks grow in number with the input.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Key partitions for each shuffle partition, so that hashing evens out.
 KEYS_PER_PARTITION = 4
 _LAST = (1 << 63) - 1
@@ -92,7 +92,7 @@ class Block:
         # pieces of whole documents bound the arrays of eight bytes a character
         doc = 0
         while doc < len(texts):
-            end = max(doc + 1, int(np.searchsorted(self.offsets, self.offsets[doc] + (2 << 20), "right")) - 1)
+            end = max(doc + 1, int(np.searchsorted(self.offsets, self.offsets[doc] + (1 << 20), "right")) - 1)
             lo, hi = int(self.offsets[doc]), int(self.offsets[end])
             if hi - lo >= length:
                 h = _hashes(self.buf[lo:hi], K)
@@ -215,33 +215,63 @@ def _send_contexts(blk: int, block: Block, shared: np.ndarray, parts: int) -> pa
         inside = np.arange(r.shape[1] - 2) < r[:, 1:2]
         blobs.append(r[:, 2:][inside].tobytes())
     return pa.table({"_part": pa.array([p for p, _ in cut], pa.int64()), "_blk": pa.array([blk] * len(cut), pa.int64()),
+                     "befores": pa.array([rows[o, 0].tobytes() for _, o in cut], pa.binary()),
                      "sizes": pa.array([rows[o, 1].tobytes() for _, o in cut], pa.binary()),
                      "ids": pa.array([smallest[o].tobytes() for _, o in cut], pa.binary()),
-                     "context": pa.array(blobs, pa.binary())})
+                     "context": pa.array([pa.compress(b, codec="zstd", asbytes=True) for b in blobs], pa.binary())})
 
 
 def _answer_contexts(t: pa.Table, length: int) -> pa.Table:
     """For one key partition: a bit for each window of each context that starts in a
-    smaller document somewhere than the context's own smallest."""
+    smaller document somewhere than the context's own smallest.
+
+    Equal contexts of several blocks are one; an anchor with one context has nothing to
+    sort (all its windows start where the context does).  The windows of the others are
+    grouped by the blockwise suffix sort."""
     blks = t.column("_blk").to_pylist()
-    sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in t.column("sizes").to_pylist()]
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()])
-    buf = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8)
-    size = np.concatenate(sizes)
-    begin = np.cumsum(size) - size
-    windows = size - length + 1
-    of = np.repeat(np.arange(len(size)), windows)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    cls = window_classes(buf, begin[of] + nth, length)
-    order = np.argsort(cls, kind="stable")
-    head = np.flatnonzero(np.diff(cls[order], prepend=-1))
-    least = np.empty(len(cls), np.int64)
-    if len(cls):
-        least[order] = np.repeat(np.minimum.reduceat(ids[of[order]], head), np.diff(np.append(head, len(cls))))
+    n_of = [len(x) for x in t.column("sizes").to_pylist()]
+    size = np.frombuffer(b"".join(t.column("sizes").to_pylist()), np.uint8).astype(np.int64)
+    before = b"".join(t.column("befores").to_pylist())
+    ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), np.int64)
+    blob = b"".join(pa.decompress(x.as_py(), int(np.frombuffer(z.as_py(), np.uint8).sum()), codec="zstd", asbytes=True)
+                    for x, z in zip(t.column("context"), t.column("sizes")))
+    end = np.cumsum(size).tolist()
+    known: dict[bytes, int] = {}
+    same = np.fromiter((known.setdefault(blob[e - n:e], len(known)) for e, n in zip(end, size.tolist())), np.int64, len(size))
+    least = np.full(len(known), _LAST, np.int64)  # of each distinct context
+    np.minimum.at(least, same, ids)
+    first = np.unique(same, return_index=True)[1]
+    texts = list(known)
+    anchors: dict[bytes, list[int]] = {}
+    for c, k in enumerate(first.tolist()):
+        anchors.setdefault(texts[c][before[k]:before[k] + K], []).append(c)
+    many = [c for cs in anchors.values() if len(cs) > 1 for c in cs]
     masks = np.zeros(len(size), np.uint64)
-    hit = np.flatnonzero(least < ids[of])
-    np.bitwise_or.at(masks, of[hit], np.uint64(1) << nth[hit].astype(np.uint64))
-    cuts = np.cumsum([len(s) for s in sizes])[:-1]
+    single = np.ones(len(known), bool)
+    if many:
+        single[many] = False
+        sizes = np.array([len(texts[c]) for c in many], np.int64)
+        buf = np.frombuffer(b"".join(texts[c] for c in many), np.uint8)
+        windows = sizes - length + 1
+        of = np.repeat(np.arange(len(many)), windows)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        cls = window_classes(buf, (np.cumsum(sizes) - sizes)[of] + nth, length)
+        order = np.argsort(cls, kind="stable")
+        head = np.flatnonzero(np.diff(cls[order], prepend=-1))
+        low = np.empty(len(cls), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(least[np.array(many)][of[order]], head), np.diff(np.append(head, len(cls))))
+        # the smallest id of every window, by distinct context, against each block's own
+        begin = np.full(len(known), -1, np.int64)
+        begin[many] = np.cumsum(windows) - windows
+        rows = np.flatnonzero(~single[same])
+        n = size[rows] - length + 1
+        at = np.repeat(rows, n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        hit = low[begin[same[at]] + k] < ids[at]
+        np.bitwise_or.at(masks, at[hit], np.uint64(1) << k[hit].astype(np.uint64))
+    whole = single[same] & (least[same] < ids)
+    masks[whole] = ~np.uint64(0) >> (np.uint64(64) - (size[whole] - length + 1).astype(np.uint64))
+    cuts = np.cumsum(n_of)[:-1]
     part = t.column("_part")[0].as_py()
     return pa.table({"_blk": pa.array(blks, pa.int64()), "_part": pa.array([part] * len(blks), pa.int64()),
                      "masks": pa.array([m.tobytes() for m in np.split(masks, cuts)], pa.binary())})
@@ -329,7 +359,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     keys = grouped.applyInArrow(send_keys, "_part long, _blk long, keys binary")
     bits = keys.groupBy("_part").applyInArrow(_answer_keys, "_blk long, _part long, bits binary")
     contexts = grouped.cogroup(bits.groupBy("_blk")).applyInArrow(
-        send_contexts, "_part long, _blk long, sizes binary, ids binary, context binary")
+        send_contexts, "_part long, _blk long, befores binary, sizes binary, ids binary, context binary")
     masks = contexts.groupBy("_part").applyInArrow(answer_contexts, "_blk long, _part long, masks binary")
     answers = (bits.withColumn("masks", F.lit(None).cast("binary"))
                .union(masks.select("_blk", "_part", F.lit(None).cast("binary").alias("bits"), "masks")))
