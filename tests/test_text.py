@@ -103,3 +103,35 @@ def test_epoch_seconds(spark):
     for r in ev.limit(50).collect():
         assert r["e"] == int(r["ts"].replace(tzinfo=datetime.timezone.utc).timestamp() // 1)
     assert spark.range(1).select(TX.epoch_seconds().alias("now")).first()["now"] > 1_600_000_000
+
+
+def test_splitter_is_linear_in_text_length(spark):
+    """English, unspaced full-width text and overlap: eight times the text, no more than
+    about eight times the work (quadratic would be sixty-four)."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from chunkwise.operators import split as SP
+
+    kinds = {"english": ("The miller counts his sacks before the market opens. ", 0),
+             "cjk": ("这是一个关于河流和磨坊的测试句子。", 0), "unspaced": ("磨坊河流", 0), "overlap": ("The miller counts his sacks before the market opens. ", 32)}
+    for name, (unit, overlap) in kinds.items():
+        def run(chars, unit=unit, overlap=overlap):
+            df = spark.createDataFrame([(1, (unit * (chars // len(unit) + 1))[:chars])], "id int, text string")
+            t = time.time()
+            n = SP.split_tokens(df, "text", size=256, overlap=overlap, keep=["id"]).agg(F.sum(F.length("text"))).first()[0]
+            assert n >= chars * 0.95
+            return time.time() - t
+        run(1000)
+        small, large = min(run(50_000), run(50_000)), min(run(400_000), run(400_000))
+        assert large <= 20 * max(small, 0.3), (name, small, large)
+
+
+def test_wide_sentence_ends(spark):
+    from chunkwise.operators import split as SP
+
+    df = spark.createDataFrame([(1, "第一句。第二句！！第三句？ Last one. End; x\ny \u0001z")], "id int, text string")
+    row = df.select(SP.sentences("text").alias("s"), SP.token_chunks("text", 400).alias("c")).first()
+    assert row["s"] == ["第一句。", "第二句！！", "第三句？", "Last one.", "End;", "x", "y \u0001z"]
+    assert row["c"] == ["第一句。第二句！！第三句？Last one. End; x y \u0001z"]
