@@ -7,18 +7,23 @@ texts collide if they share shingles in the same order.  Texts that share a
 sketch are candidates; a banded alignment of their shingle sequences must
 match ``SIMILARITY`` of the union.
 
-Exact copies (equal words) are one text throughout.  Inside a sketch's bucket
-every text is compared with the bucket's smallest one; a text that is not
-alike becomes a comparison text itself, in rounds, until each text has either
-found a match or been compared with the whole bucket.  So a bucket of copies
-costs one comparison a text, no partner is capped, and no link between texts
-that have found no match is missed.  Classes are the connected components.
+Exact copies (equal words) are one text throughout.  A bucket (texts with one
+sketch in common) of any size gives two comparisons a text: with the bucket's
+most central text (whose buckets are the largest: of a group of copies, its
+original), and with its neighbours when the bucket is sorted by the further
+sketches, where the texts that agree in most of them stand together.  Texts
+that found no match are compared among themselves in further rounds, as long
+as those find matches.  So the comparisons grow with the texts, not with the
+pairs of a group, and no partner is capped.  Classes are the connected
+components.  A pair at the threshold shares a sketch with probability above
+1 - 10**-5.
 
 Defined results: one row per document; class id = smallest id of the class; a
 null text is empty; texts without words are copies of one another; texts of
 fewer than five words match equal ones only; null ids count as the smallest
-and come back as null; rows with equal ids are compared by their own texts;
-an empty table gives an empty table; extra columns are left out.
+and come back as null; rows with equal ids share a class if their texts do not
+tell them apart, and each text's matches count for the id; an empty table
+gives an empty table; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -37,10 +42,10 @@ from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 24
-PICKS = 3
+SKETCHES = 40
+PICKS = 6
 
-_SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+_SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -76,9 +81,7 @@ def sketch(s: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.nd
     rows = max(1, (1 << 17) // len(lab))
     for k in range(0, sketches, rows):
         seeds = _SEEDS[k:min(k + rows, sketches), None]
-        v = (lab[None, :] ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0xD6E8FEB86659FD93)
+        v = lab[None, :] * seeds
         pos = np.sort(np.argpartition(v, picks - 1, axis=1)[:, :picks], axis=1)
         acc = seeds[:, 0].copy()
         for j in range(picks):
@@ -136,24 +139,58 @@ def sketches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary, sketches array<long>")
 
 
+def sequences(texts: DataFrame) -> DataFrame:
+    """doc_id, the distinct shingles in order of first occurrence (64-bit little-endian)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 8 << 20):
+            out = [first_seen(shingles(t)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "sequence"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sequence binary")
+
+
 def verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``; ``content`` holds (doc_id, text) of every id."""
+    """``pairs`` (a, b) with ``alike``; ``content`` holds (doc_id, sequence) of every id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] | None = None
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if last is None or last[0] != x:
-                    last = x, first_seen(shingles(x))
-                out.append(alignment(last[1], first_seen(shingles(y))) > 0)
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out = [alignment(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) > 0 for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "alike"])
 
-    left = content.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    right = content.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    left = content.select(F.col("doc_id").alias("a"), F.col("sequence").alias("x"))
+    right = content.select(F.col("doc_id").alias("b"), F.col("sequence").alias("y"))
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
             .mapInArrow(run, "a long, b long, alike boolean"))
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to compare, of rows (rep, key, s1, s2, s3, n): a text and its
+    bucket's most central text, and neighbours in the order of the further sketches."""
+    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    lead = (members.select("key", "rep").join(weight, "rep")
+            .groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead")))
+    star = members.join(lead, "key").where("rep <> lead").select("rep", F.col("lead").alias("other"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rep = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, reps = b.column(0).to_numpy(), b.column(1).to_numpy()
+            same = np.concatenate([[key is not None and keys[0] == key], keys[1:] == keys[:-1]])
+            before = np.concatenate([[rep if rep is not None else 0], reps[:-1]])
+            same &= before != reps
+            key, rep = keys[-1], reps[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(reps[same]), pa.array(before[same])], names=["rep", "other"])
+
+    # a global sort: a bucket of any size spreads over the range partitions
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "s1", "s2", "s3", "rep"]
+    ordered = members.select("key", "rep", "s1", "s2", "s3").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    chained = ordered.select("key", "rep").mapInArrow(chain, "rep long, other long")
+    return star.union(chained).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, copies_of (smallest id with the same words) per document."""
     low = -(1 << 63)
@@ -161,31 +198,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = written(sketches_of(rows), "sketches")
     reps = written(sk.groupBy("digest", "sketches").agg(F.min("doc_id").alias("rep")), "texts")
     # rows of one id with different texts would share a node; then the classes of both meet, as they share the id
-    buckets = reps.where("sketches is not null").select("rep", F.explode("sketches").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shown = reps.where("sketches is not null").select(
+        "rep", F.posexplode("sketches").alias("k", "key"), F.concat("sketches", "sketches").alias("all"))
+    buckets = shown.select("rep", "key", F.element_at("all", F.col("k") + 2).alias("s1"), F.element_at("all", F.col("k") + 3).alias("s2"),
+                           F.element_at("all", F.col("k") + 4).alias("s3"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(shared, "key"), "buckets")
     wanted = maybe_broadcast(written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates"))
-    content = written(rows.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-    # open: rows (key, rep) that have neither matched nor led; leaders double each round
-    open_, known, leaders = members, None, 1
+    content = written(sequences(rows.join(wanted, "doc_id", "left_semi")), "candidate-texts")
+    edges, alone = None, members
     while True:
-        lead = written(open_.groupBy("key", F.pmod(F.hash("rep"), F.lit(leaders)).alias("salt"))
-                       .agg(F.min("rep").alias("lead")).select("key", "lead"), "leaders")
-        facing = members.join(lead, "key").where("rep <> lead")
-        pairs = facing.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        result = written(verified(pairs, content), "pairs")
-        known = result if known is None else written(known.union(result), "pairs")
-        alike = known.where("alike").select("a", "b")
-        hits = (facing.withColumn("a", F.least("rep", "lead")).withColumn("b", F.greatest("rep", "lead"))
-                .join(alike, ["a", "b"], "left_semi"))
-        settled = hits.select("key", "rep").union(lead.select("key", F.col("lead").alias("rep"))).distinct()
-        open_ = written(open_.join(settled, ["key", "rep"], "left_anti"), "open")
-        if open_.isEmpty():
+        pairs = candidates(alone)
+        found = written(verified(pairs, content).where("alike").select("a", "b"), "links")
+        edges = found if edges is None else edges.union(found)
+        matched = written(found.select(F.col("a").alias("rep")).union(found.select("b")).distinct(), "matched")
+        if matched.isEmpty():
+            break
+        # the texts without a match, in the buckets that still hold two of them
+        rest = alone.join(matched, "rep", "left_anti")
+        open_ = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        alone = written(rest.drop("n").join(open_, "key"), "buckets")
+        if alone.isEmpty():
             break
-        leaders *= 2
-    labels = components(known.where("alike").select("a", "b"))
+    labels = components(edges)
     classes = (reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                .select("digest", "rep", F.coalesce("label", "rep").alias("class_id")))
     null = lambda c: F.when(F.col(c) != low, F.col(c)).alias(c)

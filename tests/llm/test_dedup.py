@@ -128,6 +128,11 @@ def test_near_group(spark):
         for _ in range(rng.randint(1, 4)):
             w[rng.randrange(200)] = rng.choice(vocabulary)
         rows.append((i, " ".join(w)))
+    for i in range(300):  # a larger group, with copies of copies
+        w = rng.choice(rows)[1].split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(200)] = rng.choice(vocabulary)
+        rows.append((5000 + i, " ".join(w)))
     step = [rng.choice(vocabulary) for _ in range(100)]
     for i in range(8):
         rows.append((2000 + i, " ".join(step[4 * i:] + [rng.choice(vocabulary) for _ in range(4 * i)])))
