@@ -33,7 +33,7 @@ from .encoders import once
 
 MARK = "▁"
 #: Words that a Python worker remembers, and their greatest length.
-REMEMBERED, WORD_CHARS = 200_000, 64
+REMEMBERED, WORD_CHARS = 300_000, 64
 #: Neighbouring token pairs that it remembers.
 PAIRS = 400_000
 #: Characters that are indexed at once (one word may be longer).
@@ -65,11 +65,15 @@ class Model:
         many = [p for p in self.id if len(p) > 1 and self.merge(p) == [p]]
         self.longest = max(map(len, many), default=1)
         many.sort()
-        self.many = many
         self.many_codes = [np.array(list(map(ord, p)), np.int64) for p in many]
-        self.fits_: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        # tokens by number: the pieces of several characters, then single characters as they come
+        self.tokens = list(many)
+        self.sizes = [len(p) for p in many]
+        self.token_ids = [self.ids_of(p) for p in many]
+        self.chars: dict[str, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, s: str) -> list[str]:
         """The BPE merges of one short string, best score first, then leftmost."""
@@ -85,51 +89,50 @@ class Model:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, a: str, b: str) -> bool:
+    def fits(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a``."""
-        known = self.fits_.get((a, b))
-        if known is None:
-            if len(self.fits_) >= PAIRS:
-                self.fits_.clear()
-            known = self.fits_[a, b] = self.merge(a + b) == [a, b]
-        return known
-
-    def ids_of(self, token: str) -> tuple[int, ...]:
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        x, y = self.tokens[a], self.tokens[b]
+        ok = self.pairs[a << 32 | b] = self.merge(x + y) == [x, y]
+        return ok
+
+    def char(self, c: str) -> int:
+        """Number of a single character's token."""
+        k = self.chars[c] = len(self.tokens)
+        self.tokens.append(c)
+        self.sizes.append(1)
+        self.token_ids.append(self.ids_of(c))
+        return k
+
+    def ids_of(self, token: str) -> bytes:
+        """Little-endian int32 ids of a token: its piece, else its bytes' pieces."""
         i = self.id.get(token)
-        if i is not None:
-            return (i,)
-        if self.byte:
-            return tuple(self.byte[b] for b in token.encode("utf-8", "surrogatepass"))
-        return (self.unknown,)
+        ids = [i] if i is not None else [self.byte[b] for b in token.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
+        return np.array(ids, "<i4").tobytes()
 
     # -- encoding ---------------------------------------------------------------
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """int32 ids of every text."""
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
-        new = set()
+        new: set[str] = set()
         for words in split:
-            new.update(w for w in words if w not in known)
-        fresh = {}
-        for w in new:
-            ids = self.older.get(w)
-            if ids is not None:
-                fresh[w] = ids
-        todo = [w for w in new if w not in fresh]
-        fresh.update(zip(todo, (ids for part in portions(todo) for ids in self.match(part))))
-        known.update(fresh)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
+            new.update(words)
+        new = new.difference(known)
+        for w in new.intersection(self.older):
+            known[w] = self.older[w]
+        todo = sorted(new.difference(known))
+        known.update(zip(todo, (ids for part in portions(todo) for ids in self.match(part))))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
         if len(known) > REMEMBERED:
             self.older, self.words = {w: i for w, i in known.items() if len(w) <= WORD_CHARS}, {}
         return out
 
-    def match(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word: index, search every piece, sort the edges, relax."""
+    def match(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: index, search every piece, sort the edges, relax.  A position's
+        last token depends on the word up to there, so sorted words share their beginnings."""
         if not words:
             return []
         text = "\0".join(words)
@@ -139,41 +142,60 @@ class Model:
         n = hi - lo
         piece = np.repeat(np.arange(len(n)), n)
         start = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        size = np.array([len(c) for c in self.many_codes], np.int64)[piece]
+        size = np.array(self.sizes[:len(n)], np.int64)[piece]
         end = start + size
         order = np.lexsort((-size, end))
-        piece, end = piece[order].tolist(), end[order].tolist()
-        many, fits = self.many, self.fits
-        out, e, base, total = [], 0, 0, len(end)
+        piece = piece[order].tolist()
+        first = np.searchsorted(end[order], np.arange(len(codes) + 2)).tolist()
+        sizes, chars, pairs, fits, token_ids = self.sizes, self.chars, self.pairs, self.fits, self.token_ids
+        out, base, before = [], 0, ""
+        last = [0]  # last[i]: the last token of the first i characters
         for w in words:
-            n = len(w)
-            last: list[str] = [""] * (n + 1)
-            for i in range(1, n + 1):
-                chosen = None
-                while e < total and end[e] == base + i:
-                    if chosen is None:
-                        token = many[piece[e]]
-                        j = i - len(token)
-                        if j == 0 or j > 0 and fits(last[j], token):
-                            chosen = token
-                    e += 1
-                last[i] = w[i - 1] if chosen is None else chosen
-            tokens, i = [], n
+            k = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1:]
+            before = w
+            for i in range(k + 1, len(w) + 1):
+                at = base + i
+                for e in range(first[at], first[at + 1]):
+                    token = piece[e]
+                    j = i - sizes[token]
+                    if j == 0:
+                        break
+                    if j > 0:  # below 0 an edge would cross a separator (a word may hold NUL)
+                        key = last[j] << 32 | token
+                        ok = pairs.get(key)
+                        if ok or ok is None and fits(last[j], token):
+                            break
+                else:
+                    token = chars.get(w[i - 1])
+                    if token is None:
+                        token = self.char(w[i - 1])
+                last.append(token)
+            i = len(w)
+            found = []
             while i:
-                tokens.append(last[i])
-                i -= len(last[i])
-            ids: list[int] = []
-            for t in reversed(tokens):
-                ids += self.ids_of(t)
-            out.append(tuple(ids))
-            base += n + 1
-            while e < total and end[e] < base + 1:  # edges over a separator (a word may hold NUL)
-                e += 1
+                token = last[i]
+                found.append(token_ids[token])
+                i -= sizes[token]
+            found.reverse()
+            out.append(b"".join(found))
+            base += len(w) + 1
         return out
 
     # -- decoding ---------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> str:
+        try:
+            s = "".join(map(self.text.__getitem__, ids))
+        except KeyError:  # bytes, control or unknown ids
+            s = self._decode_mixed(ids)
+        return s[1:] if s[:1] == " " else s
+
+    def _decode_mixed(self, ids: list[int]) -> str:
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -190,8 +212,13 @@ class Model:
                 out.append(" ⁇ ")
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        s = "".join(out)
-        return s[1:] if s[:1] == " " else s
+        return "".join(out)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
 def portions(words: list[str]) -> Iterator[list[str]]:
@@ -265,11 +292,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(Model, path)
         for b in slices(batches, "text", 4 << 20):
-            ids = model.encode_batch(b.column(1).to_pylist())
-            flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(map(len, ids)))]), pa.int32()), pa.array(flat))],
-                names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(model.encode_batch(b.column(1).to_pylist()))], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -294,10 +317,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in slices(batches, "text", 4 << 20):
             texts = b.column(1).to_pylist()
             ids = model.encode_batch(texts)
-            same = [model.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
-            flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(list(map(len, ids)))]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(same, pa.bool_())],
-                                             names=["doc_id", "ids", "decoded_equal"])
+            same = [model.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "decoded_equal"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded_equal boolean")

@@ -129,6 +129,6 @@ def test_merges_random():
     model, sp, rng = pieces.Model(SP), sentencepiece.SentencePieceProcessor(model_file=SP), random.Random(5)
     parts = ["a", "b", "e", "t", "th", "in", "er", " ", "  ", "\n", "é", "1", "0", ".", "▁", "ing", "日", "\0"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(800)]
-    got = model.encode_batch(texts)
+    got = [x.tolist() for x in model.encode_batch(texts)]
     assert got == sp.encode(texts, num_threads=1)
     assert [model.decode(x) for x in got] == sp.decode(got)
