@@ -94,7 +94,8 @@ def pack_spans(units: Column, cap: int, overlap: int = 0) -> Column:
     ns = F.transform(units, lambda u: u["n"])
     spans, ints = "array<struct<a:int,b:int>>", "array<int>"
     zero = F.struct(F.array().cast(f"array<{spans}>").alias("out"), F.array().cast(spans).alias("run"),
-                    F.lit(1).alias("a"), F.lit(0).alias("c"), F.lit(0).alias("i"), F.array().cast(ints).alias("w"))
+                    F.lit(1).alias("a"), F.lit(0).alias("c"), F.lit(0).alias("i"),
+                    *([F.array().cast(ints).alias("w")] if overlap > 0 else []))
 
     def tail(w, x):
         """(k, s): the trailing units that fit the overlap, and their tokens."""
@@ -112,17 +113,16 @@ def pack_spans(units: Column, cap: int, overlap: int = 0) -> Column:
         run = F.when(F.size(st["run"]) >= _RUN, span).otherwise(F.concat(st["run"], span))
 
         def opened(k, s, w):
-            return F.struct(out.alias("out"), run.alias("run"), (i - k).alias("a"), (s + x).alias("c"), i.alias("i"), w.alias("w"))
+            return F.struct(out.alias("out"), run.alias("run"), (i - k).alias("a"), (s + x).alias("c"), i.alias("i"), *[v.alias("w") for v in w])
 
-        none = F.array().cast(ints)
         if overlap > 0:
-            new = _once(tail(st["w"], x), lambda t: opened(t["k"], t["s"], F.concat(
-                F.slice(st["w"], F.size(st["w"]) - t["k"] + 1, t["k"]), F.array(x))))
-            w = F.concat(st["w"], F.array(x))
+            new = _once(tail(st["w"], x), lambda t: opened(t["k"], t["s"], [F.concat(
+                F.slice(st["w"], F.size(st["w"]) - t["k"] + 1, t["k"]), F.array(x))]))
+            w = [F.concat(st["w"], F.array(x)).alias("w")]
         else:
-            new, w = opened(F.lit(0), F.lit(0), none), none
+            new, w = opened(F.lit(0), F.lit(0), []), []
         return F.when(full, new).otherwise(F.struct(
-            st["out"].alias("out"), st["run"].alias("run"), st["a"].alias("a"), (st["c"] + x).alias("c"), i.alias("i"), w.alias("w")))
+            st["out"].alias("out"), st["run"].alias("run"), st["a"].alias("a"), (st["c"] + x).alias("c"), i.alias("i"), *w))
 
     def finish(st):
         last = F.when(st["i"] >= st["a"], F.array(F.struct(st["a"].alias("a"), st["i"].alias("b")))).otherwise(F.array().cast(spans))
