@@ -59,9 +59,9 @@ def shared_path(spark, name: str) -> str:
 BROADCAST_IDS = 2_000_000
 
 
-def maybe_broadcast(ids: DataFrame) -> DataFrame:
-    """A written table of ids, with a broadcast hint if its counted length allows one."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def maybe_broadcast(ids: DataFrame, width: int = 1) -> DataFrame:
+    """A written table of ids (rows of ``width`` longs), with a broadcast hint if its counted length allows one."""
+    return F.broadcast(ids) if ids.count() * width <= BROADCAST_IDS else ids
 
 
 # 64-bit hashing in numpy: every operation is modulo 2**64.

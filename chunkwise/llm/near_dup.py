@@ -8,22 +8,21 @@ sketch are candidates; a banded alignment of their shingle sequences must
 match ``SIMILARITY`` of the union.
 
 Exact copies (equal words) are one text throughout.  A bucket (texts with one
-sketch in common) of any size gives two comparisons a text: with the bucket's
+key in common) of any size first gives two comparisons a text: with the bucket's
 most central text (whose buckets are the largest: of a group of copies, its
 original), and with its neighbours when the bucket is sorted by the further
-sketches, where the texts that agree in most of them stand together.  Texts
-that found no match are compared among themselves in further rounds, as long
-as those find matches.  So the comparisons grow with the texts, not with the
-pairs of a group, and no partner is capped.  Classes are the connected
-components.  A pair at the threshold shares a sketch with probability above
-1 - 10**-5.
+keys, where the texts that agree in most of them stand together.  Buckets that
+then still hold several classes are settled: every text outside the largest
+class is held against every text of another class there, so no pair of a bucket
+stays open and no partner is capped.  Buckets of one most central text are
+settled together, large ones in blocks.  Classes are the connected components.
+A pair at the threshold shares a sketch with probability above 1 - 10**-5.
 
 Defined results: one row per document; class id = smallest id of the class; a
 null text is empty; texts without words are copies of one another; texts of
 fewer than five words match equal ones only; null ids count as the smallest
-and come back as null; rows with equal ids share a class if their texts do not
-tell them apart, and each text's matches count for the id; an empty table
-gives an empty table; extra columns are left out.
+and come back as null; rows with equal or null ids share a class only through
+their texts; an empty table gives an empty table; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -44,6 +43,11 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 PICKS = 6
+#: Texts and shingles of a block when a bucket is settled.
+BLOCK_TEXTS = 1024
+BLOCK_SHINGLES = 1 << 20
+#: Stands for a null id: the smallest.
+LOW = -(1 << 63)
 
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -124,52 +128,64 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return score if score >= least - 1e-12 else 0.0
 
 
+def words_digest(text: str) -> bytes:
+    """The same for texts of equal words."""
+    return hashlib.blake2b(b" ".join(text.lower().encode().split()), digest_size=16).digest()
+
+
 def sketches_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest of the words, sketches (null below ``WORDS`` words)."""
+    """doc_id, digest of the words, number of distinct shingles, keys (null below ``WORDS`` words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8 << 20):
-            digests, rows = [], []
+            digests, sizes, rows = [], [], []
             for t in b.column(1).to_pylist():
-                digests.append(hashlib.blake2b(b" ".join(t.lower().encode().split()), digest_size=16).digest())
+                digests.append(words_digest(t))
                 s = shingles(t)
+                sizes.append(len(first_seen(s)))
                 rows.append(sketch(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
-                                             names=["doc_id", "digest", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                                              pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "digest", "size", "sketches"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary, sketches array<long>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary, size long, sketches array<long>")
 
 
 def sequences(texts: DataFrame) -> DataFrame:
-    """doc_id, the distinct shingles in order of first occurrence (64-bit little-endian)."""
+    """doc_id, digest, the distinct shingles in order of first occurrence (64-bit little-endian)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8 << 20):
-            out = [first_seen(shingles(t)).astype("<u8").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "sequence"])
+            own = b.column(1).to_pylist()
+            out = [first_seen(shingles(t)).astype("<u8").tobytes() for t in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(words_digest, own), pa.binary()), pa.array(out, pa.binary())],
+                                             names=["doc_id", "digest", "sequence"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sequence binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sequence binary")
 
 
 def verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``alike``; ``content`` holds (doc_id, sequence) of every id."""
+    """``pairs`` (a, b) with ``alike``; ``content`` holds (rep, sequence) of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out = [alignment(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) > 0 for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "alike"])
 
-    left = content.select(F.col("doc_id").alias("a"), F.col("sequence").alias("x"))
-    right = content.select(F.col("doc_id").alias("b"), F.col("sequence").alias("y"))
+    left = content.select(F.col("rep").alias("a"), F.col("sequence").alias("x"))
+    right = content.select(F.col("rep").alias("b"), F.col("sequence").alias("y"))
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
             .mapInArrow(run, "a long, b long, alike boolean"))
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) to compare, of rows (rep, key, s1, s2, s3, n): a text and its
-    bucket's most central text, and neighbours in the order of the further sketches."""
+def central(members: DataFrame) -> DataFrame:
+    """(key, lead): the most central text of every bucket."""
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    lead = (members.select("key", "rep").join(weight, "rep")
+    return (members.select("key", "rep").join(weight, "rep")
             .groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead")))
-    star = members.join(lead, "key").where("rep <> lead").select("rep", F.col("lead").alias("other"))
+
+
+def candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to compare first, of rows (rep, key, s1, s2, s3, n): a text and its
+    bucket's most central text, and neighbours in the order of the further keys."""
+    star = members.join(leads, "key").where("rep <> lead").select("rep", F.col("lead").alias("other"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rep = None, None
@@ -191,40 +207,133 @@ def candidates(members: DataFrame) -> DataFrame:
     return star.union(chained).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, copies_of (smallest id with the same words) per document."""
-    low = -(1 << 63)
-    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(low)))
+def open_texts(members: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lead, rep, size, class) of the buckets with several classes.  Two texts that
+    are a whole bucket were compared with one another already."""
+    classed = (members.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+               .select("key", "rep", "size", F.coalesce("label", "rep").alias("class")))
+    several = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    return classed.join(several, "key").join(leads, "key").select("lead", "rep", "size", "class").distinct()
+
+
+def blocked(texts: DataFrame) -> DataFrame:
+    """(lead, i, j, side, rep, class): all pairs of blocks in which some text is outside
+    the largest class of its lead; side 0 is block i."""
+    share = texts.groupBy("lead", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = share.groupBy("lead").agg(F.max(F.struct("n", "class", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_SHINGLES))
+    plan = written(main.select("lead", F.col("main.class").alias("main"), parts(F.col("main.n"), F.col("main.size")).alias("large"),
+                               parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rest")), "block-counts")
+    at = (texts.join(maybe_broadcast(plan, 4), "lead").withColumn("inside", F.col("class") == F.col("main"))
+          .withColumn("block", F.when(F.col("inside"), F.col("rest") + F.pmod(F.xxhash64("rep"), "large")).otherwise(F.pmod(F.xxhash64("rep"), "rest")))
+          .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("large")) - 1))))
+    return at.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "class")
+
+
+def links_across(sides: np.ndarray, ids: np.ndarray, classes: np.ndarray, found: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the classes of two blocks (of one block, if no side is 1) as far as
+    its texts do: every pair of different classes is decided by its count of equal
+    shingles, and by alignment where that allows a match."""
+    root, size = classes.copy(), np.array([len(s) for s in found])
+    one = not sides.any()
+    looked, held = np.flatnonzero(sides == 0), np.flatnonzero(sides == (0 if one else 1))
+    if not len(looked) or not len(held) or (root == root[0]).all():
+        return []
+    _, code = np.unique(np.concatenate(found), return_inverse=True)
+    starts = np.cumsum(size) - size
+    where = np.concatenate([code[starts[k]:starts[k] + size[k]] for k in held])
+    order = np.argsort(where, kind="stable")
+    texts = np.repeat(held, size[held])[order]
+    count = np.bincount(where, minlength=int(code.max()) + 1)
+    begin = np.cumsum(count) - count
+    out = []
+    for r in looked.tolist():
+        may = np.zeros(len(found), bool)
+        may[held] = True
+        if one:
+            may[:r + 1] = False
+        may &= root != root[r]
+        least = SIMILARITY * (size[r] + size) / (1 + SIMILARITY) - 1e-9
+        may &= np.minimum(size, size[r]) >= least
+        if not may.any():
+            continue
+        own = code[starts[r]:starts[r] + size[r]]
+        own = own[count[own] > 0]
+        n = count[own]
+        hits = np.bincount(texts[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(found))
+        for c in np.flatnonzero(may & (hits >= least)).tolist():
+            if root[c] != root[r] and alignment(found[r], found[c]) > 0:
+                root[root == root[c]] = root[r]
+                out.append((int(ids[r]), int(ids[c])))
+    return out
+
+
+def settled(rows: DataFrame, content: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ``blocked`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def links() -> pa.RecordBatch:
+            side, ids, classes = (np.concatenate([h[k] for h in held]) for k in range(3))
+            found = [np.frombuffer(x, "<u8") for h in held for x in h[3]]
+            ab = links_across(side, ids, classes, found)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in ab], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in slices(batches, "sequence", 8 << 20):
+            group = np.stack([b.column(k).to_numpy() for k in range(3)])
+            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if held and at != group[:, low].tolist():
+                    yield links()
+                    held = []
+                at = group[:, low].tolist()
+                part = b.slice(low, high - low)
+                held.append((*(part.column(k).to_numpy() for k in (3, 4, 5)), part.column(6).to_pylist()))
+        if held:
+            yield links()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.join(content, "rep").select("lead", "i", "j", "side", "rep", "class", "sequence")
+            .repartition(n, "lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(run, "a long, b long"))
+
+
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (``LOW`` for null), digest, node of the class, smallest id of the class and of the equal texts."""
+    rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LOW)))
     sk = written(sketches_of(rows), "sketches")
-    reps = written(sk.groupBy("digest", "sketches").agg(F.min("doc_id").alias("rep")), "texts")
-    # rows of one id with different texts would share a node; then the classes of both meet, as they share the id
+    # every text has a number of its own, whatever the ids are; written, so it stays
+    reps = written(sk.groupBy("digest", "size", "sketches").agg(F.min("doc_id").alias("first"))
+                   .withColumn("rep", F.monotonically_increasing_id()), "texts")
     shown = reps.where("sketches is not null").select(
-        "rep", F.posexplode("sketches").alias("k", "key"), F.concat("sketches", "sketches").alias("all"))
-    buckets = shown.select("rep", "key", F.element_at("all", F.col("k") + 2).alias("s1"), F.element_at("all", F.col("k") + 3).alias("s2"),
+        "rep", "size", F.posexplode("sketches").alias("k", "key"), F.concat(*["sketches"] * 4).alias("all"))
+    buckets = shown.select("rep", "size", "key", F.element_at("all", F.col("k") + 2).alias("s1"), F.element_at("all", F.col("k") + 3).alias("s2"),
                            F.element_at("all", F.col("k") + 4).alias("s3"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(buckets.join(shared, "key"), "buckets")
-    wanted = maybe_broadcast(written(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates"))
-    content = written(sequences(rows.join(wanted, "doc_id", "left_semi")), "candidate-texts")
-    edges, alone = None, members
-    while True:
-        pairs = candidates(alone)
-        found = written(verified(pairs, content).where("alike").select("a", "b"), "links")
-        edges = found if edges is None else edges.union(found)
-        matched = written(found.select(F.col("a").alias("rep")).union(found.select("b")).distinct(), "matched")
-        if matched.isEmpty():
-            break
-        # the texts without a match, in the buckets that still hold two of them
-        rest = alone.join(matched, "rep", "left_anti")
-        open_ = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        alone = written(rest.drop("n").join(open_, "key"), "buckets")
-        if alone.isEmpty():
-            break
-    labels = components(edges)
-    classes = (reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-               .select("digest", "rep", F.coalesce("label", "rep").alias("class_id")))
-    null = lambda c: F.when(F.col(c) != low, F.col(c)).alias(c)
-    return sk.join(classes, "digest").select(null("doc_id"), null("class_id"), F.col("rep").alias("copies_of"))
+    wanted = written(reps.join(members.select("rep").distinct(), "rep", "left_semi")
+                     .select(F.col("first").alias("doc_id"), "digest", "rep"), "candidates")
+    some = rows.join(maybe_broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    content = written(sequences(some).join(maybe_broadcast(wanted, 4), ["doc_id", "digest"])
+                      .select("rep", "sequence").dropDuplicates(["rep"]), "candidate-texts")
+    leads = written(central(members), "leads")
+    links = written(verified(candidates(members, leads), content).where("alike").select("a", "b"), "links")
+    labels = components(links)
+    open_ = written(open_texts(members, leads, labels), "open-texts")
+    if not open_.isEmpty():
+        more = written(settled(blocked(open_), content), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    texts = (reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+             .select("digest", "first", F.coalesce("label", "rep").alias("class")))
+    smallest = texts.groupBy("class").agg(F.min("first").alias("class_id"))
+    return sk.select("doc_id", "digest").join(texts.join(smallest, "class"), "digest")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, copies_of (smallest id with the same words) per document."""
+    null = lambda c, name: F.when(F.col(c) != LOW, F.col(c)).alias(name)
+    return classes_of(docs, id_col, text_col).select(null("doc_id", "doc_id"), null("class_id", "class_id"), null("first", "copies_of"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,3 +165,54 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(41)}, 100: 100, **{200 + k: 100 for k in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def labels_of(texts):
+    """Brute force over all pairs, by matrix: smallest position of each text's class."""
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    code = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    x = np.zeros((len(texts), len(code)), np.float32)
+    for k, s in enumerate(sets):
+        x[k, [code[g] for g in s]] = 1
+    shared, n = x @ x.T, x.sum(axis=1)
+    near = shared >= 0.8 * (n[:, None] + n[None, :] - shared) - 1e-3
+    label = np.arange(len(texts))
+    while True:
+        low = np.where(near, label[None, :], len(texts)).min(axis=1)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label.tolist()
+        label = low
+
+
+def test_near_blocks(spark):
+    """Thousands of template texts of shared blocks with variants: every class in full."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    variants = [[" ".join(rng.choice(vocabulary) for _ in range(16)) for _ in range(4)] for _ in range(12)]
+    texts = sorted({" ".join(rng.choice(v) if rng.random() < 0.55 else v[0] for v in variants) for _ in range(3000)})
+    rng.shuffle(texts)
+    want = labels_of(texts)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert 100 < len(set(want)) < len(texts) - 100
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_near_settled_in_blocks(monkeypatch):
+    """Blocks of two sides and of one give the same classes as all pairs."""
+    rng = random.Random(5)
+    found = []
+    base = rng.sample(range(1 << 40), 60)
+    for _ in range(80):
+        found.append(np.array([x if rng.random() < 0.9 else rng.randrange(1 << 40) for x in base], np.uint64))
+    ids, side = np.arange(80), np.zeros(80, np.int32)
+    pairs = [(a, b) for a in range(80) for b in range(a) if near_dup.alignment(found[a], found[b]) > 0]
+    def merged(edges):
+        top = list(range(80))
+        for a, b in edges:
+            x, y = top[a], top[b]
+            top = [x if t == y else t for t in top]
+        return {frozenset(k for k in range(80) if top[k] == t) for t in top}
+    assert merged(near_dup.links_across(side, ids, ids, found)) == merged(pairs)
+    side[40:] = 1
+    assert merged(near_dup.links_across(side, ids, ids, found)) == merged([(a, b) for a, b in pairs if a >= 40 > b])
