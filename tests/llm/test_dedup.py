@@ -216,3 +216,30 @@ def test_near_settled_in_blocks(monkeypatch):
     assert merged(near_dup.links_across(side, ids, ids, found)) == merged(pairs)
     side[40:] = 1
     assert merged(near_dup.links_across(side, ids, ids, found)) == merged([(a, b) for a, b in pairs if a >= 40 > b])
+
+
+def test_near_short_and_repeated(spark):
+    """Texts of a few words with one more, and a text with the same text written twice."""
+    rng = random.Random(13)
+    rows = []
+    for k in range(150):
+        w = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(rng.choice((8, 9, 10, 14, 30, 36, 40, 45, 60)))]
+        twin = w + w if k % 3 == 0 and len(w) > 20 else w + ["more"] if k % 2 else ["more"] + w
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(twin))]
+    got = sorted((str(r.doc_id), r.class_id) for r in near_dup.near_duplicates(frame(spark, rows)).collect())
+    assert got == classes(rows) and len({c for _, c in got}) == 150
+
+
+def test_short_keys_are_exact():
+    rng = random.Random(17)
+    for _ in range(3000):
+        a = rng.sample(range(1 << 50), rng.randint(4, 32))
+        b = list(a)
+        for _ in range(rng.randint(1, 5)):
+            if rng.random() < 0.5:
+                b.insert(rng.randint(0, len(b)), rng.randrange(1 << 50))
+            elif len(b) > 1:
+                b.pop(rng.randrange(len(b)))
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        if near_dup.alignment(a, b):
+            assert np.intersect1d(near_dup.keys_of(a), near_dup.keys_of(b)).size
