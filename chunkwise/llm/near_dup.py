@@ -363,10 +363,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of every class; columns as before."""
-    classes = written(near_duplicates(docs, id_col, text_col), "classes")
-    gone = written(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "dropped")
-    kept = docs.join(maybe_broadcast(gone.withColumnRenamed("doc_id", id_col)), id_col, "left_anti").select(*docs.columns)
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    """The document with the smallest id of every class; columns as before.  A document is
+    its id and its words: rows that share an id only are told apart, equal ones stay once."""
+    classes = written(classes_of(docs, id_col, text_col).select("doc_id", "digest", "class", "class_id"), "classes")
+    repeated = written(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(LOW))
+    if repeated.isEmpty():
+        mine = maybe_broadcast(gone.select(F.col("doc_id").alias("__doc")))
+        return docs.join(mine, own == F.col("__doc"), "left_anti").select(*docs.columns)
+    # ids that occur once as above; of the others, the first words of every class whose smallest id they are
+    mine = maybe_broadcast(gone.union(repeated).distinct().select(F.col("doc_id").alias("__doc")))
+    once = docs.join(mine, own == F.col("__doc"), "left_anti").select(*docs.columns)
+    first = (classes.where("doc_id = class_id").groupBy("class").agg(F.min("doc_id").alias("__doc"), F.min("digest").alias("__digest"))
+             .join(repeated.withColumnRenamed("doc_id", "__doc"), "__doc", "left_semi").select("__doc", "__digest"))
+    digest = F.udf(words_digest, "binary")
+    several = (docs.join(repeated.withColumnRenamed("doc_id", "__doc"), own == F.col("__doc"))
+               .withColumn("__digest", digest(F.coalesce(F.col(text_col), F.lit(""))))
+               .join(first, ["__doc", "__digest"]).dropDuplicates(["__doc", "__digest"]))
+    return once.unionByName(several.select(*docs.columns))

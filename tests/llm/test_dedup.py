@@ -243,3 +243,11 @@ def test_short_keys_are_exact():
         a, b = np.array(a, np.uint64), np.array(b, np.uint64)
         if near_dup.alignment(a, b):
             assert np.intersect1d(near_dup.keys_of(a), near_dup.keys_of(b)).size
+
+
+def test_keep_one_of_equal_ids(spark):
+    """Rows with null or equal ids and unrelated texts stay; of equal texts one does."""
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, PROSE), (None, other), (None, "a b c"), (7, "x y z"), (7, "p q r s t u"), (7, "x  Y z"), (8, other + " end"), (9, "p q r s t u")]
+    kept = sorted((str(r["doc_id"]), r["text"].lower().split()) for r in near_dup.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted((str(i), t.split()) for i, t in [(None, PROSE.lower()), (None, other), (None, "a b c"), (7, "x y z"), (7, "p q r s t u")])
