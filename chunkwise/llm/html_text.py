@@ -4,9 +4,11 @@ A page's text is cut into blocks, each with its root-to-leaf tag path.  Per
 path, text length and punctuation per block are aggregated, smoothed along the
 tree (a path takes part in the scores of its ancestors' subtrees), fused into
 one score, and paths below a share of the best score are dropped.  Subtrees
-whose tag, role or class names furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) never take part, and if the page marks its
-article, paths outside it don't either.
+whose tag or role names furniture (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) never take part; those that only a class name or id
+names so come back if they hold the page's article or most of its text, or if
+nothing else is left.  If the page marks its article, paths outside it don't
+take part either.
 
 Defined results: a null or empty page, or one without text, gives an empty
 text; markup that is never closed or closed twice is read as browsers do in
@@ -78,42 +80,75 @@ _PUNCT = regex.compile(r"[.,;:!?…。，；：！？、]")
 _SPACE = regex.compile(r"\s+")
 
 
+#: A class name that starts or ends so tells of layout or of content, whatever else it holds.
+LAYOUT_FIRST = frozenset("has with without no not is layout left right".split())
+LAYOUT_LAST = frozenset("content contents page pages paper text body main article post story layout template".split())
+
+
 class Node:
-    __slots__ = ("name", "path", "drop", "marked", "block", "link")
+    __slots__ = ("name", "path", "drop", "marked", "block", "link", "named")
 
-    def __init__(self, name: str, path: tuple, drop: bool, marked: bool, block: bool, link: bool = False):
-        self.name, self.path, self.drop, self.marked, self.block, self.link = name, path, drop, marked, block, link
+    def __init__(self, name: str, path: tuple, drop: bool, marked: int, block: bool, link: bool = False, named: tuple = ()):
+        self.name, self.path, self.drop, self.marked, self.block, self.link, self.named = name, path, drop, marked, block, link, named
 
 
-def furniture(name: str, attrs: str, in_marked: bool) -> bool:
-    """Whether an element's subtree is no main text."""
-    if name in DROP_TAGS or name == "header" and not in_marked:
+def furniture_name(name: str, in_marked: bool) -> bool:
+    """Whether one class name or id names furniture."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    if len(words) > 1 and (words[0] in LAYOUT_FIRST or words[-1] in LAYOUT_LAST):
+        return False
+    if any(map(_AD.fullmatch, words)):
         return True
+    found = DROP_WORDS.intersection(words)
+    return bool(found - {"header"} or found and not in_marked)
+
+
+def furniture(name: str, attrs: str, in_marked: bool) -> int:
+    """Whether an element's subtree is no main text: 2 surely, 1 by a class name or id."""
+    if name in DROP_TAGS or name == "header" and not in_marked:
+        return 2
     if not attrs or name in ("html", "body"):
-        return False
+        return 0
+    named = 0
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in DROP_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("article", "main"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if any(map(_AD.fullmatch, words)):
-                return True
-            words &= DROP_WORDS
-            if words - {"header"} or words and not in_marked:
-                return True
+            return 2
+        if key in ("class", "id") and name not in ("article", "main") and any(furniture_name(x, in_marked) for x in value.split()):
+            named = 1
         if key == "class" and name == "article" and DROP_ARTICLES & set(value.lower().split()):
-            return True
+            return 2
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and regex.search(r"display\s*:\s*none", value, regex.I):
-            return True
-    return bool(regex.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+            return 2
+    return 2 if regex.search(r"(?:^|\s)hidden(?:\s|$)", attrs) else named
+
+
+def unnamed(found: list[tuple[Node, str, float]], holds: dict[int, tuple]) -> list[tuple[tuple, bool, str, float]]:
+    """The blocks outside subtrees that are furniture by name.  A subtree that holds the page's
+    article (of the marked ones, that with most text) is none, nor, on a page that marks none
+    outside of it, one that holds most of the text; if nothing is left, all blocks stay."""
+    marks: dict[int, int] = {}
+    names: dict[int, int] = {}
+    for node, t, _ in found:
+        if node.marked:
+            marks[node.marked] = marks.get(node.marked, 0) + len(t)
+        for k in node.named:
+            names[k] = names.get(k, 0) + len(t)
+    if names:
+        article = max(marks, key=marks.get) if marks else 0
+        whole = sum(len(t) for _, t, _ in found)
+        gone = {k for k, n in names.items() if k not in holds.get(article, ()) and (article or 2 * n <= whole)}
+        found = [f for f in found if not gone.intersection(f[0].named)] or found
+    return [(node.path, bool(node.marked), t, link) for node, t, link in found]
 
 
 def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
     """(path, inside a marked article, text, share of link text) of every block that is no
     furniture, in page order."""
-    out: list[tuple[tuple, bool, str, float]] = []
-    root = Node("", (), False, False, True)
+    out: list[tuple[Node, str, float]] = []
+    holds: dict[int, tuple] = {}  # of marked articles, the subtrees named as furniture around them
+    opened = 0
+    root = Node("", (), False, 0, True)
     stack = [root]
     text: list[str] = []
     linked = 0
@@ -126,7 +161,7 @@ def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
             joined = _SPACE.sub(" ", html.unescape(raw)).strip()
             text.clear()
             if joined:
-                out.append((owner.path, owner.marked, joined, linked / len(raw)))
+                out.append((owner, joined, linked / len(raw)))
         linked = 0
 
     def pop_to(k: int) -> None:
@@ -201,19 +236,25 @@ def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
             continue
         top = stack[-1]
         attrs = m["attrs"] or ""
-        marked = top.marked or name in ("article", "main") or 'role="main"' in attrs or "articleBody" in attrs
-        drop = top.drop or furniture(name, attrs, top.marked)
+        opened += 1
+        marked = top.marked
+        if not marked and (name in ("article", "main") or 'role="main"' in attrs or "articleBody" in attrs):
+            marked = opened
+            holds[marked] = top.named
+        kind = 2 if top.drop else furniture(name, attrs, bool(top.marked))
+        drop = kind == 2 or kind == 1 and inline
+        named = (*top.named, opened) if kind == 1 and not inline else top.named
         if drop and not top.drop and not inline:
             flush()
         if not inline and not drop:
             flush()
         if attrs.endswith("/") and name in ("path", "g", "use"):
             continue
-        stack.append(Node(name, top.path if inline else top.path + (name,), drop, marked, not inline, top.link or name == "a"))
+        stack.append(Node(name, top.path if inline else top.path + (name,), drop, marked, not inline, top.link or name == "a", named))
         if not inline and not drop:
             owner = stack[-1]
     flush()
-    return out
+    return unnamed(out, holds)
 
 
 def scores(found: list[tuple[tuple, bool, str, float]]) -> dict[tuple, float]:

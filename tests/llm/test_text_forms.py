@@ -134,3 +134,15 @@ def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x"), (None, None, "", "x")], "page_id long, url string, html string, text string")
     assert sorted((str(r[0]), r[2]) for r in html_text.extract_pages(df).collect()) == [("1", ""), ("1", "a"), ("None", "")]
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "legal-text", "discussion-paper", "layout-banner", "with-banner x", "sidebar"])
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "%s"])
+def test_html_class_names_around_the_text(name, wrap):
+    assert html_text.extract(PAGE % (f'<div class="{name}"><div>{wrap % BODY}</div></div>')) == MAIN
+
+
+def test_html_named_furniture():
+    assert html_text.extract("<div class='notice'><p>All there is, here.</p></div>") == "All there is, here."
+    comments = "<div class='comments'>%s</div>" % ("<article><p>I say, this is nice, very nice.</p></article>" * 3)
+    assert html_text.extract(PAGE % ("<article>%s</article>%s" % (BODY, comments))) == MAIN
