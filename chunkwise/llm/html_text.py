@@ -3,12 +3,14 @@
 A page's text is cut into blocks, each with its root-to-leaf tag path.  Per
 path, text length and punctuation per block are aggregated, smoothed along the
 tree (a path takes part in the scores of its ancestors' subtrees), fused into
-one score, and paths below a share of the best score are dropped.  Subtrees
+one score, and paths below a share of the best score are dropped.  Blocks that
+are all link have a path of their own, which goes if it holds several links
+(headings excepted), wherever it lies.  Subtrees
 whose tag or role names furniture (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) never take part; those that only a class name or id
 names so come back if they hold the page's article or most of its text, or if
-nothing else is left.  If the page marks its article, paths outside it don't
-take part either.
+nothing else is left.  If the page marks its article, that weights the scores:
+a path inside it stays with less, one outside it needs more.
 
 Defined results: a null or empty page, or one without text, gives an empty
 text; markup that is never closed or closed twice is read as browsers do in
@@ -38,6 +40,10 @@ DECAY = 0.5
 THRESHOLD = 0.08
 #: An <article> or <main> counts if it holds this share of the candidate text.
 MARKED_SHARE = 0.3
+#: Weights of the scores inside and outside of it.
+INSIDE, OUTSIDE = 2.0, 0.25
+#: A block with this share of link text is all link.
+ALL_LINK = 0.9
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +60,7 @@ ENDS = {
     "tbody": (("tr", "td", "th", "thead", "tbody", "tfoot"), ("table",)),
     "tfoot": (("tr", "td", "th", "thead", "tbody", "tfoot"), ("table",)),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements inside which an open p of outside is not ended.
 P_LIMIT = frozenset("table td th caption button object html body article section div aside nav li dd blockquote".split())
 # Furniture by tag, by role, and by words of class and id.
@@ -123,46 +130,47 @@ def furniture(name: str, attrs: str, in_marked: bool) -> int:
     return 2 if regex.search(r"(?:^|\s)hidden(?:\s|$)", attrs) else named
 
 
-def unnamed(found: list[tuple[Node, str, float]], holds: dict[int, tuple]) -> list[tuple[tuple, bool, str, float]]:
+def unnamed(found: list[tuple[Node, str, float, int]], holds: dict[int, tuple]) -> list[tuple[tuple, bool, str, float, int]]:
     """The blocks outside subtrees that are furniture by name.  A subtree that holds the page's
     article (of the marked ones, that with most text) is none, nor, on a page that marks none
     outside of it, one that holds most of the text; if nothing is left, all blocks stay."""
     marks: dict[int, int] = {}
     names: dict[int, int] = {}
-    for node, t, _ in found:
+    for node, t, _, _ in found:
         if node.marked:
             marks[node.marked] = marks.get(node.marked, 0) + len(t)
         for k in node.named:
             names[k] = names.get(k, 0) + len(t)
     if names:
         article = max(marks, key=marks.get) if marks else 0
-        whole = sum(len(t) for _, t, _ in found)
+        whole = sum(len(t) for _, t, _, _ in found)
         gone = {k for k, n in names.items() if k not in holds.get(article, ()) and (article or 2 * n <= whole)}
         found = [f for f in found if not gone.intersection(f[0].named)] or found
-    return [(node.path, bool(node.marked), t, link) for node, t, link in found]
+    return [(node.path + ("a",) if link >= ALL_LINK and node.name not in HEADINGS else node.path, bool(node.marked), t, link, n)
+            for node, t, link, n in found]
 
 
-def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
-    """(path, inside a marked article, text, share of link text) of every block that is no
-    furniture, in page order."""
-    out: list[tuple[Node, str, float]] = []
+def blocks(page: str) -> list[tuple[tuple, bool, str, float, int]]:
+    """(path, inside a marked article, text, share of link text, links) of every block that
+    is no furniture, in page order."""
+    out: list[tuple[Node, str, float, int]] = []
     holds: dict[int, tuple] = {}  # of marked articles, the subtrees named as furniture around them
     opened = 0
     root = Node("", (), False, 0, True)
     stack = [root]
     text: list[str] = []
-    linked = 0
+    linked = anchors = 0
     owner = root  # the block element that the collected text belongs to
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, anchors
         if text:
             raw = "".join(text)
             joined = _SPACE.sub(" ", html.unescape(raw)).strip()
             text.clear()
             if joined:
-                out.append((owner, joined, linked / len(raw)))
-        linked = 0
+                out.append((owner, joined, linked / len(raw), anchors))
+        linked = anchors = 0
 
     def pop_to(k: int) -> None:
         if any(n.block for n in stack[k:]):
@@ -170,7 +178,7 @@ def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
         del stack[k:]
 
     def add(raw: str) -> None:
-        nonlocal owner, linked
+        nonlocal owner, linked, anchors
         top = stack[-1]
         if raw and not top.drop:
             at = next(n for n in reversed(stack) if n.block)
@@ -179,6 +187,7 @@ def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
                 owner = at
             text.append(raw)
             linked += len(raw) if top.link else 0
+            anchors += top.name == "a"
 
     pos, size = 0, len(page)
     while pos < size:
@@ -257,18 +266,20 @@ def blocks(page: str) -> list[tuple[tuple, bool, str, float]]:
     return unnamed(out, holds)
 
 
-def scores(found: list[tuple[tuple, bool, str, float]]) -> dict[tuple, float]:
+def scores(found: list[tuple[tuple, bool, str, float, int]]) -> dict[tuple, float]:
     """Fused and smoothed score by (tag path, marked), 1 for the best."""
     n: dict[tuple, int] = {}
     chars: dict[tuple, int] = {}
     punct: dict[tuple, int] = {}
     links: dict[tuple, float] = {}
-    for path, marked, t, link in found:
+    anchors: dict[tuple, int] = {}
+    for path, marked, t, link, a in found:
         key = path, marked
         n[key] = n.get(key, 0) + 1
         chars[key] = chars.get(key, 0) + len(t)
         punct[key] = punct.get(key, 0) + len(_PUNCT.findall(t))
-        links[key] = links.get(key, 0.0) + link * len(t)
+        links[key] = links.get(key, 0.0) + (0.0 if HEADINGS.intersection(path[-1:]) else link * len(t))
+        anchors[key] = anchors.get(key, 0) + a
     # text and punctuation per block, less what is link text
     raw = {p: math.log1p(chars[p] / n[p]) * math.log1p(1 + punct[p] / n[p]) * (1 - links[p] / chars[p]) ** 2 for p in n}
     # smooth: the best score in every ancestor's subtree, less with each level up
@@ -280,11 +291,13 @@ def scores(found: list[tuple[tuple, bool, str, float]]) -> dict[tuple, float]:
     top = _spine([p for p, _ in raw])
     smooth = {(p, m): max(s, max((DECAY ** (len(p) - k) * best[p[:k]] for k in range(top + 1, len(p))), default=0.0))
               for (p, m), s in raw.items()}
+    # a path of links only has no part in the text around it; a single link may be a line of it
+    smooth = {key: s * (1 - links[key] / chars[key]) ** 2 if key[0][-1:] == ("a",) and anchors[key] > 1 else s for key, s in smooth.items()}
     most = max(smooth.values())
     out = {key: s / most if most else 1.0 for key, s in smooth.items()}
-    # fuse with the page's own mark, if the marked part holds enough text to be the article
+    # weight by the page's own mark, if the marked part holds enough text to be the article
     if sum(chars[k] for k in chars if k[1]) >= MARKED_SHARE * sum(chars.values()):
-        out = {key: max(s, THRESHOLD) if key[1] else 0.0 for key, s in out.items()}
+        out = {key: s * (INSIDE if key[1] else OUTSIDE) for key, s in out.items()}
     return out
 
 
@@ -302,7 +315,7 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     s = scores(found)
-    return "\n".join(t for p, m, t, _ in found if s[p, m] >= THRESHOLD)
+    return "\n".join(t for p, m, t, *_ in found if s[p, m] >= THRESHOLD)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -146,3 +146,19 @@ def test_html_named_furniture():
     assert html_text.extract("<div class='notice'><p>All there is, here.</p></div>") == "All there is, here."
     comments = "<div class='comments'>%s</div>" % ("<article><p>I say, this is nice, very nice.</p></article>" * 3)
     assert html_text.extract(PAGE % ("<article>%s</article>%s" % (BODY, comments))) == MAIN
+
+
+LINKS = "<ul><li><a href='1'>First other story</a><li><a href='2'>Second other story</a><li><a href='3'>Third, and last</a></ul>"
+
+
+@pytest.mark.parametrize("links", [LINKS, "<div><a href='a'>One</a> <a href='b'>Two</a> <a href='c'>Three</a></div>"])
+@pytest.mark.parametrize("wrap", ["<main>%s</main>", "<article>%s</article>", "<div><div>%s</div></div>"])
+def test_html_unnamed_link_list(wrap, links):
+    assert html_text.extract(PAGE % (wrap % (links + BODY.replace("<h1>Title here</h1>", "<h1><a href='t'>Title here</a></h1>")))) == MAIN
+
+
+def test_html_split_article():
+    para = "<p>It goes on, at length, and says more; here, there, and in the end, too.</p>"
+    page = PAGE % ("<article><p>It begins here, with some words, and more.</p>%s</article><div>%s</div><div>Tag line</div>" % (para, para * 3))
+    got = html_text.extract(page).split("\n")
+    assert len(got) == 5 and got[1:] == [para[3:-4]] * 4
