@@ -45,6 +45,16 @@ MAPPINGS = {
     "instruction-input": {"type": "instruction string, input string, output string",
                           "turns": (("user", ("instruction", "input")), ("assistant", ("output",)))},
 }
+#: Layouts of one row a turn: the conversation, order, role and text columns, and
+#: whether role names are brought to the canonical ones (those of "rows" already are).
+ROW_MAPPINGS = {
+    "rows": {"type": "conv_id long, turn long, role string, text string", "columns": ("conv_id", "turn", "role", "text"), "roles": False},
+    "content-rows": {"type": "conversation_id long, turn long, role string, content string",
+                     "columns": ("conversation_id", "turn", "role", "content"), "roles": True},
+    "from-rows": {"type": "conv_id long, turn long, from string, value string", "columns": ("conv_id", "turn", "from", "value"), "roles": True},
+    "speaker-rows": {"type": "dialog_id long, turn long, speaker string, text string",
+                     "columns": ("dialog_id", "turn", "speaker", "text"), "roles": True},
+}
 #: Role names of other layouts, by canonical role.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -101,6 +111,19 @@ def table_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("turns", turns_of(name, F.struct(*[F.col(f"`{c}`") for c in _ddl(MAPPINGS[name]["type"]).names])))
 
 
+def turn_rows(df: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of a turn table whose schema has a known fingerprint;
+    columns that no row layout names are left out."""
+    named = {c for m in ROW_MAPPINGS.values() for c in m["columns"]}
+    schema = StructType([f for f in df.schema.fields if f.name in named])
+    known = {fingerprint(_ddl(m["type"])): m for m in ROW_MAPPINGS.values()}
+    m = known.get(fingerprint(schema))
+    if m is None or not set(m["columns"]) <= set(df.columns):
+        raise ValueError("no row mapping for the field paths " + ", ".join(paths(df.schema)))
+    conv, turn, role, text = (F.col(f"`{c}`") for c in m["columns"])
+    return df.select(conv.alias("conv_id"), turn.alias("turn"), (_role(role) if m["roles"] else role).alias("role"), text.alias("text"))
+
+
 def record_shape(json: Column) -> Column:
     """The variant schema of a JSON record without scalar types and ignored fields."""
     shape = F.schema_of_variant(F.try_parse_json(json))

@@ -39,7 +39,7 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat.turn_rows(table(spark, sf, "conversations"))
     extra = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(told).alias("text"))
         for k, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")

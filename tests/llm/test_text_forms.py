@@ -162,3 +162,18 @@ def test_html_split_article():
     page = PAGE % ("<article><p>It begins here, with some words, and more.</p>%s</article><div>%s</div><div>Tag line</div>" % (para, para * 3))
     got = html_text.extract(page).split("\n")
     assert len(got) == 5 and got[1:] == [para[3:-4]] * 4
+
+
+def test_chat_row_layouts(spark, tmp_path):
+    """The query takes turn tables by the fingerprint of their schema."""
+    turns = [(1, 1, "gpt", "yo"), (1, 0, "Human", "hi"), (2, 0, "assistant", "x")]
+    for names in ("conversation_id turn role content", "conv_id turn from value", "dialog_id turn speaker text"):
+        df = spark.createDataFrame([(*t, "extra") for t in turns], ", ".join(f"`{n}` {k}" for n, k in zip(
+            [*names.split(), "lang"], ("long", "long", "string", "string", "string"))))
+        at = tmp_path / names.replace(" ", "-")
+        df.write.parquet(f"{at}/conversations.parquet")
+        out = {r["conv_id"]: r for r in queries.op3_chat_format(spark, str(at)).collect()}
+        assert (out[1]["n_turns"], out[1]["loss_chars"], out[2]["loss_chars"]) == (2, 2, 1)
+        assert out[1]["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest()
+    with pytest.raises(ValueError):
+        chat.turn_rows(spark.range(1))
