@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, html_text, language, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
+from . import chat, fill_middle, html_text, language, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
 from .common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -87,8 +87,15 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.transform(table(spark, sf, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract, op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract,
+                                    op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts, op11_fill_middle)}
 
 
 SQL_OP3 = r"""
@@ -132,5 +139,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND lost <= {quality.MAX_LOSS} * word_chars AS kept FROM b"""
 
 
+SQL_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+             ('0x' || h[17:24])::UBIGINT % 100 AS h3, ('0x' || h[25:32])::UBIGINT % 100 AS h4 FROM d),
+c AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS b,
+             CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8}
+    return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8, "op11_fill_middle": SQL_OP11}
