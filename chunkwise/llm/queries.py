@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, fill_middle, html_text, language, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
-from .common import table
+from . import chat, fill_middle, html_text, language, line_dedup, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
+from .common import shared_path, table
 
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -93,9 +93,15 @@ def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
                        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    index = line_dedup.LineIndex.create(spark, shared_path(spark, "line-index")).insert(docs)
+    return index.clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract,
-                                    op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts, op11_fill_middle)}
+                                    op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts, op11_fill_middle, op12_line_dedup)}
 
 
 SQL_OP3 = r"""
@@ -151,5 +157,16 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
        sha256(t) AS restored_sha256 FROM p"""
 
 
+SQL_OP12 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8, "op11_fill_middle": SQL_OP11}
+    return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8, "op11_fill_middle": SQL_OP11,
+            "op12_line_dedup": SQL_OP12}
