@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import chat, fill_middle, html_text, language, line_dedup, lz_fingerprint, near_dup, packing, pieces, quality, suffix_dedup, token_counts
+from . import chat, fill_middle, html_text, language, line_dedup, lz_fingerprint, near_dup, packing, pieces, prefix_trie, quality, suffix_dedup, token_counts
 from .common import shared_path, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -99,9 +99,13 @@ def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return index.clean(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf, "conversations")).drop("a", "b")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_sentencepiece, op2_best_fit_packing, op3_chat_format, op4_lz_fingerprint, op5_suffix_dedup, op6_html_extract,
-                                    op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts, op11_fill_middle, op12_line_dedup)}
+                                    op7_minhash_near_dedup, op8_quality_rules, op9_language_id, op10_token_counts, op11_fill_middle, op12_line_dedup, op13_prefix_trie)}
 
 
 SQL_OP3 = r"""
@@ -167,6 +171,31 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropp
 FROM k LEFT JOIN f USING (key) GROUP BY r"""
 
 
+SQL_OP13 = r"""
+WITH t AS (SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS g, strlen(coalesce(text, '')) AS w
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS pos, g, w FROM t),
+crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS tab),
+i AS (SELECT DISTINCT conv_id FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 9 AS h
+      FROM i, crc),
+c AS (SELECT h.*, (SELECT count(*) FROM o WHERE o.conv_id = h.base AND o.pos <= h.h) AS k FROM h),
+rb AS (SELECT c.conv_id, o.pos AS depth, g, w FROM c JOIN o ON o.conv_id = c.base WHERE o.pos <= c.h
+       UNION ALL SELECT c.conv_id, o.pos - c.h + c.k, g, w FROM c JOIN o USING (conv_id) WHERE o.pos > c.h),
+p AS MATERIALIZED (SELECT conv_id, depth, w, sha256(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM rb
+       UNION ALL SELECT conv_id, 0, 0, sha256('') FROM c),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM p GROUP BY ALL),
+e AS (SELECT n.*, u.conv_id AS parent_conv_id, u.node AS parent FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN n u ON u.node = p.node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM e WHERE parent IS NOT NULL GROUP BY 1),
+sub AS (SELECT a.node, sum((e.n_convs - 1) * e.w)::BIGINT AS saved, count(*) FILTER (WHERE kids.node IS NULL) AS n_leaves
+        FROM e LEFT JOIN kids USING (node) JOIN p a ON a.conv_id = e.conv_id AND a.depth <= e.depth GROUP BY 1),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY 1) GROUP BY 1)
+SELECT e.conv_id, e.depth, e.parent_conv_id, e.n_convs, coalesce(kids.n_children, 0) AS n_children, sub.n_leaves, sub.saved AS saved_tokens,
+       sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM e JOIN sub USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_chat_format": SQL_OP3, "op8_quality_rules": SQL_OP8, "op11_fill_middle": SQL_OP11,
-            "op12_line_dedup": SQL_OP12}
+            "op12_line_dedup": SQL_OP12, "op13_prefix_trie": SQL_OP13}
