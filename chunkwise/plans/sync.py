@@ -46,7 +46,9 @@ def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: Versione
     kind = "file_path string, progress int, error string"
     if not pending:
         return spark.createDataFrame([], kind)
-    log = (lambda rows: status_log.append(rows.select("file_path", "progress", F.timestamp_seconds(F.lit(now)).alias("ts"), "error"))) \
+    # the rows of a step have one time; the registry's version numbers the steps
+    seq = F.lit(registry.current_version()).cast("long").alias("seq")
+    log = (lambda rows: status_log.append(rows.select("file_path", "progress", F.timestamp_seconds(F.lit(now)).alias("ts"), "error", seq))) \
         if status_log is not None else (lambda rows: None)
     files, missing = files_under(spark, pending)
     results = [spark.createDataFrame([(p, FAILED, "missing path") for p in missing], kind)]

@@ -43,9 +43,11 @@ def settings_schema() -> T.StructType:
 
 
 def status_log_schema() -> T.StructType:
+    """``seq``: number of the step that wrote the row, greater in later steps."""
     return T.StructType([
         T.StructField("file_path", T.StringType(), False),
         T.StructField("progress", T.IntegerType(), False),
         T.StructField("ts", T.TimestampType(), False),
         T.StructField("error", T.StringType(), True),
+        T.StructField("seq", T.LongType(), True),
     ])
