@@ -861,6 +861,123 @@ def q_x2_stage_log(spark, sf):
     return spark.read.parquet(_stream(spark, src)["status"]).select("file_path", "progress", "error")
 
 
+def _tables(spark, name, *kinds):
+    from chunkwise.schemas import status_log_schema
+
+    made = {"files": lambda at: VersionedTable(spark, at, files_schema()), "log": lambda at: VersionedTable(spark, at, status_log_schema())}
+    return [_chunk_table(spark, name) if k == "chunks" else made[k](scratch_path(spark, f"{name}-{k}")) for k in kinds]
+
+
+def q_x3_stream_table_replace(spark, sf):
+    """Documents stream into the chunk table, come again with other texts (Spanish ones
+    empty) after a restart, and the files of toxic documents are removed."""
+    from chunkwise.streaming.table_sink import stream_documents_into
+
+    chunks, log = _tables(spark, "x3", "chunks", "log")
+    src, checkpoint = scratch_path(spark, "x3-src"), scratch_path(spark, "x3-checkpoint")
+    d = _t(spark, sf, "documents")
+
+    def run():
+        stream_documents_into(chunks, src, checkpoint, status_log=log, max_files_per_trigger=2, trigger={"availableNow": True}).awaitTermination()
+
+    d.withColumn("text", F.concat(F.lit("An older text. "), F.col("text"))).repartition(3).write.parquet(src)
+    run()
+    d.withColumn("text", F.when(F.col("lang") == "es", F.lit(" \n")).otherwise(F.col("text"))).repartition(3).write.mode("append").parquet(src)
+    run()
+    toxic = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id")
+    chunks.change(toxic.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path")), "file_path")
+    return chunks.read().select("chunk_id", "file_path", "pos", "text")
+
+
+def _language_folders(spark, sf, name):
+    """A folder per language with a file per document; Spanish ones are of an unsupported kind."""
+    root = scratch_path(spark, name)
+    d = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    n = 2 * spark.sparkContext.defaultParallelism  # the per-document files are written in parallel
+    for lang in ("en", "de", "fr", "es"):
+        rows = d.where(F.col("lang") == lang).select("doc_id", "text").repartition(n, "doc_id").write.partitionBy("doc_id")
+        rows.csv(f"{root}/{lang}") if lang == "es" else rows.text(f"{root}/{lang}")
+    return root
+
+
+def _register(spark, registry, paths, now):
+    registry.append(SC.registry_rows(spark.createDataFrame([(p,) for p in paths], "file_path string"), now))
+
+
+def _doc_of(path="file_path"):
+    return F.regexp_extract(path, r"doc_id=(\d+)", 1).try_cast("long").alias("doc_id")
+
+
+def q_x1_registry_stream(spark, sf):
+    """The registry is the stream's source: folders registered before the first start, late ones, and one
+    that fails (it does not exist yet) and is retried."""
+    from chunkwise.plans.sync import retry_failed
+    from chunkwise.streaming.table_sink import stream_registry
+
+    registry, chunks, log = _tables(spark, "x1", "files", "chunks", "log")
+    root, checkpoint = _language_folders(spark, sf, "x1-tree"), scratch_path(spark, "x1-checkpoint")
+    clock = iter(range(NOW + 10, LATER))
+
+    def run():
+        stream_registry(registry, chunks, checkpoint, lambda: next(clock), status_log=log, limit=2, size=CHUNK, trigger={"availableNow": True}).awaitTermination()
+
+    _register(spark, registry, [f"{root}/en", f"{root}/de", f"{root}/again"], NOW)
+    run()
+    _register(spark, registry, [f"{root}/fr"], NOW + 1)
+    again = _t(spark, sf, "documents").where("lang = 'es'").select("doc_id", "text")
+    again.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").text(f"{root}/again")
+    retry_failed(registry, NOW + 2)
+    run()
+    state = registry.read().select(F.col("file_path").alias("root_path"), "progress")
+    return chunks.read().join(state, "root_path").select(_doc_of(), "pos", "text", "progress")
+
+
+def q_x2_failed_file(spark, sf):
+    """The last stage of every file and registered path; all rows of the step have the same second."""
+    from chunkwise.plans.sync import sync_pending
+
+    registry, chunks, log = _tables(spark, "x2", "files", "chunks", "log")
+    root = _language_folders(spark, sf, "x2-tree")
+    _register(spark, registry, [f"{root}/{x}" for x in ("en", "de", "fr", "es", "none")], NOW)
+    sync_pending(spark, registry, chunks, LATER, status_log=log, size=CHUNK)
+    return ST.latest_status(log.read()).select(
+        F.coalesce(_doc_of().cast("string"), F.element_at(F.split("file_path", "/"), -1)).alias("what"), "progress",
+        F.regexp_replace("error", r"^\d+ of \d+ files failed: ", "files failed: ").alias("error"))
+
+
+def q_m2_many_changes(spark, sf):
+    """32 keyed changes of the registry, read by one join: files are updated in 32 steps by number, those of
+    toxic documents removed at the end, and the first step's come again."""
+    registry, = _tables(spark, "m2n", "files")
+    rows = _registry(spark, sf)
+    registry.append(rows)
+    step = F.pmod(F.coalesce(F.regexp_extract("file_path", r"/(\d+)\.", 1).try_cast("long"), F.lit(0)), F.lit(31))
+    for k in range(31):
+        mine = rows.where(step == k)
+        registry.change(mine.select("file_path"), "file_path", mine.withColumn("progress", F.lit(100)).withColumn("sync_time", F.lit(NOW + k).cast("long")))
+    toxic = _t(spark, sf, "documents").join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id")
+    registry.change(toxic.select(_doc_path(toxic).alias("file_path")), "file_path")
+    registry.append(rows.where(step == 0).withColumn("progress", F.lit(50)))
+    return registry.read().select("file_path", "progress", "sync_time")
+
+
+def q_x4_maintenance(spark, sf):
+    """Hourly maintenance of both tables after removals and changes: one version, one set of folders, the same rows."""
+    from chunkwise.plans.sync import remove_paths
+    from chunkwise.sources.tables import maintain
+
+    registry, chunks = _tables(spark, "x4", "files", "chunks")
+    registry.append(_registry(spark, sf))
+    chunks.append(_chunks(spark, sf))
+    d = _t(spark, sf, "documents")
+    gone = d.join(_t(spark, sf, "labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("file_path")).distinct()
+    remove_paths(registry, chunks, gone)
+    maintain([registry, chunks], target_files=4, keep=1)
+    one = lambda t, key: t.read().select(F.col(key).alias("key"), F.lit(len(t.versions())).alias("n_versions"),
+                                         F.lit(len(t._manifest()["deletes"])).alias("n_deletes"))
+    return one(registry, "file_path").withColumn("tbl", F.lit("files")).unionByName(one(chunks, "chunk_id").withColumn("tbl", F.lit("chunks")))
+
+
 # ---------------------------------------------------------------------------
 # Answer routing with a stub generator (stands in for the user's model call)
 
@@ -1305,6 +1422,11 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "x1_stream_ingest": q_x1_stream_ingest,
         "x1_stream_restart": q_x1_stream_restart,
         "x2_stage_log": q_x2_stage_log,
+        "x1_registry_stream": q_x1_registry_stream,
+        "x2_failed_file": q_x2_failed_file,
+        "x3_stream_table_replace": q_x3_stream_table_replace,
+        "x4_maintenance": q_x4_maintenance,
+        "m2_many_changes": q_m2_many_changes,
         "s2_dispatch_files": q_s2_dispatch_files,
         "s9_merged_text": q_s9_merged_text,
         "s12_compact": q_s12_compact,
@@ -1365,6 +1487,20 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "x2_stage_log": """WITH f AS (SELECT source || '/' || doc_id::VARCHAR || '.txt' AS file_path, lang FROM documents)
 SELECT file_path, unnest(CASE WHEN lang = 'es' THEN [1, -1] ELSE [1, 50, 100] END)::INTEGER AS progress,
        unnest(CASE WHEN lang = 'es' THEN [NULL, 'no text'] ELSE [NULL, NULL, NULL]::VARCHAR[] END) AS error FROM f""",
+        "x1_registry_stream": f"WITH {s_chunks_cte(CHUNK)} SELECT doc_id, pos, text, 100::INTEGER AS progress FROM ch",
+        "x2_failed_file": """SELECT doc_id::VARCHAR AS what, CASE WHEN lang = 'es' THEN -1 ELSE 100 END::INTEGER AS progress,
+       CASE WHEN lang = 'es' THEN 'unsupported: csv' END AS error FROM documents
+UNION ALL SELECT l, 100, NULL FROM unnest(['en', 'de', 'fr']) AS t(l)
+UNION ALL VALUES ('es', -1, 'files failed: unsupported: csv'), ('none', -1, 'missing path')""",
+        "x3_stream_table_replace": f"""WITH {s_chunks_cte(CHUNK)}
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, source || '/' || doc_id::VARCHAR || '.txt' AS file_path, pos, text
+FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')""",
+        "x4_maintenance": f"SELECT tbl, key, 1::INTEGER AS n_versions, 0::INTEGER AS n_deletes FROM ({_sql_p_m_x()['m2_cascade_delete']})",
+        "m2_many_changes": f"""WITH {REGISTRY_SQL},
+s AS (SELECT file_path, coalesce(try_cast(regexp_extract(file_path, '/([0-9]+)\\.', 1) AS BIGINT), 0) % 31 AS k FROM registry)
+SELECT file_path, 100::INTEGER AS progress, ({NOW} + k)::BIGINT AS sync_time FROM s
+WHERE file_path NOT IN (SELECT {DOC_PATH_SQL} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+UNION ALL SELECT file_path, 50, 0 FROM s WHERE k = 0""",
         "s2_dispatch_files": SQL_S2,
         "s9_merged_text": """WITH parts AS (
   SELECT * FROM conversations c WHERE NOT EXISTS (
