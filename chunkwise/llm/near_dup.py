@@ -11,15 +11,18 @@ first few is a key (texts that only a longer one could match have both).  Texts
 that share a key are candidates; a banded alignment of their sequences must
 match ``SIMILARITY`` of the union.
 
-Exact copies (equal words) are one text throughout.  A bucket (texts with one
-key in common) of any size first gives two comparisons a text: with the bucket's
-most central text (whose buckets are the largest: of a group of copies, its
-original), and with its neighbours when the bucket is sorted by the further
-keys, where the texts that agree in most of them stand together.  Buckets that
-then still hold several classes are settled: every text outside the largest
+Exact copies (equal words) are one text throughout.  A text is first compared
+with one other: the most central text of all its buckets (texts with one key in
+common; central is the text whose buckets are the largest: of a group of copies,
+its original).  Then come, as far as their texts are still in different classes,
+the central texts of its other buckets and its neighbours when a bucket is sorted
+by the further keys, where the texts that agree in most of them stand together.
+Buckets that then still hold several classes are settled: every text outside the largest
 class is held against every text of another class there, so no pair of a bucket
 stays open and no partner is capped.  Buckets of one most central text are
-settled together, large ones in blocks.  Classes are the connected components.
+settled together, large ones in blocks.  Classes are the connected components;
+links found later join classes, one link for a pair of them, so the
+edges stay near the number of texts whatever the size of a group.
 A pair of short texts is always a candidate; a pair at the threshold of longer
 ones is missed with probability below 2.5 * 10**-5 (5 * 10**-6 for long texts).
 
@@ -43,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, maybe_broadcast, mix, slices, span_hashes, word_spans, written
-from .components import components
+from .components import components, merged
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -202,34 +205,44 @@ def verified(pairs: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def central(members: DataFrame) -> DataFrame:
-    """(key, lead): the most central text of every bucket."""
+    """(key, lead, weight): the most central text of every bucket and how many texts its buckets hold."""
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     return (members.select("key", "rep").join(weight, "rep")
-            .groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("lead")))
+            .groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("lead"))).alias("most"))
+            .select("key", (-F.col("most.lead")).alias("lead"), "most.weight"))
 
 
-def candidates(members: DataFrame, leads: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) to compare first, of rows (rep, key, s1, s2, s3, n): a text and its
+def first_pairs(members: DataFrame, leads: DataFrame) -> DataFrame:
+    """(a, b): every text and the most central of its buckets' most central texts."""
+    best = (members.select("key", "rep").join(leads, "key").where("rep <> lead")
+            .groupBy("rep").agg((-F.max(F.struct("weight", (-F.col("lead")).alias("lead")))["lead"]).alias("other")))
+    return best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
+def further_pairs(members: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different classes, of rows (rep, key, s1, s2, s3): a text and a
     bucket's most central text, and neighbours in the order of the further keys."""
-    star = members.join(leads, "key").where("rep <> lead").select("rep", F.col("lead").alias("other"))
+    labels = labels.withColumnRenamed("node", "rep")
+    classed = members.join(labels, "rep", "left").withColumn("class", F.coalesce("label", "rep"))
+    led = leads.join(labels.withColumnRenamed("rep", "lead"), "lead", "left").select("key", "lead", F.coalesce("label", "lead").alias("lead_class"))
+    star = classed.join(led, "key").where("class <> lead_class").select("rep", F.col("lead").alias("other"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rep = None, None
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, reps = b.column(0).to_numpy(), b.column(1).to_numpy()
-            same = np.concatenate([[key is not None and keys[0] == key], keys[1:] == keys[:-1]])
-            before = np.concatenate([[rep if rep is not None else 0], reps[:-1]])
-            same &= before != reps
-            key, rep = keys[-1], reps[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(reps[same]), pa.array(before[same])], names=["rep", "other"])
+            rows = np.stack([b.column(k).to_numpy() for k in range(3)])
+            before = np.concatenate([rows[:, :1] if last is None else last, rows[:, :-1]], axis=1)
+            last = rows[:, -1:]
+            other = (before[0] == rows[0]) & (before[2] != rows[2])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[1, other]), pa.array(before[1, other])], names=["rep", "other"])
 
     # a global sort: a bucket of any size spreads over the range partitions
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "s1", "s2", "s3", "rep"]
-    ordered = members.select("key", "rep", "s1", "s2", "s3").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    chained = ordered.select("key", "rep").mapInArrow(chain, "rep long, other long")
+    ordered = classed.select("key", "rep", "class", "s1", "s2", "s3").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    chained = ordered.select("key", "rep", "class").mapInArrow(chain, "rep long, other long")
     return star.union(chained).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
@@ -343,13 +356,12 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     content = written(sequences(some).join(maybe_broadcast(wanted, 4), ["doc_id", "digest"])
                       .select("rep", "sequence").dropDuplicates(["rep"]), "candidate-texts")
     leads = written(central(members), "leads")
-    links = written(verified(candidates(members, leads), content).where("alike").select("a", "b"), "links")
-    labels = components(links)
+    alike = lambda pairs: written(verified(pairs, content).where("alike").select("a", "b"), "links")
+    labels = components(alike(first_pairs(members, leads)))
+    labels = merged(labels, alike(further_pairs(members, leads, labels)))
     open_ = written(open_texts(members, leads, labels), "open-texts")
     if not open_.isEmpty():
-        more = written(settled(blocked(open_), content), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        labels = merged(labels, written(settled(blocked(open_), content), "links"))
     texts = (reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .select("digest", "first", F.coalesce("label", "rep").alias("class")))
     smallest = texts.groupBy("class").agg(F.min("first").alias("class_id"))
@@ -377,7 +389,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     once = docs.join(mine, own == F.col("__doc"), "left_anti").select(*docs.columns)
     first = (classes.where("doc_id = class_id").groupBy("class").agg(F.min("doc_id").alias("__doc"), F.min("digest").alias("__digest"))
              .join(repeated.withColumnRenamed("doc_id", "__doc"), "__doc", "left_semi").select("__doc", "__digest"))
-    digest = F.udf(words_digest, "binary")
+    digest = F.udf(words_digest, "binary", useArrow=True)
     several = (docs.join(repeated.withColumnRenamed("doc_id", "__doc"), own == F.col("__doc"))
                .withColumn("__digest", digest(F.coalesce(F.col(text_col), F.lit(""))))
                .join(first, ["__doc", "__digest"]).dropDuplicates(["__doc", "__digest"]))

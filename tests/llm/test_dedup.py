@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from chunkwise.llm import near_dup, queries, suffix_dedup
-from chunkwise.llm.components import components
+from chunkwise.llm import components as components_module
+from chunkwise.llm.components import components, merged
 from chunkwise.llm.suffix_sort import COVER, PERIOD, window_classes
 from llm_rows import AWKWARD, PROSE, frame
 
@@ -167,6 +168,37 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_merged(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], "a long, b long")
+    links = spark.createDataFrame([(3, 11), (2, 10), (1, 3), (30, 21), (40, 41)], "a long, b long")
+    got = dict(merged(components(edges), links).collect())
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
+    assert dict(merged(components(edges), edges).collect()) == dict(components(edges).collect())
+
+
+def test_edges_of_a_large_group(spark, monkeypatch):
+    """5000 near copies of one text: one class, and edges stay near the number of texts."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 5000):
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    seen = []
+
+    def counted(edges):
+        seen.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(near_dup, "components", counted)
+    monkeypatch.setattr(components_module, "components", counted)
+    got = {r.class_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0} and sum(seen) <= 3 * len(rows)
+
+
 def labels_of(texts):
     """Brute force over all pairs, by matrix: smallest position of each text's class."""
     sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
