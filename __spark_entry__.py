@@ -103,8 +103,9 @@ def s_sentences(x: str) -> str:
             f"lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')")
 
 
-def s_units(x: str, cap: int) -> str:
+def s_units(x: str, cap: int, ntok=s_ntok) -> str:
     """Units of the token splitter; ``sep`` is '' after a sentence with a full-width end."""
+    s_ntok = ntok
     windows = (f"list_transform(range(0, ceil({s_ntok('w')} / {cap})::BIGINT), lambda j: "
                f"{{'t': array_to_string(regexp_extract_all(w, '{TOK}')[j * {cap} + 1 : (j + 1) * {cap}], ''), "
                f"'s': CASE WHEN j = 0 AND (k > 1 OR i = 1 OR NOT regexp_matches(q[i - 1], '[。！？；]$')) THEN ' ' ELSE '' END, "
@@ -149,13 +150,13 @@ def s_span_texts(u: str, spans: str) -> str:
             f"list_transform({u}[sp.a : sp.b], lambda v: v.s || v.t), ''), '^ ', ''))")
 
 
-def s_chunks_cte(size: int, src: str = "documents", overlap: int = 0) -> str:
+def s_chunks_cte(size: int, src: str = "documents", overlap: int = 0, cap: int | None = None, ntok=s_ntok) -> str:
     """CTE chain ending in ``ch(doc_id, source, pos, text)`` (T1 -> T2 -> T5)."""
-    cap = size - 2
+    cap = cap or size - 2
     pack = s_pack_overlap("u", cap, overlap) if overlap else s_pack("u", cap)
     return f"""
 d0 AS (SELECT doc_id, source, {s_fold(s_clean('text'))} AS t FROM {src}),
-d1 AS (SELECT doc_id, source, {s_units('t', cap)} AS u FROM d0),
+d1 AS (SELECT doc_id, source, {s_units('t', cap, ntok)} AS u FROM d0),
 d2 AS (SELECT doc_id, source, u, {pack} AS r FROM d1),
 d3 AS (SELECT doc_id, source, {s_span_texts('u', s_pack_finish('r'))} AS cs FROM d2),
 ch AS (SELECT doc_id, source, unnest(range(len(cs)))::INTEGER AS pos, unnest(cs) AS text FROM d3)"""
@@ -278,6 +279,48 @@ def q_t5_overlap(spark, sf):
     return SP.split_tokens(d, "text", size=CHUNK, overlap=OVERLAP, keep=["doc_id"]).select("doc_id", F.col("pos").cast("int").alias("pos"), "text")
 
 
+def quarter_bytes(texts: pa.Array) -> pa.Array:
+    """A counter stated in SQL: a token for every four bytes begun."""
+    import pyarrow.compute as pc
+
+    return pc.divide(pc.add(pc.binary_length(texts.cast(pa.binary())), 3), 4)
+
+
+def _counter():
+    from chunkwise.functions.counter import TokenCounter
+
+    return TokenCounter(quarter_bytes, special=3)
+
+
+def q_t3_custom_counter(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", TX.token_count("text", _counter()).alias("n_tokens"))
+
+
+def q_t5_custom_counter(spark, sf):
+    """T5 by a counter of the user."""
+    c = chunk_documents(_t(spark, sf, "documents"), size=CHUNK, counter=_counter(), add_time=0)
+    return c.select("chunk_id", "pos", "text")
+
+
+def q_e4_pdf_pages(spark, sf):
+    """English documents are text files, the others PDFs whose pages (a document's lines) come from a
+    page provider; it has none for the Spanish ones."""
+    from chunkwise.plans.files import chunk_files
+
+    d = _t(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".txt").otherwise(".pdf"))
+    files = d.select(path.alias("path"), F.timestamp_seconds(F.lit(NOW)).alias("modificationTime"), F.octet_length("text").cast("long").alias("length"),
+                     F.col("text").cast("binary").alias("content"), F.col("source").alias("root_path"))
+
+    def provider(pdfs):
+        lines = pdfs.join(d.where("lang <> 'es'").select(path.alias("path")), "path", "left_semi")
+        return lines.select(F.col("path").alias("file_path"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n", -1)).alias("page_no", "text"))
+
+    chunks, failures = chunk_files(files, pdf_pages=provider, size=CHUNK, now=0)
+    return (chunks.select("file_path", "pos", "text", F.lit(None).cast("string").alias("error"))
+            .unionByName(failures.select("file_path", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("text"), "error")))
+
+
 def q_t4_token_pieces(spark, sf):
     return _token_split(spark, sf, PIECE)
 
@@ -779,6 +822,22 @@ def q_e5_options(spark, sf):
     return c.select("chunk_id", "pos", "text")
 
 
+def call_sizes(texts):
+    """A model that tells how many texts it got."""
+    import numpy as np
+
+    return np.full((len(texts), 2), float(len(texts)))
+
+
+def q_e5_batch(spark, sf):
+    """E5: the model sees as many texts at a time as the options say, and no more."""
+    from chunkwise.operators.embed import ArrowEmbedder, EmbedOptions
+
+    c = chunk_documents(_t(spark, sf, "documents"), options=EmbedOptions(chunk_size=CHUNK, batch_size=7, strategy="sentence"),
+                        embedder=ArrowEmbedder(call_sizes, 2), add_time=0)
+    return c.agg(F.count("*").alias("n_chunks"), F.max(F.get("embedding", 0)).cast("int").alias("largest_call"))
+
+
 def _chunk_table(spark, name, **options):
     from chunkwise.schemas import chunks_schema
 
@@ -1434,6 +1493,10 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "t8_epoch_seconds": q_t8_epoch_seconds,
         "e1_batched_embed": q_e1_batched_embed,
         "e5_options": q_e5_options,
+        "e5_batch": q_e5_batch,
+        "e4_pdf_pages": q_e4_pdf_pages,
+        "t3_custom_counter": q_t3_custom_counter,
+        "t5_custom_counter": q_t5_custom_counter,
         "m2_table_delete": q_m2_table_delete,
         "m3_duplicate_updates": q_m3_duplicate_updates,
         "r6_answer_generator": q_r6_answer_generator,
@@ -1487,6 +1550,16 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "x2_stage_log": """WITH f AS (SELECT source || '/' || doc_id::VARCHAR || '.txt' AS file_path, lang FROM documents)
 SELECT file_path, unnest(CASE WHEN lang = 'es' THEN [1, -1] ELSE [1, 50, 100] END)::INTEGER AS progress,
        unnest(CASE WHEN lang = 'es' THEN [NULL, 'no text'] ELSE [NULL, NULL, NULL]::VARCHAR[] END) AS error FROM f""",
+        "e5_batch": f"WITH {s_chunks_cte(CHUNK)} SELECT count(*) AS n_chunks, 7::INTEGER AS largest_call FROM ch",
+        "e4_pdf_pages": f"""WITH src AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN text ELSE
+    array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '\\s+$', '')), '') END AS text FROM documents WHERE lang <> 'es'),
+{s_chunks_cte(CHUNK, 'src')}
+SELECT ch.source || '/' || doc_id::VARCHAR || CASE WHEN lang = 'en' THEN '.txt' ELSE '.pdf' END AS file_path, pos, ch.text, NULL::VARCHAR AS error
+FROM ch JOIN documents USING (doc_id)
+UNION ALL SELECT source || '/' || doc_id::VARCHAR || '.pdf', NULL, NULL, 'pdf: no page text supplied' FROM documents WHERE lang = 'es'""",
+        "t3_custom_counter": "SELECT doc_id, ((strlen(text) + 3) // 4 + 3)::INTEGER AS n_tokens FROM documents",
+        "t5_custom_counter": f"""WITH {s_chunks_cte(CHUNK, cap=CHUNK - 3, ntok=lambda x: f"((strlen({x}) + 3) // 4)")}
+SELECT source || '/' || doc_id::VARCHAR || '.txt#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, pos, text FROM ch""",
         "x1_registry_stream": f"WITH {s_chunks_cte(CHUNK)} SELECT doc_id, pos, text, 100::INTEGER AS progress FROM ch",
         "x2_failed_file": """SELECT doc_id::VARCHAR AS what, CASE WHEN lang = 'es' THEN -1 ELSE 100 END::INTEGER AS progress,
        CASE WHEN lang = 'es' THEN 'unsupported: csv' END AS error FROM documents

@@ -55,8 +55,10 @@ def n_tokens(col) -> Column:
     return F.regexp_count(_c(col), F.lit(TOKEN_PATTERN))
 
 
-def token_count(col) -> Column:
-    """Token count including the two special tokens."""
+def token_count(col, counter=None) -> Column:
+    """Token count including the special tokens; ``counter`` as in :mod:`chunkwise.functions.counter`."""
+    if counter is not None:
+        return (counter.count(_c(col)) + F.lit(counter.special)).cast("int")
     return (n_tokens(col) + F.lit(SPECIAL_TOKENS)).cast("int")
 
 

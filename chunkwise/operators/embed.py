@@ -37,6 +37,10 @@ class EmbedOptions:
     batch_size: int = 32
     strategy: str = "semantic"
 
+    def embedder(self, embedder):
+        """The given embedder with this batch size (the hashing embedder calls no model)."""
+        return embedder.batched(self.batch_size) if isinstance(embedder, ArrowEmbedder) else embedder
+
 
 def hash_token(tok: str, dim: int) -> int:
     """code = bucket * 2 + sign_bit of one token (md5 of its UTF-8 bytes)."""
@@ -160,6 +164,7 @@ class ArrowEmbedder:
                                   for i in range(0, len(texts), size)])
             return call
 
+        self._model = fn
         texts_fn, pieces_fn = batched(batch_size), batched(piece_batch_size)
         self.fn = pieces_fn
 
@@ -184,6 +189,10 @@ class ArrowEmbedder:
 
         self._run, self._run_many = run, run_many
 
+    def batched(self, batch_size: int) -> ArrowEmbedder:
+        """The same model, called on at most ``batch_size`` chunk texts at a time."""
+        return ArrowEmbedder(self._model, self.dim, batch_size, self.piece_batch_size)
+
     def embed(self, text) -> Column:
         return self._run(_c(text))
 

@@ -41,7 +41,8 @@ def registry_rows(paths: DataFrame, now, path_col: str = "file_path", is_file: C
 
     name = last path component, file_type = extension for regular files (NULL
     for directories or when there is none), add_time = now, sync_time = 0,
-    progress = 0.  ``is_file`` defaults to "the path has an extension".
+    progress = 0.  ``is_file`` defaults to "the path has an extension"; for paths of a
+    file system use :func:`chunkwise.plans.sync.register_paths`, which looks.
     """
     p = F.col(path_col)
     ext = file_extension(p)

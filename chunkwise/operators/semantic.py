@@ -34,7 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPECIAL_TOKENS, TOKEN_PATTERN
+from ..functions.counter import TokenCounter, special_tokens
+from ..functions.text import token_count
 
 
 # Scores, their median/sd and the bisection midpoints live on this decimal
@@ -66,6 +67,8 @@ class SemanticOptions:
     # "drop" reproduces the reference (a buffer under min_tokens is discarded
     # when the next piece overflows it); "keep" emits it instead.
     short_buffer: str = "keep"
+    # Token counter of the user (functions.counter); None: the built-in one.
+    counter: TokenCounter | None = None
 
 
 # ---------------------------------------------------------------------------
@@ -171,13 +174,14 @@ def segment_document(token_counts, vecs, o: SemanticOptions, raw: bool = True, r
     if n == 0:
         return []
     V = np.asarray(vecs, dtype=np.float64)
+    special = special_tokens(o.counter)
     out: list[list[int]] = []
     carry: list[int] = []
     for start in range(0, n, o.batch_size):
         members = [[i] for i in range(start, min(start + o.batch_size, n))]
         if carry:
             members = [carry] + members
-        counts = np.array([int(tc[m].sum()) - SPECIAL_TOKENS * (len(m) - 1) for m in members])
+        counts = np.array([int(tc[m].sum()) - special * (len(m) - 1) for m in members])
         if raw:
             ev = np.vstack([_unit(V[m].sum(axis=0)) for m in members])
         else:
@@ -293,9 +297,9 @@ def with_semantic_chunks(df: DataFrame, text_col: str, out_col: str, embedder, o
     from .split import with_token_chunks
 
     o = o or SemanticOptions()
-    staged = with_token_chunks(df, text_col, "_pieces", size=o.piece_size)
-    staged = staged.withColumn("_tc", F.transform("_pieces", lambda p: (
-        F.regexp_count(p, F.lit(TOKEN_PATTERN)) + F.lit(SPECIAL_TOKENS)).cast("int")))
+    staged = with_token_chunks(df, text_col, "_pieces", size=o.piece_size, counter=o.counter)
+    staged = staged.withColumn("_tc", F.transform("_pieces", lambda p: token_count(p)) if o.counter is None else F.transform(
+        o.counter.counts(F.col("_pieces")), lambda n: n + F.lit(o.counter.special)))
     linear = getattr(embedder, "linear", False)
     if linear:
         udf = _hashing_segment_udf(o, embedder.dim)

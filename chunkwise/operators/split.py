@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_END, SPECIAL_TOKENS, TOKEN_PATTERN, WIDE_END, _c
+from ..functions.counter import special_tokens
+from ..functions.text import SENTENCE_END, TOKEN_PATTERN, WIDE_END, _c
 
 
 def _ntok(x: Column) -> Column:
@@ -139,8 +140,8 @@ def span_text(units: Column, span: Column) -> Column:
     return F.concat(first, F.array_join(F.transform(rest, lambda u: F.concat(u["s"], u["t"])), ""))
 
 
-def _cap(size: int, overlap: int) -> int:
-    cap = size - SPECIAL_TOKENS
+def _cap(size: int, overlap: int, counter=None) -> int:
+    cap = size - special_tokens(counter)
     if cap <= 0:
         raise ValueError("size must exceed the special-token count")
     if overlap >= cap:
@@ -161,11 +162,14 @@ def token_chunks(col, size: int = 256, overlap: int = 0) -> Column:
     return chunks_from_units(split_units(col, cap), cap, overlap)
 
 
-def with_token_chunks(df: DataFrame, text_col: str, out_col: str, size: int = 256, overlap: int = 0) -> DataFrame:
+def with_token_chunks(df: DataFrame, text_col: str, out_col: str, size: int = 256, overlap: int = 0, counter=None) -> DataFrame:
     """Adds ``out_col`` = array<string> of chunks; the unit split is staged in its own
-    projection so it is evaluated once per document."""
-    cap = _cap(size, overlap)
-    staged = df.withColumn("_units", split_units(F.col(text_col), cap))
+    projection so it is evaluated once per document.  A ``counter`` of the user cuts and counts the
+    units in Arrow batches; they are packed the same way."""
+    cap = _cap(size, overlap, counter)
+    units = split_units(F.col(text_col), cap) if counter is None else counter.units(
+        F.coalesce(sentences(text_col), F.array().cast("array<string>")), cap)
+    staged = df.withColumn("_units", units)
     return staged.withColumn(out_col, chunks_from_units(F.col("_units"), cap, overlap)).drop("_units")
 
 
@@ -181,10 +185,10 @@ def explode_positions(df: DataFrame, keep: list[str], array_col: str, pos_col: s
 
 
 def split_tokens(df: DataFrame, text_col: str = "text", size: int = 256, overlap: int = 0,
-                 pos_col: str = "pos", out_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+                 pos_col: str = "pos", out_col: str = "text", keep: list[str] | None = None, counter=None) -> DataFrame:
     """T5: one row per chunk: ``keep`` columns, ``pos`` (0-based) and the chunk text."""
     keep = [c for c in (keep if keep is not None else df.columns) if c not in (text_col, pos_col, out_col)]
-    staged = with_token_chunks(df.select(*keep, F.col(text_col).alias("_src")), "_src", "_chunks", size, overlap)
+    staged = with_token_chunks(df.select(*keep, F.col(text_col).alias("_src")), "_src", "_chunks", size, overlap, counter)
     return explode_positions(staged, keep, "_chunks", pos_col, out_col)
 
 

@@ -24,6 +24,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """False for folders and for what does not exist."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.getFileStatus(p).isFile())
+
+
 def files_under(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | None, list[str]]:
     """S1 for several registered roots: (file rows carrying their ``root_path``,
     roots that do not exist).  A missing root is reported, not a job failure."""
@@ -37,18 +45,18 @@ def files_under(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | None
     return out, missing
 
 
-def staged_texts(files: DataFrame) -> DataFrame:
+def staged_texts(files: DataFrame, pdf_pages=None) -> DataFrame:
     """S2-S5 once: every file's text or error, written to the shared folder, so that chunks
     and statuses derive from the same extraction and no file is read twice.
-    ``files``: binaryFile rows plus ``root_path``."""
-    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")), keep=("root_path",))
+    ``files``: binaryFile rows plus ``root_path``; ``pdf_pages`` as for :func:`chunkwise.sources.files.extract_text`."""
+    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")), pdf_pages=pdf_pages, keep=("root_path",))
     at = scratch_path(files.sparkSession, "texts")
     texts.write.parquet(at)
     return files.sparkSession.read.schema(texts.schema).parquet(at)
 
 
 def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,
-                strategy: str = "sentence", semantic_options=None) -> DataFrame:
+                strategy: str = "sentence", semantic_options=None, counter=None) -> DataFrame:
     """Chunk table rows of extracted texts (``root_path``, ``file_path``, ``text``)."""
     embedder = embedder or HashingEmbedder()
     stamp = F.unix_timestamp() if now is None else F.lit(now)
@@ -56,21 +64,21 @@ def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder
     vec = embedder.embed(F.col("text"))
     if strategy == "semantic":
         from ..operators.semantic import SemanticOptions, with_semantic_chunks
-        staged = with_semantic_chunks(ok, "_t", "_chunks", embedder, semantic_options or SemanticOptions(), vectors_col="_vecs")
+        staged = with_semantic_chunks(ok, "_t", "_chunks", embedder, semantic_options or SemanticOptions(counter=counter), vectors_col="_vecs")
         z = staged.select("root_path", "file_path", F.arrays_zip(F.col("_chunks").alias("t"), F.col("_vecs").alias("v")).alias("_z"))
         chunks = (explode_positions(z, ["root_path", "file_path"], "_z", "pos", "_cz")
                   .select("root_path", "file_path", "pos", F.col("_cz.t").alias("text"), F.col("_cz.v").alias("_vec")))
         vec = F.col("_vec")
     else:
-        staged = with_token_chunks(ok, "_t", "_chunks", size, overlap)
+        staged = with_token_chunks(ok, "_t", "_chunks", size, overlap, counter)
         chunks = explode_positions(staged, ["root_path", "file_path"], "_chunks", "pos", "text")
     return chunks.select(chunk_key(F.col("file_path"), F.col("pos")), "root_path", "file_path", F.col("pos").cast("int").alias("pos"), "text",
                          vec.alias("embedding"), stamp.cast("long").alias("add_time"))
 
 
-def chunk_files(files: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def chunk_files(files: DataFrame, pdf_pages=None, **options) -> tuple[DataFrame, DataFrame]:
     """Returns (chunks, failures).  ``files``: binaryFile rows plus ``root_path``; ``options`` as
     for :func:`chunk_texts`."""
-    texts = staged_texts(files)
+    texts = staged_texts(files, pdf_pages)
     failures = texts.where(F.col("error").isNotNull()).select("root_path", "file_path", "file_type", "error")
     return chunk_texts(texts.where(F.col("error").isNull()), **options), failures

@@ -29,26 +29,28 @@ def document_path(df_source: Column, doc_id: Column) -> Column:
 def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None,
                     id_col: str = "doc_id", text_col: str = "text", root_col: str = "source",
                     add_time: int | Column | None = None, strategy: str = "sentence",
-                    semantic_options=None, options=None) -> DataFrame:
+                    semantic_options=None, options=None, counter=None) -> DataFrame:
     """Chunk table rows (``schemas.chunks_schema`` columns) from a keyed document table.
 
     ``strategy="sentence"``: T1 -> T2 -> token splitter (T5).
     ``strategy="semantic"``: T1 -> T2 -> pieces of 500 tokens -> semantic chunker (C1-C9).
     ``options`` (:class:`chunkwise.operators.embed.EmbedOptions`, E5) overrides
-    size, overlap and strategy.
+    size, overlap and strategy, and the batch size of a model.  ``counter``: a token counter of the user
+    (:mod:`chunkwise.functions.counter`) for both strategies.
     """
+    embedder = embedder or HashingEmbedder()
     if options is not None:
         size, overlap, strategy = options.chunk_size, options.overlap, options.strategy
-    embedder = embedder or HashingEmbedder()
+        embedder = options.embedder(embedder)
     stamp = F.unix_timestamp() if add_time is None else (add_time if isinstance(add_time, Column) else F.lit(add_time))
     base = spread(docs).select(F.col(id_col).alias("_id"), F.col(root_col).alias("root_path"),
                        normalize_text(F.col(text_col)).alias("_t"))
     if strategy == "sentence":
-        chunks = explode_positions(with_token_chunks(base, "_t", "_chunks", size, overlap),
+        chunks = explode_positions(with_token_chunks(base, "_t", "_chunks", size, overlap, counter),
                                    ["_id", "root_path"], "_chunks", "pos", "text")
     elif strategy == "semantic":
         from ..operators.semantic import SemanticOptions, with_semantic_chunks
-        opts = semantic_options or SemanticOptions()
+        opts = semantic_options or SemanticOptions(counter=counter)
         staged = with_semantic_chunks(base, "_t", "_chunks", embedder, opts, vectors_col="_vecs")
         z = staged.select("_id", "root_path", F.arrays_zip(F.col("_chunks").alias("t"), F.col("_vecs").alias("v")).alias("_z"))
         chunks = explode_positions(z, ["_id", "root_path"], "_z", "pos", "_cz") \

@@ -24,7 +24,17 @@ from ..operators import scan as SC
 from ..sources.tables import VersionedTable
 from ..session import scratch_path
 from ..streaming.status import EMBEDDED, EXTRACTING, FAILED, STORED
-from .files import chunk_texts, files_under, staged_texts
+from .files import chunk_texts, files_under, is_file, staged_texts
+
+
+def register_paths(registry: VersionedTable, paths: list[str], now: int) -> DataFrame:
+    """Paths registered by a user (a bounded list), each once, as pending rows.  The file system is
+    asked whether a path is a file: a folder ``v1.2`` has no file type.  Registering a path again makes it pending."""
+    spark = registry.spark
+    rows = spark.createDataFrame([(p, is_file(spark, p)) for p in dict.fromkeys(paths)], "file_path string, _file boolean")
+    new = SC.registry_rows(rows, now, is_file=F.coalesce("_file", F.lit(False)))
+    registry.change(rows.select("file_path"), "file_path", new)
+    return new
 
 
 def retry_failed(registry: VersionedTable, now: int) -> None:
@@ -35,7 +45,7 @@ def retry_failed(registry: VersionedTable, now: int) -> None:
 
 
 def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: VersionedTable, now: int, *,
-                 limit: int = 10, embedder=None, size: int = 256, strategy: str = "sentence",
+                 limit: int = 10, embedder=None, size: int = 256, strategy: str = "sentence", counter=None, pdf_pages=None,
                  status_log: VersionedTable | None = None) -> DataFrame:
     """Returns the status rows written for this step (file_path, progress, error): one per
     registered path, and one per file below it that failed or gave no text.
@@ -53,12 +63,12 @@ def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: Versione
     files, missing = files_under(spark, pending)
     results = [spark.createDataFrame([(p, FAILED, "missing path") for p in missing], kind)]
     if files is not None:
-        texts = staged_texts(files)
+        texts = staged_texts(files, pdf_pages)
         none = F.lit(None).cast("string")
         log(texts.select("file_path", F.lit(EXTRACTING).alias("progress"), none.alias("error")))
         roots = spark.createDataFrame([(p,) for p in pending if p not in missing], "root_path string")
         at = scratch_path(spark, "sync-chunks")
-        chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy).write.parquet(at)
+        chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy, counter=counter).write.parquet(at)
         new = spark.read.schema(chunks.schema).parquet(at)
         stored = new.select("root_path", "file_path").distinct()
         log(stored.select("file_path", F.lit(EMBEDDED).alias("progress"), none.alias("error")))

@@ -11,12 +11,13 @@ set instead of failing the job (quarantine), and a missing extension is an
   rules, documented in the README: front matter, heading marks, emphasis,
   links/images, code fences and inline code marks).
 * docx: :mod:`chunkwise.sources.docx` (stdlib zip + XML in an Arrow helper).
-* pdf: byte decoding is not built; supply page texts to
-  :func:`chunkwise.sources.pages.assemble_pages` and join them here.
+* pdf: byte decoding is not built; ``pdf_pages`` takes page texts or a function that reads them.
 """
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,13 @@ def markdown_to_text(col) -> Column:
     return t
 
 
-def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFrame | None = None,
+def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
                  keep: tuple[str, ...] = ()) -> DataFrame:
     """File rows -> (file_path, file_type, text, error, modified_at, size, *keep).
 
-    ``pdf_pages`` (file_path, page_no, text) supplies PDF page texts; PDFs
-    without pages get an error row.  ``keep`` columns of ``files`` pass through.
+    ``pdf_pages`` supplies PDF page texts: a table (file_path, page_no, text), or a function that makes one of
+    the PDF rows of ``files`` (path, content, ...), e.g. a ``mapInArrow`` of the user's PDF reader; PDFs
+    without pages get an error row.  Only PDF rows are joined.  ``keep`` columns of ``files`` pass through.
     """
     from .docx import docx_text
 
@@ -73,12 +75,12 @@ def extract_text(files: DataFrame, docx_separator: str = "", pdf_pages: DataFram
     out = x.select("file_path", "file_type", text.alias("text"), err.alias("error"), "modified_at", "size", *keep)
     if pdf_pages is not None:
         from .pages import assemble_pages
-        pdf = assemble_pages(pdf_pages, doc_col="file_path", page_col="page_no", text_col="text") \
+        pages = pdf_pages(files.where(ext == "pdf")) if callable(pdf_pages) else pdf_pages
+        pdf = assemble_pages(pages, doc_col="file_path", page_col="page_no", text_col="text") \
             .select("file_path", F.col("text").alias("_pdf"))
-        out = out.join(pdf, "file_path", "left").select(
-            "file_path", "file_type",
-            F.when(F.col("file_type") == "pdf", F.col("_pdf")).otherwise(F.col("text")).alias("text"),
-            F.when((F.col("file_type") == "pdf") & F.col("_pdf").isNotNull(), F.lit(None).cast("string"))
-            .otherwise(F.col("error")).alias("error"),
+        is_pdf = F.coalesce(F.col("file_type") == "pdf", F.lit(False))
+        found = out.where(is_pdf).join(pdf, "file_path", "left").select(
+            "file_path", "file_type", F.col("_pdf").alias("text"), F.when(F.col("_pdf").isNull(), F.col("error")).alias("error"),
             "modified_at", "size", *keep)
+        out = out.where(~is_pdf).unionByName(found)
     return out
