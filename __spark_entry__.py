@@ -790,6 +790,14 @@ SELECT doc_id::VARCHAR || CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.MD' W
             WHEN lang <> 'fr' THEN strlen(text) END::BIGINT AS size FROM d"""
 
 
+def q_s6_stream_chunks(spark, sf):
+    """Every conversation as a document whose pages are its turns, chunked page by page."""
+    from chunkwise.plans.ingest import chunk_pages
+
+    c = chunk_pages(_t(spark, sf, "conversations"), doc_col="conv_id", page_col="turn", size=64, add_time=0)
+    return c.select("chunk_id", "pos", "text")
+
+
 def q_s9_merged_text(spark, sf):
     return PG.merge_parts(_parts(spark, sf), id_col="conv_id", part_col="turn", body_col="text", first=0)
 
@@ -1488,6 +1496,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m2_many_changes": q_m2_many_changes,
         "s2_dispatch_files": q_s2_dispatch_files,
         "s9_merged_text": q_s9_merged_text,
+        "s6_stream_chunks": q_s6_stream_chunks,
         "s12_compact": q_s12_compact,
         "s13_callback_rows": q_s13_callback_rows,
         "t8_epoch_seconds": q_t8_epoch_seconds,
@@ -1574,6 +1583,8 @@ s AS (SELECT file_path, coalesce(try_cast(regexp_extract(file_path, '/([0-9]+)\\
 SELECT file_path, 100::INTEGER AS progress, ({NOW} + k)::BIGINT AS sync_time FROM s
 WHERE file_path NOT IN (SELECT {DOC_PATH_SQL} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 UNION ALL SELECT file_path, 50, 0 FROM s WHERE k = 0""",
+        "s6_stream_chunks": f"""WITH src AS (SELECT conv_id AS doc_id, '' AS source, text FROM ({_sql_p_m_x()['s6_assemble_pages']})),
+{s_chunks_cte(64, 'src')} SELECT doc_id::VARCHAR || '#' || lpad(pos::VARCHAR, 10, '0') AS chunk_id, pos, text FROM ch""",
         "s2_dispatch_files": SQL_S2,
         "s9_merged_text": """WITH parts AS (
   SELECT * FROM conversations c WHERE NOT EXISTS (

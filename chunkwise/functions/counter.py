@@ -59,16 +59,17 @@ class TokenCounter:
 
         return count_lists(texts)
 
+    def halved(self, word: str, n: int, cap: int) -> list[tuple[str, int]]:
+        """A word of ``n`` tokens in parts of at most ``cap``, with their counts."""
+        if n <= cap or len(word) < 2:
+            return [(word, n)]
+        parts = [word[:len(word) // 2], word[len(word) // 2:]]
+        return [x for p, k in zip(parts, self.counted(pa.array(parts)).tolist()) for x in self.halved(p, k, cap)]
+
     def units(self, sentences: Column, cap: int) -> Column:
         """array<string> of sentences -> array<struct<t,s,n>> of units of at most ``cap`` tokens: a sentence over it is cut at its
         blanks, a word over it is halved (by code points) until its parts fit or are single characters."""
-        counted = self.counted
-
-        def halved(word: str, n: int) -> list[tuple[str, int]]:
-            if n <= cap or len(word) < 2:
-                return [(word, n)]
-            parts = [word[:len(word) // 2], word[len(word) // 2:]]
-            return [x for p, k in zip(parts, counted(pa.array(parts)).tolist()) for x in halved(p, k)]
+        counted, halved = self.counted, self.halved
 
         @F.arrow_udf("array<struct<t:string,s:string,n:int>>")
         def cut(lists: pa.Array) -> pa.Array:
@@ -86,7 +87,7 @@ class TokenCounter:
                         units.append((texts[k], sep, n[k]))
                         continue
                     for j, w in enumerate(words[k]):
-                        for i, (part, m) in enumerate(halved(w, next(word_n))):
+                        for i, (part, m) in enumerate(halved(w, next(word_n), cap)):
                             units.append((part, "" if i else " " if j else sep, m))
                 at += size
                 out.append([{"t": t, "s": s, "n": int(m)} for t, s, m in units])

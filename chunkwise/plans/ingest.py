@@ -26,6 +26,21 @@ def document_path(df_source: Column, doc_id: Column) -> Column:
     return F.concat(df_source, F.lit("/"), doc_id.cast("string"), F.lit(".txt"))
 
 
+def chunk_pages(pages: DataFrame, *, doc_col: str = "file_path", page_col: str = "page_no", text_col: str = "text", root_path: Column | None = None,
+                size: int = 256, overlap: int = 0, embedder=None, add_time: int | Column | None = None, separator: str = "", page_separator: str = "",
+                counter=None) -> DataFrame:
+    """Chunk table rows of documents given as page rows, of any number of pages: their text is never
+    assembled (:mod:`chunkwise.operators.stream_split`).  ``root_path`` is an expression over ``file_path`` (default: the path itself)."""
+    from ..operators.stream_split import split_pages
+
+    embedder = embedder or HashingEmbedder()
+    stamp = F.unix_timestamp() if add_time is None else (add_time if isinstance(add_time, Column) else F.lit(add_time))
+    named = pages.select(F.col(doc_col).cast("string").alias("file_path"), F.col(page_col).alias("page_no"), F.col(text_col).alias("text"))
+    chunks = split_pages(named, "file_path", size=size, overlap=overlap, separator=separator, page_separator=page_separator, counter=counter)
+    return chunks.select(chunk_key(F.col("file_path"), F.col("pos")), (F.col("file_path") if root_path is None else root_path).alias("root_path"),
+                         "file_path", "pos", "text", embedder.embed(F.col("text")).alias("embedding"), stamp.cast("long").alias("add_time"))
+
+
 def chunk_documents(docs: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None,
                     id_col: str = "doc_id", text_col: str = "text", root_col: str = "source",
                     add_time: int | Column | None = None, strategy: str = "sentence",
