@@ -177,3 +177,74 @@ def test_chat_row_layouts(spark, tmp_path):
         assert out[1]["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest()
     with pytest.raises(ValueError):
         chat.turn_rows(spark.range(1))
+
+
+PARAS = [f"<p>Paragraph {k} goes on at length, with commas, and says more; here, there, and in the end, too.</p>" for k in range(3)]
+
+
+@pytest.mark.parametrize("extra,text", [
+    ('<div class="share-price-table"><p>Price of a share: 5.</p></div>', "Price of a share: 5."),
+    ('<div class="widget-title">Key facts</div>', "Key facts"),
+    ("<h2>Sources</h2><ul><li><a href='1'>First source</a></li><li><a href='2'>Second source</a></li></ul>", "Sources\nFirst source\nSecond source"),
+    ("<h2>Part two</h2>", "Part two"), ("<ul><li>One</li><li>Two</li></ul>", "One\nTwo"), ("<table><tr><td>a<td>b</table>", "a\nb")])
+@pytest.mark.parametrize("place", ["middle", "end"])
+def test_html_whole_article(extra, text, place):
+    paras = [p[3:-4] for p in PARAS]
+    body = "<h1>T</h1>" + (PARAS[0] + extra + PARAS[1] + PARAS[2] if place == "middle" else "".join(PARAS) + extra)
+    want = "\n".join(["T", paras[0], text, *paras[1:]] if place == "middle" else ["T", *paras, text])
+    assert html_text.extract(PAGE % f"<article>{body}</article>") == want
+    assert html_text.extract(f"<html><body><nav>menu</nav><article>{body}</article></body></html>") == want
+    if "class" not in extra:  # a page without a mark, all in one container
+        assert html_text.extract(f"<html><body><div>{body}</div><footer>f</footer></body></html>") == want
+        assert html_text.extract(f"<html><body>{body}</body></html>") == want
+
+
+@pytest.mark.parametrize("extra", [
+    "<div class='share-buttons'>Share this, now.</div>", "<div class='share'>Share</div>", "<section class='related-posts'><p>Another story, told.</p></section>",
+    "<div class='newsletter-signup'>Sign up, please.</div>", "<div class='ad-slot'>Buy, now.</div>", "<div id='comments'><p>Nice, very nice.</p></div>",
+    "<h3>Related stories</h3>" + LINKS, "<aside>Aside, really.</aside>"])
+def test_html_furniture_inside_the_article(extra):
+    got = html_text.extract(PAGE % f"<article><h1>T</h1>{PARAS[0]}{extra}{PARAS[1]}</article>").split("\n")
+    assert [x for x in got if x != "Related stories"] == ["T", PARAS[0][3:-4], PARAS[1][3:-4]]
+
+
+@pytest.mark.parametrize("page", [
+    "".join(f"<div>text {k}, " for k in range(20000)), "".join(f"<div class='share'>text {k}, " for k in range(5000)), "</i>" * 20000 + "x", "<b>" * 20000 + "x" + "</i>" * 20000,
+    "<p>a" * 20000, "<li>a" * 20000, "<ul><li>a" * 10000, "<a b" * 20000, "<td>x" * 20000, "<span><div>" * 5000 + "x" + "</span>" * 5000])
+def test_html_awkward_pages_take_no_time(page):
+    import time
+
+    t = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - t < 2.5
+
+
+def test_html_scores_are_those_of_the_plain_statement():
+    """Smoothing by one pass up and one down, against every prefix of every path."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        page, depth = [], 0
+        for _ in range(rng.randrange(5, 60)):
+            tag = rng.choice(["div", "section", "p", "ul", "li", "h2", "span", "article"])
+            page.append(rng.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", "<div>"]) + rng.choice(["", "short", "text, with more; of it. " * rng.randrange(4), "<a href=x>link</a> <a>two</a>"]))
+        found = html_text.blocks("".join(page))
+        if not found:
+            continue
+        names = lambda p: () if p.parent is None else (*names(p.parent), p.tag)
+        raw = {k: v[0] for k, v in html_text.raw_scores(found).items()}
+        container = html_text.containers(found)
+        paths = {names(p) for p, _ in raw}
+        spine = 0
+        while len(raw) > 1 and all(len(p) > spine for p in paths) and len({p[spine] for p in paths}) == 1:
+            spine += 1
+        assert html_text._spine([p for p, _ in raw]) == spine
+        got = html_text.smoothed(raw, container, spine + 1)
+        for (p, marked), s in raw.items():
+            own, want = names(p), s
+            for k in range(spine + 1, len(own)):
+                want = max(want, html_text.DECAY ** (len(own) - k) * max(x for (q, _), x in raw.items() if names(q)[:k] == own[:k]))
+            if p in container:
+                want = max(want, html_text.DECAY * max(x for (q, _), x in raw.items() if container.get(q) is container[p]))
+            assert abs(got[p, marked] - want) < 1e-12
