@@ -32,6 +32,8 @@ from .common import id_and_text, mix, slices, span_hashes
 SIZE = 64
 #: Documents of one id range, about.
 RANGE_ROWS = 4000
+#: Ranges per shuffle partition at most.
+RANGES = 4
 _LOW = -(1 << 63)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -132,8 +134,10 @@ def _ranges(rows: DataFrame) -> DataFrame:
     range the first row of the range below (of the lowest: the first row of all)."""
     from pyspark.ml.feature import Bucketizer
 
-    n = rows.count()
-    k = max(1, n // RANGE_ROWS)
+    # a range is read as a stream, so its size does not matter; their number, and with it what the driver sees, is
+    # bound by the shuffle partitions, not by the table
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = max(1, min(rows.count() // RANGE_ROWS, RANGES * partitions))
     cuts = rows.approxQuantile("doc_id", [i / k for i in range(1, k)], 0.25 / k) if k > 1 else []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
