@@ -1,7 +1,9 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  In every stage a null text
+counts as empty, ids may be null or repeat (a row is a document), an empty table gives an empty one, and
+the columns of documents come out as they went in, but for the last stage.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the packed sequences."""
-    return packing.pack_documents(docs, tokenizer_path(BPE_FILE))
+    """Pieces of all documents with their token ids and their place in the packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path(BPE_FILE), with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("minhash_near_dedup", minhash_near_dedup),
