@@ -10,7 +10,7 @@ import json
 import sys
 import types
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Longer units are not remembered.
 MAX_UNIT = 64
@@ -91,10 +91,59 @@ class ByteBpe:
         return array("I", self.fast(text)).tobytes()
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            if byte < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            n = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield tag >> 3, data[at:at + n]
+            at += n
+
+
+def model_faults(sp) -> list[str]:
+    """Why the words of texts cannot be encoded one by one, by byte pair merges, with a SentencePiece model: its
+    type and its normaliser, which must leave texts as they are but for the mark put before them."""
+    trainer, normalizer = {}, {}
+    for number, value in _fields(sp.serialized_model_proto()):
+        if number in (2, 3):  # fixed values: the messages of the trainer and of the normaliser, and their fields
+            (trainer if number == 2 else normalizer).update(_fields(value))
+    faults = []
+    if trainer.get(3, 1) != 2:
+        faults.append("it is no BPE model")
+    if trainer.get(24, 0):
+        faults.append("it marks the ends of words")
+    if normalizer.get(2) or normalizer.get(6):
+        faults.append("it replaces characters")
+    if not normalizer.get(3, 1):
+        faults.append("it puts no mark before a text")
+    if normalizer.get(4, 1):
+        faults.append("it removes spaces")
+    if not normalizer.get(5, 1):
+        faults.append("it does not mark spaces")
+    return faults
+
+
 class SentencePieceCounts:
     """Token counts of whole texts by a SentencePiece file.
 
-    No piece of such a file crosses a space (checked on its pieces), so a
+    If no piece of the file crosses a space and it leaves texts as they are (both checked; else texts are encoded whole), a
     text's count is the sum over its space-delimited units, each encoded once
     and remembered in a cache of two generations of ``limit`` entries; what it
     forgets is encoded again.  Texts with runs of spaces, spaces at the ends or
@@ -106,7 +155,7 @@ class SentencePieceCounts:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         #: No piece but runs of the space mark holds one after its first place.
-        self.by_unit = all(not p.strip("▁") or "▁" not in p[1:] for p in pieces)
+        self.by_unit = not model_faults(self.sp) and all(not p.strip("▁") or "▁" not in p[1:] for p in pieces)
         self.cache = Units(self._whole, limit)
 
     def _whole(self, text: str) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices
-from .encoders import once
+from .encoders import model_faults, once
 
 MARK = "▁"
 #: Words that a Python worker remembers, and their greatest length.
@@ -49,6 +49,9 @@ class Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        faults = model_faults(sp)
+        if faults:
+            raise ValueError(f"not a model that this encoder can stand in for: {', '.join(faults)}")
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]

@@ -42,12 +42,16 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
 BOILERPLATE_WORDS = 30
 SEPARATORS = (b"|", b"\xc2\xbb", b"\xe2\x80\xba", b"\xe2\x80\xa2")
 SYMBOLS = b"#*$%&|<>"
-PUNCTUATION = b".,;:!?"
+#: Marks that end or divide sentences, by script (Latin, Greek, Armenian, Hebrew, Arabic, Devanagari,
+#: Tibetan, Burmese, Ethiopic, Khmer, Mongolian, Chinese and Japanese, full width).
+PUNCTUATION = ".,;:!?…" "·" "։՜՝՞" "׃" "،؛؟۔" "।॥" "།༎" "၊။" "።፣፤፥፦፧" "។៕៖" "᠂᠃" "、。" "！，．：；？｡､"
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, n_failed_lines long, kept_chars long, cleaned string")
 
 _LOWER, _UPPER = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}")
+_ASCII_MARKS = "".join(c for c in PUNCTUATION if c.isascii()).encode()
+_MARKS = regex.compile(f"[{PUNCTUATION}]")
 
 
 def _length(data: bytes) -> int:
@@ -64,9 +68,9 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
         return True
     if n >= STUTTER_WORDS and 3 * len(set(words)) < n:
         return True
-    if n >= PLAIN_WORDS and len(line) == len(line.translate(None, PUNCTUATION)):
-        return True
     text = line.decode()
+    if n >= PLAIN_WORDS and len(line) == len(line.translate(None, _ASCII_MARKS)) and (line.isascii() or not _MARKS.search(text)):
+        return True
     if n >= SHOUT_WORDS and not _LOWER.search(text) and _UPPER.search(text):
         return True
     if n <= BOILERPLATE_WORDS:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from . import chat, fill_middle, html_text, language, line_dedup, lz_fingerprint, near_dup, packing, pieces, prefix_trie, quality, suffix_dedup, token_counts
 from .common import shared_path, table
 
@@ -81,8 +78,13 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected"))
 
 
+#: Session setting that names the folder of the token cache; unset, each call of the query starts with an empty one, so
+#: that what is measured is counting, not reading the counts of an earlier run.
+TOKEN_CACHE = "spark.chunkwise.tokenCache"
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    cache = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chunkwise-token-cache-{uuid.uuid4().hex}"
+    cache = spark.conf.get(TOKEN_CACHE, None) or shared_path(spark, "token-cache")
     counts = token_counts.count_tokens(table(spark, sf, "documents"), tokenizer_path(PIECE_FILE), cache)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
@@ -135,7 +137,7 @@ f AS (SELECT doc_id, line, length(array_to_string(lw, '')) AS chars,
         100 * len(list_filter(lw, lambda x: x IN ('|', '»', '›', '•'))) >= {quality.NAV_PCT} * len(lw)
         OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) >= {quality.SYMBOL_PCT} * len(lw)
         OR len(lw) >= {quality.STUTTER_WORDS} AND 3 * len(list_distinct(lw)) < len(lw)
-        OR len(lw) >= {quality.PLAIN_WORDS} AND NOT regexp_matches(line, '[.,;:!?]')
+        OR len(lw) >= {quality.PLAIN_WORDS} AND NOT regexp_matches(line, '[{quality.PUNCTUATION}]')
         OR len(lw) >= {quality.SHOUT_WORDS} AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}')
         OR len(lw) <= {quality.BOILERPLATE_WORDS} AND ({_PHRASES}) AS fails
       FROM l WHERE len(lw) > 0),

@@ -100,3 +100,17 @@ def test_no_learning_from_held_out(spark):
     a = language.sample(docs, ~queries.held_out())
     b = language.sample(docs.withColumn("text", F.when(queries.held_out(), F.lit("quatsch")).otherwise(F.col("text"))), ~queries.held_out())
     assert a == b and all(len(x) <= language.SAMPLE_DOCS * language.SAMPLE_CHARS * 4 for x in a.values())
+
+
+def test_lines_of_other_scripts_have_marks():
+    """Prose that ends in its own script's marks is no list of words; without any mark it is."""
+    from chunkwise.llm import quality
+
+    prose = {"hi": "यह एक लंबा वाक्य है जो नदी और गाँव की कहानी कहता है।", "ar": "هذه جملة طويلة تحكي قصة النهر والقرية في الشتاء؟",
+             "zh": "这 是 一 个 很 长 的 句子 讲述 河流 的 故事。", "am": "ይህ ስለ ወንዙ እና ስለ መንደሩ የሚናገር በጣም ረጅም ዓረፍተ ነገር ነው።",
+             "hy": "Սա երկար նախադասություն է որը պատմում է գետի և գյուղի մասին։"}
+    for text in prose.values():
+        lines = "\n".join(f"{text[:-1]} {k}{text[-1]}" for k in range(20)).encode()
+        assert all(not quality.line_fails(x, x.split()) for x in lines.split(b"\n"))
+        bare = text[:-1].encode()
+        assert quality.line_fails(bare, bare.split()) == (len(bare.split()) >= quality.PLAIN_WORDS)

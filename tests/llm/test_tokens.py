@@ -132,3 +132,61 @@ def test_merges_random():
     got = [x.tolist() for x in model.encode_batch(texts)]
     assert got == sp.encode(texts, num_threads=1)
     assert [model.decode(x) for x in got] == sp.decode(got)
+
+
+def test_second_call_encodes_nothing(spark):
+    """The query with a cache folder of the session: the second call finds every count."""
+    spark.conf.set(queries.TOKEN_CACHE, shared_path(spark, "session-cache"))
+    try:
+        first = {tuple(r) for r in queries.op10_token_counts(spark, SF).collect()}
+        n = spark.read.parquet(spark.conf.get(queries.TOKEN_CACHE)).count()
+
+        def refuse(texts, path):
+            assert texts.isEmpty()
+            return encode(texts, path)
+
+        encode, token_counts.encode_counts = token_counts.encode_counts, refuse
+        try:
+            again = {tuple(r) for r in queries.op10_token_counts(spark, SF).collect()}
+        finally:
+            token_counts.encode_counts = encode
+        assert again == first and spark.read.parquet(spark.conf.get(queries.TOKEN_CACHE)).count() == n
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
+    assert token_counts.tokenizer_digest(SP)[:16] in token_counts.default_cache(spark, SP)
+
+
+def test_many_misses_move_by_row(spark, monkeypatch):
+    from chunkwise.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    got = token_counts.count_tokens(frame(spark, AWKWARD), SP, shared_path(spark, "test-cache")).collect()
+    sp = sentencepiece.SentencePieceProcessor(model_file=SP)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(sp.encode(t or ""))) for i, t in AWKWARD)
+
+
+def changed_model(tmp_path, message, *field):
+    """The model file with a field of its trainer (2) or normaliser (3) message set: later fields win."""
+    own = bytes(field)
+    with open(SP, "rb") as f:
+        data = f.read() + bytes([message << 3 | 2, len(own)]) + own
+    path = str(tmp_path / "changed.model")
+    with open(path, "wb") as f:
+        f.write(data)
+    return path
+
+
+def test_other_models_are_told_apart(tmp_path):
+    import pytest
+
+    from chunkwise.llm.encoders import SentencePieceCounts, model_faults
+
+    assert model_faults(sentencepiece.SentencePieceProcessor(model_file=SP)) == []
+    for message, field in ((2, (3 << 3, 1)), (3, (4 << 3, 1)), (3, (3 << 3, 0))):
+        path = changed_model(tmp_path, message, *field)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        with pytest.raises(ValueError):
+            pieces.Model(path)
+        counts = SentencePieceCounts(path)
+        for t in ("one two", " a  b ", "", "x"):
+            assert counts.count(t) == len(sp.encode(t))
