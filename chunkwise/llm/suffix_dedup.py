@@ -47,8 +47,10 @@ LENGTH = 50
 K = 20
 #: Bytes of text in a block (one document may be larger); blocks grow in number with the input.
 BLOCK_BYTES = 4 << 20
-#: Key partitions for each shuffle partition, so that hashing evens out.
+#: Key partitions for each shuffle partition at least, so that hashing evens out, and the bytes of text for
+#: one of them at most (by hash): they grow in number with the input, so what one holds in memory does not.
 KEYS_PER_PARTITION = 4
+PART_BYTES = 64 << 20
 _LAST = (1 << 63) - 1
 _MULT = np.uint64(0x9FB21C651E98DF25)
 
@@ -329,9 +331,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("binary")).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = KEYS_PER_PARTITION * n
+    parts = max(KEYS_PER_PARTITION * n, -(-total // PART_BYTES))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("_blk"),
+    # by id and text: rows with one id (or none) spread over the blocks as well
+    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("_blk"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_id"),
                        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"),
                        rest.alias("_rest")).repartition(n, "_blk")

@@ -63,6 +63,22 @@ def test_suffix_awkward(spark, monkeypatch):
     assert [g[:4] for g in got] == [("10", 100, 100, 1), ("8", 150000, 0, 0), ("9", 100000, 0, 0)]
 
 
+def test_suffix_many_parts_and_one_id(spark, monkeypatch):
+    """More key partitions than shuffle partitions, a passage in every block, and one id (or none) for all rows."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2_000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(30)) + PROSE[:120] + " ".join(rng.choice(words) for _ in range(30)) + str(k)
+    rows = [(k, text(k)) for k in range(300)]
+    assert result(suffix_dedup.dedup(frame(spark, rows))) == removed(rows)
+    for one in (7, None):
+        same = [(one, t) for _, t in rows]
+        assert result(suffix_dedup.dedup(frame(spark, same))) == removed(same)
+        most = same[:200] + [(i if one is None else i - 500, t) for i, t in rows[200:]]
+        assert result(suffix_dedup.dedup(frame(spark, most))) == removed(most)
+
+
 def test_suffix_random(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1500)
     rng = random.Random(3)
