@@ -386,9 +386,17 @@ def q_r2_topk_09(spark, sf):
     return _self_topk(spark, sf, 0.9)
 
 
+def q_r2_grid(spark, sf):
+    """R2 with both sides large: query blocks of 150 vectors by corpus splits, dealt by a shuffle."""
+    e = _emb(spark, sf)
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    h = top_k(q, e, k=K, max_distance=0.6, corpus_id="vec_id", payload=["label"], dim=64, max_broadcast_bytes=150 * 64 * 8)
+    return h.select("query_id", "vec_id", "label", F.col("rank").cast("int").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 def q_r2_topk_query_blocks(spark, sf):
-    """The beyond-the-bound plan: a broadcast budget of 100 query vectors forces
-    the queries into hash blocks, each a separate pass over the corpus."""
+    """The beyond-the-bound plan: a broadcast budget of 100 query vectors makes a grid
+    of query blocks and corpus splits."""
     e = _emb(spark, sf)
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     h = top_k(q, e, k=K, max_distance=0.9, corpus_id="vec_id", payload=["label"], dim=64,
@@ -1446,6 +1454,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r2_topk_06": q_r2_topk_06,
         "r2_topk_09": q_r2_topk_09,
         "r2_topk_query_blocks": q_r2_topk_query_blocks,
+        "r2_grid": q_r2_grid,
         "r2_hits": q_r2_hits,
         "r3_markdown": q_r3_markdown,
         "r4_context_prompt": q_r4_context_prompt,
@@ -1543,6 +1552,7 @@ SELECT vec_id, round(d, 6) AS distance FROM p WHERE d >= 0 AND d < 0.9 ORDER BY
         "r2_topk_06": _sql_self_topk(0.6),
         "r2_topk_09": _sql_self_topk(0.9),
         "r2_topk_query_blocks": _sql_self_topk(0.9),
+        "r2_grid": _sql_self_topk(0.6),
         "r2_hits": f"""WITH {s_chunks_cte(CHUNK)},{CHX_CTE},
 {s_embed_cte('chx', 'chunk_id', 'text', 'c')},
 {s_embed_cte('benchmark', 'item_id', 'text', 'q')},

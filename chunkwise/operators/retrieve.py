@@ -7,11 +7,13 @@ scan, as in the reference.
 Plans:
 
 * tables of queries (:func:`top_k`): the corpus scan reads the id and the
-  vector only, once, however many queries there are.  Query vectors are
-  broadcast in blocks of proven size (rows x dim x 8 bytes <=
-  ``max_broadcast_bytes``); a task scores every Arrow batch against one block
-  after another in a NumPy block product and keeps its own top-k per query as
-  (query, id, distance).  Those rows are merged in two levels, first by (query,
+  vector only, once.  Query vectors of at most ``max_broadcast_bytes`` (counted rows x dim x 8
+  bytes) are broadcast; a task scores every Arrow batch against them
+  in a NumPy block product and keeps its own top-k per query as
+  (query, id, distance).  More queries make a grid: query blocks of that size by corpus splits, a
+  cell for each pair, dealt by a shuffle.  A cell reads its queries first, then its corpus rows as
+  a stream, so the driver sees no vector and a task holds one block of queries.  Corpus rows are sent once for each query
+  block, queries once for each split.  The cells' rows are merged in two levels, first by (query,
   partition modulo ``MERGE_WAYS``), then by query, so no task sorts the
   candidates of all partitions.  The payload columns are joined to the
   ``queries x k`` hits at the end.
@@ -107,14 +109,19 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     if dim is None:  # size the bound from the actual vectors (one row)
         first = qv.select(F.size("_qvec").alias("n")).limit(1).collect()
         dim = max(1, first[0]["n"]) if first else 1
-    blocks, total = _broadcast_blocks(spark, qv, dim, max(1, max_broadcast_bytes // (8 * dim)))
-    slim = corpus.select(corpus_id, corpus_vec)
+    slim = corpus.select(corpus_id, corpus_vec).where(F.col(corpus_vec).isNotNull())
     schema = T.StructType([T.StructField("_qid", qv.schema["_qid"].dataType), T.StructField(corpus_id, slim.schema[corpus_id].dataType),
                            T.StructField("distance", T.DoubleType())])
-    if blocks:
-        cands = slim.mapInArrow(_scan(blocks, k, max_distance, min_distance, corpus_id, corpus_vec, dim, schema), schema)
+    total, max_rows = qv.count(), max(1, max_broadcast_bytes // (8 * dim))
+    if total > max_rows:
+        cands = _grid(qv, slim.toDF("_cid", "_cvec"), total, max_rows, k, max_distance, min_distance, dim, schema)
     else:
-        cands = spark.createDataFrame([], schema)
+        block = _unit_rows(qv.select("_qid", "_qvec").collect(), dim) if total else None
+        if block:
+            sent = spark.sparkContext.broadcast(block)
+            cands = slim.mapInArrow(_scan(sent, k, max_distance, min_distance, corpus_id, corpus_vec, dim, schema), schema)
+        else:
+            cands = spark.createDataFrame([], schema)
     near = [F.col("distance").asc(), F.col(corpus_id).asc()]
     part = cands.withColumn("_way", F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)))
     part = part.withColumn("_r", F.row_number().over(Window.partitionBy("_qid", "_way").orderBy(*near))).where(F.col("_r") <= k)
@@ -126,31 +133,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     return hits.select(F.col("_qid").alias(query_id), corpus_id, *payload, "distance", "rank")
 
 
-def _broadcast_blocks(spark, qv: DataFrame, dim: int, max_rows: int) -> tuple[list, int]:
-    """Broadcasts of (ids, unit vectors), each of at most ``max_rows`` queries, and the number
-    of queries.  Blocks are read one at a time; PySpark keeps a broadcast in a file, so the
-    driver holds one block in memory."""
-    total = qv.count()
-    n = -(-total // max_rows)
-    if n > 1:
-        from ..session import cut_lineage
-        qv = cut_lineage(qv)
-        while True:  # a hash split into blocks of proven size
-            qv = qv.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n)))
-            if qv.groupBy("_qb").count().where(F.col("count") > max_rows).isEmpty():
-                break
-            n *= 2
-    out = []
-    for b in range(n):
-        rows = (qv if n == 1 else qv.where(F.col("_qb") == b)).select("_qid", "_qvec").collect()
-        if any(len(r["_qvec"]) != dim for r in rows):
-            raise ValueError(f"query vectors must all have {dim} dimensions")
-        mat = np.array([r["_qvec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        qn = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-        good = qn > 0
-        if good.any():
-            out.append(spark.sparkContext.broadcast(([r["_qid"] for r, g in zip(rows, good) if g], mat[good] / qn[good, None])))
-    return out, total
+def _unit_rows(rows, dim: int) -> tuple[list, np.ndarray] | None:
+    """(ids, unit vectors) of (id, vector) rows; those without a direction are left out."""
+    if any(len(v) != dim for _, v in rows):
+        raise ValueError(f"query vectors must all have {dim} dimensions")
+    mat = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), dim)
+    n = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+    good = n > 0
+    return ([i for (i, _), g in zip(rows, good) if g], mat[good] / n[good, None]) if good.any() else None
 
 
 def _select_topk(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -164,55 +154,108 @@ def _select_topk(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def _scan(blocks, k, max_d, min_d, corpus_id, corpus_vec, dim, schema):
-    """One pass over a corpus partition: its own top-k per query of every block."""
+class _Cell:
+    """The nearest ``k`` of the corpus rows seen so far, for every query of a block."""
+
+    def __init__(self, block: tuple[list, np.ndarray], k: int, max_d: float, min_d: float, dim: int):
+        self.ids, self.Q = block
+        self.k, self.max_d, self.min_d, self.dim = k, max_d, min_d, dim
+        self.kept = None  # (query, distance, id) arrays
+
+    def see(self, ids: pa.Array, vec: pa.Array) -> None:
+        if len(vec) == 0:
+            return
+        if not (pc.list_value_length(vec).to_numpy(zero_copy_only=False) == self.dim).all():
+            raise ValueError(f"corpus vectors must all have {self.dim} dimensions")
+        C = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, self.dim)
+        cn = np.sqrt(np.einsum("ij,ij->i", C, C))
+        nz = cn > 0
+        C[nz] /= cn[nz, None]
+        ids = ids.to_numpy(zero_copy_only=False)
+        # query tiles keep the (rows x queries) distance block under MAX_BLOCK entries
+        step = max(1, MAX_BLOCK // C.shape[0])
+        found = [self.kept] if self.kept is not None else []
+        for q0 in range(0, self.Q.shape[0], step):
+            D = np.round(np.maximum(1.0 - C @ self.Q[q0:q0 + step].T, 0.0), DISTANCE_DECIMALS)
+            valid = (D >= self.min_d) & (D < self.max_d) & nz[:, None]
+            if self.k < D.shape[0]:
+                kth = np.partition(np.where(valid, D, np.inf), self.k - 1, axis=0)[self.k - 1]
+                valid &= D <= kth[None, :]
+            r, c = np.nonzero(valid)
+            found.append((c + q0, D[r, c], ids[r]))
+        q, d, i = (np.concatenate(x) for x in zip(*found))
+        sel = _select_topk(q, d, i, self.k)
+        self.kept = q[sel], d[sel], i[sel]
+
+    def rows(self, arrow: pa.Schema):
+        if self.kept is None or not len(self.kept[0]):
+            return
+        q, d, i = self.kept
+        qids = pa.array(self.ids, type=arrow.field(0).type)
+        for s in range(0, len(q), 65536):
+            e = s + 65536
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[s:e])), pa.array(i[s:e], type=arrow.field(1).type), pa.array(d[s:e], type=pa.float64())],
+                                             schema=arrow)
+
+
+def _scan(sent, k, max_d, min_d, corpus_id, corpus_vec, dim, schema):
+    """One pass over a corpus partition: its own top-k per broadcast query."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
-    def matrix(bc):
-        # with several blocks none stays in memory between batches
-        return bc.value if len(blocks) == 1 else bc.load_from_path(bc._path)
-
     def fn(batches):
-        kept = [None] * len(blocks)  # (query, distance, id) arrays by block
+        cell = _Cell(sent.value, k, max_d, min_d, dim)
         for b in batches:
-            vec = b.column(corpus_vec)
-            ok = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False) == dim
-            if not ok.all():
-                b = b.filter(pa.array(ok))
-                vec = b.column(corpus_vec)
-            if b.num_rows == 0:
-                continue
-            C = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            cn = np.sqrt(np.einsum("ij,ij->i", C, C))
-            nz = cn > 0
-            C[nz] /= cn[nz, None]
-            ids = b.column(corpus_id).to_numpy(zero_copy_only=False)
-            # query tiles keep the (rows x queries) distance block under MAX_BLOCK entries
-            step = max(1, MAX_BLOCK // C.shape[0])
-            for at, bc in enumerate(blocks):
-                Q = matrix(bc)[1]
-                found = [kept[at]] if kept[at] is not None else []
-                for q0 in range(0, Q.shape[0], step):
-                    D = np.round(np.maximum(1.0 - C @ Q[q0:q0 + step].T, 0.0), DISTANCE_DECIMALS)
-                    valid = (D >= min_d) & (D < max_d) & nz[:, None]
-                    if k < D.shape[0]:
-                        kth = np.partition(np.where(valid, D, np.inf), k - 1, axis=0)[k - 1]
-                        valid &= D <= kth[None, :]
-                    r, c = np.nonzero(valid)
-                    found.append((c + q0, D[r, c], ids[r]))
-                q, d, i = (np.concatenate(x) for x in zip(*found))
-                sel = _select_topk(q, d, i, k)
-                kept[at] = q[sel], d[sel], i[sel]
-        for at, bc in enumerate(blocks):
-            if kept[at] is None or not len(kept[at][0]):
-                continue
-            q, d, i = kept[at]
-            qids = pa.array(matrix(bc)[0], type=arrow.field("_qid").type)
-            for s in range(0, len(q), 65536):
-                e = s + 65536
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[s:e])), pa.array(i[s:e], type=arrow.field(corpus_id).type),
-                                                  pa.array(d[s:e], type=pa.float64())], schema=arrow)
+            cell.see(b.column(corpus_id), b.column(corpus_vec))
+        yield from cell.rows(arrow)
 
     return fn
+
+
+#: Largest share of a query block's rows above the even share, when they are dealt by hash.
+_SLACK = 1.25
+
+
+def _grid(qv: DataFrame, cv: DataFrame, total: int, max_rows: int, k: int, max_d: float, min_d: float, dim: int, schema: T.StructType) -> DataFrame:
+    """Top-k rows of every (query block, corpus split), dealt by a shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = qv.sparkSession
+    blocks = -(-int(total * _SLACK) // max_rows)
+    splits = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    copies = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    null = lambda f: F.lit(None).cast(f.dataType)
+    vector = "array<double>"
+    queries = qv.select(F.pmod(F.xxhash64("_qid", "_qvec"), F.lit(blocks)).cast("int").alias("_qb"), copies(splits, "_cs"), F.lit(0).alias("_kind"),
+                        "_qid", null(cv.schema["_cid"]).alias("_cid"), F.col("_qvec").cast(vector).alias("_vec"))
+    rows = cv.select(copies(blocks, "_qb"), F.pmod(F.xxhash64("_cid", "_cvec"), F.lit(splits)).cast("int").alias("_cs"), F.lit(1).alias("_kind"),
+                     null(qv.schema["_qid"]).alias("_qid"), "_cid", F.col("_cvec").cast(vector).alias("_vec"))
+    dealt = queries.union(rows).repartition(blocks * splits, "_qb", "_cs").sortWithinPartitions("_qb", "_cs", "_kind")
+    arrow = to_arrow_schema(schema)
+
+    def fn(batches):
+        at, own, cell = None, [], None
+        for b in batches:
+            places = np.stack([b.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                part, here = b.slice(low, high - low), tuple(places[:2, low].tolist())
+                if here != at:
+                    if cell:
+                        yield from cell.rows(arrow)
+                    at, own, cell = here, [], None
+                if places[2, low] == 0:
+                    own += zip(part.column(3).to_pylist(), part.column(5).to_pylist())
+                    continue
+                if own:
+                    block = _unit_rows(own, dim)
+                    own, cell = [], _Cell(block, k, max_d, min_d, dim) if block else None
+                if cell:
+                    cell.see(part.column(4), part.column(5))
+        if cell:
+            yield from cell.rows(arrow)
+
+    return dealt.mapInArrow(fn, schema)

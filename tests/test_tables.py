@@ -131,6 +131,34 @@ def test_top_k_query_blocks(spark):
     assert sorted(map(key, one)) == sorted(map(key, many))
 
 
+def test_top_k_grid(spark, monkeypatch):
+    """Both sides large: no vector goes through the driver, any block size gives the same, wrong lengths are an error."""
+    import numpy as np
+    import pytest
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(8)
+    vec = lambda n: [float(x) for x in rng.normal(size=n)]
+    corpus = spark.createDataFrame([(f"c{i:03d}", vec(6)) for i in range(150)] + [(f"t{i}", [1.0] * 6) for i in range(9)] + [("null", None), ("zero", [0.0] * 6)],
+                                   "chunk_id string, embedding array<float>").repartition(5)
+    qs = spark.createDataFrame([(i, vec(6)) for i in range(40)] + [(90, [1.0] * 6), (91, None), (92, [0.0] * 6)], "query_id long, embedding array<float>")
+    key = lambda r: (r["query_id"], r["rank"], r["chunk_id"], r["distance"])
+    want = sorted(map(key, top_k(qs, corpus, k=4, max_distance=1.2, payload=[], dim=6).collect()))
+    assert [w[2] for w in want if w[0] == 90] == ["t0", "t1", "t2", "t3"]
+
+    def refuse(self):
+        raise AssertionError("rows went to the driver")
+
+    for rows in (1, 7, 39):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "collect", refuse)
+            got = top_k(qs, corpus, k=4, max_distance=1.2, payload=[], dim=6, max_broadcast_bytes=8 * 6 * rows)
+        assert sorted(map(key, got.collect())) == want
+    for budget in (1 << 20, 8 * 6 * 7):
+        with pytest.raises(Exception, match="must all have 6 dimensions"):
+            top_k(qs, corpus.union(spark.createDataFrame([("bad", vec(5))], corpus.schema)), k=4, payload=[], dim=6, max_broadcast_bytes=budget).collect()
+
+
 def test_top_k_properties_on_documents(spark):
     """Per question: at most k hits, ranks 1..n, sorted by distance, unique chunks, within [0, bound)."""
     from chunkwise.plans.ingest import chunk_documents
