@@ -831,6 +831,19 @@ def q_e1_batched_embed(spark, sf):
     return x.select("doc_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
+def q_e1_reuse(spark, sf):
+    """English documents are embedded first, then all, whose texts hold copies: only new texts meet the model."""
+    from chunkwise.operators.embed import ArrowEmbedder
+    from chunkwise.operators.vector_store import VectorStore
+
+    d = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    store, model = VectorStore(spark, scratch_path(spark, "e1-store"), "letters-1"), ArrowEmbedder(letter_counts, 6)
+    store.embed(d.where("lang = 'en'"), model)
+    done = store.embed(d, model).select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    stored = store.table.read().agg(F.count("*").alias("n_embedded"))
+    return done.select("doc_id", "dim", F.round(F.col("value").cast("double"), 4).alias("value")).join(F.broadcast(stored))
+
+
 def q_e5_options(spark, sf):
     from chunkwise.operators.embed import EmbedOptions
 
@@ -1036,6 +1049,19 @@ def q_m2_many_changes(spark, sf):
     return registry.read().select("file_path", "progress", "sync_time")
 
 
+def q_x5_incremental(spark, sf):
+    """X5 from a table of latest rows that a stream keeps while the log grows (by event type, so out of order)."""
+    from chunkwise.streaming.table_sink import stream_status
+
+    log, latest = _tables(spark, "x5", "log", "log")
+    checkpoint = scratch_path(spark, "x5-checkpoint")
+    rows = _status_log(spark, sf).withColumn("seq", F.lit(None).cast("long"))
+    for some in ("progress = 100", "progress IN (0, 50)", "progress IN (-1, 1)"):
+        log.append(rows.where(some))
+        stream_status(log, latest, checkpoint, commits_per_trigger=1, trigger={"availableNow": True}).awaitTermination()
+    return ST.status_view(_registry(spark, sf), latest.read())
+
+
 def q_x4_maintenance(spark, sf):
     """Hourly maintenance of both tables after removals and changes: one version, one set of folders, the same rows."""
     from chunkwise.plans.sync import remove_paths
@@ -1512,6 +1538,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e1_batched_embed": q_e1_batched_embed,
         "e5_options": q_e5_options,
         "e5_batch": q_e5_batch,
+        "e1_reuse": q_e1_reuse,
+        "x5_incremental": q_x5_incremental,
         "e4_pdf_pages": q_e4_pdf_pages,
         "t3_custom_counter": q_t3_custom_counter,
         "t5_custom_counter": q_t5_custom_counter,
@@ -1569,6 +1597,10 @@ SELECT query_id, chunk_id, file_path, rnk::INTEGER AS rank, round(distance, 6) A
         "x2_stage_log": """WITH f AS (SELECT source || '/' || doc_id::VARCHAR || '.txt' AS file_path, lang FROM documents)
 SELECT file_path, unnest(CASE WHEN lang = 'es' THEN [1, -1] ELSE [1, 50, 100] END)::INTEGER AS progress,
        unnest(CASE WHEN lang = 'es' THEN [NULL, 'no text'] ELSE [NULL, NULL, NULL]::VARCHAR[] END) AS error FROM f""",
+        "e1_reuse": """WITH v AS (SELECT doc_id, list_append(list_transform(['a', 'e', 'i', 'o', 'u'],
+  lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE), length(text)::DOUBLE) AS v FROM documents)
+SELECT doc_id, unnest(range(6))::INTEGER AS dim, round(unnest(v), 4) AS value, (SELECT count(DISTINCT text) FROM documents) AS n_embedded FROM v""",
+        "x5_incremental": _sql_p_m_x()["x5_status_view"],
         "e5_batch": f"WITH {s_chunks_cte(CHUNK)} SELECT count(*) AS n_chunks, 7::INTEGER AS largest_call FROM ch",
         "e4_pdf_pages": f"""WITH src AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN text ELSE
     array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '\\s+$', '')), '') END AS text FROM documents WHERE lang <> 'es'),

@@ -56,8 +56,10 @@ def staged_texts(files: DataFrame, pdf_pages=None) -> DataFrame:
 
 
 def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,
-                strategy: str = "sentence", semantic_options=None, counter=None) -> DataFrame:
-    """Chunk table rows of extracted texts (``root_path``, ``file_path``, ``text``)."""
+                strategy: str = "sentence", semantic_options=None, counter=None, vectors=None) -> DataFrame:
+    """Chunk table rows of extracted texts (``root_path``, ``file_path``, ``text``).  With a store of
+    ``vectors`` (:class:`chunkwise.operators.vector_store.VectorStore`) the sentence strategy's chunks are embedded
+    only if their text is new to it."""
     embedder = embedder or HashingEmbedder()
     stamp = F.unix_timestamp() if now is None else F.lit(now)
     ok = texts.select("root_path", "file_path", normalize_text(F.col("text")).alias("_t"))
@@ -72,8 +74,11 @@ def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder
     else:
         staged = with_token_chunks(ok, "_t", "_chunks", size, overlap, counter)
         chunks = explode_positions(staged, ["root_path", "file_path"], "_chunks", "pos", "text")
-    return chunks.select(chunk_key(F.col("file_path"), F.col("pos")), "root_path", "file_path", F.col("pos").cast("int").alias("pos"), "text",
-                         vec.alias("embedding"), stamp.cast("long").alias("add_time"))
+    keys = [chunk_key(F.col("file_path"), F.col("pos")), F.col("root_path"), F.col("file_path"), F.col("pos").cast("int").alias("pos"), F.col("text")]
+    if vectors is not None and strategy == "sentence":
+        rows = chunks.select(*keys, stamp.cast("long").alias("add_time"))
+        return vectors.embed(rows, embedder).select("chunk_id", "root_path", "file_path", "pos", "text", "embedding", "add_time")
+    return chunks.select(*keys, vec.alias("embedding"), stamp.cast("long").alias("add_time"))
 
 
 def chunk_files(files: DataFrame, pdf_pages=None, **options) -> tuple[DataFrame, DataFrame]:

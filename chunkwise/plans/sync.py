@@ -45,7 +45,7 @@ def retry_failed(registry: VersionedTable, now: int) -> None:
 
 
 def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: VersionedTable, now: int, *,
-                 limit: int = 10, embedder=None, size: int = 256, strategy: str = "sentence", counter=None, pdf_pages=None,
+                 limit: int = 10, embedder=None, size: int = 256, strategy: str = "sentence", counter=None, pdf_pages=None, vectors=None,
                  status_log: VersionedTable | None = None) -> DataFrame:
     """Returns the status rows written for this step (file_path, progress, error): one per
     registered path, and one per file below it that failed or gave no text.
@@ -68,7 +68,7 @@ def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: Versione
         log(texts.select("file_path", F.lit(EXTRACTING).alias("progress"), none.alias("error")))
         roots = spark.createDataFrame([(p,) for p in pending if p not in missing], "root_path string")
         at = scratch_path(spark, "sync-chunks")
-        chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy, counter=counter).write.parquet(at)
+        chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy, counter=counter, vectors=vectors).write.parquet(at)
         new = spark.read.schema(chunks.schema).parquet(at)
         stored = new.select("root_path", "file_path").distinct()
         log(stored.select("file_path", F.lit(EMBEDDED).alias("progress"), none.alias("error")))
