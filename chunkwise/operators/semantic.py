@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.counter import TokenCounter, special_tokens
 from ..functions.text import token_count
+from .split import _once
 
 
 # Scores, their median/sd and the bisection midpoints live on this decimal
@@ -401,28 +402,88 @@ def segment_token_median(marked: DataFrame, group: str, order: str, tokens: str,
     return g.select(*keys, n.cast("int").alias("n_segments"), med.cast("long").alias("median_tokens"))
 
 
+def _rounds(o: SemanticOptions) -> int:
+    """Rounds after which the bisection's interval, at most 1 wide, is empty (with some to spare for the grid)."""
+    if o.adjustment <= 0:
+        raise ValueError("adjustment must be positive")
+    n, width = 0, 1.0
+    while width >= 0:
+        n, width = n + 1, width / 2 - o.adjustment
+    return n + 2
+
+
+def _grid(x: Column) -> Column:
+    """:func:`on_grid` of a column."""
+    return F.floor(x * F.lit(GRID) + F.lit(0.5)).cast("double") / F.lit(GRID)
+
+
+def _middle(sorted_values: Column, pair) -> Column:
+    """Median of a sorted array; ``pair`` joins the middle two."""
+    n = F.size(sorted_values)
+    at = lambda k: F.get(sorted_values, k.cast("int"))
+    return F.when(n % 2 == 1, at(F.floor(n / 2))).otherwise(pair(at(F.floor(n / 2) - 1), at(F.floor(n / 2))))
+
+
+def _segment_median(pieces: Column, threshold: Column) -> Column:
+    """C4 for array<struct<t,s>> in order: median token total of the segments that begin at scores below the threshold."""
+    zero = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("first"))
+    folded = F.aggregate(pieces, zero, lambda st, p: F.when(
+        ~st["first"] & F.coalesce(p["s"] < threshold, F.lit(False)),
+        F.struct(F.concat(st["out"], F.array(st["c"])).alias("out"), p["t"].alias("c"), F.lit(False).alias("first")))
+        .otherwise(F.struct(st["out"].alias("out"), (st["c"] + p["t"]).alias("c"), F.lit(False).alias("first"))),
+        lambda st: F.array_sort(F.concat(st["out"], F.array(st["c"]))))
+    return _once(folded, lambda m: _middle(m, lambda x, y: F.floor((x + y) / 2).cast("long")))
+
+
+def bisected(pieces: Column, o: SemanticOptions) -> Column:
+    """C3 - C5 as one fold over an array<struct<t:bigint,s:double>> of a batch's pieces in order (the first has no
+    score): struct<threshold:double,rounds:int>.  The state is the interval; every round counts its segments in a fold of its own."""
+    scores = F.array_sort(F.filter(F.transform(pieces, lambda p: p["s"]), lambda s: s.isNotNull()))
+
+    def bounds(ss):
+        n = F.size(ss).cast("double")
+        mean = F.aggregate(ss, F.lit(0.0).cast("double"), lambda a, x: a + x) / n
+        squares = F.aggregate(F.transform(ss, lambda x: (x - mean) * (x - mean)), F.lit(0.0).cast("double"), lambda a, x: a + x)
+        sd = F.when(n > 1, _grid(F.sqrt(squares / F.nullif(n - 1, F.lit(0.0))))).otherwise(F.lit(0.0))
+        med = _grid(_middle(ss, lambda x, y: (x + y) / 2))
+        return _once(F.struct(med.alias("m"), sd.alias("d")), lambda v: F.struct(
+            F.greatest(F.lit(0.0), v["m"] - v["d"]).alias("lo"), F.least(F.lit(1.0), v["m"] + v["d"]).alias("hi"),
+            F.lit(0.0).cast("double").alias("thr"), F.lit(False).alias("done"), F.lit(0).alias("r")))
+
+    def state(lo, hi, thr, done, r):
+        return F.struct(lo.alias("lo"), hi.alias("hi"), thr.alias("thr"), done.alias("done"), r.alias("r"))
+
+    def judged(st, thr):
+        def after(mt):
+            good = (mt >= o.min_tokens - o.tolerance) & (mt <= o.max_tokens + o.tolerance)
+            small = ~good & (mt < o.min_tokens)
+            return state(F.when(good | small, st["lo"]).otherwise(thr + F.lit(o.adjustment)),
+                         F.when(small, thr - F.lit(o.adjustment)).otherwise(st["hi"]), thr, good, st["r"] + 1)
+
+        return _once(_segment_median(pieces, thr), after)
+
+    def step(st, _):
+        return F.when(st["done"] | (st["lo"] > st["hi"]), st).otherwise(_once(_grid((st["lo"] + st["hi"]) / 2), lambda thr: judged(st, thr)))
+
+    def search(ss):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_rounds(o))), bounds(ss), step, lambda st: F.struct(st["thr"].alias("threshold"), st["r"].alias("rounds")))
+
+    none = F.struct(F.lit(0.0).cast("double").alias("threshold"), F.lit(0).alias("rounds"))
+    return _once(scores, lambda ss: F.when(F.size(ss) > 0, search(ss)).otherwise(none))
+
+
 def thresholds(scored: DataFrame, group: str, order: str, tokens: str, score: str = "score",
                o: SemanticOptions | None = None) -> DataFrame:
     """C5 per group: the bisection threshold and its round count, from the
     group's ordered scores and token counts (one batch).  The group's small
-    arrays are gathered once; the bisection is :func:`optimal_threshold`, the
-    one that the chunker runs."""
+    arrays are gathered once; the bisection is the fold :func:`bisected`, JVM-side."""
     o = o or SemanticOptions()
     keys = _keys(group)
     g = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"), F.col(score).cast("double").alias("s")))).alias("_p"))
-
-    @F.arrow_udf("struct<threshold:double,rounds:int>")
-    def bisect(items: pa.Array) -> pa.Array:
-        flat = items.flatten()
-        counts = flat.field("t").to_numpy(zero_copy_only=False)
-        scores = flat.field("s").to_numpy(zero_copy_only=False)
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False))
-        found = [optimal_threshold(counts[a:b], scores[a + 1:b], o) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())],
-                                          names=["threshold", "rounds"])
-
-    b = g.select(*keys, bisect(F.col("_p")).alias("_b"))
+    # the first piece's score, if any, is that of another batch
+    pieces = F.transform("_p", lambda p, k: F.struct(p["t"].alias("t"), F.when(k > 0, p["s"]).alias("s")))
+    b = g.withColumn("_q", pieces).select(*keys, bisected(F.col("_q"), o).alias("_b"))
     return b.select(*keys, F.col("_b.threshold").alias("threshold"), F.col("_b.rounds").alias("rounds"))
 
 

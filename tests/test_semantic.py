@@ -141,3 +141,26 @@ def test_row_form_and_chunker_agree_on_vectors_of_any_length(spark):
     got = [r["score"] for r in SE.context_similarity(df, "g", "pos", "vec").orderBy("pos").collect()][1:]
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert np.allclose(got, SE.similarity_scores(unit, 5), atol=2e-9)
+
+
+def test_bisection_fold_equals_the_plain_statement(spark):
+    """The JVM-side fold against the NumPy statement, for random batches and options."""
+    import random
+
+    import numpy as np
+
+    from chunkwise.operators import semantic as SE
+
+    rng = random.Random(12)
+    for o in (SE.SemanticOptions(), SE.SemanticOptions(min_tokens=30, max_tokens=60, tolerance=0, adjustment=0.003)):
+        rows, want = [], {}
+        for g in range(150):
+            n = rng.choice([1, 2, 3, 5, 20, 64])
+            t = [rng.randrange(1, rng.choice([20, 300])) for _ in range(n)]
+            s = [None] + [round(rng.choice([rng.random(), 0.5, 0.9]), 9) for _ in range(n - 1)]
+            rows += [(g, k, t[k], s[k]) for k in range(n)]
+            want[g] = SE.optimal_threshold(np.array(t), np.array(s[1:], float), o)
+        df = spark.createDataFrame(rows, "g int, k int, t int, s double").repartition(4)
+        got = {r.g: (r.threshold, r.rounds) for r in SE.thresholds(df, "g", "k", "t", "s", o).collect()}
+        assert got == want
+        assert "Python" not in SE.thresholds(df, "g", "k", "t", "s", o)._jdf.queryExecution().executedPlan().toString()
