@@ -702,6 +702,18 @@ def q_c8_semantic_chunks(spark, sf):
     return c.select("chunk_id", "file_path", "pos", "text", TX.token_count("text").alias("n_tokens"))
 
 
+def q_c8_rounds(spark, sf):
+    """C8 over piece rows, a round for each batch of pieces."""
+    from chunkwise.operators.semantic_rounds import chunk_pieces
+
+    d = _t(spark, sf, "documents").select("doc_id", "source", TX.normalize_text(F.col("text")).alias("text"))
+    pieces = SP.split_tokens(d, "text", size=PIECE, keep=["doc_id", "source"])
+    c = chunk_pieces(pieces, HashingEmbedder(), ["doc_id", "source"])
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return c.select(F.concat(path, F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 10, "0")).alias("chunk_id"), path.alias("file_path"),
+                    F.col("chunk_no").alias("pos"), "text", TX.token_count("text").alias("n_tokens"))
+
+
 def q_c8_drop(spark, sf):
     """C8 that discards a short buffer on overflow, as the reference does."""
     c = chunk_documents(_t(spark, sf, "documents"), add_time=0, strategy="semantic", semantic_options=SE.SemanticOptions(short_buffer="drop"))
@@ -1519,6 +1531,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c5_threshold": q_c5_threshold,
         "c8_semantic_chunks": q_c8_semantic_chunks,
         "c8_drop": q_c8_drop,
+        "c8_rounds": q_c8_rounds,
         "c8_semantic_vectors": q_c8_semantic_vectors,
         "c9_sentence_strategy": q_c9_sentence_strategy,
         "x1_stream_ingest": q_x1_stream_ingest,
@@ -1655,6 +1668,7 @@ SELECT doc_id, CASE WHEN n > 1 THEN round(bs.thr, 9) ELSE 0.0 END AS threshold,
        CASE WHEN n > 1 THEN bs.r ELSE 0 END::INTEGER AS rounds FROM th""",
         "c8_semantic_chunks": _sql_semantic(),
         "c8_drop": _sql_semantic(keep=False),
+        "c8_rounds": _sql_semantic(),
         "c8_semantic_vectors": f"""WITH sem AS ({_sql_semantic()}),
 {s_embed_cte('sem', 'chunk_id', 'text', 'c')}
 SELECT id AS chunk_id, count(*) AS nnz, round(sum(w::DOUBLE * (b + 1)), 5) AS weighted,

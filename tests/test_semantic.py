@@ -164,3 +164,46 @@ def test_bisection_fold_equals_the_plain_statement(spark):
         got = {r.g: (r.threshold, r.rounds) for r in SE.thresholds(df, "g", "k", "t", "s", o).collect()}
         assert got == want
         assert "Python" not in SE.thresholds(df, "g", "k", "t", "s", o)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_over_rows_equal_the_chunker(spark):
+    """C8 with carry-over: the row form in rounds against the chunker that holds a document's pieces in one row."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from chunkwise.operators import semantic as SE
+    from chunkwise.operators.embed import ArrowEmbedder, HashingEmbedder
+    from chunkwise.operators.semantic_rounds import chunk_pieces
+    from chunkwise.operators.split import split_tokens
+
+    rng = random.Random(21)
+    topics = [[f"{t}{k}" for k in range(12)] for t in "abcdef"]
+    docs = []
+    for d in range(30):
+        topic, words = rng.choice(topics), []
+        for _ in range(rng.choice([0, 5, 60, 150, 260])):
+            topic = rng.choice(topics) if rng.random() < 0.02 else topic
+            words.append(rng.choice(topic) + rng.choice(["", "", "", ".", ". "]))
+        docs.append((d, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for keep in ("keep", "drop"):
+        o = SE.SemanticOptions(piece_size=17, min_tokens=25, max_tokens=80, batch_size=4, short_buffer=keep)
+        emb = HashingEmbedder(48)
+        whole = SE.with_semantic_chunks(df, "text", "chunks", emb, o, groups_col="g")
+        want = sorted((r.doc_id, k, c, len(g)) for r in whole.collect() for k, (c, g) in enumerate(zip(r.chunks, r.g)))
+        pieces = split_tokens(df, size=o.piece_size)
+        got = sorted(map(tuple, chunk_pieces(pieces, emb, o=o).collect()))
+        assert got == want and max(n for _, _, _, n in got) > 1 and max(k for _, k, _, _ in got) > 3
+        assert chunk_pieces(pieces.limit(0), emb, o=o).count() == 0
+    # any other embedder, and two key columns
+    def letters(texts):
+        import numpy as np
+
+        return np.array([[t.count(c) + 0.01 for c in "abcdef"] for t in texts.to_pylist()])
+
+    emb = ArrowEmbedder(letters, 6)
+    o = SE.SemanticOptions(piece_size=17, min_tokens=25, max_tokens=80, batch_size=5)
+    want = sorted((r.doc_id, k, c) for r in SE.with_semantic_chunks(df, "text", "chunks", emb, o).collect() for k, c in enumerate(r.chunks))
+    two = split_tokens(df, size=o.piece_size).withColumn("part", F.lit("x"))
+    assert sorted((r.doc_id, r.chunk_no, r.text) for r in chunk_pieces(two, emb, ["part", "doc_id"], o=o).collect()) == want
