@@ -19,8 +19,8 @@ Plans:
   ``queries x k`` hits at the end.
 * no pair table is ever built: candidates are scored inside each corpus
   partition and only the per-partition top-k leave it.
-* :func:`nearest` (R1) for one literal vector: ``orderBy(distance, id).limit(k)``
-  which plans as TakeOrderedAndProject.
+* :func:`nearest` (R1) for one literal vector: the same scan with one query; each partition gives its ``k``
+  nearest, ``orderBy(distance, id).limit(k)`` takes them (TakeOrderedAndProject), and their rows are joined.
 """
 
 from __future__ import annotations
@@ -65,18 +65,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def nearest(corpus: DataFrame, vector, k: int = DEFAULT_K, max_distance: float = DEFAULT_MAX_DISTANCE,
             min_distance: float = 0.0, corpus_id: str = "chunk_id", corpus_vec: str = "embedding",
             drop_vector: bool = True) -> DataFrame:
+    """The ``k`` nearest corpus rows with ``distance``, nearest first; ``corpus_id`` is unique in the corpus."""
     v = np.asarray(vector, dtype=np.float64)
     vn = float(np.sqrt(v @ v))
     if vn == 0:
         raise ValueError("query vector has zero norm")
-    lit_v = F.array(*[F.lit(float(x)) for x in v / vn])
-    c = F.col(corpus_vec)
-    d = F.round(F.greatest(F.lit(1.0) - dot(c, lit_v) / F.nullif(norm(c), F.lit(0.0)), F.lit(0.0)),
-                DISTANCE_DECIMALS)
-    out = corpus.withColumn("distance", d).where((F.col("distance") >= min_distance) & (F.col("distance") < max_distance))
-    if drop_vector:
-        out = out.drop(corpus_vec)
-    return out.orderBy("distance", corpus_id).limit(k)
+    slim = corpus.select(corpus_id, corpus_vec).where(F.col(corpus_vec).isNotNull())
+    schema = T.StructType([T.StructField("_qid", T.LongType()), T.StructField(corpus_id, slim.schema[corpus_id].dataType),
+                           T.StructField("distance", T.DoubleType())])
+    sent = corpus.sparkSession.sparkContext.broadcast(([0], (v / vn)[None, :]))
+    hits = (slim.mapInArrow(_scan(sent, k, max_distance, min_distance, corpus_id, corpus_vec, len(v), schema), schema)
+            .orderBy("distance", corpus_id).limit(k).drop("_qid"))  # at most k rows
+    rows = corpus.drop(corpus_vec) if drop_vector else corpus
+    return rows.join(F.broadcast(hits), corpus_id).select(*rows.columns, "distance").orderBy("distance", corpus_id)
 
 
 # ---------------------------------------------------------------------------

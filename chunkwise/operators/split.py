@@ -203,20 +203,23 @@ def pack_sentences(col, n_words: int) -> Column:
     """
     text = _c(col)
     sents = F.split(F.regexp_replace(text, r"[.;]\z", ""), "[.;]", -1)
-    zero = F.struct(F.array().cast("array<string>").alias("out"),
-                    F.array().cast("array<string>").alias("cur"))
+    none = F.array().cast("array<string>")
+    # finished chunks in lists of ``_RUN``, so an append copies at most one of them
+    zero = F.struct(F.array().cast("array<array<string>>").alias("out"), none.alias("run"), none.alias("cur"))
+
+    def emitted(st, cur):
+        full, chunk = F.size(st["run"]) >= _RUN, F.array(F.array_join(cur, " "))
+        return F.struct(F.when(full, F.concat(st["out"], F.array(st["run"]))).otherwise(st["out"]).alias("out"),
+                        F.when(full, chunk).otherwise(F.concat(st["run"], chunk)).alias("run"), none.alias("cur"))
 
     def step(st, s):
         words = F.filter(F.split(F.concat(s, F.lit(".")), r"\s+"), lambda w: w != F.lit(""))
-        cur = F.concat(st["cur"], words)
-        return F.when(F.size(cur) >= n_words, F.struct(
-            F.concat(st["out"], F.array(F.array_join(cur, " "))).alias("out"),
-            F.array().cast("array<string>").alias("cur"))) \
-            .otherwise(F.struct(st["out"].alias("out"), cur.alias("cur")))
+        return _once(F.concat(st["cur"], words), lambda cur: F.when(F.size(cur) >= n_words, emitted(st, cur))
+                     .otherwise(F.struct(st["out"].alias("out"), st["run"].alias("run"), cur.alias("cur"))))
 
     def finish(st):
-        return F.when(F.size(st["cur"]) > 0,
-                      F.concat(st["out"], F.array(F.array_join(st["cur"], " ")))).otherwise(st["out"])
+        last = F.when(F.size(st["cur"]) > 0, F.array(F.array_join(st["cur"], " "))).otherwise(none)
+        return F.concat(F.flatten(st["out"]), st["run"], last)
 
     packed = F.aggregate(sents, zero, step, finish)
     return (F.when(text.isNull() | (text == F.lit("")), F.array().cast("array<string>"))
