@@ -1,4 +1,4 @@
-"""Corpus pipeline: documents in, packed training sequences out.
+"""Corpus pipeline: documents in, places of their pieces in packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  In every stage a null text
@@ -40,8 +40,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their token ids and their place in the packed sequences."""
-    return packing.pack_documents(docs, tokenizer_path(BPE_FILE), with_ids=True)
+    """Pieces of all documents with their place in the packed sequences (their ids: ``packing.token_pieces``)."""
+    return packing.pack_documents(docs, tokenizer_path(BPE_FILE))
 
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("minhash_near_dedup", minhash_near_dedup),
