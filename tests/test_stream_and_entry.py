@@ -48,3 +48,20 @@ def test_entry_and_contract(spark):
     # every query of the reference's operators has a SQL statement
     own = {n for n in q if n != "pipeline" and not re.match(r"op\d+_", n)}
     assert own <= set(s) and len(own) > 50
+
+
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_dir):
+    """x1_stream_ingest reads ``documents.parquet`` whether it is one file or a folder of files."""
+    import __spark_entry__ as E
+
+    rows = [(i, f"Text {i}. More of it.", "en", "web", 20) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_dir}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_dir}/one")
+    part, = (n for n in os.listdir(f"{tmp_dir}/one") if n.endswith(".parquet"))
+    os.mkdir(f"{tmp_dir}/file")
+    os.rename(f"{tmp_dir}/one/{part}", f"{tmp_dir}/file/documents.parquet")
+    docs.limit(1).write.parquet(f"{tmp_dir}/folder/other.parquet")
+    for kind in ("folder", "file"):
+        got = E.q_x1_stream_ingest(spark, f"{tmp_dir}/{kind}").collect()
+        assert sorted(r["chunk_id"] for r in got) == [f"web/{i}.txt#0000000000" for i in range(9)]
