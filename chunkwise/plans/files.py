@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 from ..operators.embed import HashingEmbedder
-from .ingest import chunk_key
+from .ingest import chunk_key, stored_vector
 from ..operators.split import explode_positions, with_token_chunks
 from ..session import scratch_path, spread
 from ..sources.files import extract_text, list_files
@@ -77,8 +77,8 @@ def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder
     keys = [chunk_key(F.col("file_path"), F.col("pos")), F.col("root_path"), F.col("file_path"), F.col("pos").cast("int").alias("pos"), F.col("text")]
     if vectors is not None and strategy == "sentence":
         rows = chunks.select(*keys, stamp.cast("long").alias("add_time"))
-        return vectors.embed(rows, embedder).select("chunk_id", "root_path", "file_path", "pos", "text", "embedding", "add_time")
-    return chunks.select(*keys, vec.alias("embedding"), stamp.cast("long").alias("add_time"))
+        return vectors.embed(rows, embedder).select("chunk_id", "root_path", "file_path", "pos", "text", stored_vector(F.col("embedding"), embedder).alias("embedding"), "add_time")
+    return chunks.select(*keys, stored_vector(vec, embedder).alias("embedding"), stamp.cast("long").alias("add_time"))
 
 
 def chunk_files(files: DataFrame, pdf_pages=None, **options) -> tuple[DataFrame, DataFrame]:

@@ -325,3 +325,31 @@ def test_top_k_reads_ids_and_vectors_only(spark, tmp_dir):
         scored = [line for line in plan.splitlines() if "FileScan" in line and "embedding" in line]
         assert len(scored) == 1 and "text" not in scored[0].split("ReadSchema")[1]
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_chunk_whose_counts_cancel_is_stored(spark, tmp_dir):
+    """Two tokens of one bucket and opposite signs: the chunk is stored with a zero vector, which no search finds."""
+    from itertools import count
+
+    from chunkwise.operators.embed import hash_token
+    from chunkwise.plans.files import chunk_texts
+    from chunkwise.plans.ingest import chunk_documents, chunk_pages
+
+    seen = {}
+    for n in count():
+        code = hash_token(f"w{n}", 384)
+        if code ^ 1 in seen:
+            text = f"w{n} {seen[code ^ 1]}"
+            break
+        seen[code] = f"w{n}"
+    docs = spark.createDataFrame([(1, text, "a"), (2, "plain words", "a")], "doc_id long, text string, source string")
+    files = docs.selectExpr("'r' AS root_path", "concat(source, doc_id) AS file_path", "text")
+    pages = docs.selectExpr("string(doc_id) AS file_path", "1 AS page_no", "text")
+    made = [chunk_documents(docs, add_time=0), chunk_documents(docs, add_time=0, strategy="semantic"), chunk_texts(files, now=0), chunk_pages(pages, add_time=0)]
+    for i, rows in enumerate(made):
+        t = VersionedTable(spark, f"{tmp_dir}/cancel{i}", chunks_schema(), dim=384)
+        t.append(rows)
+        got = {r["text"]: r["embedding"] for r in t.read().collect()}
+        assert got[text] == [0.0] * 384 and any(got["plain words"])
+        q = spark.createDataFrame([(7, [1.0] * 384)], "query_id int, embedding array<float>")
+        assert text not in {r["text"] for r in top_k(q, t.read(), k=5, max_distance=3.0).collect()}
