@@ -105,7 +105,7 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, settings: DataFram
     embedder = embedder or HashingEmbedder()
     qv = questions.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text"),
                           embedder.embed(F.col(text_col)).alias("embedding"))
-    hits = top_k(qv, chunks, k=k, max_distance=max_distance, payload=["file_path", "text"], dim=embedder.dim)
+    hits = top_k(qv, chunks, k=k, max_distance=max_distance, payload=["file_path", "text"], dim=embedder.dim, source="file_path")
     qs = qv.select("query_id", "text", F.col("embedding").isNotNull().alias("_has_vec"))
     return route_answers(qs, hits, settings, generator, has_vector_col="_has_vec",
                          include_question=include_question)

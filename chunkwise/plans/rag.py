@@ -24,7 +24,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,
     embedder = embedder or HashingEmbedder()
     q = embed_questions(questions, embedder, id_col, text_col)
     return top_k(q, chunks, k=k, max_distance=max_distance, payload=["file_path", "text"],
-                 dim=embedder.dim)
+                 dim=embedder.dim, source="file_path")
 
 
 def answer_markdown(questions: DataFrame, chunks: DataFrame, *, k: int = DEFAULT_K,

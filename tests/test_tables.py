@@ -353,3 +353,70 @@ def test_chunk_whose_counts_cancel_is_stored(spark, tmp_dir):
         assert got[text] == [0.0] * 384 and any(got["plain words"])
         q = spark.createDataFrame([(7, [1.0] * 384)], "query_id int, embedding array<float>")
         assert text not in {r["text"] for r in top_k(q, t.read(), k=5, max_distance=3.0).collect()}
+
+
+def test_grid_copies_are_bounded():
+    """A small budget of many queries does not send the corpus once per block of that size; a cell's queries fit CELL_BYTES."""
+    from chunkwise.operators import retrieve as R
+
+    for total in (2_000, 130_000, 780_000):
+        for rows in (100, 150, 65_536):
+            blocks, splits = R._shape(total, rows, 64, 12)
+            fits = max(rows, R.CELL_BYTES // 512)
+            assert blocks * fits >= total * 1.25 - 1 and blocks * splits >= 36
+            assert blocks <= max(R.COPIES, -(-int(total * 1.25) // fits))
+    assert R._shape(130_000, 150, 64, 12) == (6, 6)
+    assert R._shape(400, 150, 64, 12)[0] == 4  # blocks of the budget while they are few
+
+
+def test_cell_tiles_and_merges(monkeypatch):
+    """Any tile size and batch size gives the brute-force result, ties by id, with and without rows beyond the bound."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chunkwise.operators import retrieve as R
+
+    rng = np.random.default_rng(3)
+    C = np.round(rng.normal(size=(500, 4)), 1)
+    C[100:140] = C[:40]
+    Q = rng.normal(size=(23, 4))
+    ids, block = np.arange(500)[::-1].copy(), R._unit_rows(list(range(23)), Q, 4)
+    unit = C / np.sqrt((C * C).sum(axis=1))[:, None]
+    D = np.round(np.maximum(1 - unit @ block[1].T, 0), 9)
+    schema = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("d", pa.float64()), ("s", pa.string())])
+    for max_d in (0.05, 0.6, 3.0):
+        want = sorted((q, int(ids[r]), D[r, q]) for q in range(23) for r in sorted((r for r in range(500) if D[r, q] < max_d), key=lambda r: (D[r, q], ids[r]))[:5])
+        for rows, tile in ((2048, 1 << 21), (7, 11), (64, 100)):
+            monkeypatch.setattr(R, "ROWS", rows)
+            monkeypatch.setattr(R, "MAX_BLOCK", tile)
+            cell = R._Cell(block, 5, max_d, 0.0, 4)
+            for a in range(0, 500, 90):
+                vec = pa.array(C[a:a + 90].tolist(), pa.list_(pa.float64()))
+                cell.see(pa.array(ids[a:a + 90]), vec, pa.array([f"f{i}" for i in ids[a:a + 90]]))
+            got = [tuple(r.values()) for b in cell.rows(schema) for r in b.to_pylist()]
+            assert all(s == f"f{c}" for _, c, _, s in got)
+            assert [(q, c) for q, c, _, _ in sorted(got)] == [w[:2] for w in want]
+            assert np.allclose([r[2] for r in sorted(got)], [w[2] for w in want], atol=2e-9)
+
+
+def test_payload_from_the_hits_sources(spark):
+    """With a source the payload is sought in the hits' files only: the other texts are not looked at again."""
+    from pyspark.sql import functions as F
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        looked.add(1)
+        return text
+
+    rows = [(f"f{i % 20}#{i}", f"f{i % 20}", f"text {i}", [1.0, float(i)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "chunk_id string, file_path string, text string, embedding array<float>")
+    corpus = corpus.withColumn("text", read("text"))
+    qs = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    options = dict(k=2, max_distance=2.0, dim=2, payload=["file_path", "text"])
+    want = sorted(map(tuple, top_k(qs, corpus, **options).collect()))
+    before = looked.value
+    got = sorted(map(tuple, top_k(qs, corpus, source="file_path", **options).collect()))
+    assert got == want and len(got) == 2
+    assert before == 200 and looked.value - before == 20
