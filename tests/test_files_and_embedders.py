@@ -105,3 +105,35 @@ def test_hashing_embedder_linear(spark):
     r = df.select(e.embed_many_raw("p").alias("raw"), e.embed(F.array_join("p", "\n")).alias("joined")).first()
     s = np.array(r["raw"][0]) + np.array(r["raw"][1])
     assert np.allclose(s / np.linalg.norm(s), np.array(r["joined"]), atol=1e-6)
+
+
+def test_embedders_hold_some_rows_at_a_time(monkeypatch):
+    """The token codes of a large Arrow batch are never held at once; any step gives the same vectors and groups."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chunkwise.operators import embed as EM
+    from chunkwise.operators import semantic as SE
+
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
+    toks = pa.array([None if i % 50 == 7 else words(i % 9) for i in range(1500)], pa.list_(pa.string()))
+    docs = [[words(120) for _ in range(i % 6)] for i in range(400)]
+    counts = pa.array([[122] * len(d) for d in docs], pa.list_(pa.int32()))
+    pieces = pa.array(docs, pa.list_(pa.list_(pa.string())))
+    most, dense = [], EM._dense_from_codes
+
+    def watched(values, lengths, *more):
+        most.append(len(lengths))
+        return dense(values, lengths, *more)
+
+    monkeypatch.setattr(EM, "_dense_from_codes", watched)
+    seen = set()
+    for step in (512, 1 << 30, 10):
+        monkeypatch.setattr(EM, "ROWS", step)
+        most.clear()
+        vectors = EM._scatter_udf(384).func(toks)
+        chunks = SE._hashing_segment_udf(SE.SemanticOptions(), 384).func(counts, pieces)
+        assert max(most) <= min(step, 1500) and len(vectors) == 1500 and len(chunks) == 400
+        seen.add((str(vectors.to_pylist()), str(chunks.to_pylist())))
+    assert len(seen) == 1
