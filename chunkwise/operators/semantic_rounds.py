@@ -54,7 +54,8 @@ def chunk_pieces(pieces: DataFrame, embedder, group="doc_id", order: str = "pos"
             lead = _vectors(carry.join(here, keys, "left_semi").withColumn("_o", F.lit(0).cast("long")), embedder)
             now = now.unionByName(lead.select(*now.columns))
         now = _written(now, "round")
-        scored = SE.context_similarity(now.drop("_text", "_size"), keys, "_o", "_vec", o.window)
+        # read twice below, so written: the vectors are sorted and scored once
+        scored = _written(SE.context_similarity(now.drop("_text", "_size"), keys, "_o", "_vec", o.window).drop("_vec"), "scores")
         found = scored.join(SE.thresholds(scored, keys, "_o", "_n", o=o), keys)
         cut = SE.assemble_at(SE.split_points(found, F.col("threshold")), keys, "_o", "_n", o=o)
         last = F.col("chunk_no") == F.max("chunk_no").over(Window.partitionBy(*keys))
