@@ -14,7 +14,7 @@ from ..functions.text import normalize_text
 from ..operators.embed import HashingEmbedder
 from .ingest import chunk_key, stored_vector
 from ..operators.split import explode_positions, with_token_chunks
-from ..session import scratch_path, spread
+from ..session import gather, scratch_path, spread
 from ..sources.files import extract_text, list_files
 
 
@@ -49,7 +49,7 @@ def staged_texts(files: DataFrame, pdf_pages=None) -> DataFrame:
     """S2-S5 once: every file's text or error, written to the shared folder, so that chunks
     and statuses derive from the same extraction and no file is read twice.
     ``files``: binaryFile rows plus ``root_path``; ``pdf_pages`` as for :func:`chunkwise.sources.files.extract_text`."""
-    texts = extract_text(spread(files.select("path", "modificationTime", "length", "content", "root_path")), pdf_pages=pdf_pages, keep=("root_path",))
+    texts = extract_text(gather(spread(files.select("path", "modificationTime", "length", "content", "root_path"))), pdf_pages=pdf_pages, keep=("root_path",))
     at = scratch_path(files.sparkSession, "texts")
     texts.write.parquet(at)
     return files.sparkSession.read.schema(texts.schema).parquet(at)

@@ -65,3 +65,21 @@ def test_stream_of_a_table_that_is_a_folder(spark, tmp_dir):
     for kind in ("folder", "file"):
         got = E.q_x1_stream_ingest(spark, f"{tmp_dir}/{kind}").collect()
         assert sorted(r["chunk_id"] for r in got) == [f"web/{i}.txt#0000000000" for i in range(9)]
+
+
+def test_source_files_and_many_small_files(spark, tmp_dir, monkeypatch):
+    """A stream's source has as many files as its bytes want; small files are read in few tasks."""
+    import __spark_entry__ as E
+    from chunkwise.session import gather
+    from chunkwise.sources.files import list_files
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_dir}/docs")
+    docs = spark.read.parquet(f"{tmp_dir}/docs")
+    assert E._in_files(docs, 2).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(E, "SOURCE_FILE_BYTES", 100)
+    assert E._in_files(docs, 2).rdd.getNumPartitions() > 10
+    E._file_each(docs.where("doc_id < 200")).text(f"{tmp_dir}/tree")
+    files = list_files(spark, f"{tmp_dir}/tree")
+    few = gather(files.repartition(100))
+    assert few.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and few.count() == files.count() == 200
