@@ -1,9 +1,11 @@
 """SentencePiece (BPE) encoding and decoding by suffix-array matching.
 
-The distinct words of a batch that are not yet known are concatenated and
-indexed by a suffix array (prefix doubling up to the longest piece).  Every
-piece is binary-searched for its range of occurrences; the occurrences are the
-edges of a lattice, sorted by position and then relaxed.
+The words of a batch that are not yet known are cut into units wherever two
+neighbouring characters stand together in no piece (no merge can cross such a
+place).  The distinct units that are not yet known are concatenated and indexed
+by a suffix array (prefix doubling up to the longest piece).  Every piece is
+binary-searched for its range of occurrences; the occurrences are the edges of
+a lattice, sorted by position and then relaxed.
 
 Relaxing gives exactly the BPE result: a token sequence is the result of the
 merges if and only if each token alone, and each pair of neighbours, is the
@@ -21,10 +23,12 @@ be as long as its text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +36,54 @@ from .common import id_and_text, slices
 from .encoders import model_faults, once
 
 MARK = "▁"
-#: Words that a Python worker remembers, and their greatest length.
+#: What an unknown id decodes to.
+UNKNOWN = " ⁇ "
+#: Words, and units, that a Python worker remembers, and their greatest length.
 REMEMBERED, WORD_CHARS = 300_000, 64
 #: Neighbouring token pairs that it remembers.
 PAIRS = 400_000
 #: Characters that are indexed at once (one word may be longer).
 INDEXED = 1 << 20
 
-_WORD = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_WORD = re.compile(rf"{MARK}({MARK}*[^{MARK}]*)")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text, each without the space mark that stands before it."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return _WORD.findall(MARK + text.replace(" ", MARK))
+
+
+class Memory:
+    """String -> ids, in two generations of about ``REMEMBERED`` strings; what it forgets is encoded again."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[tuple[str, bytes]]]):
+        self.encode, self.known, self.older = encode, {}, {}
+
+    def ids(self, lists: Iterable[list[str]]) -> list[list[bytes]]:
+        """Ids of every string of every list.  Of the strings only those not yet known are held."""
+        get, out, waiting, new = self.known.get, [], [], set()
+        for keys in lists:
+            found = list(map(get, keys))
+            out.append(found)
+            if None in found:
+                gaps = [k for k, ids in enumerate(found) if ids is None]
+                keys = [keys[k] for k in gaps]
+                new.update(keys)
+                waiting.append((found, gaps, keys))
+        if new:
+            got = {w: self.older[w] for w in new.intersection(self.older)}
+            got.update(self.encode(list(new.difference(got))))
+            for found, gaps, keys in waiting:
+                for k, w in zip(gaps, keys):
+                    found[k] = got[w]
+            self.known.update(got if max(map(len, new)) <= WORD_CHARS else {w: i for w, i in got.items() if len(w) <= WORD_CHARS})
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+        return out
 
 
 class Model:
@@ -75,8 +119,13 @@ class Model:
         self.token_ids = [self.ids_of(p) for p in many]
         self.chars: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # neighbouring characters that a piece holds
+        self.joined = np.array(sorted({ord(x) << 21 | ord(y) for p in self.id for x, y in zip(p, p[1:])}), np.int64)
+        self.words, self.units = Memory(self.encode_words), Memory(self.encode_units)
+        # what every id decodes to, as bytes
+        self.bytes_by_id = pa.array([bytes([self.bytes_of[i]]) if i in self.bytes_of else b"" if i in self.skip else
+                                     self.text.get(i, UNKNOWN).encode() for i in range(n)], pa.binary())
+        self.skipped = np.isin(np.arange(n), list(self.skip))
 
     def merge(self, s: str) -> list[str]:
         """The BPE merges of one short string, best score first, then leftmost."""
@@ -118,20 +167,36 @@ class Model:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """int32 ids of every text."""
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new = new.difference(known)
-        for w in new.intersection(self.older):
-            known[w] = self.older[w]
-        todo = sorted(new.difference(known))
-        known.update(zip(todo, (ids for part in portions(todo) for ids in self.match(part))))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
-        if len(known) > REMEMBERED:
-            self.older, self.words = {w: i for w, i in known.items() if len(w) <= WORD_CHARS}, {}
-        return out
+        ids, starts = self.encode_flat(texts)
+        return np.split(ids, starts[1:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """int32 ids of all texts, and where each text's ids start (at last their number)."""
+        own = [b"".join(found) for found in self.words.ids(map(words_of, texts))]
+        starts = np.zeros(len(own) + 1, np.int64)
+        np.cumsum([len(ids) >> 2 for ids in own], out=starts[1:])
+        return np.frombuffer(b"".join(own), "<i4"), starts
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words with their ids, which are those of their units one after the other."""
+        for part in portions(words):
+            text = MARK + MARK.join(part)
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            starts = np.zeros(len(part), np.int64)
+            np.cumsum([len(w) + 1 for w in part[:-1]], out=starts[1:])
+            cut = np.ones(len(codes), bool)
+            cut[1:] = ~among(codes[:-1] << 21 | codes[1:], self.joined)
+            cut[starts] = True
+            begin = np.flatnonzero(cut)
+            at = begin.tolist()
+            found = self.units.ids([[text[a:b] for a, b in zip(at, at[1:] + [len(text)])]])[0]
+            first = np.searchsorted(begin, starts).tolist()
+            for w, a, b in zip(part, first, first[1:] + [len(found)]):
+                yield w, found[a] if b - a == 1 else b"".join(found[a:b])
+
+    def encode_units(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        for part in portions(sorted(units)):
+            yield from zip(part, self.match(part))
 
     def match(self, words: list[str]) -> list[bytes]:
         """Ids of each word: index, search every piece, sort the edges, relax.  A position's
@@ -147,7 +212,7 @@ class Model:
         start = sa[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         size = np.array(self.sizes[:len(n)], np.int64)[piece]
         end = start + size
-        order = np.lexsort((-size, end))
+        order = np.argsort(end * (self.longest + 1) - size)
         piece = piece[order].tolist()
         first = np.searchsorted(end[order], np.arange(len(codes) + 2)).tolist()
         sizes, chars, pairs, fits, token_ids = self.sizes, self.chars, self.pairs, self.fits, self.token_ids
@@ -198,6 +263,35 @@ class Model:
             s = self._decode_mixed(ids)
         return s[1:] if s[:1] == " " else s
 
+    def decode_flat(self, ids: pa.Array, starts: np.ndarray) -> pa.Array:
+        """Texts of the ids between each start and the next: all tokens' bytes one after the other.  Rows with control or
+        foreign ids, or whose bytes are no UTF-8, are decoded one by one, with all others of this call."""
+        texts = None
+        if pa.types.is_integer(ids.type) and not ids.null_count:
+            of = ids.to_numpy()
+            if len(of) and 0 <= of.min() and of.max() < len(self.skipped) and not self.skipped[of].any():
+                texts = self._joined(ids, starts)
+        if texts is None:
+            of, at = ids.to_pylist(), starts.tolist()
+            texts = pa.array([self.decode(of[a:b]) for a, b in zip(at, at[1:])], pa.string())
+        return texts
+
+    def _joined(self, ids: pa.Array, starts: np.ndarray) -> pa.Array | None:
+        tokens = self.bytes_by_id.take(ids)
+        until = np.frombuffer(tokens.buffers()[1], np.int32)[starts]
+        data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[:until[-1]]
+        # the space before a text's first word is left out
+        own = until[:-1][until[1:] > until[:-1]]
+        spaces = own[data[own] == 32]
+        until = (until - np.searchsorted(spaces, until)).astype(np.int32)
+        data = np.delete(data, spaces)
+        texts = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(until), pa.py_buffer(data)])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            return None
+        return texts
+
     def _decode_mixed(self, ids: list[int]) -> str:
         out: list[str] = []
         raw = bytearray()
@@ -212,16 +306,21 @@ class Model:
             if i in self.text:
                 out.append(self.text[i])
             elif i not in self.skip:
-                out.append(" ⁇ ")
+                out.append(UNKNOWN)
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))
+
+
+def among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each key is one of the sorted ``values``."""
+    if not len(values):
+        return np.zeros(len(keys), bool)
+    return values[np.minimum(np.searchsorted(values, keys), len(values) - 1)] == keys
 
 
 def portions(words: list[str]) -> Iterator[list[str]]:
@@ -238,20 +337,24 @@ def portions(words: list[str]) -> Iterator[list[str]]:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their next ``depth`` codes at least (prefix doubling)."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    order = np.argsort(rank)
-    size = 1
-    while size < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[:-size] = rank[size:]
-        key = rank * (len(rank) + 2) + after
-        order = np.argsort(key)
+    """Positions sorted by their next ``depth`` codes at least (prefix doubling, from as many
+    codes as a long holds)."""
+    rank = np.cumsum(np.bincount(codes) > 0)[codes]
+    bits = int(rank.max()).bit_length()
+    size = min(63 // bits, depth, len(rank))
+    key = np.zeros(len(rank), np.int64)
+    for k in range(size):
+        key <<= bits
+        key[:len(rank) - k] |= rank[k:]
+    order = np.argsort(key)
+    while size < min(depth, len(rank)):
         new = np.ones(len(key), np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(new)
+        key = rank * (len(rank) + 2)
+        key[:-size] += rank[size:]
+        order = np.argsort(key)
         size *= 2
     return order
 
@@ -295,7 +398,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(Model, path)
         for b in slices(batches, "text", 4 << 20):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(model.encode_batch(b.column(1).to_pylist()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(*model.encode_flat(b.column(1).to_pylist()))], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -307,8 +410,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 own = b.slice(k, 1024)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([model.decode(x or []) for x in own.column(1).to_pylist()], pa.string())],
-                                                 names=["doc_id", "text"])
+                starts = np.zeros(own.num_rows + 1, np.int64)
+                np.cumsum(pc.list_value_length(own.column(1)).fill_null(0), out=starts[1:])
+                yield pa.RecordBatch.from_arrays([own.column(0), model.decode_flat(own.column(1).flatten(), starts)], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -318,9 +422,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = once(Model, path)
         for b in slices(batches, "text", 4 << 20):
-            texts = b.column(1).to_pylist()
-            ids = model.encode_batch(texts)
-            same = [model.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "decoded_equal"])
+            ids, starts = model.encode_flat(b.column(1).to_pylist())
+            same = pc.equal(model.decode_flat(pa.array(ids), starts), pc.replace_substring(b.column(1).cast(pa.string()), MARK, " "))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, starts), same], names=["doc_id", "ids", "decoded_equal"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded_equal boolean")

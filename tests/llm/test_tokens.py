@@ -134,6 +134,54 @@ def test_merges_random():
     assert [model.decode(x) for x in got] == sp.decode(got)
 
 
+def test_units_are_matched_once(monkeypatch):
+    """Words that differ by characters no piece joins to them share the matching of their units."""
+    model, sp, seen = pieces.Model(SP), sentencepiece.SentencePieceProcessor(model_file=SP), []
+    match = pieces.Model.match
+    monkeypatch.setattr(pieces.Model, "match", lambda self, words: seen.extend(words) or match(self, words))
+    texts = ["orthesinre\nab orthesinre", "orthesinre\n\northesinre", " orthesinre\n"]
+    for _ in range(2):
+        assert [x.tolist() for x in model.encode_batch(texts)] == sp.encode(texts, num_threads=1)
+    assert seen.count("▁orthesinre") == 1 and len(seen) == len(set(seen))
+    assert not any("\n" in w for w in seen if len(w) > 1)
+
+
+def test_forgotten_words(monkeypatch):
+    import random
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(pieces, "WORD_CHARS", 5)
+    monkeypatch.setattr(pieces, "INDEXED", 50)
+    model, sp, rng = pieces.Model(SP), sentencepiece.SentencePieceProcessor(model_file=SP), random.Random(7)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["the", "in", "7", ",", "\n", " ", " ", "é", "▁", "\0", "ñ日"]) for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        assert [x.tolist() for x in model.encode_batch(texts)] == sp.encode(texts, num_threads=1)
+        assert len(model.words.known) <= 20 and all(len(w) <= 5 for w in model.words.older)
+    assert model.encode_batch([]) == [] and [x.tolist() for x in model.encode_batch([""])] == [[]]
+
+
+def test_decode_any_ids(spark):
+    model = pieces.Model(SP)
+    sp = sentencepiece.SentencePieceProcessor(model_file=SP)
+    good = [sp.encode(t) for t in ("one two", " é\n日 x", "a▁b", "", "  ")]
+    raw = [model.byte[b] for b in "日".encode()]
+    odd = [[sp.bos_id(), *good[0]], raw[:1], raw[1:] + good[0], [raw[0], sp.bos_id(), *raw[1:]], [sp.unk_id(), *raw], [10 ** 6, -5], [good[0][0], None]]
+    rows = [good, [*good, None], [[]], [None, []], *[[o, good[1]] for o in odd]]
+    for k, own in enumerate(rows):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(own)], "doc_id long, ids array<int>").coalesce(1)
+        got = [r.text for r in pieces.decode(df, SP).orderBy("doc_id").collect()]
+        assert got == [model.decode(x or []) for x in own], k
+
+
+def test_suffix_array_order():
+    rng = np.random.default_rng(3)
+    for n, letters, depth in ((1, 2, 16), (5, 1, 16), (300, 2, 40), (400, 70, 16), (200, 0x10FFFF, 9)):
+        codes = rng.integers(0, letters, n)
+        own = pieces.suffix_array(codes, depth).tolist()
+        heads = [codes[i:i + depth].tolist() for i in own]
+        assert sorted(own) == list(range(n)) and heads == sorted(heads)
+
+
 def test_second_call_encodes_nothing(spark):
     """The query with a cache folder of the session: the second call finds every count."""
     spark.conf.set(queries.TOKEN_CACHE, shared_path(spark, "session-cache"))
