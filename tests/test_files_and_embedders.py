@@ -137,3 +137,45 @@ def test_embedders_hold_some_rows_at_a_time(monkeypatch):
         assert max(most) <= min(step, 1500) and len(vectors) == 1500 and len(chunks) == 400
         seen.add((str(vectors.to_pylist()), str(chunks.to_pylist())))
     assert len(seen) == 1
+
+
+def test_a_file_for_each_key_is_written_by_the_tasks(spark, tmp_dir):
+    """The same folders and lines as Spark's writer, repeated and missing keys and texts included, without Hadoop's
+    checksum files (each of which costs a process for its permissions)."""
+    import pytest
+
+    from chunkwise.sources.files import FileEach
+
+    rows = [(i, f"text {i}\nsecond, \"line\" {i}") for i in range(40)] + [(7, "again"), (None, "no key"), (None, "no key"), (41, None), (42, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind in ("text", "csv"):
+        here, there = f"{tmp_dir}/{kind}", f"{tmp_dir}/spark-{kind}"
+        getattr(FileEach(df, "doc_id"), kind)(here)
+        getattr(df.repartition(4, "doc_id").write.partitionBy("doc_id"), kind)(there)
+
+        def tree(at):
+            return {d[len(at):]: sorted(line for f in files if f.startswith("part-") for line in open(f"{d}/{f}").read().splitlines())
+                    for d, _, files in os.walk(at) if d != at}
+
+        assert len(tree(here)) == 43 and tree(here) == tree(there)
+        names = [f for _, _, files in os.walk(here) for f in files]
+        assert len(names) == 43 and all(f.startswith("part-") and f.endswith({"text": ".txt", "csv": ".csv"}[kind]) for f in names)
+        with pytest.raises(Exception):
+            getattr(FileEach(df, "doc_id"), kind)(here)
+    FileEach(df.where("doc_id < 0"), "doc_id").text(f"{tmp_dir}/none")
+    assert os.listdir(f"{tmp_dir}/none") == []
+
+
+def test_a_file_writing_task_that_is_repeated_doubles_nothing(tmp_dir, monkeypatch):
+    from types import SimpleNamespace
+
+    from chunkwise.sources import files as FI
+
+    batch = pa.RecordBatch.from_pydict({"folder": ["k=1", "k=1", "k=2"], "line": ["a\n", "b\n", "c\n"]})
+    write = FI._folder_writer(tmp_dir, "n.txt")
+    for attempt in (0, 1):
+        task = SimpleNamespace(partitionId=lambda: 3, taskAttemptId=lambda attempt=attempt: attempt)
+        monkeypatch.setattr(FI, "TaskContext", SimpleNamespace(get=lambda task=task: task))
+        assert next(write(iter([batch]))).column(0).to_pylist() == [2]
+    assert {d: os.listdir(f"{tmp_dir}/{d}") for d in os.listdir(tmp_dir)} == {k: ["part-00003-n.txt"] for k in ("k=1", "k=2")}
+    assert open(f"{tmp_dir}/k=1/part-00003-n.txt").read() == "a\nb\n"
