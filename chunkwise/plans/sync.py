@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators import mutate as MU
 from ..operators import scan as SC
 from ..sources.tables import VersionedTable
-from ..session import scratch_path
+from ..session import written
 from ..streaming.status import EMBEDDED, EXTRACTING, FAILED, STORED
 from .files import chunk_texts, files_under, is_file, staged_texts
 
@@ -67,10 +67,9 @@ def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: Versione
         none = F.lit(None).cast("string")
         log(texts.select("file_path", F.lit(EXTRACTING).alias("progress"), none.alias("error")))
         roots = spark.createDataFrame([(p,) for p in pending if p not in missing], "root_path string")
-        at = scratch_path(spark, "sync-chunks")
-        chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy, counter=counter, vectors=vectors).write.parquet(at)
-        new = spark.read.schema(chunks.schema).parquet(at)
-        stored = new.select("root_path", "file_path").distinct()
+        # the chunks are written once, to the folders that the commit below takes
+        new = chunks.stage(chunk_texts(texts.where(F.col("error").isNull()), size=size, embedder=embedder, now=now, strategy=strategy, counter=counter, vectors=vectors))
+        stored = written(new.read().select("root_path", "file_path").distinct(), "sync-stored")
         log(stored.select("file_path", F.lit(EMBEDDED).alias("progress"), none.alias("error")))
         chunks.change(roots, "root_path", new)
         bad = (texts.join(stored.select("file_path", F.lit(True).alias("_ok")), "file_path", "left").where("_ok IS NULL")
@@ -91,9 +90,7 @@ def sync_pending(spark: SparkSession, registry: VersionedTable, chunks: Versione
     for r in results[1:]:
         status = status.unionByName(r)
     # written once, so every use below sees the same rows
-    at = scratch_path(spark, "sync-status")
-    status.write.parquet(at)
-    status = spark.read.schema(kind).parquet(at)
+    status = written(status, "sync-status")
     log(status)
     mine = status.join(spark.createDataFrame([(p,) for p in pending], "file_path string"), "file_path", "left_semi")
     rows = registry.read().join(mine.select("file_path"), "file_path", "left_semi")

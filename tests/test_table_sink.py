@@ -167,3 +167,63 @@ def test_second_writer_tries_again(spark, tmp_dir):
     assert [r.file_path for r in one.read().collect()] == ["mine"]
     with pytest.raises(CommitConflict):
         commit(2, [])
+
+
+def test_staged_rows_are_written_once(spark, tmp_dir):
+    one, two = (VersionedTable(spark, f"{tmp_dir}/t", files_schema()) for _ in range(2))
+    row = lambda p, n: SC.registry_rows(spark.createDataFrame([(p,)], "file_path string"), n)
+    key = spark.createDataFrame([("mine",)], "file_path string")
+    staged = one.stage(row("mine", 2).drop("sync_time"))
+    (folder,) = staged.folders
+    assert one.read().isEmpty() and [(r.file_path, r.sync_time) for r in staged.read().collect()] == [("mine", None)]
+    assert one.change(key, "file_path", staged) == 1 and one.manifest() == [folder]
+    # another writer takes the version: the folder is renamed, so that its rows outlive that writer's delete
+    late = one.stage(row("mine", 3))
+    (folder,) = late.folders
+    two.change(key, "file_path")
+    assert one.change(key, "file_path", late) == 3
+    assert folder not in one.manifest() and [r.add_time for r in one.read().collect()] == [3]
+    assert [r.add_time for r in late.read().collect()] == [3]
+    assert len([f for f in os.listdir(f"{tmp_dir}/t") if f.startswith("w=")]) == 2
+
+
+def test_batches_and_steps_write_their_chunks_once(spark, tmp_dir, monkeypatch):
+    _, chunks, log = tables(spark, tmp_dir)
+    writes, stage, write = [], VersionedTable.stage, VersionedTable._write
+    monkeypatch.setattr(VersionedTable, "stage", lambda self, df: (writes.append("stage"), stage(self, df))[1])
+    monkeypatch.setattr(VersionedTable, "_write", lambda self, df, *a: (
+        writes.append(self.path) if hasattr(df, "write") and self is chunks else None, write(self, df, *a))[1])
+    rows = spark.createDataFrame([(1, "Some text.", "s", "s/1.txt"), (2, "", "s", "s/2.txt")], "doc_id long, text string, source string, file_path string")
+    store_batch(rows.withColumn("error", F.lit(None).cast("string")), lambda t: chunk_documents(t, add_time=1), chunks, log, ("q", 0))
+    assert writes == ["stage", chunks.path] and [t[2] for t in texts(chunks)] == ["Some text."]
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_dir):
+    import time
+
+    from chunkwise.session import shuffles_removed
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", held()
+    usual = spark.conf.get(key)
+    with shuffles_removed(spark):
+        assert spark.conf.get(key) == "true"
+        spark.range(1000).repartition(5).write.parquet(f"{tmp_dir}/out")
+    for _ in range(100):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(key) == usual and spark.read.parquet(f"{tmp_dir}/out").count() == 1000
+
+
+def test_spread_runs_no_shuffle_to_count_its_tasks(spark):
+    from chunkwise.session import spread
+
+    rows = spark.createDataFrame([(i % 7, i) for i in range(100)], "k long, v long").repartition(3, "k").groupBy("k").sum("v")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    try:
+        assert spread(rows) is rows
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("spread")) == 0
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
