@@ -14,7 +14,7 @@ from ..functions.text import normalize_text
 from ..operators.embed import HashingEmbedder
 from .ingest import chunk_key, stored_vector
 from ..operators.split import explode_positions, with_token_chunks
-from ..session import gather, scratch_path, spread
+from ..session import gather, gathered_tasks, shuffles_removed, spread, written
 from ..sources.files import extract_text, list_files
 
 
@@ -50,9 +50,11 @@ def staged_texts(files: DataFrame, pdf_pages=None) -> DataFrame:
     and statuses derive from the same extraction and no file is read twice.
     ``files``: binaryFile rows plus ``root_path``; ``pdf_pages`` as for :func:`chunkwise.sources.files.extract_text`."""
     texts = extract_text(gather(spread(files.select("path", "modificationTime", "length", "content", "root_path"))), pdf_pages=pdf_pages, keep=("root_path",))
-    at = scratch_path(files.sparkSession, "texts")
-    texts.write.parquet(at)
-    return files.sparkSession.read.schema(texts.schema).parquet(at)
+    if len(files._jdf.inputFiles()):  # not a stream's batch, whose bytes are not known
+        # Spark reads files in the order of their sizes, the largest in one task
+        texts = texts.repartition(gathered_tasks(files), "file_path")
+    with shuffles_removed(files.sparkSession):
+        return written(texts, "texts")
 
 
 def chunk_texts(texts: DataFrame, *, size: int = 256, overlap: int = 0, embedder=None, now=None,

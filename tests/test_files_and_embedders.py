@@ -179,3 +179,19 @@ def test_a_file_writing_task_that_is_repeated_doubles_nothing(tmp_dir, monkeypat
         assert next(write(iter([batch]))).column(0).to_pylist() == [2]
     assert {d: os.listdir(f"{tmp_dir}/{d}") for d in os.listdir(tmp_dir)} == {k: ["part-00003-n.txt"] for k in ("k=1", "k=2")}
     assert open(f"{tmp_dir}/k=1/part-00003-n.txt").read() == "a\nb\n"
+
+
+def test_large_files_are_dealt_out(spark, tmp_dir):
+    """Spark reads files in the order of their sizes: the texts are dealt anew, so that no task has all large ones."""
+    from chunkwise.plans.files import files_under, staged_texts
+    from chunkwise.session import gathered_tasks
+
+    os.makedirs(f"{tmp_dir}/tree")
+    for i in range(64):
+        with open(f"{tmp_dir}/tree/{i}.txt", "w") as f:
+            f.write(f"Text {i}. " * (5000 if i < 8 else 1))
+    files, _ = files_under(spark, [f"{tmp_dir}/tree"])
+    texts = staged_texts(files)
+    large = texts.where("size > 10000").groupBy(F.col("_metadata.file_name")).count().collect()
+    assert texts.count() == 64 and sum(r["count"] for r in large) == 8 and max(r["count"] for r in large) < 8
+    assert gathered_tasks(files) % spark.sparkContext.defaultParallelism == 0
