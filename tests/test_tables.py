@@ -420,3 +420,34 @@ def test_payload_from_the_hits_sources(spark):
     got = sorted(map(tuple, top_k(qs, corpus, source="file_path", **options).collect()))
     assert got == want and len(got) == 2
     assert before == 200 and looked.value - before == 20
+
+
+def test_large_lists_of_deleted_keys(spark, tmp_dir, monkeypatch):
+    """The keys that are deleted, found by the key columns alone: the same rows, and files without a row left are not read."""
+    from pyspark.sql import types as T
+
+    from chunkwise.sources import tables as TB
+
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("x", T.LongType())])
+    t = TB.VersionedTable(spark, f"{tmp_dir}/t", schema)
+    rows = lambda *kx: spark.createDataFrame(list(kx), schema).coalesce(1)
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    t.append(rows(("a", 1), ("a", 2), ("b", 3)))          # all go
+    t.append(rows(("c", 4), (None, 5), ("d", 6)))         # c and the missing key go
+    t.change(keys("a", "c"), "k", rows(("a", 7), ("e", 8)))
+    t.change(keys("b", None, "never"), "k", rows((None, 9)))
+    t.change(keys("e"), "k")
+    t.append(rows(("b", 10)))
+    plain = sorted(t.read().collect(), key=str)
+    assert sorted(r.x for r in plain) == [6, 7, 9, 10]
+    monkeypatch.setattr(TB, "LIST_BYTES", 0)
+    monkeypatch.setattr(TB, "WIDE", 0)
+    narrow = t.read()
+    assert sorted(narrow.collect(), key=str) == plain
+    assert narrow.select(F.col("x")).where("x < 4").isEmpty() and "file_path" in narrow._jdf.queryExecution().optimizedPlan().toString()
+    t.change(keys("a", "b", "c", "d", "e", None), "k")
+    assert t.read().isEmpty()
+    monkeypatch.setattr(TB.VersionedTable, "_narrowed", None)  # by two sets of columns: as before
+    t.append(rows(("z", 1), ("z", 2)))
+    t.change(spark.createDataFrame([("z", 1)], schema), ["k", "x"])
+    assert [r.x for r in t.read().collect()] == [2]
