@@ -204,7 +204,11 @@ def test_shuffle_files_go_with_their_query(spark, tmp_dir):
     from chunkwise.session import shuffles_removed
 
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    held = lambda: {f.getName() for f in (disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+
+    def held():
+        files = disk.getAllFiles()  # a copy: others come and go
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
     key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", held()
     usual = spark.conf.get(key)
     with shuffles_removed(spark):
